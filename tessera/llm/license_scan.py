@@ -55,17 +55,20 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     least, most = min(sizes) * reach, max(sizes) / reach
     lowered = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lines = F.split(lowered, "\n", -1)
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("passage"), line.alias("line")))
-    # a line of most + 1 words or fewer may have the largest template's size; a whole text whose repeated words might keep its bigrams few is counted in full
+    words = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("passage"), words(line).alias("words")))
     # the whole text is a passage too; one of a single line is that line
-    many = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("passage"), lowered.alias("line")))).otherwise(F.slice(numbered, 1, 0))
-    passages = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.explode(F.concat(numbered, many)).alias("p")).select("id", "p.passage", "p.line")
-    # the rarest words first: a match shares a bigram, hence at least one word of some template
+    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("passage"), words(lowered).alias("words"))))
+    # each explode keeps what it made as a column, so that later lambdas don't make it again
+    passages = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "p.passage", "p.words")
+    # a match shares a bigram, hence a word of some template
     vocabulary = sorted({w for b in known.values() for g in b for w in g.split(" ")})
-    worded = passages.withColumn("words", F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).where(F.size("words") > least).drop("line")
     shared = F.arrays_overlap("words", F.array(*[F.lit(w) for w in vocabulary]))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
-    sets = worded.where(shared).select("id", "passage", grams.alias("grams")).withColumn("n_bigrams", F.size("grams").cast("long")).where(F.col("n_bigrams").between(least, most))
+    sets = (
+        passages.where(F.size("words") > least).where(shared).select("id", "passage", F.explode(F.array(grams)).alias("grams"))
+        .withColumn("n_bigrams", F.size("grams").cast("long")).where(F.col("n_bigrams").between(least, most))
+    )
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).cast("long").alias("size"), F.array(*[F.lit(g) for g in b]).alias("grams")) for k, b in known.items()])
     fits = F.filter(listed, lambda t: F.lit(2.0) * F.least(t["size"], F.col("n_bigrams")) >= F.lit(threshold) * (t["size"] + F.col("n_bigrams")))
     scored = sets.select("id", "passage", "n_bigrams", F.explode(F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (t["size"] + F.col("n_bigrams"))).alias("dice")))).alias("m"))
