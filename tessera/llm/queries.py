@@ -8,6 +8,7 @@ from tessera.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from tessera.llm.license_scan import OP10_SQL, op10_license_scan
 from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import OP4_SQL, op4_mix_sources
+from tessera.llm.ngram_join import OP1_SQL, op1_ngram_join
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_line_dedup, op4_mix_sources, op7_exact_dedup, op9_chat_format, op10_license_scan)}
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat_format": OP9_SQL, "op10_license_scan": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_line_dedup, op4_mix_sources, op7_exact_dedup, op9_chat_format, op10_license_scan)}
+ORACLE_SQL = {"op1_ngram_join": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat_format": OP9_SQL, "op10_license_scan": OP10_SQL}
