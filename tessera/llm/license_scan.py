@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """The best license of each passage (line) of each document, and of the whole text.
 
     A passage's and a template's sets of distinct word bigrams A, B match when 2 |A and B| / (|A| + |B|) >= threshold.
-    Size bounds prune first: 2 min(|A|, |B|) / (|A| + |B|) must reach the threshold, and as a passage has no more bigrams
-    than words less one, its word count alone rules most templates out before any bigram is built.
+    Size bounds prune first: 2 min(|A|, |B|) / (|A| + |B|) must reach the threshold. They also bound the overlap from below:
+    a passage without a word of enough of each template's bigrams matches none, before any word is split.
 
     Returns one row per passage and template that match: id, passage (0: the whole text, else the line's number from 1),
     license, n_bigrams, dice. A one-line text gives its line only. Null and empty texts, passages of one word
@@ -55,18 +57,19 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     least, most = min(sizes) * reach, max(sizes) / reach
     lowered = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lines = F.split(lowered, "\n", -1)
+    # a match shares t / (2 - t) of a template's bigrams at least, so one of any few more than the rest of them
+    must = sorted({max(g.split(" "), key=lambda w: (len(w), w)) for b in known.values() for g in sorted(b, key=lambda g: -max(map(len, g.split(" "))))[: len(b) - math.ceil(reach * len(b) - 1e-9) + 1]})
+    may_match = lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in must])
     words = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("passage"), words(line).alias("words")))
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("passage"), line.alias("line")))
+    numbered = F.transform(F.filter(numbered, lambda p: may_match(p["line"])), lambda p: F.struct(p["passage"].alias("passage"), words(p["line"]).alias("words")))
     # the whole text is a passage too; one of a single line is that line
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("passage"), words(lowered).alias("words"))))
     # each explode keeps what it made as a column, so that later lambdas don't make it again
-    passages = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "p.passage", "p.words")
-    # a match shares a bigram, hence a word of some template
-    vocabulary = sorted({w for b in known.values() for g in b for w in g.split(" ")})
-    shared = F.arrays_overlap("words", F.array(*[F.lit(w) for w in vocabulary]))
+    passages = documents.where(may_match(lowered)).select(F.col(id_col).alias("id"), F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "p.passage", "p.words")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
     sets = (
-        passages.where(F.size("words") > least).where(shared).select("id", "passage", F.explode(F.array(grams)).alias("grams"))
+        passages.where(F.size("words") > least).select("id", "passage", F.explode(F.array(grams)).alias("grams"))
         .withColumn("n_bigrams", F.size("grams").cast("long")).where(F.col("n_bigrams").between(least, most))
     )
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).cast("long").alias("size"), F.array(*[F.lit(g) for g in b]).alias("grams")) for k, b in known.items()])
