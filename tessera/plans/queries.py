@@ -133,7 +133,7 @@ def resume_pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 def union_resume(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("int").alias("score"))
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("double").alias("score"))
     return done.unionByName(resume_pending(spark, d).select("name", "lang"), allowMissingColumns=True)
 
 
@@ -356,12 +356,12 @@ ORACLE_SQL = {
     "prompt_render": "WITH lists AS (SELECT n_regionkey AS k, string_agg('  - ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS opts FROM nation WHERE n_nationkey <> 0 GROUP BY 1), r AS (SELECT p_partkey, " + _RENDER.format(ctx=REPEAT_CONTEXT["Registro de animales"], none=NO_CHOICES) + " AS p FROM part LEFT JOIN lists ON p_size % 7 = k) SELECT p_partkey, md5(p) AS prompt_md5, length(p) AS n_chars FROM r",
     "fence_strip_parse": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, CASE WHEN event_id % 4 = 3 THEN 'no js' END AS issue FROM events",
     "resume_pending": "SELECT doc_id AS name, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "union_resume": "SELECT doc_id AS name, CAST(quality AS INTEGER) AS score, NULL AS lang FROM labels UNION ALL SELECT doc_id, NULL, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "union_resume": "SELECT doc_id AS name, CAST(quality AS DOUBLE) AS score, NULL AS lang FROM labels UNION ALL SELECT doc_id, NULL, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "scenario_grid": "SELECT 'G6PD_' || n1 || '_h2o2_' || n2 AS scenario, CASE s_suppkey WHEN 1 THEN 'G6PDH2' WHEN 2 THEN 'EX_h2o2_e' ELSE s_name END AS rxn, CASE s_suppkey WHEN 1 THEN s_acctbal * f1 WHEN 2 THEN s_acctbal * f2 ELSE s_acctbal END AS ub FROM supplier, (VALUES (0.1::DOUBLE, '0_1'), (0.28::DOUBLE, '0_28'), (0.5::DOUBLE, '0_5')) AS a(f1, n1), (VALUES (1::DOUBLE, '1'), (0.75::DOUBLE, '0_75'), (0.5::DOUBLE, '0_5')) AS b(f2, n2)",
     "vector_norms": f"WITH e AS (SELECT vec_id, {_VEC} AS v FROM embeddings) SELECT vec_id, {_fold('v', 's + abs(x)')} AS l1, sqrt({_fold('v', 's + x * x')}) AS l2, {_fold('v', 'greatest(s, abs(x))')} AS linf, CAST(len(list_filter(v, lambda x: abs(x) <= 1e-9)) AS DOUBLE) / len(v) AS sparsity FROM e",
     "vector_entropy": f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), t AS (SELECT vec_id, v, {_fold('v', 's + x')} AS n FROM e) SELECT vec_id, CAST(round(list_sum(list_transform(list_filter(v, lambda x: x > 0), lambda x: -(x / n) * ln(x / n))) * 1e6) AS BIGINT) AS entropy_millionths FROM t",
     "distance_to_reference": f"WITH e AS (SELECT vec_id, {_VEC} AS v FROM embeddings), d AS (SELECT e.vec_id, list_transform(list_zip(e.v, r.v), lambda z: z[1] - z[2]) AS x, list_transform(list_zip(e.v, r.v), lambda z: z[1] * z[2]) AS p FROM e, e AS r WHERE r.vec_id = 0) SELECT vec_id, {_fold('x', 's + abs(x)').replace('list_prepend(0.0::DOUBLE, x)', 'list_prepend(0.0::DOUBLE, d.x)')} AS d_l1, sqrt({_fold('d.x', 's + x * x')}) AS d_l2, {_fold('d.x', 'greatest(s, abs(x))')} AS d_linf, {_fold('d.p', 's + x')} AS dot FROM d",
-    "pathway_share": "SELECT l_returnflag, p_type AS pathway, sum(l_quantity) AS usage, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_returnflag) AS share FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
+    "pathway_share": "WITH u AS (SELECT l_returnflag, p_type AS pathway, sum(l_quantity) AS usage FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT *, usage / sum(usage) OVER (PARTITION BY l_returnflag) AS share FROM u",
     "metabolite_production": "WITH x AS (SELECT l_returnflag, p_brand AS met, (p_size % 3 - 1) * l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 3)) SELECT l_returnflag, met, sum(greatest(q, 0.0)) AS produced, sum(q) AS net FROM x GROUP BY ALL",
     "log2_binarize": "SELECT event_id, CASE WHEN value > 0 THEN CAST(log2(value) > 1.5 AS INTEGER) END AS bit FROM events",
     "family_mapping": "SELECT r_name AS family, count(*) AS n_probes, count(DISTINCT n_nationkey) AS n_genes FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
