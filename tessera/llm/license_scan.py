@@ -55,7 +55,10 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = [len(b) for b in known.values()]
     reach = threshold / (2 - threshold)
     least, most = min(sizes) * reach, max(sizes) / reach
-    lowered = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # each explode keeps what it made as a column, so that expressions over it don't make it again
+    lowered_once = F.explode(F.array(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    texts = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), lowered_once.alias("lowered"))
+    lowered = F.col("lowered")
     lines = F.split(lowered, "\n", -1)
     # a match shares t / (2 - t) of a template's bigrams at least, so one of any few more than the rest of them
     must = sorted({max(g.split(" "), key=lambda w: (len(w), w)) for b in known.values() for g in sorted(b, key=lambda g: -max(map(len, g.split(" "))))[: len(b) - math.ceil(reach * len(b) - 1e-9) + 1]})
@@ -65,8 +68,7 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     numbered = F.transform(F.filter(numbered, lambda p: may_match(p["line"])), lambda p: F.struct(p["passage"].alias("passage"), words(p["line"]).alias("words")))
     # the whole text is a passage too; one of a single line is that line
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("passage"), words(lowered).alias("words"))))
-    # each explode keeps what it made as a column, so that later lambdas don't make it again
-    passages = documents.where(may_match(lowered)).select(F.col(id_col).alias("id"), F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "p.passage", "p.words")
+    passages = texts.where(may_match(lowered)).select("id", F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "p.passage", "p.words")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
     sets = (
         passages.where(F.size("words") > least).select("id", "passage", F.explode(F.array(grams)).alias("grams"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.storage import materialize
+from tessera.llm.storage import bound_batches, materialize
 from tessera.llm.tokens import SPACED, Slice, mix, shingles, slices, word_hashes, words
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -124,8 +124,8 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
        rarest shingles route them: counted shingles by frequency, then the rest by hash, are one order of all shingles,
        and two sets that are linked share one of their first n - ceil(t n) + 1. Points with such a shingle in common are
        one block, the root of one R-tree.
-    4. Each block links its members with its smallest id, and components are found. What a block has in two components
-       after that goes through the R-tree: leaves of points of like sizes have the greatest coordinates as their corner, and
+    4. Each document meets the smallest id of its blocks, then those of its other blocks that aren't in its component yet.
+       What a block has in two components after that goes through the R-tree: leaves of points of like sizes have the greatest coordinates as their corner, and
        a query goes to leaves, then points, where the summed coordinate minima allow the overlap needed.
        All pairs of different components in a block are met, while members linked already aren't paired again.
     5. Surviving pairs are verified by whole sets.
@@ -135,6 +135,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     empty table gives no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     digests = materialize(rows.mapInArrow(_digests(size), "doc long, n long, d1 long, d2 long"), "digests")
     classes = materialize(digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("doc")), "classes")
@@ -157,16 +158,32 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     prefix = by_doc.select("doc", F.explode(F.expr("transform(slice(shared, 1, greatest(need - (has - size(shared)), 0)), s -> s.h)")).alias("h"))
     rest = first.select("doc", F.explode(F.slice("high", F.lit(1), F.greatest(need - F.size("low"), F.lit(0)))).alias("h"))
     keys = prefix.unionAll(rest).distinct()
-    shared_keys = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("doc").alias("hub")).where("k > 1")
+    shared_keys = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("doc").alias("hub"), *[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"s{i}") for i in (1, 2)]).where("k > 1")
+    # shingles with the same members make the same pairs: one block for all of them
+    shared_keys = shared_keys.groupBy("k", "hub", "s1", "s2").agg(F.min("h").alias("h")).select("h", "hub", "k")
     where = materialize(keys.join(shared_keys, "h").select("h", "doc", "hub", "k"), "blocks")
     lean = points.select("doc", "n", "vec")
     hubs = lean.select(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec"))
-    stars = where.where("doc <> hub").select("hub", "doc").distinct().join(lean, "doc").join(hubs, "hub")
-    stars = stars.where(_reaches(F.least("n", "hub_n"), F.col("n"), F.col("hub_n"), percent)).where(_reaches(_bound(F.col("vec"), F.col("hub_vec")), F.col("n"), F.col("hub_n"), percent))
-    edges = materialize(_verified(stars.select(*_one_order(F.col("hub"), F.col("doc"))).distinct(), points, percent), "links")
+
+    def linked(stars: DataFrame) -> DataFrame:
+        """Edges among the pairs (hub, doc) given."""
+        met = stars.where("doc <> hub").join(lean, "doc").join(hubs, "hub")
+        met = met.where(_reaches(F.least("n", "hub_n"), F.col("n"), F.col("hub_n"), percent)).where(_reaches(_bound(F.col("vec"), F.col("hub_vec")), F.col("n"), F.col("hub_n"), percent))
+        return materialize(_verified(met.select(*_one_order(F.col("hub"), F.col("doc"))).distinct(), points, percent), "links")
+
+    def placed(parts: DataFrame) -> DataFrame:
+        """Blocks' members with their components so far."""
+        return where.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+    # first one hub for each document, then the hubs of its other blocks that are elsewhere
+    edges = linked(where.groupBy("doc").agg(F.min("hub").alias("hub")))
+    parts = materialize(connected_components(edges), "components")
+    of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    apart = placed(parts).join(of_hub, "hub", "left").where(F.coalesce("hub_component", "hub") != F.col("component"))
+    edges = materialize(edges.unionAll(linked(apart.select("hub", "doc").distinct())), "links")
     parts = materialize(connected_components(edges), "components")
     # blocks with members in several components
-    known = where.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    known = placed(parts)
     mixed = known.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.when(F.col("doc") == F.col("hub"), F.col("component"))).alias("main")).where("c1 <> c2")
     members = known.join(mixed.select("h", "main"), "h").join(lean, "doc")
     members = materialize(members.select("h", "doc", "component", "main", "k", "n", "vec"), "members")

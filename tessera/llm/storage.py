@@ -32,3 +32,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bound_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+    """Lowers the session's limits on Arrow batches, which count rows first and would hold ten thousand whole texts.
+
+    Limits that the session has set lower already stay.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

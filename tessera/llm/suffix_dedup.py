@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import materialize
+from tessera.llm.storage import bound_batches, materialize
 from tessera.llm.tokens import Slice, rolling, slices, span_hash
 
 #: Bytes of a repeated string.
@@ -261,6 +261,7 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs, [start, end) in bytes). Null texts are empty; texts shorter than `length` are kept whole; equal rows repeat each
     other, so both lose all. An empty table gives no rows. Other columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     long_rows = rows.where(F.octet_length("text") >= length)
     found = long_rows.select("doc", "text").mapInArrow(_emit_anchors(length, anchor), "h long, doc long")
