@@ -16,11 +16,13 @@ from tessera.llm.tokens import SPACED, Slice, mix, shingles, slices, word_hashes
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Groups that tokens (shingles) are hashed into: coordinates of a point.
-GROUPS = 32
+GROUPS = 64
 #: Shingles whose hash is below this share of all hashes come first in the global order, with their document frequencies.
 COUNTED = 0.3
-#: Points of a leaf, about.
-LEAF = 64
+#: Members of its blocks that a document meets first. More leave fewer pairs to the trees; the result is the same.
+HUBS = 4
+#: Bytes of a leaf's sets, about.
+LEAF_BYTES = 1 << 20
 #: Ids are broadcast up to this many (about 50 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _NO_ID = (1 << 63) - 1
@@ -106,6 +108,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(_reaches(F.col("shared"), F.size("ha"), F.size("hb"), percent)).select("a", "b")
 
 
+def _points(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, n, component, vec, hashes, bounds of each set) of the leaf in row i, by size."""
+    leaf = column[i].values
+    doc, n, component = (leaf.field(c).to_numpy() for c in ("doc", "n", "component"))
+    vec = leaf.field("vec").flatten().to_numpy().reshape(len(doc), GROUPS)
+    return doc, n, component, vec, leaf.field("hashes").flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+
+
+def _compare(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between points of two leaves; of links that join the same components one is enough."""
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                same = batch.column("same")[i].as_py()
+                doc, n, component, vec, hashes, at = _points(batch.column("points_a"), i)
+                other = _points(batch.column("points_b"), i)
+                names, where = np.unique(np.concatenate([component, other[2]]), return_inverse=True)
+                mine, theirs = where[: len(doc)], where[len(doc) :]
+                joined = np.arange(len(names))
+                for j in range(len(doc)):
+                    ok = joined[theirs] != joined[mine[j]]
+                    if same:
+                        ok[: j + 1] = False
+                    ok &= (other[1] * 100 >= n[j] * percent) & (n[j] * 100 >= other[1] * percent)
+                    some = np.flatnonzero(ok)
+                    # summed coordinate minima bound the overlap
+                    most = np.minimum(other[3][some], vec[j]).sum(1)
+                    some = some[most * 100 >= (n[j] + other[1][some] - most) * percent]
+                    if not len(some):
+                        continue
+                    own = hashes[at[j] : at[j + 1]]
+                    sizes = other[1][some]
+                    theirs_flat = other[4][np.repeat(other[5][some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                    place = np.minimum(np.searchsorted(own, theirs_flat), len(own) - 1)
+                    shared = np.add.reduceat((own[place] == theirs_flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for k in some[shared * 100 >= (n[j] + sizes - shared) * percent]:
+                        a, b = joined[mine[j]], joined[theirs[k]]
+                        if a != b:
+                            joined[joined == max(a, b)] = min(a, b)
+                            found.append((int(doc[j]), int(other[0][k])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return compare
+
+
 def _one_order(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -124,10 +172,12 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
        rarest shingles route them: counted shingles by frequency, then the rest by hash, are one order of all shingles,
        and two sets that are linked share one of their first n - ceil(t n) + 1. Points with such a shingle in common are
        one block, the root of one R-tree.
-    4. Each document meets the smallest id of its blocks, then those of its other blocks that aren't in its component yet.
-       What a block has in two components after that goes through the R-tree: leaves of points of like sizes have the greatest coordinates as their corner, and
-       a query goes to leaves, then points, where the summed coordinate minima allow the overlap needed.
-       All pairs of different components in a block are met, while members linked already aren't paired again.
+    4. Each document meets some HUBS members of its blocks, least by as many hashes and so the same ones for most of a group of
+       copies, then one of each other block that isn't in its component yet; components are found.
+       What a block has in two components
+       after that goes through the R-tree: each point stands in one leaf, with the greatest coordinates as its corner; two leaves
+       that a block has in common meet if the summed minima of their corners allow the overlap needed, then their points
+       if the summed minima of theirs do. All pairs of different components in a block are met, each once.
     5. Surviving pairs are verified by whole sets.
 
     Returns one row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included). Rows of
@@ -158,10 +208,10 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     prefix = by_doc.select("doc", F.explode(F.expr("transform(slice(shared, 1, greatest(need - (has - size(shared)), 0)), s -> s.h)")).alias("h"))
     rest = first.select("doc", F.explode(F.slice("high", F.lit(1), F.greatest(need - F.size("low"), F.lit(0)))).alias("h"))
     keys = prefix.unionAll(rest).distinct()
-    shared_keys = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("doc").alias("hub"), *[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"s{i}") for i in (1, 2)]).where("k > 1")
+    shared_keys = keys.groupBy("h").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"s{i}") for i in (1, 2)], *[F.min(F.struct(F.xxhash64("doc", F.lit(10 + i)).alias("x"), "doc")).alias(f"hub{i}") for i in range(HUBS)]).where("k > 1")
     # shingles with the same members make the same pairs: one block for all of them
-    shared_keys = shared_keys.groupBy("k", "hub", "s1", "s2").agg(F.min("h").alias("h")).select("h", "hub", "k")
-    where = materialize(keys.join(shared_keys, "h").select("h", "doc", "hub", "k"), "blocks")
+    shared_keys = shared_keys.groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), *[F.min(f"hub{i}").alias(f"hub{i}") for i in range(HUBS)])
+    where = materialize(keys.join(shared_keys, "h").select("h", "doc", "k", *[f"hub{i}" for i in range(HUBS)]), "blocks")
     lean = points.select("doc", "n", "vec")
     hubs = lean.select(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec"))
 
@@ -171,12 +221,15 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         met = met.where(_reaches(F.least("n", "hub_n"), F.col("n"), F.col("hub_n"), percent)).where(_reaches(_bound(F.col("vec"), F.col("hub_vec")), F.col("n"), F.col("hub_n"), percent))
         return materialize(_verified(met.select(*_one_order(F.col("hub"), F.col("doc"))).distinct(), points, percent), "links")
 
+    members_of = where.select("h", "doc", "k", F.col("hub0.doc").alias("hub"))
+
     def placed(parts: DataFrame) -> DataFrame:
         """Blocks' members with their components so far."""
-        return where.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        return members_of.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
-    # first one hub for each document, then the hubs of its other blocks that are elsewhere
-    edges = linked(where.groupBy("doc").agg(F.min("hub").alias("hub")))
+    # a few hubs for each document, then those of its other blocks that are elsewhere
+    own = where.groupBy("doc").agg(*[F.min(f"hub{i}").alias(f"hub{i}") for i in range(HUBS)])
+    edges = linked(own.select("doc", F.explode(F.array_distinct(F.array(*[F.col(f"hub{i}.doc") for i in range(HUBS)]))).alias("hub")))
     parts = materialize(connected_components(edges), "components")
     of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     apart = placed(parts).join(of_hub, "hub", "left").where(F.coalesce("hub_component", "hub") != F.col("component"))
@@ -184,18 +237,25 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     parts = materialize(connected_components(edges), "components")
     # blocks with members in several components
     known = placed(parts)
-    mixed = known.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.when(F.col("doc") == F.col("hub"), F.col("component"))).alias("main")).where("c1 <> c2")
-    members = known.join(mixed.select("h", "main"), "h").join(lean, "doc")
-    members = materialize(members.select("h", "doc", "component", "main", "k", "n", "vec"), "members")
-    in_leaf = F.struct("doc", "n", "component", "vec")
-    leaves = members.groupBy("h", F.floor(F.log("n") * 25).alias("band"), F.pmod(F.xxhash64("doc"), F.ceil(F.col("k") / LEAF)).alias("leaf")).agg(F.collect_list(in_leaf).alias("points"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    leaves = leaves.withColumn("corner", F.expr(f"aggregate(points, array_repeat(0, {GROUPS}), (c, p) -> zip_with(c, p.vec, (x, y) -> greatest(x, y)))"))
-    queries = members.where("component <> main").select("h", F.col("doc").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.col("vec").alias("q_vec"))
-    # most overlap of the query with a point of the leaf, against the least that its smallest size needs
-    to_leaf = queries.join(leaves, "h").where((F.col("most_n") * 100 >= F.col("q_n") * percent) & (F.col("q_n") * 100 >= F.col("least_n") * percent)).where(_reaches(_bound(F.col("q_vec"), F.col("corner")), F.col("q_n"), F.col("least_n"), percent))
-    to_point = to_leaf.select("q", "q_n", "q_component", "q_vec", F.explode("points").alias("p")).where("p.component <> q_component")
-    to_point = to_point.where(_reaches(F.least("q_n", F.col("p.n")), F.col("q_n"), F.col("p.n"), percent)).where(_reaches(_bound(F.col("q_vec"), F.col("p.vec")), F.col("q_n"), F.col("p.n"), percent))
-    more = materialize(_verified(to_point.select(*_one_order(F.col("q"), F.col("p.doc"))).distinct(), points, percent), "links")
+    mixed = known.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("h")
+    members = materialize(known.join(mixed, "h").select("h", "doc", "component", "k"), "members")
+    # each point stands in one leaf: that of the largest of its blocks, of its band of sizes, of about LEAF_BYTES
+    homes = members.groupBy("doc", "component").agg(F.max(F.struct("k", "h")).alias("top")).join(lean.select("doc", "n"), "doc")
+    band = F.floor(F.log("n") * 25)
+    homes = homes.withColumn("leaf", F.xxhash64("top.h", band, F.pmod(F.xxhash64("doc"), F.ceil(F.col("top.k") * F.exp(band / 25) * 8 / LEAF_BYTES))))
+    homes = materialize(homes.select("doc", "component", "leaf"), "homes")
+    in_block = members.select("h", "doc").join(homes, "doc").groupBy("h", "leaf").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+    left_leaf, right_leaf = (in_block.select("h", F.col("leaf").alias(f"leaf_{x}"), F.col("c1").alias(f"c1_{x}"), F.col("c2").alias(f"c2_{x}")) for x in "ab")
+    meetings = left_leaf.join(right_leaf, "h").where("leaf_a <= leaf_b AND NOT (c1_a = c2_a AND c1_b = c2_b AND c1_a = c1_b)").select("leaf_a", "leaf_b").distinct()
+    packed = homes.join(points, "doc").groupBy("leaf").agg(F.collect_list(F.struct("doc", "n", "component", "vec", "hashes")).alias("points"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    corner = F.expr(f"aggregate(points, array_repeat(0, {GROUPS}), (c, p) -> zip_with(c, p.vec, (x, y) -> greatest(x, y)))")
+    leaves = materialize(packed.withColumn("corner", corner), "leaves")
+    side = lambda x, *more: leaves.select(F.col("leaf").alias(f"leaf_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+    near = meetings.join(side("a", "least_n", "most_n", "corner"), "leaf_a").join(side("b", "least_n", "most_n", "corner"), "leaf_b")
+    # the most that points of both can share, against the least that their smallest sizes need
+    near = near.where((F.col("most_n_b") * 100 >= F.col("least_n_a") * percent) & (F.col("most_n_a") * 100 >= F.col("least_n_b") * percent)).where(_reaches(_bound(F.col("corner_a"), F.col("corner_b")), F.col("least_n_a"), F.col("least_n_b"), percent))
+    pairs = near.select("leaf_a", "leaf_b").join(side("a", "points"), "leaf_a").join(side("b", "points"), "leaf_b").select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), "points_a", "points_b")
+    more = materialize(pairs.mapInArrow(_compare(percent), "a long, b long"), "links")
     if not more.isEmpty():
         parts = materialize(connected_components(edges.unionAll(more)), "components")
     of_class = classes.join(parts, classes.doc == parts.node, "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("component"))
