@@ -19,6 +19,8 @@ LENGTH = 200
 ANCHOR = 64
 #: Segment bytes sorted at once, about, and segments of one anchor that are sorted together at most.
 BUCKET_BYTES, MOST_SEGMENTS = 1 << 18, 1 << 10
+#: Windows of the pieces that segments of an anchor with more are cut into, step by step.
+PIECES = (16, 1)
 #: Ids are broadcast up to this many; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _NO_ID = (1 << 63) - 1
@@ -111,13 +113,13 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def anchors(part: Slice, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(hash, row, first start, last start, segment hash, segment begin, segment end) of each run of windows with one anchor.
+    """(hash, row, first start, last start, segment hash, segment begin, segment end, anchor) of each run of windows with one anchor.
 
     A window's anchor depends on its bytes alone, so windows of equal bytes have equal anchors, equally placed.
     """
     n = len(part.buffer)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
     sums = rolling(part.buffer)
     at = np.arange(n - anchor + 1)
     hashes = span_hash(sums, at, at + anchor)
@@ -136,12 +138,12 @@ def anchors(part: Slice, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     inside = starts + length <= part.offsets[row + 1]
     starts, row, place = starts[inside], row[inside], place[inside]
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
     last = np.concatenate([new[1:] - 1, [len(starts) - 1]])
     begin, end = starts[new], starts[last] + length
     zero = part.offsets[row[new]]
-    return hashes[place[new]].view(np.int64), row[new], begin - zero, starts[last] - zero, span_hash(sums, begin, end).view(np.int64), begin, end
+    return hashes[place[new]].view(np.int64), row[new], begin - zero, starts[last] - zero, span_hash(sums, begin, end).view(np.int64), begin, end, place[new]
 
 
 def _text_key(text: bytes) -> int:
@@ -162,11 +164,11 @@ def _emit_anchors(length: int, anchor: int):
 
 def _emit_segments(length: int, anchor: int, with_bytes: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(h, s, segment) or (h, s, doc, key, lo, hi) of the anchors listed."""
+        """(h, s, segment, anchor's place in it) or (h, s, doc, key, lo, hi) of the anchors listed."""
         for batch in batches:
             doc, listed = batch.column("doc").to_numpy(), batch.column("hashes")
             for part in slices(batch.column("text")):
-                h, row, lo, hi, s, begin, end = anchors(part, length, anchor)
+                h, row, lo, hi, s, begin, end, place = anchors(part, length, anchor)
                 keep = np.zeros(len(h), bool)
                 cut = np.searchsorted(row, np.arange(part.last - part.first + 1))
                 for i in range(part.last - part.first):
@@ -175,7 +177,7 @@ def _emit_segments(length: int, anchor: int, with_bytes: bool):
                 base = [pa.array(h[keep]), pa.array(s[keep])]
                 if with_bytes:
                     raw = part.buffer.tobytes()
-                    yield pa.RecordBatch.from_arrays([*base, pa.array([raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist())], pa.binary())], names=["h", "s", "segment"])
+                    yield pa.RecordBatch.from_arrays([*base, pa.array([raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist())], pa.binary()), pa.array(place[keep] - begin[keep])], names=["h", "s", "segment", "anchor"])
                 else:
                     key = np.array([_text_key(part.buffer[a:b].tobytes()) for a, b in zip(part.offsets[:-1], part.offsets[1:])], np.int64)
                     yield pa.RecordBatch.from_arrays([*base, pa.array(doc[part.first + row[keep]]), pa.array(key[row[keep]]), pa.array(lo[keep]), pa.array(hi[keep])], names=["h", "s", "doc", "key", "lo", "hi"])
@@ -201,21 +203,26 @@ def _sort_bucket(length: int):
     return sort
 
 
-def _windows(length: int):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(w, h, s, at): each window of each segment by two hashes."""
+def _pieces(length: int, step: int):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(h2, s2, segment, anchor, h, s, at, n): segments in pieces of at most step windows, by their distance to the anchor.
+
+        Pieces at one distance share what all their windows have: h2 names these bytes, so equal windows come under equal names.
+        """
         for batch in batches:
-            for part in slices(batch.column("segment")):
-                sums = rolling(part.buffer)
-                sizes = np.diff(part.offsets) - length + 1
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                begin = part.offsets[row] + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(span_hash(sums, begin, begin + length).view(np.int64)), *[pa.array(batch.column(c).to_numpy()[part.first + row]) for c in ("h", "s")], pa.array(at)], names=["w", "h", "s", "at"]
-                )
+            out: list[tuple] = []
+            for h, s, n, segment, anchor in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "n", "segment", "anchor"))):
+                last = len(segment) - length
+                for q in range((anchor - last) // step, anchor // step + 1):
+                    first, stop = max(0, anchor - q * step - step + 1), min(last, anchor - q * step)
+                    core = anchor - q * step
+                    piece = segment[first : stop + length]
+                    out.append((xxhash.xxh3_64_intdigest(segment[core : core - step + 1 + length], q & 0xFFFF), xxhash.xxh3_64_intdigest(piece, stop - first), piece, anchor - first, h, s, first, n))
+            columns = list(zip(*out)) if out else [()] * 8
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([signed(columns[0]), signed(columns[1]), pa.array(columns[2], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[3:]]], names=["h2", "s2", "segment", "anchor", "h", "s", "at", "n"])
 
-    return windows
+    return pieces
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +253,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFrame:
+    """(h, s, first, last): runs of repeated starts of each segment (h, s, segment, anchor, n), whose equal ones are counted first."""
+    segments = materialize(segments.groupBy("h", "s").agg(F.sum("n").alias("n"), F.max("segment").alias("segment"), F.max("anchor").alias("anchor")), "segments")
+    per_anchor = segments.groupBy("h").agg(F.count("*").alias("variants"))
+    # equal segments repeat in whole, the others where they are like another of their anchor
+    whole = segments.where("n > 1").select("h", "s", F.lit(0).cast("long").alias("first"), (F.octet_length("segment") - length).cast("long").alias("last"))
+    unlike = segments.join(per_anchor.where("variants > 1"), "h")
+    few = unlike.where(F.col("variants") <= MOST_SEGMENTS) if steps else unlike
+    buckets = int((few.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // BUCKET_BYTES) + 1
+    ordered = few.select("h", "s", "segment", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_sort_bucket(length), "h long, s long, first long, last long")
+    out = whole.unionAll(ordered)
+    if steps:
+        many = unlike.where(F.col("variants") > MOST_SEGMENTS).select("h", "s", "n", "segment", "anchor")
+        pieces = many.mapInArrow(_pieces(length, steps[0]), "h2 long, s2 long, segment binary, anchor long, h long, s long, at long, n long")
+        below = _repeats(pieces.select(F.col("h2").alias("h"), F.col("s2").alias("s"), "segment", "anchor", "n"), length, steps[1:])
+        named = pieces.select("h2", "s2", "h", "s", "at").join(below.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "first", "last"), ["h2", "s2"])
+        out = out.unionAll(named.select("h", "s", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")))
+    return out
+
+
 def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Documents without each byte covered by a string of `length` bytes that also starts anywhere else.
 
@@ -253,9 +280,10 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     byte, so the bytes are dealt out first: each window of `length` bytes has an anchor, and equal windows have equal anchors.
     Anchors that occur once have no repeated window. The windows of one anchor in one place are a segment; equal segments
     are counted with a map-side combine, and repeat in whole. Different segments of an anchor go to one bucket, whose
-    suffix array is made by two-stage sorting; adjacent common prefixes of `length` mark repeated windows. An anchor of
-    more than MOST_SEGMENTS different segments would not fit a bucket: its windows are counted one by one instead, with a
-    map-side combine, which is as exact and needs no group in one task.
+    suffix array is made by two-stage sorting; adjacent common prefixes of `length` mark repeated windows. The
+    segments of an anchor with more than MOST_SEGMENTS different ones are cut into pieces of fewer windows each, in two steps,
+    and grouped again by the bytes that all windows of a piece share. Pieces of one window have a group for each content, so
+    equal ones are all counted and no unlike ones are left to sort.
 
     Returns one row per input row: id, kept (remaining bytes; may cut a character), n_bytes, n_removed, spans (maximal removed
     runs, [start, end) in bytes). Null texts are empty; texts shorter than `length` are kept whole; equal rows repeat each
@@ -273,19 +301,8 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     candidates = long_rows.select("doc", "text").join(near, "doc", "left_semi") if some else long_rows.select("doc", "text")
     candidates = candidates.join(listed, "doc").select("doc", "text", "hashes")
     places = materialize(candidates.mapInArrow(_emit_segments(length, anchor, False), "h long, s long, doc long, key long, lo long, hi long"), "places")
-    segments = materialize(candidates.mapInArrow(_emit_segments(length, anchor, True), "h long, s long, segment binary").groupBy("h", "s").agg(F.count("*").alias("n"), F.max("segment").alias("segment")), "segments")
-    per_anchor = segments.groupBy("h").agg(F.count("*").alias("variants"))
-    unlike = segments.join(per_anchor.where("variants > 1"), "h")
-    few, many = unlike.where(F.col("variants") <= MOST_SEGMENTS), unlike.where(F.col("variants") > MOST_SEGMENTS)
-    total = few.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    buckets = int(total // BUCKET_BYTES) + 1
-    ranges = "h long, s long, first long, last long"
-    sorted_ = few.select("h", "s", "segment", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_sort_bucket(length), ranges)
-    windows = many.mapInArrow(_windows(length), "w long, h long, s long, at long")
-    again = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1")
-    counted = windows.join(again, ["h", "w"]).select("h", "s", F.col("at").alias("first"), F.col("at").alias("last"))
-    whole = segments.where("n > 1").select("h", "s", F.lit(0).cast("long").alias("first"), (F.octet_length("segment") - length).cast("long").alias("last"))
-    spans = materialize(whole.unionAll(sorted_).unionAll(counted), "ranges")
+    segments = candidates.mapInArrow(_emit_segments(length, anchor, True), "h long, s long, segment binary, anchor long").withColumn("n", F.lit(1).cast("long"))
+    spans = materialize(_repeats(segments, length, PIECES), "ranges")
     lost = places.join(spans, ["h", "s"]).groupBy("doc").agg(F.collect_list(F.struct("key", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + length).alias("hi"))).alias("spans"))
     none = F.lit(None).cast("array<struct<key: bigint, lo: bigint, hi: bigint>>").alias("spans")
     if some:
