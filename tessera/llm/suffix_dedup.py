@@ -134,8 +134,9 @@ def anchors(part: Slice, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     least = np.minimum(least[: n - length + 1], least[width - have : width - have + n - length + 1])
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     starts = np.arange(n - length + 1)
-    row = np.searchsorted(part.offsets, starts, "right") - 1
-    inside = starts + length <= part.offsets[row + 1]
+    sizes = np.diff(part.offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)[: len(starts)]
+    inside = starts + length <= np.repeat(part.offsets[1:], sizes)[: len(starts)]
     starts, row, place = starts[inside], row[inside], place[inside]
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(8))
@@ -292,7 +293,7 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     long_rows = rows.where(F.octet_length("text") >= length)
-    found = long_rows.select("doc", "text").mapInArrow(_emit_anchors(length, anchor), "h long, doc long")
+    found = materialize(long_rows.select("doc", "text").mapInArrow(_emit_anchors(length, anchor), "h long, doc long"), "all-anchors")
     twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     listed = materialize(found.join(twice, "h").groupBy("doc").agg(F.collect_set("h").alias("hashes")), "candidates")
     ids = listed.select("doc")
