@@ -16,7 +16,7 @@ from tessera.llm.tokens import mix
 #: Code points that a key needs to be looked up.
 MIN_KEY = 10
 #: Repeated lines of a shard, and rows that probe one copy of a shard, about.
-SHARD_KEYS, PROBES = 1 << 18, 1 << 20
+SHARD_KEYS, PROBES = 1 << 18, 1 << 18
 #: Bits of a level of the perfect hash per key left.
 GAMMA = 2.0
 _NO_ID = (1 << 63) - 1
