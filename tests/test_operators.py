@@ -173,3 +173,20 @@ def test_forecast_repeats_a_season(spark):
     rows = spark.createDataFrame([("p", t, float(10 + 5 * (t % 2) + t)) for t in range(12)], "k string, t int, v double")
     got = [r.forecast for r in learn.seasonal_forecast(rows, "k", "t", "v", 2, 2).orderBy("step").collect()]
     assert np.allclose(got, [22, 28], atol=1e-6)
+
+
+def test_models_round_trip(spark, tmp_path):
+    from tessera.plans.queries import _model
+    from tessera.sources import models
+
+    reactions, stoich, mets = _model(spark)
+    models.write_model({"reactions": reactions, "stoich": stoich, "metabolites": mets}, str(tmp_path / "m"))
+    back = models.read_model(spark, str(tmp_path / "m"))
+    grid = flux.perturb(back["reactions"], flux.scenario_grid(spark))
+    optima = flux.flux_balance(grid, back["stoich"], back["metabolites"])
+    # G6PD at 0.5 of 20 lets 10 through, peroxide at 0.5 of 6 lets 3, and 3 go the slow way
+    assert {r.scenario: round(r.objective, 6) for r in optima.collect()}["G6PD_0_5_h2o2_0_5"] == 6.0
+    samples = flux.sample_fluxes(grid, back["stoich"], back["metabolites"], chains=2, samples=20)
+    models.write_scenarios(str(tmp_path / "out"), grid, optima, samples)
+    assert spark.read.parquet(str(tmp_path / "out" / "samples")).where("chain = 2").count() == 180
+    assert flux.chain_rhat(samples.withColumn("x", F.element_at("flux", 1)), "x", ["scenario"]).count() == 9
