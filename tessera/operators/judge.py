@@ -11,8 +11,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.fixed_values import DIMENSIONS, NO_CHOICES, PARSE_ERROR, REPEAT_CONTEXT, REVIEW, RUBRIC
+from tessera.functions.numbers import python_round
 from tessera.functions.text import run_tag, unfence
 
 SCORES = [f"{d}_score" for d in DIMENSIONS]
@@ -125,3 +127,10 @@ def evaluate(questions: DataFrame, client: Client, runs: int = 9, done: DataFram
 def as_scorecard_input(results: DataFrame) -> DataFrame:
     """Results with the score columns by their names in summaries."""
     return results.select("*", *[F.col(f"{k}_score").alias(v) for k, v in DIMENSIONS.items()])
+
+
+def progress(results: DataFrame, done_before: int = 0, order: str = "row_idx") -> DataFrame:
+    """Report lines: running number after those done before, name, and the mean of scores that aren't null to one digit. For small tables."""
+    known = F.filter(F.array(*SCORES), lambda x: x.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known))
+    return results.select((F.row_number().over(Window.partitionBy("run").orderBy(order)) + done_before).alias("idx"), "run", "name", python_round(mean, 1).alias("avg"), *SCORES)

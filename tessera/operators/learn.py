@@ -35,6 +35,12 @@ def kmeans(rows: DataFrame, column: str, k: int, seed: int = 1) -> tuple[DataFra
     return done.drop("_v"), score
 
 
+def cluster_in_pca_space(rows: DataFrame, column: str, k: int, variance: float = 0.85, seed: int = 1) -> tuple[DataFrame, float]:
+    """Rows with `pca` and `cluster`: k-means on as few components as explain the variance; and the silhouette."""
+    reduced, _ = pca_to_variance(rows, column, variance)
+    return kmeans(reduced, "pca", k, seed)
+
+
 def neighbours(rows: DataFrame, id_col: str, column: str, eps: float) -> DataFrame:
     """(a, b, dist) of pairs a < b within eps.
 

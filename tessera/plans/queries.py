@@ -51,6 +51,19 @@ def run_stability(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("form", "section").agg(F.count("*").alias("n_runs"), F.sum("s").alias("total"), F.min("s").alias("least"), F.max("s").alias("most"), F.sum(F.col("s") * F.col("s")).alias("squares"))
 
 
+def stability_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean, deviation and their ratio of section means over runs, in millionths, as sums of means run in any order."""
+    out = scorecard.run_stability(scored(spark, d), "clarity")
+    return out.select("form", "section", "n_runs", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("mean", "sd", "least", "most", "cv")])
+
+
+def program_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Programs (brands) clustered by what is asked of them, in PCA space."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    programs = lines.groupBy("p_brand").agg(F.array(F.avg("l_quantity"), F.avg("l_discount"), F.avg("l_tax"), F.avg("l_extendedprice") / 1000, F.count("*").cast("double") / 100).alias("v"))
+    return learn.cluster_in_pca_space(programs, "v", 4)[0].select("p_brand", "cluster")
+
+
 def before_after_delta(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.form_delta(scored(spark, d), "F", "O")
 
@@ -292,7 +305,7 @@ def judge_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    section_scorecard, global_scores, scorecard_rollup, first_appearance_sections, run_stability, before_after_delta, low_performers, row_mean_nonnull, category_counts, form_state_scan,
+    section_scorecard, global_scores, scorecard_rollup, first_appearance_sections, run_stability, stability_stats, program_clusters, before_after_delta, low_performers, row_mean_nonnull, category_counts, form_state_scan,
     extract_evaluation, extract_generation, excluded_log, section_counts, choice_lists, list_name_parse, file_name_parse, prompt_render, fence_strip_parse, resume_pending, union_resume, scenario_grid,
     vector_norms, vector_entropy, distance_to_reference, pathway_share, metabolite_production, log2_binarize, family_mapping, trend_slope, pre_post_effect, chain_rhat, lof_knn, lof, dbscan_core, dbscan,
     pca85, kmeans, birch_like, tree_explainer, isolation_forest, sarima_lite, mahalanobis, fba_lp, hit_and_run, judge_runs,
@@ -338,6 +351,7 @@ ORACLE_SQL = {
     "scorecard_rollup": f"WITH {SCORED} SELECT section, CAST(grouping(section) AS INTEGER) AS is_total, {_COUNTS}, {_STATS}, {_OVERALL} FROM valid GROUP BY ROLLUP (section)",
     "first_appearance_sections": f"WITH {SCORED} SELECT section, min(l_orderkey) AS first_order, count(*) AS n_rows FROM scored GROUP BY section",
     "run_stability": f"WITH {SCORED} SELECT form, section, count(*) AS n_runs, CAST(sum(s) AS BIGINT) AS total, CAST(min(s) AS BIGINT) AS least, CAST(max(s) AS BIGINT) AS most, CAST(sum(s * s) AS BIGINT) AS squares FROM (SELECT form, section, run, sum(clarity) AS s FROM valid GROUP BY ALL) GROUP BY ALL",
+    "stability_stats": f"WITH {SCORED}, m AS (SELECT form, section, run, CAST(sum(clarity) AS DOUBLE) / count(clarity) AS m FROM valid GROUP BY ALL), a AS (SELECT form, section, count(*) AS n_runs, avg(m) AS mean, stddev_samp(m) AS sd, min(m) AS least, max(m) AS most FROM m GROUP BY ALL) SELECT form, section, n_runs, " + ", ".join(f"CAST(round({e} * 1e6) AS BIGINT) AS {c}" for c, e in (("mean", "mean"), ("sd", "sd"), ("least", "least"), ("most", "most"), ("cv", "sd / mean"))) + " FROM a",
     "before_after_delta": f"WITH {SCORED}, sides AS (SELECT section, " + ", ".join(f"CAST(sum({d}) FILTER (form = '{f}') AS DOUBLE) / nullif(count({d}) FILTER (form = '{f}'), 0) AS {d}_{s}" for d in DIMS for s, f in (("before", "F"), ("after", "O"))) + " FROM valid WHERE form IN ('F', 'O') GROUP BY section) SELECT *, " + ", ".join(f"{d}_after - {d}_before AS {d}_delta" for d in DIMS) + " FROM sides",
     "low_performers": f"WITH {SCORED} SELECT section, count(*) AS n_questions, count(*) FILTER (completeness <= 2 OR granularity <= 2) AS n_needs_improvement, {_OVERALL} FROM valid GROUP BY section ORDER BY n_needs_improvement DESC, avg_overall, section LIMIT 5",
     "row_mean_nonnull": f"WITH {SCORED} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(coalesce(clarity, 0) + relevance + completeness + granularity AS DOUBLE) / (3 + (clarity IS NOT NULL)::INTEGER) AS row_mean FROM scored",

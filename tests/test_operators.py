@@ -119,6 +119,8 @@ def test_judge_retries_parses_and_resumes(spark):
     first = judge.evaluate(questions, judge.StubClient(), runs=2).cache()
     assert first.count() == 10 and first.where("score_in_range").count() == 10
     assert judge.evaluate(questions, judge.StubClient(), runs=3, done=first).count() == 5
+    lines = judge.progress(first, 7).where("run = 1").orderBy("idx").collect()
+    assert [r.idx for r in lines] == [8, 9, 10, 11, 12] and all(1 <= r.avg <= 5 for r in lines)
     prompts = {r.name: r.prompt for r in judge.with_prompts(questions).collect()}
     assert "(sin opciones" in prompts["agregar_fam11"] and "Pertenece a sección iterativa: r" in prompts["agregar_fam4"]
 
