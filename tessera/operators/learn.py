@@ -132,12 +132,11 @@ def isolation_forest(rows: DataFrame, id_col: str, column: str, trees: int = 50,
         return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0 if n == 2 else 0.0
 
     points = rows.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"))
-    # the sample is a parameter of the method; ordering by a hash of the id makes it the same at each run
-    drawn = points.crossJoin(F.broadcast(rows.sparkSession.range(trees).withColumnRenamed("id", "tree")))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "id"))
-    share = F.lit(min(1.0, 4.0 * sample / max(1, rows.count())))
-    hashed = drawn.withColumn("h", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).where(F.col("h") <= share)
-    chosen = hashed.withColumn("r", rank).where(F.col("r") <= sample)
+    # the sample is a parameter of the method; drawing by a hash of the id makes it the same at each run
+    draw = lambda tree: F.pmod(F.xxhash64("id", tree, F.lit(seed)), F.lit(1 << 30))
+    most = int(min(1.0, 4.0 * sample / max(1, rows.count())) * (1 << 30))
+    drawn = points.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= most)))
+    chosen = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), "id"))).where(F.col("r") <= sample)
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
