@@ -11,6 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import bound_batches
 from tessera.llm.tokens import ALNUM, slices, word_hashes, words
 
 #: Words of a window.
@@ -190,6 +191,7 @@ def decontaminate(
     rows give repeated rows; an empty benchmark gives no hits. Other columns are ignored.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
     schema = f"id {rows.schema['id'].dataType.simpleString()}, text_key string, n_words long, starts array<long>, ends array<long>, items array<string>, near array<string>"
