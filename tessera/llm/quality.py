@@ -1,4 +1,4 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, thresholded by language."""
+"""Quality classifier: interpolated modified Kneser-Ney models of trusted text, of words over bytes, thresholded by language."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.storage import bound_batches, materialize
-from tessera.llm.tokens import Slice, slices
+from tessera.llm.tokens import ALNUM, Slice, mix, slices, word_hashes, words
 
 #: Symbols of an n-gram, and how many different ones there are.
 ORDER, SYMBOLS = 4, 48
@@ -21,6 +21,12 @@ QUANTILE = 0.99
 MARGIN = 0.25
 #: A language with fewer trusted documents has no good quantile of its own: the threshold of all holds where it is higher.
 FEW = 50
+#: Entries of the word model that are looked up at once: 12 bytes each, broadcast. A larger model takes more passes over the texts.
+SHARD_KEYS = 1 << 21
+#: What stands before a text's first word, and odd numbers that tell the kinds of entries apart.
+START, AS_CONTEXT, AS_NEXT = np.uint64(0x243F6A8885A308D3), np.uint64(0xA4093822299F31D1), np.uint64(0x082EFA98EC4E6C89)
+#: Texts' sums are broadcast up to this many; beyond, they are joined by a shuffle.
+BROADCAST_TEXTS = 2_000_000
 #: Ids of trusted documents are broadcast up to this many; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -82,10 +88,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
         counts[k] = counts[k + 1].groupBy((F.col("g") % SYMBOLS**k).alias("g")).agg(F.count("*").alias("c"))
     dense = np.full(1, 1.0 / SYMBOLS, np.float32)
     for k in range(1, ORDER + 1):
-        n1, n2, n3, n4 = counts[k].agg(*[F.coalesce(F.count_if(F.col("c") == i), F.lit(0)) for i in (1, 2, 3, 4)]).first()
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        # where a count of counts is nought, as on small texts, the discount is a plain one
-        d = [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.1) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = _discounts(counts[k])
         context = F.floor(F.col("g") / SYMBOLS).cast("long")
         less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         contexts = counts[k].groupBy(context.alias("x")).agg(F.sum("c").alias("total"), F.sum(less).alias("freed"))
@@ -104,52 +107,183 @@ def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(dense, out=dense)
 
 
-def _score(shared):
+def _discounts(counts: DataFrame, column: str = "c") -> list[float]:
+    """What n-grams of count 1, 2, and 3 or more give up, from the counts of counts; plain ones where these are nought, as on small texts."""
+    n1, n2, n3, n4 = counts.agg(*[F.coalesce(F.count_if(F.col(column) == i), F.lit(0)) for i in (1, 2, 3, 4)]).first()
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.1) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def _pairs(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, pair, row, end) of each word of a slice; START is before a text's first. Numbers are 64-bit hashes."""
+    found = words(part, ALNUM)
+    word = word_hashes(part, found, ALNUM)
+    before = np.full(len(word), START)
+    before[1:] = word[:-1]
+    first = np.cumsum(found.per_row) - found.per_row
+    before[first[found.per_row > 0]] = START
+    return before, word, mix(before * AS_CONTEXT + word), found.rows, found.ends
+
+
+def _spelling(part: Slice, model: np.ndarray, rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Log probability of each word's bytes, and of those between it and the word before, under the model of bytes."""
+    sums = np.concatenate([np.zeros(1), np.cumsum(model[_grams(part)].astype(np.float64))])
+    begins = part.offsets[rows]
+    begins[1:] = np.where(rows[1:] == rows[:-1], ends[:-1], begins[1:])
+    return sums[ends] - sums[begins]
+
+
+def _count_pairs(shared):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(g, v, w, c, b): a slice's pairs, the words, how often, and the sum of the second's log probability as spelled."""
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                before, word, pair, rows, ends = _pairs(part)
+                g, at, of, c = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                b = np.bincount(of, _spelling(part, shared.value, rows, ends), len(g)) if len(g) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (g, before[at], word[at])] + [pa.array(c.astype(np.int64)), pa.array(np.round(b, 3))], names=["g", "v", "w", "c", "b"])
+
+    return count
+
+
+def train_words(trusted: DataFrame, shared, text_col: str = "text") -> tuple[DataFrame, float]:
+    """((key, value) table, log probability that a word is new) of an interpolated modified Kneser-Ney model of pairs of words.
+
+    All pairs of all trusted texts count; the table grows with them. Words' own probabilities count distinct words before
+    and are interpolated with the word as spelled, under the model of bytes (shared, a broadcast), so any word has one.
+    A text's log probability is that of its bytes, plus the second result for each word, plus the values of each word's
+    three keys where the table has them: of the word, of the word before as a context, and of the pair.
+    """
+    pairs = materialize(trusted.select(F.col(text_col).alias("text")).mapInArrow(_count_pairs(shared), "g long, v long, w long, c long, b double").groupBy("g").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("c").alias("c"), F.sum("b").alias("b")), "pairs")
+    total = pairs.count()
+    if not total:
+        return trusted.sparkSession.createDataFrame([], "key long, value float"), 0.0
+    less = lambda d, c: F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+    vocabulary = materialize(pairs.groupBy("w").agg(F.count("*").alias("n"), (F.sum("b") / F.sum("c")).alias("spelled")), "words")
+    d = _discounts(vocabulary, "n")
+    new = float(np.log(vocabulary.agg(F.sum(less(d, F.col("n")))).first()[0] / total))
+    p = (F.col("n") - less(d, F.col("n"))) / total + F.exp(F.col("spelled") + new)
+    known = vocabulary.select("w", F.log(p).alias("p"), (F.log(p) - F.col("spelled") - new).cast("float").alias("value"))
+    d = _discounts(pairs)
+    lost = less(d, F.col("c"))
+    contexts = pairs.groupBy("v").agg(F.sum("c").alias("total"), F.log(F.sum(lost) / F.sum("c")).alias("freed"))
+    seen = pairs.select("g", "v", "w", "c").join(contexts, "v").join(known.select("w", "p"), "w")
+    gain = F.log((F.col("c") - lost) / F.col("total") / F.exp(F.col("freed") + F.col("p")) + 1)
+    key = lambda c, kind: F.col(c).bitwiseXOR(F.lit(int(kind.view(np.int64)))).alias("key")
+    table = known.select(key("w", AS_NEXT), "value").unionAll(contexts.select(key("v", AS_CONTEXT), F.col("freed").cast("float"))).unionAll(seen.select("g", gain.cast("float")))
+    return materialize(table, "word-model"), new
+
+
+def _shards(table: DataFrame) -> list[DataFrame]:
+    n = max(1, -(-table.count() // SHARD_KEYS))
+    return [table.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k) for k in range(n)]
+
+
+def _shipped(shard: DataFrame):
+    """A broadcast of the shard's sorted keys and their values."""
+    found = shard.toArrow()
+    keys, values = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
+    order = np.argsort(keys)
+    return shard.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+
+
+def _word_sums(part: Slice, table: tuple[np.ndarray, np.ndarray], new: float) -> np.ndarray:
+    """By row, the values that the table has for its words, and `new` for each word."""
+    keys, values = table
+    before, word, pair, rows, _ = _pairs(part)
+    gained = np.full(len(word), new)
+    for asked in (word ^ AS_NEXT, before ^ AS_CONTEXT, pair):
+        asked, of = np.unique(asked, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+        if len(keys):
+            gained += np.where(keys[at] == asked, values[at], 0)[of]
+    return np.bincount(rows, gained, len(part.offsets) - 1)
+
+
+def _sum_shard(table):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_word_sums(part, table.value, 0.0) for part in slices(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate([np.zeros(0), *out]))], names=["id", "gained"])
+
+    return sums
+
+
+def _score(shared, table, new):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with log perplexity, null for texts without bytes."""
+        """Rows with the log probability per byte, negative, null for texts without bytes, and their number of bytes."""
         model = shared.value
         for batch in batches:
-            values, valid = [np.zeros(0)], [np.zeros(0, bool)]
+            values, bytes_ = [np.zeros(0)], [np.zeros(0, np.int64)]
             for part in slices(batch.column("text")):
                 sizes = np.diff(part.offsets)
                 some = np.flatnonzero(sizes)
                 out = np.zeros(len(sizes))
                 if len(some):
-                    out[some] = -np.add.reduceat(model[_grams(part)].astype(np.float64), part.offsets[:-1][some]) / sizes[some]
-                values.append(np.round(out, 6))
-                valid.append(sizes > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(np.concatenate(values), mask=~np.concatenate(valid))], names=["rest", "text", "log_perplexity"])
+                    out[some] = np.add.reduceat(model[_grams(part)].astype(np.float64), part.offsets[:-1][some])
+                    out += _word_sums(part, table.value, new)
+                values.append(out)
+                bytes_.append(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(np.concatenate(values)), pa.array(np.concatenate(bytes_))], names=["rest", "text", "total", "bytes"])
 
     return score
 
 
-def _scored(documents: DataFrame, shared, text_col: str) -> DataFrame:
+def _scored(documents: DataFrame, shared, words_model: tuple[DataFrame, float], text_col: str) -> tuple[DataFrame, list]:
+    """(rows with log perplexity and class of size, null for texts without bytes; broadcasts that they need).
+
+    Each shard of the word model but the last is sent to the texts by itself, and the texts' sums are kept by hash of the
+    text, as the same texts have the same ones; the last shard is looked up where the rows are made.
+    """
+    table, new = words_model
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(shared), f"rest {rows.schema['rest'].dataType.simpleString()}, text string, log_perplexity double")
+    *others, last = _shards(table)
+    partial = []
+    for shard in others:
+        shipped = _shipped(shard)
+        sums = rows.where(F.length("text") > 0).select(F.xxhash64("text").alias("id"), "text").mapInArrow(_sum_shard(shipped), "id long, gained double")
+        partial.append(materialize(sums.groupBy("id").agg(F.max("gained").alias("gained")), "word-sums"))
+        shipped.destroy()
+    shipped = _shipped(last)
+    out = rows.mapInArrow(_score(shared, shipped, new), f"rest {rows.schema['rest'].dataType.simpleString()}, text string, total double, bytes long")
+    if partial:
+        sums = partial[0]
+        for more in partial[1:]:
+            sums = sums.unionAll(more)
+        sums = materialize(sums.groupBy("id").agg(F.sum("gained").alias("gained")), "word-sums") if len(partial) > 1 else sums
+        sums = F.broadcast(sums) if sums.count() <= BROADCAST_TEXTS else sums
+        out = out.join(sums, F.xxhash64("text") == F.col("id"), "left").withColumn("total", F.col("total") + F.coalesce("gained", F.lit(0.0)))
+    return out.select("rest", "text", F.when(F.col("bytes") > 0, F.round(-F.col("total") / F.col("bytes"), 6)).alias("log_perplexity"), F.floor(F.log2("bytes") / 2).cast("int").alias("size")), [shipped]
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, n, threshold) of scores (lang, log_perplexity); the row with all = true is of all languages together.
+    """(level, lang, size, n, threshold) of scores (lang, size, log_perplexity): level 0 is of all together, 1 of a language, 2 of its texts of a class of size.
 
     Quantiles are of counts by log perplexity in thousandths, summed with a map-side combine; the same at each run.
     """
-    bins = scores.where("log_perplexity IS NOT NULL").groupBy("lang", F.ceil(F.col("log_perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    bins = bins.withColumn("all", F.lit(False)).unionAll(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n", F.lit(True).alias("all")))
-    of = Window.partitionBy("all", "lang")
+    bins = scores.where("log_perplexity IS NOT NULL").groupBy("lang", "size", F.ceil(F.col("log_perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    by_lang = bins.groupBy("lang", "bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", none("size", "int"), "bin", "n")
+    of_all = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(0).alias("level"), none("lang", "string"), none("size", "int"), "bin", "n")
+    bins = bins.select(F.lit(2).alias("level"), "lang", "size", "bin", "n").unionAll(by_lang).unionAll(of_all)
+    of = Window.partitionBy("level", "lang", "size")
     ranked = bins.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("total", F.sum("n").over(of))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
-    return ranked.groupBy("all", "lang").agg(at(0.5).alias("mid"), at(quantile).alias("high"), F.max("total").alias("n")).select("all", "lang", "n", ((F.col("high") + (F.col("high") - F.col("mid")) * margin) / 1000).alias("threshold"))
+    return ranked.groupBy("level", "lang", "size").agg(at(0.5).alias("mid"), at(quantile).alias("high"), F.max("total").alias("n")).select("level", "lang", "size", "n", ((F.col("high") + (F.col("high") - F.col("mid")) * margin) / 1000).alias("threshold"))
 
 
 def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Documents with their perplexity under a model of the trusted ones, and whether it is within their language's threshold.
 
-    The model is of bytes folded to SYMBOLS symbols: its n-grams are so few that the whole model, as one dense table of at
-    most SYMBOLS ** ORDER numbers (21 MB), may be broadcast whatever the corpus, and documents are scored where they
-    stand, without a row per n-gram. All trusted text trains it. Thresholds are quantiles of trusted documents' perplexity
-    under models of the other half of them: of text not seen, as that of the documents to judge.
+    The model is of pairs of words, over words, over words as spelled. Pairs and words are all those of the trusted texts: the
+    table grows with them and is looked up in shards of SHARD_KEYS entries, with a pass over the texts for each. Spelling is a
+    model of bytes folded to SYMBOLS symbols, one dense table of SYMBOLS ** ORDER numbers (21 MB). Documents are scored where
+    they stand, without a row per n-gram. All trusted text trains it. Thresholds are quantiles of trusted documents'
+    perplexity under models of the other half of them: of text not seen, as that of the documents to judge.
 
     Returns one row per input row: rest (struct of the other input columns), text, log_perplexity, threshold, kept.
+    A threshold is of a language, and leans to that of its trusted texts of like size (up to four times) by n / (n + FEW),
+    as short texts' perplexities spread much more than long ones'.
     Null and empty texts have no perplexity and aren't kept. A language without trusted documents has the threshold of all, one
     with fewer than FEW the higher of both, and null is a language; without any trusted document all texts that aren't empty are kept. Rows of a trusted id are all trusted.
     """
@@ -162,17 +296,22 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     unseen = []
     for half in (0, 1):
         other = spark.sparkContext.broadcast(train(halves[1 - half], text_col))
-        unseen.append(materialize(_scored(halves[half], other, text_col).select(F.col(f"rest.{lang_col}").alias("lang"), "log_perplexity"), "scores"))
-        other.destroy()
+        scores, held = _scored(halves[half], other, train_words(halves[1 - half], other, text_col), text_col)
+        unseen.append(materialize(scores.select(F.col(f"rest.{lang_col}").alias("lang"), "size", "log_perplexity"), "scores"))
+        for sent in (other, *held):
+            sent.destroy()
     limits = materialize(thresholds(unseen[0].unionAll(unseen[1]), quantile, margin), "thresholds")
     shared = spark.sparkContext.broadcast(train(trusted, text_col))
-    overall = limits.where("all").select(F.col("threshold").alias("overall"))
-    overall = overall.first()
-    scored = _scored(documents, shared, text_col).withColumn("of", F.col(f"rest.{lang_col}"))
-    own = limits.where(~F.col("all")).select(F.col("lang").alias("own_lang"), "n", "threshold")
-    joined = scored.join(own, scored["of"].eqNullSafe(own["own_lang"]), "left")
+    overall = limits.where("level = 0").select(F.col("threshold").alias("overall")).first()
+    scored = _scored(documents, shared, train_words(trusted, shared, text_col), text_col)[0].withColumn("of", F.col(f"rest.{lang_col}"))
+    own = limits.where("level = 1").select(F.col("lang").alias("own_lang"), "n", "threshold")
+    joined = scored.join(F.broadcast(own), scored["of"].eqNullSafe(own["own_lang"]), "left")
+    alike = limits.where("level = 2").select(F.col("lang").alias("alike_lang"), F.col("size").alias("alike_size"), F.col("n").alias("alike_n"), F.col("threshold").alias("alike"))
+    joined = joined.join(F.broadcast(alike), scored["of"].eqNullSafe(alike["alike_lang"]) & (F.col("size") == F.col("alike_size")), "left")
     of_all = F.lit(overall[0] if overall else None).cast("double")
     limit = F.coalesce(F.when(F.col("n") < FEW, F.greatest("threshold", of_all)).otherwise(F.col("threshold")), of_all, F.lit(float("inf")))
+    # of its class of size as far as enough trusted texts tell
+    limit = F.coalesce(limit + (F.col("alike") - limit) * F.col("alike_n") / (F.col("alike_n") + FEW), limit)
     return joined.select("rest", "text", "log_perplexity", limit.alias("threshold"), F.coalesce(F.col("log_perplexity") <= limit, F.lit(False)).alias("kept"))
 
 

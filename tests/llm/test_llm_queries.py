@@ -230,6 +230,63 @@ def test_quality_separates_held_out_labels(spark):
     assert kept[1] > 0.93 and kept[0] < 0.15
 
 
+def _sentences(n, seed):
+    """(clean texts, the same with their words shuffled) of a language where each word has some that follow it, few of them often; words' first and last bytes tell nothing of them."""
+    rng, names = random.Random(seed), random.Random(0)
+    word = ["ba" + "".join(names.choice("aeioubdgklmnrst") for _ in range(names.randrange(2, 6))) + "nan" for _ in range(300)]
+    clean = []
+    for _ in range(n):
+        at, said = rng.randrange(300), []
+        for _ in range(120):
+            said.append(word[at])
+            at = (at * 7 + int(rng.paretovariate(1.2)) * 53) % 300
+        clean.append(said)
+    return [" ".join(w) for w in clean], [" ".join(rng.sample(w, len(w))) for w in clean]
+
+
+def test_quality_drops_shuffled_words_however_the_model_is_cut(spark, monkeypatch):
+    """Junk of ordinary words has the byte n-grams of clean text; and a model of many shards gives what one of a single shard gives."""
+    known, (clean, junk) = _sentences(150, 1)[0], _sentences(60, 2)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(known + clean + junk + ["", None, known[0]])], "doc_id long, text string, lang string")
+    trusted = spark.range(150).select(F.col("id").alias("doc_id"))
+    rows = lambda: sorted((r.doc_id, r.log_perplexity, r.kept) for r in quality.quality(docs, trusted).select("rest.doc_id", "log_perplexity", "kept").collect())
+    got = rows()
+    assert sum(kept for i, _, kept in got if 150 <= i < 210) >= 57 and sum(kept for i, _, kept in got if 210 <= i < 270) <= 3
+    monkeypatch.setattr(quality, "SHARD_KEYS", 300)
+    for (i, p, kept), (j, q, cut) in zip(got, rows()):
+        assert i == j and kept == cut and (p is q is None or abs(p - q) < 1e-5)
+
+
+def test_pairs_of_words_sum_to_one(spark):
+    """Over all words seen and all others, whatever the word before; and the table grows with the texts."""
+    texts = _sentences(40, 3)[0]
+    sizes = []
+    for n in (10, 40):
+        docs = spark.createDataFrame([(t,) for t in texts[:n]], "text string")
+        shared = spark.sparkContext.broadcast(quality.train(docs))
+        table, new = quality.train_words(docs, shared)
+        sizes.append(table.count())
+    value = {r.key & (1 << 64) - 1: r.value for r in table.collect()}
+    part = next(iter(quality.slices(quality.pa.array([" ".join(sorted({w for t in texts for w in t.split()}))]))))
+    _, words, _, rows, ends = quality._pairs(part)
+    spelled = {}
+    for t in texts:
+        whole = next(iter(quality.slices(quality.pa.array([t]))))
+        _, w, _, r, e = quality._pairs(whole)
+        for k, b in zip(w.tolist(), quality._spelling(whole, shared.value, r, e).tolist()):
+            spelled.setdefault(k, []).append(b)
+    spelled = {k: np.mean(b) for k, b in spelled.items()}
+    # a new word has what the known ones' spellings leave
+    left = np.exp(new) * (1 - sum(np.exp(b) for b in spelled.values()))
+    p = {k: np.exp(b + new + value[k ^ int(quality.AS_NEXT)]) for k, b in spelled.items()}
+    assert abs(sum(p.values()) + left - 1) < 1e-3
+    for before in words[:5]:
+        freed = np.exp(value[int(before) ^ int(quality.AS_CONTEXT)])
+        pairs = quality.mix(np.full(len(words), before) * quality.AS_CONTEXT + words).tolist()
+        assert abs(sum(freed * p[int(w)] * np.exp(value.get(g, 0)) for w, g in zip(words, pairs)) + freed * left - 1) < 1e-3
+    assert sizes[1] > sizes[0]
+
+
 def test_model_sums_to_one(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     p = np.exp(quality.train(docs).astype(np.float64)).reshape(-1, quality.SYMBOLS).sum(1)
