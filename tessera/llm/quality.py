@@ -19,7 +19,7 @@ ORDER, SYMBOLS = 4, 48
 QUANTILE = 0.99
 #: The threshold stands this much of the way from the median to the quantile above the quantile, in log perplexity.
 MARGIN = 0.25
-#: A language with fewer trusted documents has no good quantile of its own: the threshold of all holds where it is higher.
+#: Trusted documents at which a group's own quantile and that of the larger group weigh the same.
 FEW = 50
 #: Entries of the word model that are looked up at once: 12 bytes each, broadcast. A larger model takes more passes over the texts.
 SHARD_KEYS = 1 << 21
@@ -282,10 +282,10 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     perplexity under models of the other half of them: of text not seen, as that of the documents to judge.
 
     Returns one row per input row: rest (struct of the other input columns), text, log_perplexity, threshold, kept.
-    A threshold is of a language, and leans to that of its trusted texts of like size (up to four times) by n / (n + FEW),
-    as short texts' perplexities spread much more than long ones'.
-    Null and empty texts have no perplexity and aren't kept. A language without trusted documents has the threshold of all, one
-    with fewer than FEW the higher of both, and null is a language; without any trusted document all texts that aren't empty are kept. Rows of a trusted id are all trusted.
+    The threshold of all leans to that of a language by n / (n + FEW), n its trusted texts; that in the same way to the one of the
+    language's texts of like size (up to four times), as short texts' perplexities spread much more than long ones'.
+    Null and empty texts have no perplexity and aren't kept. A language without trusted documents has the threshold of all,
+    and null is a language; without any trusted document all texts that aren't empty are kept. Rows of a trusted id are all trusted.
     """
     spark = documents.sparkSession
     bound_batches(spark)
@@ -309,9 +309,8 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     alike = limits.where("level = 2").select(F.col("lang").alias("alike_lang"), F.col("size").alias("alike_size"), F.col("n").alias("alike_n"), F.col("threshold").alias("alike"))
     joined = joined.join(F.broadcast(alike), scored["of"].eqNullSafe(alike["alike_lang"]) & (F.col("size") == F.col("alike_size")), "left")
     of_all = F.lit(overall[0] if overall else None).cast("double")
-    limit = F.coalesce(F.when(F.col("n") < FEW, F.greatest("threshold", of_all)).otherwise(F.col("threshold")), of_all, F.lit(float("inf")))
-    # of its class of size as far as enough trusted texts tell
-    limit = F.coalesce(limit + (F.col("alike") - limit) * F.col("alike_n") / (F.col("alike_n") + FEW), limit)
+    lean = lambda wide, own, n: F.coalesce(wide + (F.col(own) - wide) * F.col(n) / (F.col(n) + FEW), wide)
+    limit = lean(lean(F.coalesce(of_all, F.lit(float("inf"))), "threshold", "n"), "alike", "alike_n")
     return joined.select("rest", "text", "log_perplexity", limit.alias("threshold"), F.coalesce(F.col("log_perplexity") <= limit, F.lit(False)).alias("kept"))
 
 

@@ -257,6 +257,15 @@ def test_quality_drops_shuffled_words_however_the_model_is_cut(spark, monkeypatc
         assert i == j and kept == cut and (p is q is None or abs(p - q) < 1e-5)
 
 
+def test_thresholds_have_no_step_in_the_number_of_texts(spark):
+    """A language of 49 trusted documents and one of 50, alike, have about one threshold, between their own and that of all."""
+    rng, texts = random.Random(6), _sentences(50, 5)[0]
+    rows = [(t, lang) for lang, n in (("a", 49), ("b", 50)) for t in texts[:n]] + [("".join(rng.choice("abcdefghijklmnop  ") for _ in range(600)), "c") for _ in range(200)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.lang: r.t for r in quality.quality(docs, docs.select("doc_id")).groupBy("rest.lang").agg(F.avg("threshold").alias("t")).collect()}
+    assert abs(got["a"] - got["b"]) < 0.1 * abs(got["a"] - got["c"])
+
+
 def test_pairs_of_words_sum_to_one(spark):
     """Over all words seen and all others, whatever the word before; and the table grows with the texts."""
     texts = _sentences(40, 3)[0]
