@@ -315,8 +315,8 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
 
 
 def trusted_labels(spark, sf_dir: str) -> DataFrame:
-    """Ids of documents labelled as good text."""
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    """Ids of documents labelled as good text and not as toxic; null is not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

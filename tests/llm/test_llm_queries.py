@@ -257,6 +257,11 @@ def test_quality_drops_shuffled_words_however_the_model_is_cut(spark, monkeypatc
         assert i == j and kept == cut and (p is q is None or abs(p - q) < 1e-5)
 
 
+def test_toxic_text_is_not_trusted(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(r.doc_id for r in quality.trusted_labels(spark, str(tmp_path)).collect()) == [1, 4]
+
+
 def test_thresholds_have_no_step_in_the_number_of_texts(spark):
     """A language of 49 trusted documents and one of 50, alike, have about one threshold, between their own and that of all."""
     rng, texts = random.Random(6), _sentences(50, 5)[0]
