@@ -22,6 +22,19 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without permission.",
 }
+#: Longer notices, which are looked for beside TEMPLATES anywhere in a text: licenses' own texts, or the part that all copies of them open with.
+NOTICES = {
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the 'License'); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an 'AS IS' BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ],
+    "GPL-3.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+}
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
 #: Words by this pattern, after A-Z are lower-cased.
@@ -38,14 +51,50 @@ def _bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The best license of each passage (line) of each document, and of the whole text.
+def _must(known: list[list[str]], reach: float) -> list[str]:
+    """Words of which any text that shares `reach` of one of the bigram sets holds one: it has one of any few more than the rest of them."""
+    return sorted({max(g.split(" "), key=lambda w: (len(w), w)) for b in known for g in sorted(b, key=lambda g: -max(map(len, g.split(" "))))[: len(b) - math.ceil(reach * len(b) - 1e-9) + 1]})
+
+
+def _anywhere(texts: DataFrame, templates: Mapping[str, str], notices: Mapping[str, list[str]], threshold: float) -> DataFrame:
+    """(id, same, passage, license, n_bigrams, dice): the best window of each license, of as many words as a template of it, whatever the lines; passage is the window's first line.
+
+    A window that starts before its first bigram of the template is no better than the one that starts there, so only those are tried.
+    """
+    known = [(k, _words(v)) for k, v in [*templates.items(), *((k, v) for k, vs in notices.items() for v in vs)]]
+    known = [(k, len(w) - 1, _bigrams(w)) for k, w in known if len(w) > 1]
+    reach = threshold / (2 - threshold)
+    may_match = reduce(lambda a, b: a | b, [F.contains(F.col("lowered"), F.lit(w)) for w in _must([b for _, _, b in known], reach)])
+    spoken = F.flatten(F.transform(F.split("lowered", "\n", -1), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.struct((i + 1).alias("line"), w.alias("w")))))
+    said = texts.where(may_match).select("id", "same", F.explode(F.array(spoken)).alias("said")).where(F.size("said") > 1)
+    grams = F.transform(F.sequence(F.lit(0), F.size("said") - 2), lambda i: F.concat_ws(" ", F.get("said", i)["w"], F.get("said", i + 1)["w"]))
+    said = said.select("id", "same", F.transform("said", lambda s: s["line"]).alias("line"), F.explode(F.array(grams)).alias("grams"))
+
+    def best(size: int, bigrams: list[str]):
+        these = F.array(*[F.lit(g) for g in bigrams])
+        starts = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(these, g), i)), lambda i: i.isNotNull())
+        window = lambda i: F.array_distinct(F.slice("grams", i + 1, F.lit(size)))
+        scored = F.transform(starts, lambda i: F.struct((F.lit(2.0) * F.size(F.array_intersect(window(i), these)) / (F.lit(len(bigrams)) + F.size(window(i)))).alias("dice"), (-i).alias("back"), F.size(window(i)).cast("long").alias("n_bigrams")))
+        enough = F.size(F.array_intersect("grams", these)) >= math.ceil(reach * len(bigrams) - 1e-9)
+        return F.when(enough, F.array_max(F.filter(scored, lambda m: m["dice"] >= threshold)))
+
+    of = {k: [best(n, b) for name, n, b in known if name == k] for k, _, _ in known}
+    tops = F.array(*[F.struct(F.lit(k).alias("license"), F.array_max(F.array(*v)).alias("top")) for k, v in of.items()])
+    found = said.select("id", "same", "line", F.explode(tops).alias("m")).where("m.top IS NOT NULL")
+    return found.select("id", "same", F.get("line", -F.col("m.top.back")).alias("passage"), "m.license", F.col("m.top.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice"))
+
+
+def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, notices: Mapping[str, list[str]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+    """The best license of each passage (line) of each document, and of the whole text; and licenses that stand in the text otherwise.
+
+    A license that matches neither a line nor the whole is looked for anywhere, in windows of its template's or notices' size:
+    inside a sentence, over several lines, in a longer text. It gives one row a document, of the best window.
 
     A passage's and a template's sets of distinct word bigrams A, B match when 2 |A and B| / (|A| + |B|) >= threshold.
     Size bounds prune first: 2 min(|A|, |B|) / (|A| + |B|) must reach the threshold. They also bound the overlap from below:
     a passage without a word of enough of each template's bigrams matches none, before any word is split.
 
-    Returns one row per passage and template that match: id, passage (0: the whole text, else the line's number from 1),
+    Returns one row per passage and template that match: id, passage (0: the whole text, else the line's number from 1; a window's first line),
     license, n_bigrams, dice. A one-line text gives its line only. Null and empty texts, passages of one word
     and an empty table give no rows. Repeated rows repeat their matches. Other columns are ignored. Templates are part of
     the plan, so their number and length should stay in the thousands.
@@ -57,27 +106,30 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     least, most = min(sizes) * reach, max(sizes) / reach
     # each explode keeps what it made as a column, so that expressions over it don't make it again
     lowered_once = F.explode(F.array(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    texts = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), lowered_once.alias("lowered"))
+    texts = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), lowered_once.alias("lowered"))
     lowered = F.col("lowered")
     lines = F.split(lowered, "\n", -1)
-    # a match shares t / (2 - t) of a template's bigrams at least, so one of any few more than the rest of them
-    must = sorted({max(g.split(" "), key=lambda w: (len(w), w)) for b in known.values() for g in sorted(b, key=lambda g: -max(map(len, g.split(" "))))[: len(b) - math.ceil(reach * len(b) - 1e-9) + 1]})
+    must = _must(list(known.values()), reach)
     may_match = lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in must])
     words = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("passage"), line.alias("line")))
     numbered = F.transform(F.filter(numbered, lambda p: may_match(p["line"])), lambda p: F.struct(p["passage"].alias("passage"), words(p["line"]).alias("words")))
     # the whole text is a passage too; one of a single line is that line
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("passage"), words(lowered).alias("words"))))
-    passages = texts.where(may_match(lowered)).select("id", F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "p.passage", "p.words")
+    passages = texts.where(may_match(lowered)).select("id", "same", F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "same", "p.passage", "p.words")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
     sets = (
-        passages.where(F.size("words") > least).select("id", "passage", F.explode(F.array(grams)).alias("grams"))
+        passages.where(F.size("words") > least).select("id", "same", "passage", F.explode(F.array(grams)).alias("grams"))
         .withColumn("n_bigrams", F.size("grams").cast("long")).where(F.col("n_bigrams").between(least, most))
     )
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).cast("long").alias("size"), F.array(*[F.lit(g) for g in b]).alias("grams")) for k, b in known.items()])
     fits = F.filter(listed, lambda t: F.lit(2.0) * F.least(t["size"], F.col("n_bigrams")) >= F.lit(threshold) * (t["size"] + F.col("n_bigrams")))
-    scored = sets.select("id", "passage", "n_bigrams", F.explode(F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (t["size"] + F.col("n_bigrams"))).alias("dice")))).alias("m"))
-    return scored.where(F.col("m.dice") >= threshold).select(F.col("id").alias(id_col), "passage", "m.license", "n_bigrams", "m.dice")
+    scored = sets.select("id", "same", "passage", "n_bigrams", F.explode(F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (t["size"] + F.col("n_bigrams"))).alias("dice")))).alias("m"))
+    found = scored.where(F.col("m.dice") >= threshold).select("id", "same", "passage", "m.license", "n_bigrams", "m.dice")
+    already = found.select(F.col("id").alias("found_id"), F.col("same").alias("found_same"), F.col("license").alias("found_license")).distinct()
+    inside = _anywhere(texts, templates, notices, threshold)
+    inside = inside.join(already, inside["id"].eqNullSafe(already["found_id"]) & (F.col("same") == F.col("found_same")) & (F.col("license") == F.col("found_license")), "left_anti")
+    return found.unionAll(inside.select(*found.columns)).select(F.col("id").alias(id_col), "passage", "license", "n_bigrams", "dice")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

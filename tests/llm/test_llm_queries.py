@@ -339,6 +339,16 @@ def test_license_lines(spark):
     assert got == [(1, 0, "Apache-2.0", 0.824), (1, 2, "Apache-2.0", 1.0), (3, 1, "MIT", 1.0)]
 
 
+def test_licenses_inside_sentences_over_lines_and_in_long_texts(spark):
+    filler = "some words of another kind " * 40
+    grant = license_scan.NOTICES["MIT"][0]
+    wrapped = "\n".join(" ".join(grant.split()[k : k + 9]) for k in range(0, len(grant.split()), 9))
+    bsd = license_scan.TEMPLATES["BSD-3-Clause"]
+    rows = [(1, "This project is released under the MIT License."), (2, f"{filler}\n{bsd[:60]}\n{bsd[60:]}\n{filler}"), (3, f"{filler}\n{wrapped}\n{filler}"), (4, filler), (5, "This project is not released."), (1, "This project is released under the MIT License.")]
+    got = sorted((r.doc_id, r.passage, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, "MIT")] * 2 + [(2, 2, "BSD-3-Clause"), (3, 2, "MIT")]
+
+
 def test_pipeline_stages(spark, duck):
     import corpus_pipeline as pipeline
 
