@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: License notices by SPDX identifier.
 TEMPLATES = {
@@ -126,10 +127,9 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     fits = F.filter(listed, lambda t: F.lit(2.0) * F.least(t["size"], F.col("n_bigrams")) >= F.lit(threshold) * (t["size"] + F.col("n_bigrams")))
     scored = sets.select("id", "same", "passage", "n_bigrams", F.explode(F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (t["size"] + F.col("n_bigrams"))).alias("dice")))).alias("m"))
     found = scored.where(F.col("m.dice") >= threshold).select("id", "same", "passage", "m.license", "n_bigrams", "m.dice")
-    already = found.select(F.col("id").alias("found_id"), F.col("same").alias("found_same"), F.col("license").alias("found_license")).distinct()
-    inside = _anywhere(texts, templates, notices, threshold)
-    inside = inside.join(already, inside["id"].eqNullSafe(already["found_id"]) & (F.col("same") == F.col("found_same")) & (F.col("license") == F.col("found_license")), "left_anti")
-    return found.unionAll(inside.select(*found.columns)).select(F.col("id").alias(id_col), "passage", "license", "n_bigrams", "dice")
+    inside = _anywhere(texts, templates, notices, threshold).select(*found.columns, F.lit(1).alias("window"))
+    both = found.withColumn("window", F.lit(0)).unionAll(inside).withColumn("first", F.min("window").over(Window.partitionBy("id", "same", "license")))
+    return both.where(F.col("window") == F.col("first")).select(F.col("id").alias(id_col), "passage", "license", "n_bigrams", "dice")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
