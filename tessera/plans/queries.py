@@ -293,15 +293,15 @@ def fba_lp(spark: SparkSession, d: str) -> DataFrame:
 
 def hit_and_run(spark: SparkSession, d: str) -> DataFrame:
     reactions, stoich, mets = _model(spark)
-    return flux.flux_features(flux.sample_fluxes(flux.perturb(reactions, flux.scenario_grid(spark)), stoich, mets, samples=200))
+    return flux.flux_features(flux.sample_fluxes(flux.perturb(reactions, flux.scenario_grid(spark)), stoich, mets))
 
 
 def judge_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of the survey view judged twice by the stub, then summed up by section."""
+    """Questions of the survey view judged by the stub in all runs, then summed up by section."""
     from tessera.operators.judge import StubClient, as_scorecard_input, evaluate
 
     questions = forms.extract_questions(survey(spark, d), choices(spark, d), "generation")
-    return scorecard.section_scorecard(as_scorecard_input(evaluate(questions, StubClient(), runs=2)), ("run", "section"))
+    return scorecard.section_scorecard(as_scorecard_input(evaluate(questions, StubClient())), ("run", "section"))
 
 
 _FUNCTIONS = (

@@ -16,6 +16,12 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SMALL).limit(1).count() == 1
 
 
+def test_whole_samples_and_runs(spark):
+    """As many samples a chain and runs as the operators' own."""
+    assert QUERIES["hit_and_run"](spark, SMALL).count() == 9 * 3 * 2000
+    assert sorted(r.run for r in QUERIES["judge_runs"](spark, SMALL).select("run").distinct().collect()) == list(range(1, 10))
+
+
 def test_registry():
     import __spark_entry__ as entry
 
