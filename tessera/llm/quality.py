@@ -1,34 +1,41 @@
-"""Quality classifier: interpolated modified Kneser-Ney models of trusted text, of words over bytes, thresholded by language."""
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, pairs of words over words over bytes, thresholded by language.
+
+Counts, look-ups and answers move between tasks as arrays packed into rows, one row for a task and a shard of the model, so that a
+shuffle holds four bytes for an n-gram of a document where a row of its own would hold thirty.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.storage import bound_batches, materialize
-from tessera.llm.tokens import ALNUM, Slice, mix, slices, word_hashes, words
+from tessera.llm.storage import bound_batches, discard, materialize
+from tessera.llm.tokens import ALNUM, Slice, Words, mix, slices, word_hashes, words
 
-#: Symbols of an n-gram, and how many different ones there are.
+#: Bytes of a spelling's n-gram, and symbols that bytes are folded to.
 ORDER, SYMBOLS = 4, 48
-#: Share of a language's trusted documents whose perplexity is at or below the threshold, before the margin.
-QUANTILE = 0.99
-#: The threshold stands this much of the way from the median to the quantile above the quantile, in log perplexity.
-MARGIN = 0.25
+#: Share of a language's trusted documents whose perplexity is at or below the threshold.
+QUANTILE = 0.995
 #: Trusted documents at which a group's own quantile and that of the larger group weigh the same.
-FEW = 50
-#: Entries of the word model that are looked up at once: 12 bytes each, broadcast. A larger model takes more passes over the texts.
-SHARD_KEYS = 1 << 21
-#: What stands before a text's first word, and odd numbers that tell the kinds of entries apart.
-START, AS_CONTEXT, AS_NEXT = np.uint64(0x243F6A8885A308D3), np.uint64(0xA4093822299F31D1), np.uint64(0x082EFA98EC4E6C89)
-#: Texts' sums are broadcast up to this many; beyond, they are joined by a shuffle.
-BROADCAST_TEXTS = 2_000_000
-#: Ids of trusted documents are broadcast up to this many; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+FEW = 10
+#: Trusted bytes for a shard of pairs and words, about, and words that a task packs at once.
+SHARD_BYTES, CHUNK = 6 << 20, 1 << 20
+#: The model is looked up in this many rounds, each by a part of its shards, so that shuffle files of one round are on disk at a time.
+ROUNDS = 4
+#: Bytes of documents whose look-ups meet one copy of a shard, about; more look-ups get more copies.
+COPY_BYTES = 32 << 20
+#: Scores are broadcast up to this many texts, ids of trusted documents up to this many (some 20 MB each); beyond, they are joined by a shuffle.
+BROADCAST_TEXTS, BROADCAST_IDS = 500_000, 1_000_000
+#: Words are told apart by so many bits of their hash; this one stands before and after a text, and is spelled with this log probability.
+BITS, BOUNDARY, BOUNDARY_SPELLED = 40, np.uint64(0x243F6A8885), -7.0
+#: Log probabilities are whole numbers, so that sums are the same in any order: of bytes in 1024ths, of words in 256ths.
+BYTE_SCALE, WORD_SCALE = 1024, 256
+_PAIR, _WORD = np.uint64(0xA4093822299F31D1), np.uint64(0x082EFA98EC4E6C89)
 
 
 def _symbols() -> np.ndarray:
@@ -64,199 +71,485 @@ def _grams(part: Slice) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, c): the partition's n-gram counts."""
-    total = np.zeros(SYMBOLS**ORDER, np.int64)
+def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, c0, c1): the partition's n-gram counts of both halves."""
+    total = np.zeros((2, SYMBOLS**ORDER), np.uint32)
     for batch in batches:
+        half = batch.column("half").to_numpy()
         for part in slices(batch.column("text")):
-            g, c = np.unique(_grams(part), return_counts=True)
-            total[g] += c
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["g", "c"])
+            g = _grams(part)
+            of = np.repeat(half[part.first : part.last], np.diff(part.offsets))
+            for k in (0, 1):
+                seen, c = np.unique(g[of == k], return_counts=True)
+                total[k, seen] += c.astype(np.uint32)
+    seen = np.flatnonzero(total.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *[pa.array(total[k, seen].astype(np.int64)) for k in (0, 1)]], names=["g", "c0", "c1"])
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log probability of every n-gram's last symbol after the others: SYMBOLS ** ORDER numbers.
+def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarray:
+    """What n-grams of count 1, 2, and 3 or more give up, from the counts of counts; plain ones where these are nought, as on small texts."""
+    y = ones / (ones + 2 * twos) if ones + twos else 0.5
+    return np.array([0.0, *[min(max(i - (i + 1) * y * b / a, 0.1), i - 0.1) if a and b else 0.5 * i for i, a, b in ((1, ones, twos), (2, twos, threes), (3, threes, fours))]])
 
-    Counts of all trusted text, summed by n-gram after a map-side combine. Lower orders count distinct left neighbours.
-    Each order's counts are joined with its contexts' totals and with the order below, sharded by n-gram; discounts come
-    from the counts of counts. What the driver gets is bounded by the number of possible n-grams, whatever the corpus.
-    Without trusted text all symbols are as likely.
-    """
-    counts = {ORDER: materialize(trusted.select(F.col(text_col).alias("text")).mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")}
+
+def _given_up(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return d[np.minimum(counts, 3).astype(np.int64)]
+
+
+def byte_model(counts: np.ndarray) -> np.ndarray:
+    """Log probability of every n-gram's last symbol after the others, from a count for each: interpolated modified Kneser-Ney, lower orders count distinct left neighbours."""
+    orders = [counts]
     for k in range(ORDER - 1, 0, -1):
-        counts[k] = counts[k + 1].groupBy((F.col("g") % SYMBOLS**k).alias("g")).agg(F.count("*").alias("c"))
+        orders.append((orders[-1].reshape(SYMBOLS, SYMBOLS**k) > 0).sum(0).astype(np.uint32))
     dense = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for k in range(1, ORDER + 1):
-        d = _discounts(counts[k])
-        context = F.floor(F.col("g") / SYMBOLS).cast("long")
-        less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        contexts = counts[k].groupBy(context.alias("x")).agg(F.sum("c").alias("total"), F.sum(less).alias("freed"))
-        seen = counts[k].withColumn("x", context).join(contexts, "x").select(F.col("g").cast("int"), ((F.col("c") - less) / F.col("total")).cast("float").alias("p"))
-        # interpolation, in place: what contexts have freed goes to the order below
-        dense = np.tile(dense, SYMBOLS) if k > 1 else np.full(SYMBOLS, dense[0])
-        gamma = np.ones(SYMBOLS ** (k - 1), np.float32)
-        found = contexts.select("x", (F.col("freed") / F.col("total")).cast("float").alias("w")).toArrow()
-        gamma[found.column("x").to_numpy()] = found.column("w").to_numpy()
-        table = dense.reshape(-1, SYMBOLS)
-        table *= gamma[:, None]
-        found = seen.toArrow()
-        dense[found.column("g").to_numpy()] += found.column("p").to_numpy()
+    for c in reversed(orders):
+        d = discounts(*[int((c == i).sum()) for i in (1, 2, 3, 4)]).astype(np.float32)
+        less = _given_up(d, c).reshape(-1, SYMBOLS)
+        c = c.reshape(-1, SYMBOLS)
+        total = c.sum(1).astype(np.float32)
+        lower = np.tile(dense.reshape(-1, SYMBOLS), (len(c) // max(1, len(dense) // SYMBOLS), 1)) if len(dense) > 1 else np.full((1, SYMBOLS), dense[0], np.float32)
+        share = np.where(total > 0, less.sum(1) / np.maximum(total, 1), 1).astype(np.float32)
+        lower *= share[:, None]
+        lower += (c - less) / np.maximum(total, 1)[:, None]
+        dense = lower.ravel()
+    return np.log(dense)
+
+
+def train_bytes(trusted: DataFrame) -> np.ndarray:
+    """Both halves' models of bytes, in BYTE_SCALE-ths: two tables of SYMBOLS ** ORDER numbers (21 MB together), whatever the corpus; and each half's bytes.
+
+    Counts of all trusted text, summed by n-gram after a map-side combine; the driver gets a row for each possible n-gram at most.
+    """
+    counted = materialize(trusted.mapInArrow(_count_bytes, "g int, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
+    table = np.zeros((2, SYMBOLS**ORDER), np.int16)
+    n_bytes = 0
+    for k in (0, 1):
+        found = counted.select("g", f"c{k}").toArrow()
+        dense = np.zeros(SYMBOLS**ORDER, np.uint32)
+        dense[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), (1 << 32) - 1)
+        n_bytes += int(found.column(1).to_numpy().sum())
         del found
+        table[k] = np.clip(np.round(byte_model(dense) * BYTE_SCALE), -32000, 0)
         pa.default_memory_pool().release_unused()
-    return np.log(dense, out=dense)
+    discard(counted)
+    return table, n_bytes
 
 
-def _discounts(counts: DataFrame, column: str = "c") -> list[float]:
-    """What n-grams of count 1, 2, and 3 or more give up, from the counts of counts; plain ones where these are nought, as on small texts."""
-    n1, n2, n3, n4 = counts.agg(*[F.coalesce(F.count_if(F.col(column) == i), F.lit(0)) for i in (1, 2, 3, 4)]).first()
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.1) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+def _pack(x: np.ndarray) -> bytes:
+    """Words' numbers in five bytes each."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _all(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The arrays packed in a column's rows, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _word_shard(x: np.ndarray, n: int) -> np.ndarray:
+    """Shards are ranges of words' numbers."""
+    return ((x * np.uint64(n)) >> np.uint64(BITS)).astype(np.int64)
+
+
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * _PAIR + w) & ~np.uint64(1)
+
 
+def _pair_shard(key: np.ndarray, n: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
-def _pairs(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, pair, row, end) of each word of a slice; START is before a text's first. Numbers are 64-bit hashes."""
-    found = words(part, ALNUM)
-    word = word_hashes(part, found, ALNUM)
-    before = np.full(len(word), START)
-    before[1:] = word[:-1]
-    first = np.cumsum(found.per_row) - found.per_row
-    before[first[found.per_row > 0]] = START
-    return before, word, mix(before * AS_CONTEXT + word), found.rows, found.ends
 
+def _low(key: np.ndarray) -> np.ndarray:
+    """What tells keys of a shard apart."""
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-def _spelling(part: Slice, model: np.ndarray, rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Log probability of each word's bytes, and of those between it and the word before, under the model of bytes."""
-    sums = np.concatenate([np.zeros(1), np.cumsum(model[_grams(part)].astype(np.float64))])
-    begins = part.offsets[rows]
-    begins[1:] = np.where(rows[1:] == rows[:-1], ends[:-1], begins[1:])
-    return sums[ends] - sums[begins]
 
+def _pairs(part: Slice, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, row) of each word and of the end of each text that has bytes."""
+    n = np.where(np.diff(part.offsets) > 0, found.per_row + 1, 0)
+    w = np.full(n.sum(), BOUNDARY)
+    inner = np.ones(len(w), bool)
+    inner[np.cumsum(n)[n > 0] - 1] = False
+    w[inner] = word_hashes(part, found, ALNUM) >> np.uint64(64 - BITS)
+    v = np.full(len(w), BOUNDARY)
+    v[1:] = w[:-1]
+    return v, w, np.repeat(np.arange(len(n)), n)
 
-def _count_pairs(shared):
+
+def _ranges(shard: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, last) of each shard in a sorted array."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(shard[lo]), lo, hi
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_COUNTED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_COUNTED_SQL = "kind int, shard int, a binary, b binary, c binary, d binary"
+
+
+def _count_words(shared, n_shards: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(g, v, w, c, b): a slice's pairs, the words, how often, and the sum of the second's log probability as spelled."""
+        """Rows of kind 0 (shard of pairs; words before, words, counts, halves) and of kind 1 (shard of words; words, sums of log probabilities as spelled by either model, how often)."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            v, w, half, x, spelled = (np.concatenate([h[i] for h in held]) if i < 4 else np.concatenate([h[4] for h in held], 1) for i in range(5))
+            key, at, n = np.unique(_pair_key(v, w) | half, return_index=True, return_counts=True)
+            rows = [(0, s, _pack(v[at[lo:hi]]), _pack(w[at[lo:hi]]), n[lo:hi].astype(np.uint32).tobytes(), half[at[lo:hi]].astype(np.uint8).tobytes()) for s, lo, hi in _ranges(_pair_shard(key, n_shards), n_shards)]
+            x, of = np.unique(x, return_inverse=True)
+            sums = [np.bincount(of, y, len(x)) for y in spelled]
+            rows += [(1, s, _pack(x[lo:hi]), *[y[lo:hi].astype(np.float32).tobytes() for y in sums]) for s, lo, hi in _ranges(_word_shard(x, n_shards), n_shards)]
+            return _batch(rows, _COUNTED)
+
         for batch in batches:
+            halves = batch.column("half").to_numpy()
             for part in slices(batch.column("text")):
-                before, word, pair, rows, ends = _pairs(part)
-                g, at, of, c = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-                b = np.bincount(of, _spelling(part, shared.value, rows, ends), len(g)) if len(g) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (g, before[at], word[at])] + [pa.array(c.astype(np.int64)), pa.array(np.round(b, 3))], names=["g", "v", "w", "c", "b"])
+                found = words(part, ALNUM)
+                v, w, row = _pairs(part, found)
+                x, of = np.unique(word_hashes(part, found, ALNUM) >> np.uint64(64 - BITS), return_inverse=True)
+                g = _grams(part)
+                sums = [np.concatenate([[0], np.cumsum(shared.value[k][g].astype(np.int64))]) for k in (0, 1)]
+                spelled = [np.bincount(of, (s[found.ends] - s[found.starts]) / BYTE_SCALE, len(x)) for s in sums]
+                held.append((v, w, halves[part.first + row].astype(np.uint64), x, np.stack([*spelled, np.bincount(of, minlength=len(x))])))
+                size += len(v)
+                if size >= CHUNK:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
 
     return count
 
 
-def train_words(trusted: DataFrame, shared, text_col: str = "text") -> tuple[DataFrame, float]:
-    """((key, value) table, log probability that a word is new) of an interpolated modified Kneser-Ney model of pairs of words.
+def _table(rows: list[tuple], names: str, kinds: list[pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names.split(), columns, kinds)})
 
-    All pairs of all trusted texts count; the table grows with them. Words' own probabilities count distinct words before
-    and are interpolated with the word as spelled, under the model of bytes (shared, a broadcast), so any word has one.
-    A text's log probability is that of its bytes, plus the second result for each word, plus the values of each word's
-    three keys where the table has them: of the word, of the word before as a context, and of the pair.
-    """
-    pairs = materialize(trusted.select(F.col(text_col).alias("text")).mapInArrow(_count_pairs(shared), "g long, v long, w long, c long, b double").groupBy("g").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("c").alias("c"), F.sum("b").alias("b")), "pairs")
-    total = pairs.count()
-    if not total:
-        return trusted.sparkSession.createDataFrame([], "key long, value float"), 0.0
-    less = lambda d, c: F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    vocabulary = materialize(pairs.groupBy("w").agg(F.count("*").alias("n"), (F.sum("b") / F.sum("c")).alias("spelled")), "words")
-    d = _discounts(vocabulary, "n")
-    new = float(np.log(vocabulary.agg(F.sum(less(d, F.col("n")))).first()[0] / total))
-    p = (F.col("n") - less(d, F.col("n"))) / total + F.exp(F.col("spelled") + new)
-    known = vocabulary.select("w", F.log(p).alias("p"), (F.log(p) - F.col("spelled") - new).cast("float").alias("value"))
-    d = _discounts(pairs)
-    lost = less(d, F.col("c"))
-    contexts = pairs.groupBy("v").agg(F.sum("c").alias("total"), F.log(F.sum(lost) / F.sum("c")).alias("freed"))
-    seen = pairs.select("g", "v", "w", "c").join(contexts, "v").join(known.select("w", "p"), "w")
-    gain = F.log((F.col("c") - lost) / F.col("total") / F.exp(F.col("freed") + F.col("p")) + 1)
-    key = lambda c, kind: F.col(c).bitwiseXOR(F.lit(int(kind.view(np.int64)))).alias("key")
-    table = known.select(key("w", AS_NEXT), "value").unionAll(contexts.select(key("v", AS_CONTEXT), F.col("freed").cast("float"))).unionAll(seen.select("g", gain.cast("float")))
-    return materialize(table, "word-model"), new
-
-
-def _shards(table: DataFrame) -> list[DataFrame]:
-    n = max(1, -(-table.count() // SHARD_KEYS))
-    return [table.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k) for k in range(n)]
-
-
-def _shipped(shard: DataFrame):
-    """A broadcast of the shard's sorted keys and their values."""
-    found = shard.toArrow()
-    keys, values = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
-    order = np.argsort(keys)
-    return shard.sparkSession.sparkContext.broadcast((keys[order], values[order]))
-
-
-def _word_sums(part: Slice, table: tuple[np.ndarray, np.ndarray], new: float) -> np.ndarray:
-    """By row, the values that the table has for its words, and `new` for each word."""
-    keys, values = table
-    before, word, pair, rows, _ = _pairs(part)
-    gained = np.full(len(word), new)
-    for asked in (word ^ AS_NEXT, before ^ AS_CONTEXT, pair):
-        asked, of = np.unique(asked, return_inverse=True)
-        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-        if len(keys):
-            gained += np.where(keys[at] == asked, values[at], 0)[of]
-    return np.bincount(rows, gained, len(part.offsets) - 1)
-
-
-def _sum_shard(table):
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _of_counts(counts: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3, 4, and above nought."""
+    return [*[int((counts == i).sum()) for i in (1, 2, 3, 4)], int((counts > 0).sum())]
+
+
+_NAMES, _KINDS = "kind shard a b c d e of", [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+_SUMMED_SQL = "kind int, shard int, a binary, b binary, c binary, d binary, e binary, of array<long>"
+
+
+def _sum_words(key: tuple, table: pa.Table) -> pa.Table:
+    """A shard of pairs: its words, then by pair both words' places among them and counts in either half; or a shard of words: words, spellings."""
+    kind, shard = (k.as_py() for k in key)
+    if kind:
+        x, of = np.unique(_unpack(b"".join(table.column("a").to_pylist())), return_inverse=True)
+        *sums, n = (np.bincount(of, _all(table.column(c), np.float32), len(x)) for c in "bcd")
+        return _table([(1, shard, _pack(x), *[(y / n).astype(np.float16).tobytes() for y in sums], b"", b"", [])], _NAMES, _KINDS)
+    v, w = (_unpack(b"".join(table.column(c).to_pylist())) for c in "ab")
+    n, half = _all(table.column("c"), np.uint32), _all(table.column("d"), np.uint8)
+    _, at, of = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
+    counts = [np.bincount(of, np.where(half == k, n, 0), len(at)).astype(np.uint32) for k in (0, 1)]
+    v, w = v[at], w[at]
+    x = np.unique(np.concatenate([v, w]))
+    places = [np.searchsorted(x, y).astype(np.uint32).tobytes() for y in (v, w)]
+    return _table([(0, shard, _pack(x), *places, *[c.tobytes() for c in counts], _of_counts(counts[0]) + _of_counts(counts[1]))], _NAMES, _KINDS)
+
+
+def _opened(row: dict) -> tuple[np.ndarray, ...]:
+    return _unpack(row["a"]), *[np.frombuffer(row[c], np.uint32).astype(np.int64) for c in "bcde"]
+
+
+def _totals(df: DataFrame) -> np.ndarray:
+    """The sums of the rows' counts of counts, by half."""
+    out = np.zeros(10)
+    for r in df.select(F.posexplode("of").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # ten rows
+        out[r.i] = r.n
+    return out.reshape(2, 5)
+
+
+_STATS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("values", pa.binary())])
+
+
+def _word_counts(d: list[np.ndarray], n_shards: int):
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each shard of pairs, by word, for both halves: how often it comes first, what such pairs give up, and distinct words before it; of one of words, their spellings."""
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["kind"]:
+                    out.append((row["shard"], 1, row["a"], np.stack([np.frombuffer(row[c], np.float16) for c in "bc"]).astype(np.float32).tobytes()))
+                    continue
+                x, v, w, *n = _opened(row)
+                of = [np.bincount(v, c, len(x)) for c in n] + [np.bincount(v, _given_up(d[k], n[k]), len(x)) for k in (0, 1)] + [np.bincount(w, c > 0, len(x)) for c in n]
+                values = np.stack(of).astype(np.float32)
+                out += [(s, 0, _pack(x[lo:hi]), values[:, lo:hi].tobytes()) for s, lo, hi in _ranges(_word_shard(x, n_shards), n_shards)]
+            yield _batch(out, _STATS)
+
+    return counts
+
+
+def _sum_word_counts(key: tuple, table: pa.Table) -> pa.Table:
+    """A shard of words: (words; by half: times first, given up, distinct words before, spelled)."""
+    rows = table.to_pylist()
+    x = np.unique(np.concatenate([_unpack(r["a"]) for r in rows]))
+    values = np.zeros((8, len(x)))
+    values[6:] = BOUNDARY_SPELLED
+    for r in rows:
+        at = np.searchsorted(x, _unpack(r["a"]))
+        got = np.frombuffer(r["values"], np.float32).reshape(-1, len(at))
+        if r["kind"]:
+            values[6:, at] = got
+        else:
+            values[:6, at] += got
+    before = values[4:6].astype(np.int64)
+    return _table([(0, key[0].as_py(), _pack(x), values.astype(np.float32).tobytes(), b"", b"", b"", _of_counts(before[0]) + _of_counts(before[1]))], _NAMES, _KINDS)
+
+
+class Unigrams:
+    """What words' probabilities need besides their own counts, by half."""
+
+    def __init__(self, of: np.ndarray, pairs: np.ndarray) -> None:
+        self.d = [discounts(*of[k, :4]) for k in (0, 1)]
+        self.pairs = pairs
+        freed = [self.d[k] @ [0, of[k, 0], of[k, 1], of[k, 4] - of[k, 0] - of[k, 1]] for k in (0, 1)]
+        #: Log of the share of all that goes to words as they are spelled.
+        self.new = [float(np.log(freed[k] / pairs[k])) if pairs[k] and freed[k] else 0.0 for k in (0, 1)]
+
+    def values(self, raw: bytes) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """By half, of a shard of words: log probability, its gain over the spelling plus the log of what the word as the one before leaves to others, and what its pairs give up."""
+        t0, t1, f0, f1, m0, m1, s0, s1 = np.frombuffer(raw, np.float32).astype(np.float64).reshape(8, -1)
+        logs, gains = [], []
+        for k, (t, f, m, s) in enumerate(((t0, f0, m0, s0), (t1, f1, m1, s1))):
+            known = (m - _given_up(self.d[k], m)) / max(1, self.pairs[k])
+            logs.append(np.log(known + np.exp(self.new[k] + s)))
+            gains.append(logs[-1] - self.new[k] - s + np.where(t > 0, np.log(np.maximum(f, 1e-30) / np.maximum(t, 1)), 0))
+        return logs, gains, [f0, f1]
+
+
+def _ask(n_shards: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard of words, kind 1, shard of pairs, words): what each shard of pairs has to know."""
         for batch in batches:
-            out = [_word_sums(part, table.value, 0.0) for part in slices(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate([np.zeros(0), *out]))], names=["id", "gained"])
+            yield _batch([(s, 1, row["shard"], _pack(x[lo:hi]), b"") for row in batch.select(["shard", "a"]).to_pylist() for x in [_unpack(row["a"])] for s, lo, hi in _ranges(_word_shard(x, n_shards), n_shards)], _ASKED)
+
+    return ask
+
+
+_ASKED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("origin", pa.int32()), ("a", pa.binary()), ("values", pa.binary())])
+_ASKED_SQL = "shard int, kind int, origin int, a binary, values binary"
+
+
+def _answer(unigrams: Unigrams):
+    def answer(table: pa.Table) -> pa.Table:
+        """(shard of pairs, shard of words, by word asked for: given up and log probability, by half)."""
+        rows = table.to_pylist()
+        own = next(r for r in rows if not r["kind"])
+        x = _unpack(own["a"])
+        logs, _, freed = unigrams.values(own["values"])
+        values = np.stack([*freed, *logs]).astype(np.float32)
+        out = [(r["origin"], own["shard"], values[:, np.searchsorted(x, _unpack(r["a"]))].tobytes()) for r in rows if r["kind"]]
+        return _table(out, "origin shard values", [pa.int32(), pa.int32(), pa.binary()])
+
+    return answer
+
+
+_MODEL_NAMES, _MODEL_KINDS, _MODEL_SQL = "slot low value", [pa.int32(), pa.binary(), pa.binary()], "slot int, low binary, value binary"
+
+
+def _entries(slot: int, low: np.ndarray, value: np.ndarray) -> tuple:
+    order = np.argsort(low)
+    return slot, low[order].tobytes(), np.clip(np.round(value[order] * WORD_SCALE), -32000, 32000).astype(np.int16).tobytes()
 
-    return sums
 
+def _pair_gains(d: list[np.ndarray]):
+    def gains(table: pa.Table) -> pa.Table:
+        """The model's entries of a shard of pairs, by half: what a pair's log probability gains over its words'."""
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["own"])
+        x, v, w, *n = _opened(own)
+        values = np.concatenate([np.frombuffer(r["values"], np.float32).reshape(4, -1) for r in sorted((r for r in rows if not r["own"]), key=lambda r: r["of"])], 1).astype(np.float64)
+        low, out = _low(_pair_key(x[v], x[w])), []
+        for k in (0, 1):
+            some = np.flatnonzero(n[k])
+            kept = n[k][some] - _given_up(d[k], n[k][some])
+            out.append(_entries(2 * own["origin"] + k, low[some], np.log1p(kept / (values[k][v[some]] * np.exp(values[2 + k][w[some]])))))
+        return _table(out, _MODEL_NAMES, _MODEL_KINDS)
 
-def _score(shared, table, new):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with the log probability per byte, negative, null for texts without bytes, and their number of bytes."""
-        model = shared.value
+    return gains
+
+
+def _word_gains(unigrams: Unigrams):
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The model's entries of words, by half."""
         for batch in batches:
-            values, bytes_ = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for part in slices(batch.column("text")):
-                sizes = np.diff(part.offsets)
-                some = np.flatnonzero(sizes)
-                out = np.zeros(len(sizes))
-                if len(some):
-                    out[some] = np.add.reduceat(model[_grams(part)].astype(np.float64), part.offsets[:-1][some])
-                    out += _word_sums(part, table.value, new)
-                values.append(out)
-                bytes_.append(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(np.concatenate(values)), pa.array(np.concatenate(bytes_))], names=["rest", "text", "total", "bytes"])
+            out = []
+            for row in batch.to_pylist():
+                low = _low(mix(_unpack(row["a"]) ^ _WORD))
+                out += [_entries(2 * row["shard"] + k, low, value) for k, value in enumerate(unigrams.values(row["b"])[1])]
+            yield _batch(out, pa.schema(list(zip(_MODEL_NAMES.split(), _MODEL_KINDS))))
 
-    return score
+    return gains
 
 
-def _scored(documents: DataFrame, shared, words_model: tuple[DataFrame, float], text_col: str) -> tuple[DataFrame, list]:
-    """(rows with log perplexity and class of size, null for texts without bytes; broadcasts that they need).
+def train_words(trusted: DataFrame, shared, n_shards: int) -> tuple[list[DataFrame], list[float]]:
+    """(the model's entries, by rounds of its shards; log of what either half's model leaves to words as spelled).
 
-    Each shard of the word model but the last is sent to the texts by itself, and the texts' sums are kept by hash of the
-    text, as the same texts have the same ones; the last shard is looked up where the rows are made.
+    All pairs of all trusted texts count. A shard of pairs sums their counts in both halves. Words' counts go from the shards of
+    pairs to those of words, and words' probabilities back to the pairs that asked, one entry for each word that a shard has: a word
+    in a third of all pairs is asked for once by a shard, so no shard is large. An entry is four bytes of a hash and a gain:
+    the log probability of a text is that of its bytes, its words as spelled, and the gains of its words and pairs.
     """
-    table, new = words_model
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
-    *others, last = _shards(table)
-    partial = []
-    for shard in others:
-        shipped = _shipped(shard)
-        sums = rows.where(F.length("text") > 0).select(F.xxhash64("text").alias("id"), "text").mapInArrow(_sum_shard(shipped), "id long, gained double")
-        partial.append(materialize(sums.groupBy("id").agg(F.max("gained").alias("gained")), "word-sums"))
-        shipped.destroy()
-    shipped = _shipped(last)
-    out = rows.mapInArrow(_score(shared, shipped, new), f"rest {rows.schema['rest'].dataType.simpleString()}, text string, total double, bytes long")
-    if partial:
-        sums = partial[0]
-        for more in partial[1:]:
-            sums = sums.unionAll(more)
-        sums = materialize(sums.groupBy("id").agg(F.sum("gained").alias("gained")), "word-sums") if len(partial) > 1 else sums
-        sums = F.broadcast(sums) if sums.count() <= BROADCAST_TEXTS else sums
-        out = out.join(sums, F.xxhash64("text") == F.col("id"), "left").withColumn("total", F.col("total") + F.coalesce("gained", F.lit(0.0)))
-    return out.select("rest", "text", F.when(F.col("bytes") > 0, F.round(-F.col("total") / F.col("bytes"), 6)).alias("log_perplexity"), F.floor(F.log2("bytes") / 2).cast("int").alias("size")), [shipped]
-
-
-def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    counted = materialize(trusted.mapInArrow(_count_words(shared, n_shards), _COUNTED_SQL).groupBy("kind", "shard").applyInArrow(_sum_words, _SUMMED_SQL), "pairs", "zstd")
+    pairs, spelled = counted.where("kind = 0"), counted.where("kind = 1")
+    of = _totals(pairs)
+    d = [discounts(*of[k, :4]) for k in (0, 1)]
+    stats = counted.mapInArrow(_word_counts(d, n_shards), "shard int, kind int, a binary, values binary")
+    vocabulary = materialize(stats.groupBy("shard").applyInArrow(_sum_word_counts, _SUMMED_SQL), "words", "zstd")
+    unigrams = Unigrams(_totals(vocabulary), of[:, 4])
+    known = vocabulary.select("shard", F.lit(0).alias("kind"), F.lit(-1).alias("origin"), "a", F.col("b").alias("values"))
+    model = []
+    for r in range(ROUNDS):
+        some = pairs.where(F.col("shard") % ROUNDS == r)
+        answers = known.unionAll(some.mapInArrow(_ask(n_shards), _ASKED_SQL)).groupBy("shard").applyInArrow(_answer(unigrams), "origin int, shard int, values binary")
+        none = [F.lit(None).cast("binary").alias(c) for c in "abcde"]
+        met = some.select(F.col("shard").alias("origin"), F.lit(-1).alias("of"), F.lit(True).alias("own"), *"abcde", none[0].alias("values")).unionAll(answers.select("origin", F.col("shard").alias("of"), F.lit(False).alias("own"), *none, "values"))
+        entries = met.groupBy("origin").applyInArrow(_pair_gains(d), _MODEL_SQL)
+        model.append(materialize(entries.unionAll(vocabulary.where(F.col("shard") % ROUNDS == r).mapInArrow(_word_gains(unigrams), _MODEL_SQL)), "word-model"))
+    discard(counted, vocabulary)
+    return model, unigrams.new
+
+
+_LOOKED = pa.schema([("slot", pa.int32()), ("salt", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("value", pa.binary())])
+_LOOKED_SQL = "slot int, salt int, docs binary, sizes binary, low binary, value binary"
+
+
+def _look_up(n_shards: int, r: int, copies: int):
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows for a shard: documents, number of entries of each, and the entries with how often the document has them."""
+        held: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        size = n_chunks = 0
+
+        def packed() -> pa.RecordBatch:
+            """held: document, slot and low bits in one number each, and how often."""
+            keys, counts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            doc, of = np.concatenate([h[2] for h in held]), np.concatenate(docs)
+            slot = (keys >> np.uint64(32)).astype(np.int64) & 0xFFFFF
+            order = np.argsort(slot.astype(np.uint16) if 2 * n_shards < 1 << 16 else slot, kind="stable")
+            slot, doc, low, counts = slot[order], doc[order], keys[order].astype(np.uint32), counts[order].astype(np.uint32)
+            out = []
+            for s, lo, hi in _ranges(slot, 2 * n_shards):
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(doc[lo:hi])) + 1, [hi - lo]])
+                out.append((s, n_chunks % copies, of[doc[lo:hi][edges[:-1]]].tobytes(), np.diff(edges).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), counts[lo:hi].tobytes()))
+            return _batch(out, _LOOKED)
+
+        for batch in batches:
+            names, halves = batch.column("key").to_numpy(), batch.column("half").to_numpy()
+            for part in slices(batch.column("text")):
+                v, w, row = _pairs(part, words(part, ALNUM))
+                pair = _pair_key(v, w)
+                half = (1 - halves[part.first + row]).astype(np.uint64)
+                for shard, low in ((_pair_shard(pair, n_shards), _low(pair)), (_word_shard(v, n_shards), _low(mix(v ^ _WORD)))):
+                    mine = np.flatnonzero(shard % ROUNDS == r)
+                    key = (shard[mine].astype(np.uint64) * np.uint64(2) + half[mine]) << np.uint64(32) | low[mine]
+                    at = row[mine]
+                    for first in range(0, part.last - part.first, 4096):  # rows' numbers have twelve bits
+                        a, b = np.searchsorted(at, [first, first + 4096])
+                        every, n = np.unique((at[a:b] - first).astype(np.uint64) << np.uint64(52) | key[a:b], return_counts=True)
+                        held.append((every, n, (every >> np.uint64(52)).astype(np.int64) + first + sum(map(len, docs))))
+                docs.append(names[part.first : part.last])
+                size += len(v)
+                if size >= CHUNK:
+                    yield packed()
+                    held, docs, size, n_chunks = [], [], 0, n_chunks + 1
+        if held:
+            yield packed()
+
+    return look_up
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gained) of documents, by shard. Rows come by slot and salt, the model's entries first."""
+    now, table = None, (np.zeros(0, np.uint32), np.zeros(0, np.int16))
+    for batch in batches:
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row in batch.to_pylist():
+            low, place = np.frombuffer(row["low"], np.uint32), (row["slot"], row["salt"])
+            if row["docs"] is None:
+                more = low, np.frombuffer(row["value"], np.int16)
+                if now == place:
+                    more = tuple(np.concatenate([a, b]) for a, b in zip(table, more))
+                order = np.argsort(more[0], kind="stable")
+                now, table = place, (more[0][order], more[1][order])
+                continue
+            if now != place or not len(table[0]):
+                continue
+            at = np.minimum(np.searchsorted(table[0], low), len(table[0]) - 1)
+            gained = np.where(table[0][at] == low, table[1][at].astype(np.int64), 0) * np.frombuffer(row["value"], np.uint32)
+            sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+            keys.append(np.frombuffer(row["docs"], np.int64))
+            sums.append(np.add.reduceat(gained, np.cumsum(sizes) - sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sums))], names=["key", "gained"])
+
+
+def _spell(shared, new: list[float]):
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, base, bytes): log probability of each text's bytes and of its words as spelled, under the other half's model, in BYTE_SCALE-ths."""
+        left = np.round(np.array(new) * BYTE_SCALE).astype(np.int64)
+        for batch in batches:
+            halves = batch.column("half").to_numpy()
+            for part in slices(batch.column("text")):
+                found = words(part, ALNUM)
+                sizes, model = np.diff(part.offsets), 1 - halves[part.first : part.last]
+                spelled = shared.value[np.repeat(model, sizes), _grams(part)].astype(np.int64)
+                sums = np.concatenate([[0], np.cumsum(spelled)])
+                base = sums[part.offsets[1:]] - sums[part.offsets[:-1]] + left[model] * (found.per_row + 1) + int(BOUNDARY_SPELLED * BYTE_SCALE)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(part.first, part.last - part.first), pa.array(base), pa.array(sizes)], names=["key", "base", "bytes"])
+
+    return spell
+
+
+def log_perplexities(documents: DataFrame, trusted: DataFrame, text_col: str) -> DataFrame:
+    """(key, log_perplexity, size class) by distinct text, of key xxhash64(text): under the model of the trusted texts of the other half."""
+    spark = documents.sparkSession
+    keyed = lambda df: df.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("key"), F.pmod(F.xxhash64(F.xxhash64(text_col)), F.lit(2)).cast("int").alias("half"), F.col(text_col).alias("text"))
+    known, texts = keyed(trusted), keyed(documents)
+    tables, n_bytes = train_bytes(known.select("half", "text"))
+    shared = spark.sparkContext.broadcast(tables)
+    n_shards = min(1 << 18, max(ROUNDS, n_bytes // SHARD_BYTES))
+    model, new = train_words(known.select("half", "text"), shared, n_shards)
+    bases = texts.mapInArrow(_spell(shared, new), "key long, base long, bytes long").groupBy("key").agg(F.max("base").alias("base"), F.max("bytes").alias("bytes"), F.count("*").alias("copies"))
+    bases = materialize(bases, "spelled")
+    all_bytes = bases.agg(F.sum(F.col("bytes") * F.col("copies"))).first()[0] or 0
+    copies = int(all_bytes // (COPY_BYTES * n_shards)) + 1
+    parts = []
+    for r, entries in enumerate(model):
+        none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "sizes")]
+        copied = entries.select("slot", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), *none, "low", "value")
+        met = copied.unionAll(texts.mapInArrow(_look_up(n_shards, r, copies), _LOOKED_SQL)).repartition("slot", "salt").sortWithinPartitions("slot", "salt", F.col("docs").isNotNull())
+        parts.append(materialize(met.mapInArrow(_probe, "key long, gained long").groupBy("key").agg(F.sum("gained").alias("gained")), "gained"))
+        discard(entries)
+    shared.destroy()
+    gained = parts[0]
+    for part in parts[1:]:
+        gained = gained.unionAll(part)
+    # equal texts have equal sums, so that theirs together is a whole number of times one's
+    both = bases.join(gained.groupBy("key").agg(F.sum("gained").alias("gained")), "key", "left")
+    total = F.col("base") / BYTE_SCALE + F.coalesce("gained", F.lit(0)) / F.col("copies") / WORD_SCALE
+    out = materialize(both.select("key", F.round(-total / F.col("bytes"), 6).alias("log_perplexity"), F.floor(F.log2("bytes") / 2).cast("int").alias("size")), "scores")
+    discard(bases, *parts)
+    return out
+
+
+def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(level, lang, size, n, threshold) of scores (lang, size, log_perplexity): level 0 is of all together, 1 of a language, 2 of its texts of a class of size.
 
     Quantiles are of counts by log perplexity in thousandths, summed with a map-side combine; the same at each run.
@@ -268,49 +561,45 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MA
     bins = bins.select(F.lit(2).alias("level"), "lang", "size", "bin", "n").unionAll(by_lang).unionAll(of_all)
     of = Window.partitionBy("level", "lang", "size")
     ranked = bins.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("total", F.sum("n").over(of))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
-    return ranked.groupBy("level", "lang", "size").agg(at(0.5).alias("mid"), at(quantile).alias("high"), F.max("total").alias("n")).select("level", "lang", "size", "n", ((F.col("high") + (F.col("high") - F.col("mid")) * margin) / 1000).alias("threshold"))
+    return ranked.groupBy("level", "lang", "size").agg(F.min(F.when(F.col("upto") >= F.col("total") * quantile, F.col("bin"))).alias("high"), F.max("total").alias("n")).select("level", "lang", "size", "n", (F.col("high") / 1000).alias("threshold"))
 
 
-def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """Documents with their perplexity under a model of the trusted ones, and whether it is within their language's threshold.
 
-    The model is of pairs of words, over words, over words as spelled. Pairs and words are all those of the trusted texts: the
-    table grows with them and is looked up in shards of SHARD_KEYS entries, with a pass over the texts for each. Spelling is a
-    model of bytes folded to SYMBOLS symbols, one dense table of SYMBOLS ** ORDER numbers (21 MB). Documents are scored where
-    they stand, without a row per n-gram. All trusted text trains it. Thresholds are quantiles of trusted documents'
-    perplexity under models of the other half of them: of text not seen, as that of the documents to judge.
+    Texts are of one of two halves by a hash; a document is scored by the model of the trusted texts of the other half, so the
+    trusted ones' perplexities, of which thresholds are quantiles, are of text not seen, as all others' are. The model is of
+    pairs of words, over words, over words as spelled: pairs and words are all those of the trusted texts, in tables that grow with them,
+    in shards; documents look up their distinct words and pairs, packed by shard, in ROUNDS rounds. Spelling, and what
+    stands between words, is a model of four bytes folded to SYMBOLS symbols, a broadcast of 21 MB whatever the corpus.
 
-    Returns one row per input row: rest (struct of the other input columns), text, log_perplexity, threshold, kept.
+    Returns one row per input row: rest (struct of the other input columns), text, log_perplexity (by byte), threshold, kept.
     The threshold of all leans to that of a language by n / (n + FEW), n its trusted texts; that in the same way to the one of the
     language's texts of like size (up to four times), as short texts' perplexities spread much more than long ones'.
     Null and empty texts have no perplexity and aren't kept. A language without trusted documents has the threshold of all,
-    and null is a language; without any trusted document all texts that aren't empty are kept. Rows of a trusted id are all trusted.
+    and null is a language; without any trusted document all texts that aren't empty are kept. Rows of a trusted id are all trusted, a
+    null id never is. Repeated rows have the same result each, and an empty table gives no rows. Other columns, of whatever names,
+    go into rest. Lowers the session's limits on Arrow batches (bound_batches).
     """
     spark = documents.sparkSession
     bound_batches(spark)
     ids = materialize(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted")).where("trusted IS NOT NULL").distinct(), "trusted")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = documents.join(near, documents[id_col] == F.col("trusted"), "left_semi")
-    halves = [trusted.where(F.pmod(F.xxhash64(id_col), F.lit(2)) == half) for half in (0, 1)]
-    unseen = []
-    for half in (0, 1):
-        other = spark.sparkContext.broadcast(train(halves[1 - half], text_col))
-        scores, held = _scored(halves[half], other, train_words(halves[1 - half], other, text_col), text_col)
-        unseen.append(materialize(scores.select(F.col(f"rest.{lang_col}").alias("lang"), "size", "log_perplexity"), "scores"))
-        for sent in (other, *held):
-            sent.destroy()
-    limits = materialize(thresholds(unseen[0].unionAll(unseen[1]), quantile, margin), "thresholds")
-    shared = spark.sparkContext.broadcast(train(trusted, text_col))
+    scores = log_perplexities(documents, trusted, text_col)
+    known = F.broadcast(scores) if scores.count() <= BROADCAST_TEXTS else scores
+    judged = trusted.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("key")).join(known, "key")
+    limits = materialize(thresholds(judged, quantile), "thresholds")
     overall = limits.where("level = 0").select(F.col("threshold").alias("overall")).first()
-    scored = _scored(documents, shared, train_words(trusted, shared, text_col), text_col)[0].withColumn("of", F.col(f"rest.{lang_col}"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"), F.when(F.length(text_col) > 0, F.xxhash64(text_col)).alias("key"), F.col(lang_col).alias("of"))
+    scored = rows.join(known, "key", "left")
     own = limits.where("level = 1").select(F.col("lang").alias("own_lang"), "n", "threshold")
-    joined = scored.join(F.broadcast(own), scored["of"].eqNullSafe(own["own_lang"]), "left")
+    joined = scored.join(F.broadcast(own), F.col("of").eqNullSafe(F.col("own_lang")), "left")
     alike = limits.where("level = 2").select(F.col("lang").alias("alike_lang"), F.col("size").alias("alike_size"), F.col("n").alias("alike_n"), F.col("threshold").alias("alike"))
-    joined = joined.join(F.broadcast(alike), scored["of"].eqNullSafe(alike["alike_lang"]) & (F.col("size") == F.col("alike_size")), "left")
-    of_all = F.lit(overall[0] if overall else None).cast("double")
-    lean = lambda wide, own, n: F.coalesce(wide + (F.col(own) - wide) * F.col(n) / (F.col(n) + FEW), wide)
-    limit = lean(lean(F.coalesce(of_all, F.lit(float("inf"))), "threshold", "n"), "alike", "alike_n")
+    joined = joined.join(F.broadcast(alike), F.col("of").eqNullSafe(F.col("alike_lang")) & (F.col("size") == F.col("alike_size")), "left")
+    of_all = F.coalesce(F.lit(overall[0] if overall else None).cast("double"), F.lit(float("inf")))
+    lean: Callable[[Column, str, str], Column] = lambda wide, own, n: F.coalesce(wide + (F.col(own) - wide) * F.col(n) / (F.col(n) + FEW), wide)
+    limit = lean(lean(of_all, "threshold", "n"), "alike", "alike_n")
     return joined.select("rest", "text", "log_perplexity", limit.alias("threshold"), F.coalesce(F.col("log_perplexity") <= limit, F.lit(False)).alias("kept"))
 
 

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import bound_batches, materialize
-from tessera.llm.tokens import Slice, rolling, slices, span_hash
+from tessera.llm.storage import bound_batches, discard, materialize
+from tessera.llm.tokens import Slice, mix, slices, span_hash
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -21,9 +21,10 @@ ANCHOR = 64
 BUCKET_BYTES, MOST_SEGMENTS = 1 << 18, 1 << 10
 #: Windows of the pieces that segments of an anchor with more are cut into, step by step.
 PIECES = (16, 1)
-#: Ids are broadcast up to this many; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-_NO_ID = (1 << 63) - 1
+#: Rows' names are broadcast up to this many (about 25 MB); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Bytes searched for anchors at once: a place takes so many bits, and the other bits of a number are the hash's, for texts of any length.
+PLACE_BITS = 24
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -112,27 +113,59 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(marked[b : b + s]) for b, s in zip(begins, sizes)]
 
 
-def anchors(part: Slice, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(hash, row, first start, last start, segment hash, segment begin, segment end, anchor) of each run of windows with one anchor.
+_BASE = 0x9E3779B97F4A7C15
 
-    A window's anchor depends on its bytes alone, so windows of equal bytes have equal anchors, equally placed.
-    """
-    n = len(part.buffer)
-    if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(8))
-    sums = rolling(part.buffer)
-    at = np.arange(n - anchor + 1)
-    hashes = span_hash(sums, at, at + anchor)
+
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_KEPT: dict[str, np.ndarray] = {}
+
+
+def _rolled(buffer: np.ndarray, width: int) -> np.ndarray:
+    """A number for each string of width bytes, from its bytes alone. It only orders and groups strings; what is equal is decided by bytes."""
+    n = len(buffer) + 1
+    if len(_KEPT.get("up", ())) < n:
+        _KEPT["up"], _KEPT["down"] = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(_BYTE[buffer] * _KEPT["up"][: n - 1], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * _KEPT["down"][: n - width])
+
+
+def _anchor_places(buffer: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each string of anchor bytes, place of each window's anchor)."""
+    hashes = _rolled(buffer, anchor)
     width = length - anchor + 1
+    low = np.uint64((1 << PLACE_BITS) - 1)
     # the upper hash bits, then the place: the least is the leftmost of the least-hashed
-    bits = np.uint64(max(1, int(n).bit_length()))
-    least = ((hashes >> bits) << bits) | at.astype(np.uint64)
+    least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     have = 1
     while have * 2 <= width:
         least = np.minimum(least[: len(least) - have], least[have:])
         have *= 2
-    least = np.minimum(least[: n - length + 1], least[width - have : width - have + n - length + 1])
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    n = len(buffer) - length + 1
+    least = np.minimum(least[:n], least[width - have : width - have + n])
+    return hashes, (least & low).astype(np.int64)
+
+
+def anchors(part: Slice, length: int, anchor: int, most: int = 1 << PLACE_BITS) -> tuple[np.ndarray, ...]:
+    """(hash, row, first start, last start, segment hash, segment begin, segment end, anchor) of each run of windows with one anchor.
+
+    A window's anchor depends on its bytes alone, so windows of equal bytes have equal anchors, equally placed, in texts of any length.
+    """
+    n = len(part.buffer)
+    if n < length:
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
+    hashes, places = [], []
+    for first in range(0, n - length + 1, most - length + 1):
+        own, place = _anchor_places(part.buffer[first : first + most], length, anchor)
+        places.append(place + first)
+        hashes.append(own if first + most >= n else own[: most - length + 1])
+    hashes, place = np.concatenate(hashes), np.concatenate(places)
     starts = np.arange(n - length + 1)
     sizes = np.diff(part.offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)[: len(starts)]
@@ -144,12 +177,12 @@ def anchors(part: Slice, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate([new[1:] - 1, [len(starts) - 1]])
     begin, end = starts[new], starts[last] + length
     zero = part.offsets[row[new]]
-    return hashes[place[new]].view(np.int64), row[new], begin - zero, starts[last] - zero, span_hash(sums, begin, end).view(np.int64), begin, end, place[new]
+    return hashes[place[new]].view(np.int64), row[new], begin - zero, starts[last] - zero, span_hash(part.buffer, begin, end).view(np.int64), begin, end, place[new]
 
 
 def _text_key(text: bytes) -> int:
-    """Tells rows of one id apart."""
-    return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF
+    """With the row's name, tells texts apart."""
+    return xxhash.xxh3_64_intdigest(text) & ((1 << 63) - 1)
 
 
 def _emit_anchors(length: int, anchor: int):
@@ -256,7 +289,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFrame:
     """(h, s, first, last): runs of repeated starts of each segment (h, s, segment, anchor, n), whose equal ones are counted first."""
-    segments = materialize(segments.groupBy("h", "s").agg(F.sum("n").alias("n"), F.max("segment").alias("segment"), F.max("anchor").alias("anchor")), "segments")
+    # by bytes, not by hash
+    segments = materialize(segments.groupBy("h", "s", "segment").agg(F.sum("n").alias("n"), F.max("anchor").alias("anchor")), "segments")
     per_anchor = segments.groupBy("h").agg(F.count("*").alias("variants"))
     # equal segments repeat in whole, the others where they are like another of their anchor
     whole = segments.where("n > 1").select("h", "s", F.lit(0).cast("long").alias("first"), (F.octet_length("segment") - length).cast("long").alias("last"))
@@ -279,8 +313,8 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Exact over whole texts as UTF-8 bytes; matches never cross documents. One suffix array of everything would hold a row per
     byte, so the bytes are dealt out first: each window of `length` bytes has an anchor, and equal windows have equal anchors.
-    Anchors that occur once have no repeated window. The windows of one anchor in one place are a segment; equal segments
-    are counted with a map-side combine, and repeat in whole. Different segments of an anchor go to one bucket, whose
+    Anchors that occur once have no repeated window. The windows of one anchor in one place are a segment; segments of equal bytes
+    would stand side by side in the array, all of them repeated, so they are counted with a map-side combine first. Different segments of an anchor go to one bucket, whose
     suffix array is made by two-stage sorting; adjacent common prefixes of `length` mark repeated windows. The
     segments of an anchor with more than MOST_SEGMENTS different ones are cut into pieces of fewer windows each, in two steps,
     and grouped again by the bytes that all windows of a piece share. Pieces of one window have a group for each content, so
@@ -288,14 +322,17 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Returns one row per input row: id, kept (remaining bytes; may cut a character), n_bytes, n_removed, spans (maximal removed
     runs, [start, end) in bytes). Null texts are empty; texts shorter than `length` are kept whole; equal rows repeat each
-    other, so both lose all. An empty table gives no rows. Other columns are ignored.
+    other, so both lose all. Ids of any type, repeated or null, only go along: each row is a text of its own. An empty table gives
+    no rows. Other columns are ignored. A text, and what it loses, fit one row (2 GB). Lowers the session's limits on Arrow batches (bound_batches).
     """
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    # a row's name: equal rows have one, and the same spans
+    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     long_rows = rows.where(F.octet_length("text") >= length)
     found = materialize(long_rows.select("doc", "text").mapInArrow(_emit_anchors(length, anchor), "h long, doc long"), "all-anchors")
     twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     listed = materialize(found.join(twice, "h").groupBy("doc").agg(F.collect_set("h").alias("hashes")), "candidates")
+    discard(found, twice)
     ids = listed.select("doc")
     some = ids.count() <= BROADCAST_IDS
     near = F.broadcast(ids) if some else ids
@@ -304,7 +341,10 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = materialize(candidates.mapInArrow(_emit_segments(length, anchor, False), "h long, s long, doc long, key long, lo long, hi long"), "places")
     segments = candidates.mapInArrow(_emit_segments(length, anchor, True), "h long, s long, segment binary, anchor long").withColumn("n", F.lit(1).cast("long"))
     spans = materialize(_repeats(segments, length, PIECES), "ranges")
-    lost = places.join(spans, ["h", "s"]).groupBy("doc").agg(F.collect_list(F.struct("key", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + length).alias("hi"))).alias("spans"))
+    # of equal rows, each range once
+    lost = places.join(spans, ["h", "s"]).select("doc", "key", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + length).alias("hi")).distinct()
+    lost = materialize(lost.groupBy("doc").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("spans")), "spans")
+    discard(places, spans)
     none = F.lit(None).cast("array<struct<key: bigint, lo: bigint, hi: bigint>>").alias("spans")
     if some:
         done = rows.join(near, "doc", "left_semi").join(lost, "doc", "left").select("id", "text", "spans").unionAll(rows.join(near, "doc", "left_anti").select("id", "text", none))

@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-
 
 def _splitmix_table(seed: int, n: int) -> np.ndarray:
     """n fixed 64-bit numbers (splitmix64 from seed)."""
@@ -28,48 +27,33 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = _splitmix_table(7, 256)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            grown = []
-            for base in (_BASE, _INVERSE):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                grown.append(np.multiply.accumulate(x))
-            if n > 4 * SLICE_BYTES:  # not kept for one very long text
-                return grown[0], grown[1]
-            self.up, self.down = grown
-        return self.up, self.down
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
-_POWERS = _Powers()
-
-
-def rolling(buffer: np.ndarray) -> np.ndarray:
-    """Prefix sums s such that span_hash(s, a, b) names the bytes [a, b)."""
-    up, _ = _POWERS.get(len(buffer) + 1)
-    out = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTES[buffer] * up[: len(buffer)], out=out[1:])
+def span_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, the same wherever the span stands: eight bytes at a time are added and mixed."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _SEED)
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buffer) + 1,), "<u8", padded.data, strides=(1,))
+    with np.errstate(over="ignore"):
+        at = np.flatnonzero(size <= LONG_WORD)
+        k = 0
+        while len(at):
+            left = size[at] - k
+            block = eight[starts[at] + k]
+            short = left < 8
+            block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            out[at] = mix(out[at] + block)
+            k += 8
+            at = at[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes())
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, the same wherever the span stands."""
-    _, down = _POWERS.get(len(sums))
-    value = (sums[ends] - sums[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def byte_class(separators: str | bytes | list[int], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(is a word byte, translation) tables of 256 entries."""
     word = np.ones(256, bool)
@@ -148,7 +132,7 @@ def words(part: Slice, classes: tuple[np.ndarray, np.ndarray]) -> Words:
 
 def word_hashes(part: Slice, found: Words, classes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """64-bit hash of each word after translation (A-Z lower-cased)."""
-    return span_hash(rolling(classes[1][part.buffer]), found.starts, found.ends)
+    return span_hash(classes[1][part.buffer], found.starts, found.ends)
 
 
 _ORDER = _splitmix_table(99, 64)
