@@ -24,7 +24,7 @@ QUANTILE = 0.995
 #: Trusted documents at which a group's own quantile and that of the larger group weigh the same.
 FEW = 10
 #: Trusted bytes for a shard of pairs and words, about, and words that a task packs at once.
-SHARD_BYTES, CHUNK = 6 << 20, 1 << 20
+SHARD_BYTES, CHUNK = 3 << 20, 1 << 19
 #: The model is looked up in this many rounds, each by a part of its shards, so that shuffle files of one round are on disk at a time.
 ROUNDS = 4
 #: Bytes of documents whose look-ups meet one copy of a shard, about; more look-ups get more copies.
