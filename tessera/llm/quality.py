@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,7 +253,7 @@ def _sum_words(key: tuple, table: pa.Table) -> pa.Table:
     if kind:
         x, of = np.unique(_unpack(b"".join(table.column("a").to_pylist())), return_inverse=True)
         *sums, n = (np.bincount(of, _all(table.column(c), np.float32), len(x)) for c in "bcd")
-        return _table([(1, shard, _pack(x), *[(y / n).astype(np.float16).tobytes() for y in sums], b"", b"", [])], _NAMES, _KINDS)
+        return _table([(1, shard, _pack(x), *[(y / n).astype(np.float32).tobytes() for y in sums], b"", b"", [])], _NAMES, _KINDS)
     v, w = (_unpack(b"".join(table.column(c).to_pylist())) for c in "ab")
     n, half = _all(table.column("c"), np.uint32), _all(table.column("d"), np.uint8)
     _, at, of = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
@@ -285,7 +286,7 @@ def _word_counts(d: list[np.ndarray], n_shards: int):
             out = []
             for row in batch.to_pylist():
                 if row["kind"]:
-                    out.append((row["shard"], 1, row["a"], np.stack([np.frombuffer(row[c], np.float16) for c in "bc"]).astype(np.float32).tobytes()))
+                    out.append((row["shard"], 1, row["a"], np.stack([np.frombuffer(row[c], np.float32) for c in "bc"]).tobytes()))
                     continue
                 x, v, w, *n = _opened(row)
                 of = [np.bincount(v, c, len(x)) for c in n] + [np.bincount(v, _given_up(d[k], n[k]), len(x)) for k in (0, 1)] + [np.bincount(w, c > 0, len(x)) for c in n]
@@ -427,13 +428,13 @@ def train_words(trusted: DataFrame, shared, n_shards: int) -> tuple[list[DataFra
     return model, unigrams.new
 
 
-_LOOKED = pa.schema([("slot", pa.int32()), ("salt", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("value", pa.binary())])
-_LOOKED_SQL = "slot int, salt int, docs binary, sizes binary, low binary, value binary"
+_LOOKED = pa.schema([("slot", pa.int32()), ("salt", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("value", pa.binary())])
+_LOOKED_SQL = "slot int, salt int, chunk long, docs binary, sizes binary, low binary, value binary"
 
 
 def _look_up(n_shards: int, r: int, copies: int):
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows for a shard: documents, number of entries of each, and the entries with how often the document has them."""
+        """Rows for a shard: documents by their place in the chunk, number of entries of each, and the entries with how often the document has them; and a row of the chunk's documents, for no shard."""
         held: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         size = n_chunks = 0
@@ -445,10 +446,11 @@ def _look_up(n_shards: int, r: int, copies: int):
             slot = (keys >> np.uint64(32)).astype(np.int64) & 0xFFFFF
             order = np.argsort(slot.astype(np.uint16) if 2 * n_shards < 1 << 16 else slot, kind="stable")
             slot, doc, low, counts = slot[order], doc[order], keys[order].astype(np.uint32), counts[order].astype(np.uint32)
-            out = []
+            chunk = xxhash.xxh3_64_intdigest(of.tobytes()) - (1 << 63)
+            out = [(-1, n_chunks % copies, chunk, of.tobytes(), None, None, None)]
             for s, lo, hi in _ranges(slot, 2 * n_shards):
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(doc[lo:hi])) + 1, [hi - lo]])
-                out.append((s, n_chunks % copies, of[doc[lo:hi][edges[:-1]]].tobytes(), np.diff(edges).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), counts[lo:hi].tobytes()))
+                out.append((s, n_chunks % copies, chunk, doc[lo:hi][edges[:-1]].astype(np.uint32).tobytes(), np.diff(edges).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), counts[lo:hi].tobytes()))
             return _batch(out, _LOOKED)
 
         for batch in batches:
@@ -476,13 +478,20 @@ def _look_up(n_shards: int, r: int, copies: int):
     return look_up
 
 
+_GAINED = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())])
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, gained) of documents, by shard. Rows come by slot and salt, the model's entries first."""
+    """(chunk, documents' places, sums of their entries' gains) by shard, and chunks' documents. Rows come by slot and salt, the model's entries first."""
     now, table = None, (np.zeros(0, np.uint32), np.zeros(0, np.int16))
     for batch in batches:
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = []
         for row in batch.to_pylist():
-            low, place = np.frombuffer(row["low"], np.uint32), (row["slot"], row["salt"])
+            place = row["slot"], row["salt"]
+            if row["low"] is None:
+                out.append((row["chunk"], row["docs"], None))
+                continue
+            low = np.frombuffer(row["low"], np.uint32)
             if row["docs"] is None:
                 more = low, np.frombuffer(row["value"], np.int16)
                 if now == place:
@@ -495,9 +504,19 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(table[0], low), len(table[0]) - 1)
             gained = np.where(table[0][at] == low, table[1][at].astype(np.int64), 0) * np.frombuffer(row["value"], np.uint32)
             sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-            keys.append(np.frombuffer(row["docs"], np.int64))
-            sums.append(np.add.reduceat(gained, np.cumsum(sizes) - sizes))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sums))], names=["key", "gained"])
+            out.append((row["chunk"], row["docs"], np.add.reduceat(gained, np.cumsum(sizes) - sizes).tobytes()))
+        yield _batch(out, _GAINED)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """(key, gained) of a chunk's documents."""
+    rows = table.to_pylist()
+    keys = np.frombuffer(next(r["docs"] for r in rows if r["sums"] is None), np.int64)
+    total = np.zeros(len(keys), np.int64)
+    for r in rows:
+        if r["sums"] is not None:
+            np.add.at(total, np.frombuffer(r["docs"], np.uint32), np.frombuffer(r["sums"], np.int64))  # a document comes once for its pairs and once for its words
+    return pa.table({"key": pa.array(keys), "gained": pa.array(total)})
 
 
 def _spell(shared, new: list[float]):
@@ -533,9 +552,9 @@ def log_perplexities(documents: DataFrame, trusted: DataFrame, text_col: str) ->
     parts = []
     for r, entries in enumerate(model):
         none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "sizes")]
-        copied = entries.select("slot", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), *none, "low", "value")
+        copied = entries.select("slot", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), F.lit(0).cast("long").alias("chunk"), *none, "low", "value")
         met = copied.unionAll(texts.mapInArrow(_look_up(n_shards, r, copies), _LOOKED_SQL)).repartition("slot", "salt").sortWithinPartitions("slot", "salt", F.col("docs").isNotNull())
-        parts.append(materialize(met.mapInArrow(_probe, "key long, gained long").groupBy("key").agg(F.sum("gained").alias("gained")), "gained"))
+        parts.append(materialize(met.mapInArrow(_probe, "chunk long, docs binary, sums binary").groupBy("chunk").applyInArrow(_gather, "key long, gained long"), "gained"))
         discard(entries)
     shared.destroy()
     gained = parts[0]
