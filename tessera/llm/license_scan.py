@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: License notices by SPDX identifier.
 TEMPLATES = {
@@ -33,13 +31,19 @@ NOTICES = {
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
 }
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
 #: Words by this pattern, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What stands between words.
+_BETWEEN = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def _words(text: str) -> list[str]:
@@ -57,22 +61,41 @@ def _must(known: list[list[str]], reach: float) -> list[str]:
     return sorted({max(g.split(" "), key=lambda w: (len(w), w)) for b in known for g in sorted(b, key=lambda g: -max(map(len, g.split(" "))))[: len(b) - math.ceil(reach * len(b) - 1e-9) + 1]})
 
 
-def _anywhere(texts: DataFrame, templates: Mapping[str, str], notices: Mapping[str, list[str]], threshold: float) -> DataFrame:
-    """(id, same, passage, license, n_bigrams, dice): the best window of each license, of as many words as a template of it, whatever the lines; passage is the window's first line.
+def _literals(items: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in items])
+
+
+def _once(rows: DataFrame, name: str, made: Column, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a column that expressions over it don't compute again, as a projection may."""
+    return rows.select(*[c for c in rows.columns if c not in drop], F.explode(F.array(made)).alias(name))
+
+
+def _spoken(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _passage_matches(templates: Mapping[str, list[str]], threshold: float) -> Column:
+    """(passage, license, n_bigrams, dice) of the passages' sets of bigrams that match a template."""
+    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).cast("long").alias("size"), _literals(b).alias("grams")) for k, b in templates.items()])
+
+    def of(passage: Column) -> Column:
+        n = F.size(passage["grams"]).cast("long")
+        fits = F.filter(listed, lambda t: F.lit(2.0) * F.least(t["size"], n) >= F.lit(threshold) * (t["size"] + n))
+        dice = lambda t: F.lit(2.0) * F.size(F.array_intersect(passage["grams"], t["grams"])) / (t["size"] + n)
+        return F.filter(F.transform(fits, lambda t: F.struct(passage["passage"].alias("passage"), t["license"].alias("license"), n.alias("n_bigrams"), dice(t).alias("dice"))), lambda m: m["dice"] >= threshold)
+
+    return F.flatten(F.transform("sets", of))
+
+
+def _window_matches(known: list[tuple[str, int, list[str]]], threshold: float) -> Column:
+    """(passage, license, n_bigrams, dice): the best window of each license, of as many words as a template of it, whatever the lines; passage is the window's first line.
 
     A window that starts before its first bigram of the template is no better than the one that starts there, so only those are tried.
     """
-    known = [(k, _words(v)) for k, v in [*templates.items(), *((k, v) for k, vs in notices.items() for v in vs)]]
-    known = [(k, len(w) - 1, _bigrams(w)) for k, w in known if len(w) > 1]
     reach = threshold / (2 - threshold)
-    may_match = reduce(lambda a, b: a | b, [F.contains(F.col("lowered"), F.lit(w)) for w in _must([b for _, _, b in known], reach)])
-    spoken = F.flatten(F.transform(F.split("lowered", "\n", -1), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.struct((i + 1).alias("line"), w.alias("w")))))
-    said = texts.where(may_match).select("id", "same", F.explode(F.array(spoken)).alias("said")).where(F.size("said") > 1)
-    grams = F.transform(F.sequence(F.lit(0), F.size("said") - 2), lambda i: F.concat_ws(" ", F.get("said", i)["w"], F.get("said", i + 1)["w"]))
-    said = said.select("id", "same", F.transform("said", lambda s: s["line"]).alias("line"), F.explode(F.array(grams)).alias("grams"))
-
-    def best(size: int, bigrams: list[str]):
-        these = F.array(*[F.lit(g) for g in bigrams])
+
+    def best(size: int, bigrams: list[str]) -> Column:
+        these = _literals(bigrams)
         starts = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(these, g), i)), lambda i: i.isNotNull())
         window = lambda i: F.array_distinct(F.slice("grams", i + 1, F.lit(size)))
         scored = F.transform(starts, lambda i: F.struct((F.lit(2.0) * F.size(F.array_intersect(window(i), these)) / (F.lit(len(bigrams)) + F.size(window(i)))).alias("dice"), (-i).alias("back"), F.size(window(i)).cast("long").alias("n_bigrams")))
@@ -81,77 +104,81 @@ def _anywhere(texts: DataFrame, templates: Mapping[str, str], notices: Mapping[s
 
     of = {k: [best(n, b) for name, n, b in known if name == k] for k, _, _ in known}
     tops = F.array(*[F.struct(F.lit(k).alias("license"), F.array_max(F.array(*v)).alias("top")) for k, v in of.items()])
-    found = said.select("id", "same", "line", F.explode(tops).alias("m")).where("m.top IS NOT NULL")
-    return found.select("id", "same", F.get("line", -F.col("m.top.back")).alias("passage"), "m.license", F.col("m.top.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice"))
+    found = F.filter(tops, lambda m: m["top"].isNotNull())
+    return F.transform(found, lambda m: F.struct(F.get(F.col("said.line"), -m["top"]["back"]).alias("passage"), m["license"].alias("license"), m["top"]["n_bigrams"].alias("n_bigrams"), m["top"]["dice"].alias("dice")))
 
 
 def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, notices: Mapping[str, list[str]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """The best license of each passage (line) of each document, and of the whole text; and licenses that stand in the text otherwise.
 
     A license that matches neither a line nor the whole is looked for anywhere, in windows of its template's or notices' size:
-    inside a sentence, over several lines, in a longer text. It gives one row a document, of the best window.
+    inside a sentence, over several lines, in a longer text. It gives one row a document, of the best window, of these the first.
 
     A passage's and a template's sets of distinct word bigrams A, B match when 2 |A and B| / (|A| + |B|) >= threshold.
     Size bounds prune first: 2 min(|A|, |B|) / (|A| + |B|) must reach the threshold. They also bound the overlap from below:
-    a passage without a word of enough of each template's bigrams matches none, before any word is split.
+    a text or passage without a word of enough of each template's bigrams matches none, before any bigram is made.
 
     Returns one row per passage and template that match: id, passage (0: the whole text, else the line's number from 1; a window's first line),
     license, n_bigrams, dice. A one-line text gives its line only. Null and empty texts, passages of one word
-    and an empty table give no rows. Repeated rows repeat their matches. Other columns are ignored. Templates are part of
+    and an empty table give no rows. Each row is judged by itself, so repeated rows repeat their matches, and ids of any type, repeated or
+    null, go along. Other columns are ignored. Nothing is shuffled; a text's bigrams fit one row (2 GB). Templates are part of
     the plan, so their number and length should stay in the thousands.
     """
-    known = {k: _bigrams(_words(v)) for k, v in templates.items()}
-    known = {k: b for k, b in known.items() if b}
-    sizes = [len(b) for b in known.values()]
+    known = [(k, _words(v)) for k, v in [*templates.items(), *((k, v) for k, vs in notices.items() for v in vs)]]
+    known = [(k, len(w) - 1, _bigrams(w)) for k, w in known if len(w) > 1]
+    whole_known = {k: b for k, b in ((k, _bigrams(_words(v))) for k, v in templates.items()) if b}
     reach = threshold / (2 - threshold)
-    least, most = min(sizes) * reach, max(sizes) / reach
-    # each explode keeps what it made as a column, so that expressions over it don't make it again
-    lowered_once = F.explode(F.array(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    texts = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), lowered_once.alias("lowered"))
-    lowered = F.col("lowered")
-    lines = F.split(lowered, "\n", -1)
-    must = _must(list(known.values()), reach)
-    may_match = lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in must])
-    words = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("passage"), line.alias("line")))
-    numbered = F.transform(F.filter(numbered, lambda p: may_match(p["line"])), lambda p: F.struct(p["passage"].alias("passage"), words(p["line"]).alias("words")))
-    # the whole text is a passage too; one of a single line is that line
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("passage"), words(lowered).alias("words"))))
-    passages = texts.where(may_match(lowered)).select("id", "same", F.explode(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0)))).alias("p")).select("id", "same", "p.passage", "p.words")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
-    sets = (
-        passages.where(F.size("words") > least).select("id", "same", "passage", F.explode(F.array(grams)).alias("grams"))
-        .withColumn("n_bigrams", F.size("grams").cast("long")).where(F.col("n_bigrams").between(least, most))
-    )
-    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).cast("long").alias("size"), F.array(*[F.lit(g) for g in b]).alias("grams")) for k, b in known.items()])
-    fits = F.filter(listed, lambda t: F.lit(2.0) * F.least(t["size"], F.col("n_bigrams")) >= F.lit(threshold) * (t["size"] + F.col("n_bigrams")))
-    scored = sets.select("id", "same", "passage", "n_bigrams", F.explode(F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (t["size"] + F.col("n_bigrams"))).alias("dice")))).alias("m"))
-    found = scored.where(F.col("m.dice") >= threshold).select("id", "same", "passage", "m.license", "n_bigrams", "m.dice")
-    inside = _anywhere(texts, templates, notices, threshold).select(*found.columns, F.lit(1).alias("window"))
-    both = found.withColumn("window", F.lit(0)).unionAll(inside).withColumn("first", F.min("window").over(Window.partitionBy("id", "same", "license")))
-    return both.where(F.col("window") == F.col("first")).select(F.col("id").alias(id_col), "passage", "license", "n_bigrams", "dice")
+    sizes = [len(b) for b in whole_known.values()]
+    least, most = min(sizes, default=0) * reach, max(sizes, default=0) / reach
+    # lower-cased texts with a word that a match must hold
+    texts = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.where(F.arrays_overlap(F.split(F.translate("text", _UPPER + _BETWEEN, _UPPER.lower() + " " * len(_BETWEEN)), " "), _literals(_must([b for _, _, b in known], reach))))
+    texts = _once(texts, "lowered", F.translate("text", _UPPER, _UPPER.lower()), ("text",))
+    rows = _once(texts, "lines", F.transform(F.split("lowered", "\n", -1), lambda line, i: F.struct((i + 1).alias("passage"), _spoken(line).alias("words"))), ("lowered",))
+    rows = _once(rows, "said", F.flatten(F.transform("lines", lambda p: F.transform(p["words"], lambda w: F.struct(p["passage"].alias("line"), w.alias("w")))))).where(F.size("said") > 1)
+    rows = _once(rows, "grams", F.transform(F.sequence(F.lit(0), F.size("said") - 2), lambda i: F.concat_ws(" ", F.get("said", i)["w"], F.get("said", i + 1)["w"])))
+    # passages' sets of bigrams, of lines that could match and of the text; one of a single line is that line
+    must = _literals(_must(list(whole_known.values()), reach))
+    could = F.filter("lines", lambda p: (F.size(p["words"]) > max(least, 1)) & F.arrays_overlap(p["words"], must))
+    bigrams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
+    of_lines = F.transform(could, lambda p: F.struct(p["passage"].alias("passage"), bigrams(p["words"]).alias("grams")))
+    of_text = F.array(F.struct(F.lit(0).alias("passage"), F.array_distinct("grams").alias("grams")))
+    sets = F.concat(of_lines, F.when(F.size("lines") > 1, of_text).otherwise(F.slice(of_text, 1, 0)))
+    rows = _once(rows, "sets", F.filter(sets, lambda p: F.size(p["grams"]).between(least, most)), ("lines",))
+    rows = _once(rows, "matches", _passage_matches(whole_known, threshold), ("sets",))
+    elsewhere = F.filter(_window_matches(known, threshold), lambda m: ~F.exists("matches", lambda x: x["license"] == m["license"]))
+    found = rows.select("id", F.explode(F.concat("matches", elsewhere)).alias("m"))
+    return found.select(F.col("id").alias(id_col), "m.passage", "m.license", "m.n_bigrams", "m.dice")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _sql_values(items) -> str:
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in items)
+
+
 _WORD_SQL = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_GRAMS_SQL = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 OP10_SQL = f"""
-WITH lowered AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE length(text) > 0),
-passages AS (
-  SELECT doc_id, CAST(i AS INTEGER) AS passage, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM lowered), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)
-  UNION ALL SELECT doc_id, 0, text FROM lowered WHERE contains(text, chr(10))
-), bags AS (
-  SELECT doc_id, passage, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-  FROM (SELECT doc_id, passage, regexp_extract_all(line, '{_WORD_SQL}') AS w FROM passages)
-), known AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM (SELECT license, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_SQL}') AS w FROM (VALUES {_VALUES}) AS v(license, t))
-), scored AS (
+WITH lowered AS (SELECT doc_id, {_LOWER_SQL.format("text")} AS text FROM documents WHERE length(text) > 0),
+cut AS (SELECT doc_id, CAST(i AS INTEGER) AS passage, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM lowered), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+passages AS (SELECT * FROM cut UNION ALL SELECT doc_id, 0, text FROM lowered WHERE contains(text, chr(10))),
+bags AS (SELECT doc_id, passage, list_distinct({_GRAMS_SQL}) AS grams FROM (SELECT doc_id, passage, regexp_extract_all(line, '{_WORD_SQL}') AS w FROM passages)),
+lists AS (SELECT * FROM (VALUES {_sql_values(TEMPLATES.items())}) AS v(license, t)),
+all_lists AS (SELECT *, true AS short FROM lists UNION ALL SELECT *, false FROM (VALUES {_sql_values((k, v) for k, vs in NOTICES.items() for v in vs)}) AS v(license, t)),
+known AS (SELECT license, short, len(w) - 1 AS n, list_distinct({_GRAMS_SQL}) AS g FROM (SELECT license, short, regexp_extract_all({_LOWER_SQL.format("t")}, '{_WORD_SQL}') AS w FROM all_lists)),
+scored AS (
   SELECT doc_id, passage, license, len(grams) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(grams, g)) / (len(g) + len(grams)) AS dice
-  FROM bags JOIN known ON 2 * least(len(g), len(grams)) >= {THRESHOLD} * (len(g) + len(grams)) WHERE len(grams) > 0
-)
-SELECT doc_id, passage, license, n_bigrams, dice FROM scored WHERE dice >= {THRESHOLD}
+  FROM bags JOIN known ON short AND 2 * least(len(g), len(grams)) >= {THRESHOLD} * (len(g) + len(grams)) WHERE len(grams) > 0
+), matched AS (SELECT doc_id, passage, license, n_bigrams, dice FROM scored WHERE dice >= {THRESHOLD}),
+said AS (SELECT doc_id, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS place FROM (SELECT doc_id, passage AS line, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, passage, regexp_extract_all(line, '{_WORD_SQL}') AS w FROM cut))),
+texts AS (SELECT doc_id, lines, {_GRAMS_SQL} AS grams FROM (SELECT doc_id, list(w ORDER BY place) AS w, list(line ORDER BY place) AS lines FROM said GROUP BY doc_id HAVING count(*) > 1)),
+starts AS (SELECT doc_id, license, n, g, i, lines[i] AS passage, list_distinct(grams[i:i + n - 1]) AS part FROM (
+  SELECT doc_id, license, n, g, lines, grams, unnest(range(1, len(grams) + 1)) AS i FROM texts JOIN known ON len(list_intersect(list_distinct(grams), g)) >= ceil({THRESHOLD} / (2 - {THRESHOLD}) * len(g) - 1e-9)) WHERE list_contains(g, grams[i])),
+windows AS (SELECT doc_id, license, passage, len(part) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(part, g)) / (len(g) + len(part)) AS dice, i FROM starts),
+best AS (SELECT doc_id, passage, license, n_bigrams, dice FROM windows WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, i, n_bigrams DESC) = 1)
+SELECT * FROM matched UNION ALL SELECT best.* FROM best ANTI JOIN matched USING (doc_id, license)
 """
