@@ -10,16 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import bound_batches, materialize
+from tessera.llm.storage import bound_batches, discard, materialize
 from tessera.llm.tokens import mix
 
 #: Code points that a key needs to be looked up.
 MIN_KEY = 10
-#: Repeated lines of a shard, and rows that probe one copy of a shard, about.
+#: Distinct lines of a shard, and rows that probe one copy of a shard, about.
 SHARD_KEYS, PROBES = 1 << 18, 1 << 18
 #: Bits of a level of the perfect hash per key left.
 GAMMA = 2.0
-_NO_ID = (1 << 63) - 1
+#: Names of rows without an id are numbers from here, of their texts; ids are below.
+NO_ID = 1 << 62
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -105,7 +106,7 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     a, b = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in "ab")
     built = PerfectHash.build(a, b)
     at = built.index(a, b)
-    out = {"fingerprints": b, "counts": np.minimum(table.column("uses").to_numpy(), (1 << 32) - 1).astype(np.uint32), "owners": table.column("owner").to_numpy()}
+    out = {"fingerprints": b, "counts": table.column("count").to_numpy().astype(np.uint64), "owners": table.column("owner").to_numpy()}
     placed = {}
     for name, values in out.items():
         placed[name] = np.empty_like(values)
@@ -117,8 +118,8 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, a) of lines that another document owns. Rows come by (shard, salt), each shard's arrays first."""
-    now, held = None, None
+    """(doc, a) of lines that two documents or more have and another one owns. Rows come by (shard, salt), each shard's arrays first."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -131,15 +132,14 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, keys = [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
             if arrays[lo]:
-                row = {c: batch.column(c)[int(lo)] for c in ("levels", "fingerprints", "owners")}
-                now = (shard[lo], salt[lo])
-                held = PerfectHash.unpack(row["levels"].as_py()), np.frombuffer(row["fingerprints"].as_py(), np.uint64), np.frombuffer(row["owners"].as_py(), np.int64)
+                row = {c: batch.column(c)[int(lo)].as_py() for c in ("levels", "fingerprints", "counts", "owners")}
+                held = PerfectHash.unpack(row["levels"]), np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["counts"], np.uint64), np.frombuffer(row["owners"], np.int64)
                 lo += 1
-            if lo == hi or now != (shard[lo], salt[lo]):
-                continue  # a shard without repeated lines has no arrays
+            if lo == hi:
+                continue
             s = slice(lo, hi)
             at = held[0].index(a[s], b[s])
-            lose = (at >= 0) & (held[1][at] == b[s]) & (held[2][at] != doc[s])
+            lose = (at >= 0) & (held[1][at] == b[s]) & (held[2][at] >= 2) & (held[3][at] != doc[s])
             docs.append(doc[s][lose])
             keys.append(a[s][lose].view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs) if docs else [], pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["doc", "a"])
@@ -173,34 +173,38 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends, A-Z lower-cased. Keys of MIN_KEY code points or more
     found in at least two documents lose all their lines except in the smallest id holding them.
 
-    Keys are 128-bit hashes. Distinct keys of at least two documents are counted with a map-side combine and dealt into
-    shards of about shard_keys by the hash; each shard becomes a minimal perfect hash with arrays of fingerprints (64 more
-    bits of the hash), counts and owners. Every document's keys then probe the arrays of their shard; a shard with many
+    Keys are 128-bit hashes. Distinct keys are counted with a map-side combine and dealt into shards of about shard_keys by
+    the hash; each shard becomes a minimal perfect hash with arrays of fingerprints (64 more bits of the hash), counts of
+    documents and owners. Every document's keys then probe the arrays of their shard; a shard with many
     probes, as one of a line that a third of all documents hold, is copied so that a copy gets about `probes`, and
     rows stream past the arrays, so no group is held in memory. What a document loses goes back to it by id.
 
-    Returns one row per input row: rest (struct of the other input columns), text (kept lines joined by newlines),
-    n_lines (before), n_dropped. Null and empty texts have one empty line. Rows of one id are one document; null ids
-    are one document that comes last. An empty table gives no rows.
+    Returns one row per input row: rest (struct of the other input columns, of whatever names), text (kept lines joined by
+    newlines), n_lines (before), n_dropped. Null and empty texts have one empty line. Ids are integers below 2 ** 62. Rows of
+    one id are one document; rows without an id come last and are documents of their own, but for those of equal texts, which are
+    one. An empty table gives no rows. What one document loses fits one row (2 GB). Lowers the session's limits on Arrow batches (bound_batches).
     """
     spark = documents.sparkSession
     bound_batches(spark)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
     lines = materialize(documents.select(doc.alias("doc"), F.col(text_col).alias("text")).mapInArrow(_hash_lines, "a long, b long, doc long"), "lines")
-    repeated = lines.groupBy("a", "b").agg(F.count("*").alias("uses"), F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").drop("last")
-    repeated = materialize(repeated, "repeated-lines")
-    n_shards = max(1, -(-repeated.count() // shard_keys))
+    total = lines.count()
+    n_shards = max(1, -(-total // shard_keys))
     shard = F.pmod("b", F.lit(n_shards)).cast("int")
-    shards = materialize(repeated.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, SHARDS), "line-shards")
+    counted = lines.groupBy("a", "b").agg(F.count("*").alias("uses"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    # rows of one id are one document
+    counted = counted.select("a", "b", "uses", "owner", F.when(F.col("owner") == F.col("last"), 1).otherwise(F.col("uses")).alias("count"), shard.alias("shard"))
+    shards = materialize(counted.groupBy("shard").applyInArrow(_build, SHARDS), "line-shards")
     # one row per shard: its number of copies
-    even = lines.count() / n_shards
-    copies = spark.createDataFrame([(r.shard, int((r.uses + even) // probes) + 1) for r in shards.select("shard", "uses").toLocalIterator()], "shard int, copies int")
-    copied = shards.join(F.broadcast(copies), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "levels", "fingerprints", "owners", *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "doc")])
+    copies = spark.createDataFrame([(r.shard, int(r.uses // probes) + 1) for r in shards.select("shard", "uses").toLocalIterator()], "shard int, copies int")
+    arrays = ("fingerprints", "counts", "owners")
+    copied = shards.join(F.broadcast(copies), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "levels", *arrays, *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "doc")])
     asked = lines.withColumn("shard", shard).join(F.broadcast(copies), "shard").select(
-        "shard", F.pmod(F.xxhash64("doc"), "copies").cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("levels"), *[F.lit(None).cast("binary").alias(c) for c in ("fingerprints", "owners")], "a", "b", "doc"
+        "shard", F.pmod(F.xxhash64("doc"), "copies").cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("levels"), *[F.lit(None).cast("binary").alias(c) for c in arrays], "a", "b", "doc"
     )
     met = copied.unionAll(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("levels").isNull())
-    lost = met.mapInArrow(_probe, "doc long, a long").groupBy("doc").agg(F.collect_list("a").alias("lost"))
+    lost = materialize(met.mapInArrow(_probe, "doc long, a long").groupBy("doc").agg(F.collect_set("a").alias("lost")), "lost-lines")
+    discard(lines, shards)
     rows = documents.select(doc.alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
     joined = rows.join(lost, rows.key == lost.doc, "left").select("rest", "text", "lost")
     return joined.mapInArrow(_apply, f"rest {joined.schema['rest'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
