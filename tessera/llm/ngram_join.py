@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.storage import bound_batches, materialize
+from tessera.llm.storage import bound_batches, discard, materialize
 from tessera.llm.tokens import SPACED, Slice, mix, shingles, slices, word_hashes, words
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -21,11 +21,14 @@ GROUPS = 64
 COUNTED = 0.3
 #: Members of its blocks that a document meets first. More leave fewer pairs to the trees; the result is the same.
 HUBS = 4
-#: Bytes of a leaf's sets, about.
-LEAF_BYTES = 1 << 20
-#: Ids are broadcast up to this many (about 50 MB); beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-_NO_ID = (1 << 63) - 1
+#: Bytes of a tree's sets, about, and points of a leaf and nodes of an inner node.
+TREE_BYTES, FANOUT = 1 << 20, 8
+#: Pairs of nodes that are compared at once.
+PAIRS = 1 << 14
+#: Rows' names are broadcast up to this many (about 25 MB); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Names of rows without an id are numbers from here, of their texts; ids are below.
+NO_ID = 1 << 62
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 
 
@@ -50,12 +53,12 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _digests(size: int):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc, n, d1, d2): equal for rows of equal sets."""
+        """(doc, row, n, d1, d2): n, d1 and d2 are equal for rows of equal sets."""
         for batch in batches:
             for part in slices(batch.column("text")):
                 value, _, n = _sets(part, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(part.first, part.last - part.first), pa.array(n), pa.array(_sums(value, n)), pa.array(_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D)), n))], names=["doc", "n", "d1", "d2"]
+                    [*[batch.column(c).slice(part.first, part.last - part.first) for c in ("doc", "row")], pa.array(n), pa.array(_sums(value, n)), pa.array(_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D)), n))], names=["doc", "row", "n", "d1", "d2"]
                 )
 
     return digests
@@ -63,13 +66,13 @@ def _digests(size: int):
 
 def _counted(size: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(h, doc) of the shingles that are counted."""
+        """(h, row) of the shingles that are counted."""
         for batch in batches:
-            docs = batch.column("doc").to_numpy()
+            docs = batch.column("row").to_numpy()
             for part in slices(batch.column("text")):
                 value, row, _ = _sets(part, size)
                 keep = value < _LIMIT
-                yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(docs[part.first + row[keep]])], names=["h", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(docs[part.first + row[keep]])], names=["h", "row"])
 
     return counted
 
@@ -108,52 +111,111 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(_reaches(F.col("shared"), F.size("ha"), F.size("hb"), percent)).select("a", "b")
 
 
-def _points(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, n, component, vec, hashes, bounds of each set) of the leaf in row i, by size."""
-    leaf = column[i].values
-    doc, n, component = (leaf.field(c).to_numpy() for c in ("doc", "n", "component"))
-    vec = leaf.field("vec").flatten().to_numpy().reshape(len(doc), GROUPS)
-    return doc, n, component, vec, leaf.field("hashes").flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+class Tree:
+    """An R-tree of the points in one row, bulk-loaded: sorted by their code, FANOUT points to a leaf and FANOUT nodes to an inner node.
+
+    A node knows the greatest coordinates below it (its corner), least and greatest size, and the component if there is one only.
+    """
+
+    def __init__(self, points: pa.StructArray) -> None:
+        doc, n, component, code = (points.field(c).to_numpy() for c in ("doc", "n", "component", "code"))
+        at = np.concatenate([[0], np.cumsum(n)])
+        flat = points.field("hashes").flatten().to_numpy().view(np.uint64)
+        vec = points.field("vec").flatten().to_numpy().reshape(len(doc), GROUPS)
+        order = np.lexsort((n, code.view(np.uint64)))
+        self.doc, self.n, self.component = doc[order], n[order], component[order]
+        self.sets = [flat[at[i] : at[i + 1]] for i in order]
+        #: Levels from the points up, each (corners, least sizes, greatest sizes, components).
+        self.levels = [(vec[order], self.n, self.n, self.component)]
+        while len(self.levels[-1][1]) > FANOUT:
+            corner, least, most, own = self.levels[-1]
+            cut = np.arange(0, len(least), FANOUT)
+            low, high = np.minimum.reduceat(own, cut), np.maximum.reduceat(own, cut)
+            self.levels.append((np.maximum.reduceat(corner, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.where(low == high, low, -1)))
+
+
+def _children(nodes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which node, child) of all children of nodes, of n on the level below."""
+    counts = np.minimum(nodes * FANOUT + FANOUT, n) - nodes * FANOUT
+    which = np.repeat(np.arange(len(nodes)), counts)
+    return which, nodes[which] * FANOUT + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _may_meet(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether any points below nodes i and j, of two components, could share as much as a link needs: bounded by the summed minima of their corners."""
+    ok = (b[2][j] * 100 >= a[1][i] * percent) & (a[2][i] * 100 >= b[1][j] * percent) & ((a[3][i] != b[3][j]) | (a[3][i] < 0))
+    some = np.flatnonzero(ok)
+    most = np.minimum(a[0][i[some]], b[0][j[some]]).sum(1)
+    ok[some] = most * 100 >= (a[1][i[some]] + b[1][j[some]] - most) * percent
+    return ok
+
+
+def meet(a: Tree, b: Tree, same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between points of two trees, which are descended together; of links that join the same components one is enough."""
+    names, where = np.unique(np.concatenate([a.component, b.component]), return_inverse=True)
+    mine, theirs = where[: len(a.doc)], where[len(a.doc) :]
+    joined = np.arange(len(names))
+    top = max(len(a.levels), len(b.levels)) - 1
+    level_of = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
+    i, j = (x.ravel() for x in np.meshgrid(*[np.arange(len(level_of(t, top)[1])) for t in (a, b)], indexing="ij"))
+    todo = [(top, i, j)]
+    while todo:
+        level, i, j = todo.pop()
+        if len(i) > PAIRS:
+            todo += [(level, i[PAIRS:], j[PAIRS:])]
+            i, j = i[:PAIRS], j[:PAIRS]
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        ok = _may_meet(level_of(a, level), level_of(b, level), i, j, percent)
+        i, j = i[ok], j[ok]
+        if level:
+            # a tree that isn't as high stays at its top until the other has come down to it
+            if level < len(a.levels):
+                which, i = _children(i, len(a.levels[level - 1][1]))
+                j = j[which]
+            if level < len(b.levels):
+                which, j = _children(j, len(b.levels[level - 1][1]))
+                i = i[which]
+            todo.append((level - 1, i, j))
+            continue
+        if same:
+            i, j = i[i < j], j[i < j]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for k in np.unique(i):
+            some = j[np.searchsorted(i, k) : np.searchsorted(i, k, "right")]
+            some = some[joined[theirs[some]] != joined[mine[k]]]
+            if not len(some):
+                continue
+            own, sets = a.sets[k], [b.sets[x] for x in some]
+            sizes = np.array([len(x) for x in sets])
+            every = np.concatenate(sets)
+            place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            shared = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            for x in some[shared * 100 >= (len(own) + sizes - shared) * percent]:
+                p, q = joined[mine[k]], joined[theirs[x]]
+                if p != q:
+                    joined[joined == max(p, q)] = min(p, q)
+                    yield int(a.doc[k]), int(b.doc[x])
 
 
 def _compare(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between points of two leaves; of links that join the same components one is enough."""
         for batch in batches:
             found: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
                 same = batch.column("same")[i].as_py()
-                doc, n, component, vec, hashes, at = _points(batch.column("points_a"), i)
-                other = _points(batch.column("points_b"), i)
-                names, where = np.unique(np.concatenate([component, other[2]]), return_inverse=True)
-                mine, theirs = where[: len(doc)], where[len(doc) :]
-                joined = np.arange(len(names))
-                for j in range(len(doc)):
-                    ok = joined[theirs] != joined[mine[j]]
-                    if same:
-                        ok[: j + 1] = False
-                    ok &= (other[1] * 100 >= n[j] * percent) & (n[j] * 100 >= other[1] * percent)
-                    some = np.flatnonzero(ok)
-                    # summed coordinate minima bound the overlap
-                    most = np.minimum(other[3][some], vec[j]).sum(1)
-                    some = some[most * 100 >= (n[j] + other[1][some] - most) * percent]
-                    if not len(some):
-                        continue
-                    own = hashes[at[j] : at[j + 1]]
-                    sizes = other[1][some]
-                    theirs_flat = other[4][np.repeat(other[5][some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-                    place = np.minimum(np.searchsorted(own, theirs_flat), len(own) - 1)
-                    shared = np.add.reduceat((own[place] == theirs_flat).astype(np.int64), np.cumsum(sizes) - sizes)
-                    for k in some[shared * 100 >= (n[j] + sizes - shared) * percent]:
-                        a, b = joined[mine[j]], joined[theirs[k]]
-                        if a != b:
-                            joined[joined == max(a, b)] = min(a, b)
-                            found.append((int(doc[j]), int(other[0][k])))
+                tree = Tree(batch.column("points_a")[i].values)
+                found += meet(tree, tree if same else Tree(batch.column("points_b")[i].values), same, percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return compare
 
 
+def _id(doc: Column) -> Column:
+    return F.when(doc < NO_ID, doc)
+
+
 def _one_order(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -171,32 +233,34 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     3. The others' whole sets become points: shingles are hashed into GROUPS groups, and a coordinate counts a group. Their
        rarest shingles route them: counted shingles by frequency, then the rest by hash, are one order of all shingles,
        and two sets that are linked share one of their first n - ceil(t n) + 1. Points with such a shingle in common are
-       one block, the root of one R-tree.
+       one block, over which R-trees stand.
     4. Each document meets some HUBS members of its blocks, least by as many hashes and so the same ones for most of a group of
        copies, then one of each other block that isn't in its component yet; components are found.
-       What a block has in two components
-       after that goes through the R-tree: each point stands in one leaf, with the greatest coordinates as its corner; two leaves
-       that a block has in common meet if the summed minima of their corners allow the overlap needed, then their points
-       if the summed minima of theirs do. All pairs of different components in a block are met, each once.
+       What a block has in two components after that goes through R-trees. Each point stands in one tree: its largest block's
+       points are cut into cells by size and by whether they are above the mean in one coordinate after another, a cell of about TREE_BYTES is a
+       tree. Trees that a block has in common meet if the summed minima of their corners allow the overlap needed; they are
+       descended together, nodes and then points under the same bound. All pairs of different components in a block are met.
     5. Surviving pairs are verified by whole sets.
 
-    Returns one row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included). Rows of
-    one id are one node with the links of each text. A null id counts as the largest and is returned as null. An
-    empty table gives no rows. Other columns are ignored.
+    Returns one row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included). Ids are
+    integers below 2 ** 62. Rows of one id are one node with the links of each text. A row without an id is a node of its own
+    (with those of equal texts), counts as larger than any id, and is returned as null; so is the component of such rows alone. An
+    empty table gives no rows. Other columns are ignored. A document's set fits one row (2 GB). Lowers the session's limits on Arrow batches (bound_batches).
     """
     spark = documents.sparkSession
     bound_batches(spark)
-    rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    digests = materialize(rows.mapInArrow(_digests(size), "doc long, n long, d1 long, d2 long"), "digests")
-    classes = materialize(digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("doc")), "classes")
-    uses = rows.mapInArrow(_counted(size), "h long, doc long").groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("doc"))
-    # one pass over the counts: shingles in one document are summed by document, others are listed
-    uses = materialize(uses.select("h", F.when(F.col("df") > 1, F.col("df")).alias("df"), F.when(F.col("df") == 1, F.col("doc")).alias("doc")).groupBy(F.when(F.col("doc").isNull(), F.col("h")).alias("h"), "doc").agg(F.count("*").alias("alone"), F.max("df").alias("df")), "uses")
-    alone = uses.where("h IS NULL").select("doc", "alone")
+    doc = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
+    rows = documents.select(doc.alias("doc"), F.col(text_col).alias("text")).select("doc", F.xxhash64("doc", "text").alias("row"), "text")
+    digests = materialize(rows.mapInArrow(_digests(size), "doc long, row long, n long, d1 long, d2 long"), "digests")
+    classes = materialize(digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc", "row")).alias("least")).select("n", "d1", "d2", "least.doc", "least.row"), "classes")
+    uses = rows.mapInArrow(_counted(size), "h long, row long").groupBy("h").agg(F.count("*").alias("df"), F.min("row").alias("row"))
+    # one pass over the counts: shingles in one row are summed by row, others are listed
+    uses = materialize(uses.select("h", F.when(F.col("df") > 1, F.col("df")).alias("df"), F.when(F.col("df") == 1, F.col("row")).alias("row")).groupBy(F.when(F.col("row").isNull(), F.col("h")).alias("h"), "row").agg(F.count("*").alias("alone"), F.max("df").alias("df")), "uses")
+    alone = uses.where("h IS NULL").select("row", "alone")
     spare = lambda n: n - F.ceil(n * percent / 100)
-    left = materialize(classes.join(alone, "doc", "left").where(F.coalesce("alone", F.lit(0)) <= spare(F.col("n"))).select("doc").distinct(), "candidates")
+    left = materialize(classes.join(alone, "row", "left").where(F.coalesce("alone", F.lit(0)) <= spare(F.col("n"))).select("row").distinct(), "candidates")
     few = left.count() <= BROADCAST_IDS
-    points = materialize(rows.join(F.broadcast(left) if few else left, "doc").mapInArrow(_full(size), "doc long, n long, vec array<int>, hashes array<long>").where("n > 0"), "points")
+    points = materialize(rows.join(F.broadcast(left) if few else left, "row").select("doc", "text").mapInArrow(_full(size), "doc long, n long, vec array<int>, hashes array<long>").where("n > 0"), "points")
     limit = int(_LIMIT)
     frequency = uses.where("h IS NOT NULL").select("h", "df")
     first = points.select("doc", "n", F.expr(f"filter(hashes, h -> h >= 0 AND h < {limit})").alias("low"), F.expr(f"filter(hashes, h -> NOT (h >= 0 AND h < {limit}))").alias("high"))
@@ -239,27 +303,34 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     known = placed(parts)
     mixed = known.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("h")
     members = materialize(known.join(mixed, "h").select("h", "doc", "component", "k"), "members")
-    # each point stands in one leaf: that of the largest of its blocks, of its band of sizes, of about LEAF_BYTES
-    homes = members.groupBy("doc", "component").agg(F.max(F.struct("k", "h")).alias("top")).join(lean.select("doc", "n"), "doc")
+    # each point stands in one tree: a cell of the largest of its blocks
+    homes = members.groupBy("doc", "component").agg(F.max(F.struct("k", "h")).alias("top")).join(lean, "doc")
     band = F.floor(F.log("n") * 25)
-    homes = homes.withColumn("leaf", F.xxhash64("top.h", band, F.pmod(F.xxhash64("doc"), F.ceil(F.col("top.k") * F.exp(band / 25) * 8 / LEAF_BYTES))))
-    homes = materialize(homes.select("doc", "component", "leaf"), "homes")
-    in_block = members.select("h", "doc").join(homes, "doc").groupBy("h", "leaf").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
-    left_leaf, right_leaf = (in_block.select("h", F.col("leaf").alias(f"leaf_{x}"), F.col("c1").alias(f"c1_{x}"), F.col("c2").alias(f"c2_{x}")) for x in "ab")
-    meetings = left_leaf.join(right_leaf, "h").where("leaf_a <= leaf_b AND NOT (c1_a = c2_a AND c1_b = c2_b AND c1_a = c1_b)").select("leaf_a", "leaf_b").distinct()
-    packed = homes.join(points, "doc").groupBy("leaf").agg(F.collect_list(F.struct("doc", "n", "component", "vec", "hashes")).alias("points"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    # by bits, whether a coordinate is above the mean
+    code = F.aggregate("vec", F.lit(0).cast("long"), lambda c, x: F.shiftleft(c, 1).bitwiseOR((x * GROUPS > F.col("n")).cast("long")))
+    depth = F.least(F.greatest(F.ceil(F.log2(F.col("top.k") * F.col("n") * 8 / TREE_BYTES)), F.lit(0)), F.lit(32)).cast("int")
+    homes = homes.select("doc", "component", "n", code.alias("code"), F.xxhash64("top.h", band, F.when(depth > 0, F.call_function("shiftrightunsigned", code, 64 - depth)).otherwise(0)).alias("cell"))
+    cells = homes.groupBy("cell").agg(F.sum("n").alias("cell_n"))
+    # equal codes stay in one cell, however many: such a cell is dealt into several trees
+    homes = homes.join(cells, "cell").withColumn("tree", F.xxhash64("cell", F.pmod(F.xxhash64("doc"), F.ceil(F.col("cell_n") * 8 / TREE_BYTES).cast("long"))))
+    homes = materialize(homes.select("doc", "component", "code", "tree"), "homes")
+    in_block = members.select("h", "doc").join(homes, "doc").groupBy("h", "tree").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+    left_tree, right_tree = (in_block.select("h", F.col("tree").alias(f"tree_{x}"), F.col("c1").alias(f"c1_{x}"), F.col("c2").alias(f"c2_{x}")) for x in "ab")
+    meetings = left_tree.join(right_tree, "h").where("tree_a <= tree_b AND NOT (c1_a = c2_a AND c1_b = c2_b AND c1_a = c1_b)").select("tree_a", "tree_b").distinct()
+    packed = homes.join(points, "doc").groupBy("tree").agg(F.collect_list(F.struct("doc", "n", "component", "code", "vec", "hashes")).alias("points"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     corner = F.expr(f"aggregate(points, array_repeat(0, {GROUPS}), (c, p) -> zip_with(c, p.vec, (x, y) -> greatest(x, y)))")
-    leaves = materialize(packed.withColumn("corner", corner), "leaves")
-    side = lambda x, *more: leaves.select(F.col("leaf").alias(f"leaf_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
-    near = meetings.join(side("a", "least_n", "most_n", "corner"), "leaf_a").join(side("b", "least_n", "most_n", "corner"), "leaf_b")
+    trees = materialize(packed.withColumn("corner", corner), "trees")
+    side = lambda x, *more: trees.select(F.col("tree").alias(f"tree_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+    near = meetings.join(side("a", "least_n", "most_n", "corner"), "tree_a").join(side("b", "least_n", "most_n", "corner"), "tree_b")
     # the most that points of both can share, against the least that their smallest sizes need
     near = near.where((F.col("most_n_b") * 100 >= F.col("least_n_a") * percent) & (F.col("most_n_a") * 100 >= F.col("least_n_b") * percent)).where(_reaches(_bound(F.col("corner_a"), F.col("corner_b")), F.col("least_n_a"), F.col("least_n_b"), percent))
-    pairs = near.select("leaf_a", "leaf_b").join(side("a", "points"), "leaf_a").join(side("b", "points"), "leaf_b").select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), "points_a", "points_b")
+    pairs = near.select("tree_a", "tree_b").join(side("a", "points"), "tree_a").join(side("b", "points"), "tree_b").select((F.col("tree_a") == F.col("tree_b")).alias("same"), "points_a", "points_b")
     more = materialize(pairs.mapInArrow(_compare(percent), "a long, b long"), "links")
     if not more.isEmpty():
         parts = materialize(connected_components(edges.unionAll(more)), "components")
+    discard(uses, left, points, where, members, homes, trees)
     of_class = classes.join(parts, classes.doc == parts.node, "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("component"))
-    out = digests.join(of_class, ["n", "d1", "d2"], "left").select(F.nullif("doc", F.lit(_NO_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc"), F.lit(_NO_ID)).alias("component_id"))
+    out = digests.join(of_class, ["n", "d1", "d2"], "left").select(_id(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "doc")).alias("component_id"))
     return out
 
 
