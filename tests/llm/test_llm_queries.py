@@ -109,7 +109,7 @@ def test_ngram_join_is_exact_on_hard_groups(spark, monkeypatch):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(w))
     monkeypatch.setattr(ngram_join, "HUBS", 1)
-    monkeypatch.setattr(ngram_join, "LEAF_BYTES", 4096)
+    monkeypatch.setattr(ngram_join, "TREE_BYTES", 4096)
     got = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == _brute_components(texts)
 
@@ -131,10 +131,10 @@ def test_components_of_random_graphs(spark):
     assert all(got.get(x, x) == root(x) for x in parent)
 
 
-def test_decontamination_in_blocks_is_the_same(spark):
+def test_decontamination_without_a_broadcast_of_terms_is_the_same(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     docs = docs.unionAll(docs.limit(5))
-    whole, parts = decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, block_bytes=2000)
+    whole, parts = decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, limit=0)
     key = lambda df: sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in df.collect())
     assert key(whole) == key(parts) and any(x[2] for x in key(whole))
 
@@ -310,10 +310,11 @@ def test_model_sums_to_one(spark):
 def test_mixing_meets_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix_sources(docs).toPandas()
+    rows["doc_id"] = rows["id"]
     by = rows.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
     assert abs(by.target.sum() - by["size"].sum()) < 1e-3 and (by.target <= 3 * by["size"] + 1e-6).all()
     assert ((by.taken - by.target).abs() <= 1.5 * by.most).all() and (rows.copies <= 3).all()
-    assert rows.sort_values("doc_id").taken.tolist() == mixing.mix_sources(docs.repartition(7)).toPandas().sort_values("doc_id").taken.tolist()
+    assert rows.sort_values("doc_id").taken.tolist() == mixing.mix_sources(docs.repartition(7)).toPandas().sort_values("id").taken.tolist()
 
 
 def test_naming_goes_several_levels(spark):
