@@ -43,7 +43,7 @@ _PROPOSED = (
 _CAPITALISED = r"[A-ZÄÖÜÉÈÇÁÍÓÚÑ][a-zäöüßéèêçàáíóúñ]{1,30}"
 #: What the context labeler proposes: a value after a word for it and a sign, and a name after words that introduce one.
 _SAID = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd|wort|phrase)|pwd|secret|token|api[_ -]?key|auth[_ -]?key|access[_ -]?key|kennwort|contrase(?:ñ|n)a|clave|mot de passe)[\"']?\s*[:=]\s*[\"']?([^\s\"',;<>]{8,})")
-_INTRODUCED = re.compile(rf"(?:(?i:my name is|mein name ist|ich hei(?:ß|ss)e|je m'appelle|me llamo|mi nombre es)|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?)\s+({_CAPITALISED}(?:\s+{_CAPITALISED}){{0,2}})")
+_INTRODUCED = re.compile(rf"(?:[Mm]y name is|[Mm]ein [Nn]ame ist|[Ii]ch hei(?:ß|ss)e|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?)\s+({_CAPITALISED}(?:\s+{_CAPITALISED}){{0,2}})")
 
 # Words that speak for a kind near it, by kind.
 GAZETTEER = {
@@ -69,8 +69,9 @@ AGAINST = frozenset(("article", "build", "chapter", "checksum", "commit", "doi",
 _AGAINST = re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(sorted(AGAINST))})[0-9]*[\s:#=]*\Z")
 _FOR = {k: frozenset(v) for k, v in GAZETTEER.items()}
 _NAMED = re.compile(rf"\b(?:{'|'.join(GIVEN_NAMES)})\s+{_CAPITALISED}")
-#: Texts without any of these hold nothing that context and gazetteer labelers propose.
-_CUE = re.compile(r"(?i)pass|pwd|secret|token|key|kennwort|contrase|clave|mot de|name is|name ist|ich hei|m'appelle|llamo|nombre")
+#: Texts without any of these hold nothing that the context labeler proposes, as a secret (lower case) and as a name.
+_SAYS = ("pass", "pwd", "secret", "token", "key", "kennwort", "contrase", "clave", "mot de")
+_INTRODUCES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra", "name is", "name ist", "ich hei", "m'appelle", "me llamo", "nombre es", "Ich hei", "Me llamo", "M'appelle")
 
 
 def luhn(digits: str) -> bool:
@@ -125,10 +126,14 @@ def proposed(text: str) -> list[tuple[str, int, int, str]]:
     out = []
     if _DIGIT.search(text) or "PRIVATE KEY" in text:
         out += [(kind, *m.span(), "pattern") for kind, pattern in _PROPOSED for m in pattern.finditer(text)]
-    if _CUE.search(text):
+    lowered = text.lower()
+    if any(x in lowered for x in _SAYS):
         out += [("secret", *m.span(1), "context") for m in _SAID.finditer(text)]
-    out += [("person", *m.span(1), "context") for m in _INTRODUCED.finditer(text)]
-    return out + [("person", *m.span(), "gazetteer") for m in _NAMED.finditer(text)]
+    if any(x in text for x in _INTRODUCES):
+        out += [("person", *m.span(1), "context") for m in _INTRODUCED.finditer(text)]
+    if any(x in text for x in GIVEN_NAMES):
+        out += [("person", *m.span(), "gazetteer") for m in _NAMED.finditer(text)]
+    return out
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
