@@ -21,8 +21,8 @@ SLOP = 1
 LISTS = 3
 #: Terms are broadcast up to this many (8 MB); beyond, all words are counted and indexed, and joined with the terms.
 BROADCAST_TERMS = 1_000_000
-#: Texts' keys are broadcast up to this many (about 25 MB); beyond, they are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+#: Keys of texts are broadcast up to this many, and lists of candidates and of matches up to this many entries in all (some 25 MB each); beyond, they are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_ENTRIES = 500_000, 150_000
 
 
 def _windows(window: int):
@@ -154,8 +154,10 @@ def _shipped(terms: DataFrame, limit: int) -> Broadcast | None:
     return terms.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy()))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+def _small(df: DataFrame, *lists: str) -> DataFrame:
+    """For a broadcast if its lists, and so its rows, are few."""
+    n = df.agg(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(1)))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ENTRIES else df
 
 
 def build_index(texts: DataFrame, terms: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
@@ -232,7 +234,9 @@ def decontaminate(
         met = more.unionAll(done)
     listed = met.join(distinct, "wid").select("key", F.explode("starts").alias("start"), "wid", "terms").groupBy("key").agg(F.collect_list(F.struct("wid", "start", "terms")).alias("listed"))
     listed = materialize(listed, "candidates")
-    found = rows.select("key", "text").join(_small(listed), "key").mapInArrow(_verify(slop), "key long, spans array<struct<start: long, end: long>>, exact array<long>, near array<long>")
+    keys = listed.select("key")
+    near_texts = rows.select("key", "text").join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_KEYS else rows.select("key", "text")
+    found = near_texts.join(_small(listed, "listed"), "key").mapInArrow(_verify(slop), "key long, spans array<struct<start: long, end: long>>, exact array<long>, near array<long>")
     found = materialize(found.dropDuplicates(["key"]).where((F.size("exact") > 0) | (F.size("near") > 0)), "matches")
     named = found.select("key", "spans").join(_items(found, "exact", owners, "items"), "key", "left").join(_items(found, "near", owners, "close"), "key", "left")
     named = materialize(named, "contaminated")
@@ -240,7 +244,7 @@ def decontaminate(
     if shared is not None:
         shared.destroy()
     none = F.array().cast("array<string>")
-    out = texts.join(_small(named), "key", "left")
+    out = texts.join(_small(named, "spans", "items", "close"), "key", "left")
     items = F.coalesce("items", none)
     return out.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "n_words", F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("spans"), items.alias("items"), F.array_except(F.coalesce("close", none), items).alias("near"))
 
