@@ -16,12 +16,14 @@ def _names(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
     Equal keys are grouped after a map-side combine, so a block that a third of all rows share reaches the shuffle once
     per task; the join back is one that AQE can split. A name is the integer pair (doc, at) of the least holder, which a
-    repeated task computes again as the same one, and which two different contents never share.
+    repeated task computes again as the same one, and which two different contents never share; a number of its text tells
+    holders of one id, or of none, apart.
     """
-    first = blocks.groupBy(*keys).agg(F.min(F.struct("doc", "at")).alias("first"))
+    holder = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("sha").alias("text"), "at")
+    first = blocks.groupBy(*keys).agg(F.min(holder).alias("first"))
     return (
         blocks.join(first, [blocks[k].eqNullSafe(first[k]) for k in keys])
-        .select("doc", "sha", "at", F.col("first.doc").alias("name_doc"), F.col("first.at").alias("name_at"))
+        .select("doc", "sha", "at", F.col("first").alias("name"))
     )
 
 
@@ -34,8 +36,9 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns one row per input row: id, keep_id, group_size, kept, text_sha256, n_code_points, identity.
     Null text counts as empty, and all empty texts are one group. Of equal texts the row with the most code points in the
-    original text stays, then the smallest id; a null id counts as the largest. Repeated rows each count in group_size,
-    and all rows with the id that stays are marked kept. Other columns of the input are ignored.
+    original text stays, then the smallest id; a null id counts as the largest, and a group of such rows alone keeps null. Repeated
+    rows each count in group_size, and all rows with the id that stays are marked kept. Ids are integers. An empty table gives no
+    rows. Other columns of the input are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, " \t\n\x0b\f\r", "")
@@ -52,7 +55,7 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = materialize(_names(blocks, ["block"]), "blocks").distinct()
     done = None
     while True:
-        sized = named.groupBy("doc", "sha").agg(F.max("at").alias("last"), F.max("name_doc").alias("name_doc"), F.max("name_at").alias("name_at"))
+        sized = named.groupBy("doc", "sha").agg(F.max("at").alias("last"), F.max("name").alias("name"))
         if done is None:
             tops = named.agg(F.max("at").alias("top"))
             top = (tops.first() or [0])[0] or 0
@@ -60,12 +63,12 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         # pairs of adjacent names; an odd last name is paired with null
         pairs = named.groupBy("doc", "sha", F.expr("at div 2").alias("pair")).agg(
-            F.max(F.when(F.col("at") % 2 == 0, F.struct("name_doc", "name_at"))).alias("a"), F.max(F.when(F.col("at") % 2 == 1, F.struct("name_doc", "name_at"))).alias("b")
+            F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("at") % 2 == 1, F.col("name"))).alias("b")
         ).withColumnRenamed("pair", "at")
         named = materialize(_names(pairs, ["a", "b"]), "names")
         done, top = named, top // 2
     # one name each; documents of unequal block counts differ in bytes
-    identity = sized.select("doc", F.lower(F.hex("sha")).alias("text_sha256"), F.struct("name_doc", "name_at").alias("name"))
+    identity = sized.select("doc", F.lower(F.hex("sha")).alias("text_sha256"), "name")
     rows = rows.join(identity, [rows.doc.eqNullSafe(identity.doc), rows.text_sha256 == identity.text_sha256]).select(rows.doc, "points", rows.text_sha256, "bytes", "name")
     groups = rows.groupBy("bytes", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("points", F.expr("~doc").alias("order"), F.lit(1).alias("one"))).alias("best"), F.max("points").alias("most"))
     return (

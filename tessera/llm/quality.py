@@ -30,8 +30,8 @@ SHARD_BYTES, CHUNK = 3 << 20, 1 << 19
 ROUNDS = 4
 #: Bytes of documents whose look-ups meet one copy of a shard, about; more look-ups get more copies.
 COPY_BYTES = 32 << 20
-#: Scores are broadcast up to this many texts, ids of trusted documents up to this many (some 20 MB each); beyond, they are joined by a shuffle.
-BROADCAST_TEXTS, BROADCAST_IDS = 500_000, 1_000_000
+#: Scores are broadcast up to this many texts, ids of trusted documents up to this many (some 10 MB each); beyond, they are joined by a shuffle.
+BROADCAST_TEXTS, BROADCAST_IDS = 200_000, 1_000_000
 #: Words are told apart by so many bits of their hash; this one stands before and after a text, and is spelled with this log probability.
 BITS, BOUNDARY, BOUNDARY_SPELLED = 40, np.uint64(0x243F6A8885), -7.0
 #: Log probabilities are whole numbers, so that sums are the same in any order: of bytes in 1024ths, of words in 256ths.
@@ -405,24 +405,25 @@ def train_words(trusted: DataFrame, shared, n_shards: int) -> tuple[list[DataFra
 
     All pairs of all trusted texts count. A shard of pairs sums their counts in both halves. Words' counts go from the shards of
     pairs to those of words, and words' probabilities back to the pairs that asked, one entry for each word that a shard has: a word
-    in a third of all pairs is asked for once by a shard, so no shard is large. An entry is four bytes of a hash and a gain:
+    in a third of all pairs is asked for once by a shard, so no shard is large. Partitions are as many as shards, which grow with
+    the trusted texts, whatever the session's number. An entry is four bytes of a hash and a gain:
     the log probability of a text is that of its bytes, its words as spelled, and the gains of its words and pairs.
     """
-    counted = materialize(trusted.mapInArrow(_count_words(shared, n_shards), _COUNTED_SQL).groupBy("kind", "shard").applyInArrow(_sum_words, _SUMMED_SQL), "pairs", "zstd")
+    counted = materialize(trusted.mapInArrow(_count_words(shared, n_shards), _COUNTED_SQL).repartition(2 * n_shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_sum_words, _SUMMED_SQL), "pairs", "zstd")
     pairs, spelled = counted.where("kind = 0"), counted.where("kind = 1")
     of = _totals(pairs)
     d = [discounts(*of[k, :4]) for k in (0, 1)]
     stats = counted.mapInArrow(_word_counts(d, n_shards), "shard int, kind int, a binary, values binary")
-    vocabulary = materialize(stats.groupBy("shard").applyInArrow(_sum_word_counts, _SUMMED_SQL), "words", "zstd")
+    vocabulary = materialize(stats.repartition(n_shards, "shard").groupBy("shard").applyInArrow(_sum_word_counts, _SUMMED_SQL), "words", "zstd")
     unigrams = Unigrams(_totals(vocabulary), of[:, 4])
     known = vocabulary.select("shard", F.lit(0).alias("kind"), F.lit(-1).alias("origin"), "a", F.col("b").alias("values"))
     model = []
     for r in range(ROUNDS):
         some = pairs.where(F.col("shard") % ROUNDS == r)
-        answers = known.unionAll(some.mapInArrow(_ask(n_shards), _ASKED_SQL)).groupBy("shard").applyInArrow(_answer(unigrams), "origin int, shard int, values binary")
+        answers = known.unionAll(some.mapInArrow(_ask(n_shards), _ASKED_SQL)).repartition(n_shards, "shard").groupBy("shard").applyInArrow(_answer(unigrams), "origin int, shard int, values binary")
         none = [F.lit(None).cast("binary").alias(c) for c in "abcde"]
         met = some.select(F.col("shard").alias("origin"), F.lit(-1).alias("of"), F.lit(True).alias("own"), *"abcde", none[0].alias("values")).unionAll(answers.select("origin", F.col("shard").alias("of"), F.lit(False).alias("own"), *none, "values"))
-        entries = met.groupBy("origin").applyInArrow(_pair_gains(d), _MODEL_SQL)
+        entries = met.repartition(n_shards // ROUNDS, "origin").groupBy("origin").applyInArrow(_pair_gains(d), _MODEL_SQL)
         model.append(materialize(entries.unionAll(vocabulary.where(F.col("shard") % ROUNDS == r).mapInArrow(_word_gains(unigrams), _MODEL_SQL)), "word-model"))
     discard(counted, vocabulary)
     return model, unigrams.new
@@ -553,7 +554,7 @@ def log_perplexities(documents: DataFrame, trusted: DataFrame, text_col: str) ->
     for r, entries in enumerate(model):
         none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "sizes")]
         copied = entries.select("slot", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), F.lit(0).cast("long").alias("chunk"), *none, "low", "value")
-        met = copied.unionAll(texts.mapInArrow(_look_up(n_shards, r, copies), _LOOKED_SQL)).repartition("slot", "salt").sortWithinPartitions("slot", "salt", F.col("docs").isNotNull())
+        met = copied.unionAll(texts.mapInArrow(_look_up(n_shards, r, copies), _LOOKED_SQL)).repartition(2 * n_shards * copies // ROUNDS, "slot", "salt").sortWithinPartitions("slot", "salt", F.col("docs").isNotNull())
         parts.append(materialize(met.mapInArrow(_probe, "chunk long, docs binary, sums binary").groupBy("chunk").applyInArrow(_gather, "key long, gained long"), "gained"))
         discard(entries)
     shared.destroy()
