@@ -45,5 +45,5 @@ def number_token(x: Column) -> Column:
 
 
 def truthy(c: Column) -> Column:
-    """Not null, not empty and not a numeric zero."""
-    return c.isNotNull() & (c != "") & ~c.rlike(r"^0+(\.0*)?$")
+    """Not null and not empty. Sheet readers give numeric noughts and false as null, and a text of 0 as it stands."""
+    return c.isNotNull() & (c != "")

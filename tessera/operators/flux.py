@@ -41,54 +41,68 @@ def _matrix(stoich: pd.DataFrame, rxns: list[str], mets: list[str]) -> np.ndarra
     return s
 
 
+#: Pivots after which the basis is inverted anew.
+REFRESH = 64
+
+
 def maximize(c: np.ndarray, a: np.ndarray, b: np.ndarray, lb: np.ndarray, ub: np.ndarray, tol: float = 1e-9) -> tuple[str, np.ndarray]:
-    """(status, x) of max c x with a x = b and lb <= x <= ub: two-phase bounded-variable simplex with Bland's rule."""
+    """(status, x) of max c x with a x = b and lb <= x <= ub: two-phase revised simplex with bounds.
+
+    The basis' inverse is updated at each pivot and made anew now and then, so a pivot costs m squared for m rows. The greatest reduced cost
+    enters; after pivots that gain nothing, the first one does (Bland's rule), so that no cycle lasts.
+    """
     m, n = a.shape
     if np.any(lb > ub + tol):
         return "infeasible", np.full(n, np.nan)
     x0 = np.where(np.isfinite(lb), lb, np.where(np.isfinite(ub), ub, 0.0))
     gap = b - a @ x0
-    sign = np.where(gap < 0, -1.0, 1.0)
-    full = np.hstack([a, np.diag(sign)])
+    full = np.hstack([a, np.diag(np.where(gap < 0, -1.0, 1.0))])
     low, high = np.concatenate([lb, np.zeros(m)]), np.concatenate([ub, np.full(m, np.inf)])
     x = np.concatenate([x0, np.abs(gap)])
-    basis = list(range(n, n + m))
+    basis = np.arange(n, n + m)
+    inside = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
 
     def run(cost: np.ndarray) -> str:
-        for _ in range(200 * (n + m) + 1000):
-            bmat = full[:, basis]
-            y = np.linalg.lstsq(bmat.T, cost[basis], rcond=None)[0]
-            reduced = cost - y @ full
-            inside = np.ones(n + m, bool)
-            inside[basis] = False
-            up = inside & (reduced > tol) & (x < high - tol)
-            down = inside & (reduced < -tol) & (x > low + tol)
-            enter = np.flatnonzero(up | down)
-            if not len(enter):
+        inverse, idle = np.linalg.pinv(full[:, basis]), 0
+        for step in range(200 * (n + m) + 1000):
+            if step % REFRESH == REFRESH - 1:
+                inverse = np.linalg.pinv(full[:, basis])
+                x[basis] = inverse @ (b - full[:, ~inside] @ x[~inside])
+            reduced = np.where(inside, 0.0, cost - (cost[basis] @ inverse) @ full)
+            gain = np.where((reduced > tol) & (x < high - tol) | (reduced < -tol) & (x > low + tol), np.abs(reduced), 0.0)
+            if not gain.any():
                 return "optimal"
-            j = int(enter[0])
-            way = 1.0 if up[j] else -1.0
-            step = np.linalg.lstsq(bmat, full[:, j], rcond=None)[0] * way
+            j = int(np.flatnonzero(gain)[0] if idle > 2 * m else gain.argmax())
+            way = 1.0 if reduced[j] > 0 else -1.0
+            column = inverse @ full[:, j]
+            move = column * way
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(move > tol, (x[basis] - low[basis]) / move, np.where(move < -tol, (high[basis] - x[basis]) / -move, np.inf))
+            room = np.maximum(room, 0.0)
             limit, leave = high[j] - low[j], -1
-            for i, k in enumerate(basis):
-                room = (x[k] - low[k]) / step[i] if step[i] > tol else (high[k] - x[k]) / -step[i] if step[i] < -tol else np.inf
-                if room < limit - tol or (leave >= 0 and abs(room - limit) <= tol and k < basis[leave]):
-                    limit, leave = max(room, 0.0), i
+            if m and room.min() < limit:
+                limit = room.min()
+                ties = np.flatnonzero(room <= limit + tol)
+                leave = int(ties[basis[ties].argmin()] if idle > 2 * m else ties[np.abs(move[ties]).argmax()])
             if not np.isfinite(limit):
                 return "unbounded"
+            idle = idle + 1 if limit <= tol else 0
             x[j] += way * limit
-            x[basis] -= step * limit
+            x[basis] -= move * limit
             if leave >= 0:
+                inside[basis[leave]], inside[j] = False, True
                 basis[leave] = j
+                row = inverse[leave] / column[leave]
+                inverse = inverse - np.outer(column, row)
+                inverse[leave] = row
         return "iterations"
 
-    status = run(np.concatenate([np.zeros(n), -np.ones(m)]))
-    if x[n:].sum() > 1e-6:
+    run(np.concatenate([np.zeros(n), -np.ones(m)]))
+    if x[n:].sum() > 1e-6 * max(1.0, np.abs(b).max(initial=0.0), np.abs(gap).max(initial=0.0)):
         return "infeasible", np.full(n, np.nan)
     high[n:] = 0.0
     x[n:] = 0.0
-    status = run(np.concatenate([c, np.zeros(m)]))
-    return status, x[:n]
+    return run(np.concatenate([c, np.zeros(m)])), x[:n]
 
 
 def flux_balance(reactions: DataFrame, stoich: DataFrame, metabolites: DataFrame) -> DataFrame:
@@ -147,7 +161,13 @@ def sample_fluxes(reactions: DataFrame, stoich: DataFrame, metabolites: DataFram
 
 
 def flux_features(samples: DataFrame, column: str = "flux", reference: str | None = None) -> DataFrame:
-    """Norms, sparsity and entropy of each vector and, if there is a reference column, distances to it."""
+    """Norms, sparsity and entropy of each vector and, if there is a reference column, distances to it.
+
+    The column holds a vector, or a matrix (an array for each reaction) whose columns are samples; these give a row each, numbered by `sample`.
+    """
+    if samples.schema[column].dataType.simpleString() == "array<array<double>>":
+        transposed = F.transform(F.sequence(F.lit(0), F.size(F.get(column, F.lit(0))) - 1), lambda j: F.transform(column, lambda r: F.get(r, j)))
+        samples = samples.select(*[c for c in samples.columns if c != column], F.posexplode(transposed).alias("sample", column))
     v = F.col(column)
     out = [V.l1(v).alias("l1"), V.l2(v).alias("l2"), V.linf(v).alias("linf"), V.sparsity(v).alias("sparsity"), V.entropy(v).alias("entropy")]
     if reference:
@@ -157,10 +177,10 @@ def flux_features(samples: DataFrame, column: str = "flux", reference: str | Non
     return samples.select(*[c for c in samples.columns if c not in (column, reference)], *out)
 
 
-def metabolite_production(fluxes: DataFrame, stoich: DataFrame, mets: list[str]) -> DataFrame:
-    """(keys, met, produced, net): what fluxes (…, rxn, v) make of each of some metabolites."""
+def metabolite_production(fluxes: DataFrame, stoich: DataFrame, mets: list[str] | None = None) -> DataFrame:
+    """(keys, met, produced, net): what fluxes (…, rxn, v) make of each metabolite, or of those named."""
     keys = [c for c in fluxes.columns if c not in ("rxn", "v")]
-    made = fluxes.join(stoich.where(F.col("met").isin(mets)), "rxn").withColumn("x", F.col("coef") * F.col("v"))
+    made = fluxes.join(stoich if mets is None else stoich.where(F.col("met").isin(mets)), "rxn").withColumn("x", F.col("coef") * F.col("v"))
     return made.groupBy(*keys, "met").agg(F.sum(F.greatest("x", F.lit(0.0))).alias("produced"), F.sum("x").alias("net"))
 
 

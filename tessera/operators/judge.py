@@ -11,9 +11,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from tessera.functions.fixed_values import DIMENSIONS, NO_CHOICES, PARSE_ERROR, REPEAT_CONTEXT, REVIEW, RUBRIC
+from tessera.functions.fixed_values import DIMENSIONS, NO_CHOICES, PARSE_ERROR, PROMPT, REPEAT_CONTEXT, REVIEW, RUBRIC
 from tessera.functions.numbers import python_round
 from tessera.functions.text import run_tag, unfence
 
@@ -30,14 +31,11 @@ def prompt(context: Column) -> Column:
     """The question put to the judge, as a plain expression; continuation lines are indented by four."""
     options = F.when(F.coalesce(F.size("choices"), F.lit(0)) <= 0, F.lit(NO_CHOICES)).otherwise(F.array_join(F.transform("choices", lambda c: F.concat(F.lit("  - "), F.coalesce(c["value"], F.lit("None")), F.lit(": "), F.coalesce(c["label"], F.lit("None")))), "\n"))
     given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    relevant = F.when(given("relevant"), F.concat(F.lit("\nCondición de activación: "), "relevant")).otherwise("")
-    block = F.when(F.coalesce(context != "", F.lit(False)), F.concat(F.lit("\nContexto del bloque: "), context)).otherwise("")
-    repeat = F.when(F.coalesce("in_repeat", F.lit(False)) & given("repeat_name"), F.concat(F.lit("\nPertenece a sección iterativa: "), "repeat_name", block)).otherwise("")
-    shown = lambda c: F.coalesce(c, F.lit("None"))
-    return F.concat(
-        F.lit("Evalúa la siguiente pregunta de historia clínica neurológica:\n\n    Sección: "), shown("section"), F.lit("\n    Variable: "), shown("name"), F.lit("\n    Enunciado: "), shown("label"),
-        F.lit("\n    Tipo: "), shown("type"), relevant, repeat, F.lit("\n    Opciones de respuesta:\n    "), options,
-    )
+    said = lambda part, c: F.concat(F.lit(PROMPT[part]), c)
+    relevant = F.when(given("relevant"), said("relevant", F.col("relevant"))).otherwise("")
+    block = F.when(F.coalesce(context != "", F.lit(False)), said("context", context)).otherwise("")
+    repeat = F.when(F.coalesce("in_repeat", F.lit(False)) & given("repeat_name"), F.concat(said("repeat", F.col("repeat_name")), block)).otherwise("")
+    return F.concat(*[said(c, F.coalesce(c, F.lit("None"))) for c in ("section", "name", "label", "type")], relevant, repeat, said("choices", options))
 
 
 def with_prompts(questions: DataFrame) -> DataFrame:
@@ -93,15 +91,28 @@ def call_judge(prompts: DataFrame, client: Client, retries: int = 3, backoff: fl
     return prompts.mapInPandas(run, schema)
 
 
+@F.pandas_udf(StringType())
+def json_object(text: pd.Series) -> pd.Series:
+    """The text if it is one JSON object and nothing else, as strictly as the judge's replies are read; else null. JVM parsers let trailing prose and single quotes pass."""
+
+    def strict(t: str | None) -> str | None:
+        try:
+            return t if t is not None and isinstance(json.loads(t), dict) else None
+        except ValueError:
+            return None
+
+    return text.map(strict)
+
+
 def parse_reply(replies: DataFrame, reply: str = "reply", error: str = "error") -> DataFrame:
     """Scores, comments and remarks of each reply.
 
-    A reply may be fenced. One that isn't a JSON object gives null scores, with its first 200 characters as the issue; a failed
-    call gives null scores and the error. Keys beyond the known ones are kept as a map. score_in_range tells whether all
+    A reply may be fenced. One that isn't a JSON object, or has more around it, gives null scores, with its first 200 characters as the
+    issue; a failed call gives null scores and the error. Keys beyond the known ones are kept as a map. score_in_range tells whether all
     scores are from 1 to 5, which isn't enforced.
     """
     text = unfence(F.col(reply))
-    parsed = replies.withColumn("_t", text).withColumn("_m", F.from_json("_t", "map<string, string>"))
+    parsed = replies.withColumn("_t", text).withColumn("_m", F.from_json(json_object("_t"), "map<string, string>"))
     ok = F.col("_m").isNotNull() & F.col(error).isNull()
     bad = F.when(F.col(error).isNotNull(), F.substring(error, 1, 100)).otherwise(PARSE_ERROR)
     score = lambda k: F.when(ok, F.col("_m")[k].try_cast("double")).alias(k)
@@ -115,11 +126,11 @@ def parse_reply(replies: DataFrame, reply: str = "reply", error: str = "error")
     )
 
 
-def evaluate(questions: DataFrame, client: Client, runs: int = 9, done: DataFrame | None = None, **options) -> DataFrame:
-    """One result per question and run, without those that `done` has (by name and run)."""
+def evaluate(questions: DataFrame, client: Client, runs: int = 9, done: DataFrame | None = None, retry_failed: bool = False, **options) -> DataFrame:
+    """One result per question and run, without those that `done` has (by name and run); failed ones are asked again if retry_failed."""
     asked = with_prompts(questions).crossJoin(F.broadcast(questions.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))))
     if done is not None:
-        asked = pending(asked, done, ("name", "run"))
+        asked = pending(asked, done, ("name", "run"), retry_failed)
     results = parse_reply(call_judge(asked, client, **options))
     return results.select("run", run_tag(F.col("run")).alias("tag"), "row_idx", "section", "name", "label", F.size("choices").alias("n_choices"), F.coalesce("in_repeat", F.lit(False)).alias("in_repeat"), "repeat_name", *SCORES, *COMMENTS, "synthetic_generation_issues", "suggested_improvement", "other", "score_in_range")
 

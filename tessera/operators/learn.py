@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -41,20 +42,93 @@ def cluster_in_pca_space(rows: DataFrame, column: str, k: int, variance: float =
     return kmeans(reduced, "pca", k, seed)
 
 
-def neighbours(rows: DataFrame, id_col: str, column: str, eps: float) -> DataFrame:
+def silhouette(rows: DataFrame, column: str, cluster: str = "cluster") -> float:
+    """Mean silhouette of labelled vectors, by squared distances: one pass for the clusters' sums, one for the points."""
+    vectors = rows.select(array_to_vector(F.col(column).cast("array<double>")).alias("_v"), F.col(cluster).cast("int").alias("_c"))
+    return ClusteringEvaluator(featuresCol="_v", predictionCol="_c").evaluate(vectors)
+
+
+#: Cells that points are dealt into by their nearest pivot, and points of a block, about.
+PIVOTS, BLOCK = 256, 2048
+
+
+def _blocks(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, list[tuple], np.ndarray]:
+    """(blocks (cell, block, ids, flat, asks), cells (cell, radius, greatest distance of an asking point to its k-th in the block), pivots).
+
+    Pivots are the points with the least hashes, PIVOTS at most: a bounded sample that decides nothing but speed. A cell's points
+    are those nearest to its pivot, dealt into blocks of about `block`, so no task holds more, whatever the cell.
+    """
+    points = rows.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"), (F.lit(True) if asked is None else asked).alias("asks"))
+    n = points.count()
+    chosen = [r.v for r in points.orderBy(F.xxhash64("id"), "id").limit(min(pivots, -(-n // block))).select("v").collect()]
+    centres = np.array(chosen, float).reshape(len(chosen), -1)
+    kind = points.schema["id"].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, centres.shape[1]))
+            far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0))
+            yield batch.assign(cell=far.argmin(1) if len(x) else [], far=far.min(1) if len(x) else [])
+
+    placed = points.mapInPandas(place, f"id {kind}, v array<double>, asks boolean, cell int, far double")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect() if n else []  # a row for each pivot
+    parts = F.create_map(*[F.lit(x) for r in sizes for x in (r.cell, -(-r.n // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), parts[F.col("cell")]))
+    listed = dealt.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v", "asks"))).alias("p"))
+    blocks = listed.select("cell", F.concat_ws("-", "cell", "part").alias("block"), F.col("p.id").alias("ids"), F.flatten("p.v").alias("flat"), F.col("p.asks").alias("asks"))
+    return blocks, [(r.cell, r.radius) for r in sizes], centres
+
+
+def _pairs_of_blocks(blocks: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+    """Blocks of each pair of cells listed, side by side."""
+    spark = blocks.sparkSession
+    side = lambda x: blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in blocks.columns])
+    listed = F.broadcast(spark.createDataFrame(cells, "cell_a int, cell_b int"))  # PIVOTS ** 2 at most
+    return side("a").join(listed, "cell_a").join(side("b"), "cell_b")
+
+
+def _matrix(flat: np.ndarray, n: int) -> np.ndarray:
+    return np.asarray(flat, float).reshape(n, -1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances, but for rounding."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+
+
+def _exactly(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows, squares summed from left to right."""
+    return np.sqrt(np.add.accumulate((x - y) ** 2, axis=1)[:, -1]) if len(x) else np.zeros(0)
+
+
+def neighbours(rows: DataFrame, id_col: str, column: str, eps: float, block: int = BLOCK) -> DataFrame:
     """(a, b, dist) of pairs a < b within eps.
 
-    Points are dealt into slabs of width eps along their norm: points within eps of each other have norms within eps, so
-    each meets its own slab and the next; a join on the slab instead of all pairs. Slabs bound the work only as far
-    as norms spread, and a crowded one is split by AQE.
+    Points are dealt into cells around pivots, and cells into blocks. Cells meet if their pivots are no farther apart than their radii and eps,
+    as no points of others can be within eps; of these each pair of blocks is one row, compared at once. What stays is
+    quadratic only within eps and the cells' radii, and no key holds more than a block.
     """
-    v = F.col(column).cast("array<double>")
-    points = rows.select(F.col(id_col).alias("id"), v.alias("v"), F.floor(V.l2(v) / eps).cast("long").alias("slab"))
-    left = points.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("slab").alias("own"), F.explode(F.array(F.col("slab"), F.col("slab") + 1)).alias("slab"))
-    right = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), "slab")
-    met = left.join(right, "slab").where((F.col("own") != F.col("slab")) | (F.col("a") < F.col("b")))
-    near = met.withColumn("dist", V.l2(V.minus(F.col("va"), F.col("vb")))).where(F.col("dist") <= eps)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
+    blocks, cells, centres = _blocks(rows, id_col, column, block=block)
+    far = _apart(centres, centres)
+    near = [(a, b) for a, ra in cells for b, rb in cells if far[a, b] <= ra + rb + eps + 1e-6]
+    met = _pairs_of_blocks(blocks, near).where("block_a <= block_b")
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def compare(batches):
+        for batch in batches:
+            found = [pd.DataFrame({"a": [], "b": [], "dist": []})]
+            for r in batch.itertuples(index=False):
+                x, y = _matrix(r.flat_a, len(r.ids_a)), _matrix(r.flat_b, len(r.ids_b))
+                i, j = np.nonzero(_apart(x, y) <= eps + 1e-6 * (1 + eps))
+                if r.block_a == r.block_b:
+                    i, j = i[i < j], j[i < j]
+                d = _exactly(x[i], y[j])
+                ok = d <= eps
+                p, q = np.asarray(r.ids_a)[i[ok]], np.asarray(r.ids_b)[j[ok]]
+                found.append(pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p), "dist": d[ok]}))
+            yield pd.concat(found)
+
+    return met.mapInPandas(compare, f"a {kind}, b {kind}, dist double")
 
 
 def density_counts(rows: DataFrame, id_col: str, column: str, eps: float, min_points: int) -> DataFrame:
@@ -89,28 +163,100 @@ def dbscan(rows: DataFrame, id_col: str, column: str, eps: float, min_points: in
     return out.select("id", "is_core", F.coalesce(F.when(F.col("is_core"), F.col("label")), F.col("near"), F.lit(-1).cast("long")).alias("cluster"))
 
 
-def birch(rows: DataFrame, id_col: str, column: str, radius: float, k: int, seed: int = 1) -> DataFrame:
-    """(id, cluster): like BIRCH, in two stages. Each task absorbs points into clustering features of at most the radius, one
-    pass, and the features' centres are clustered by k-means; points go to the nearest final centre.
-
-    A flat list of features instead of a tree; the radius bounds how many a task holds.
+class FeatureTree:
+    """A tree of clustering features (number, sum, squares) of points, as BIRCH grows it: a point goes down by nearest centres to a leaf's
+    nearest feature, which absorbs it if its radius stays within bounds; a full node splits at its two farthest entries."""
+
+    def __init__(self, width: int, radius: float, branching: int = 32) -> None:
+        self.radius, self.branching, self.width = radius, branching, width
+        self.root = self._node(True)
+
+    def _node(self, leaf: bool) -> dict:
+        return {"leaf": leaf, "n": np.zeros(self.branching + 1), "s": np.zeros((self.branching + 1, self.width)), "q": np.zeros(self.branching + 1), "size": 0, "children": []}
+
+    @staticmethod
+    def _put(node: dict, n: float, s: np.ndarray, q: float, child: dict | None = None) -> None:
+        k = node["size"]
+        node["n"][k], node["s"][k], node["q"][k], node["size"] = n, s, q, k + 1
+        if child is not None:
+            node["children"].append(child)
+
+    def add(self, x: np.ndarray, weight: float = 1.0) -> None:
+        if other := self._add(self.root, x, weight):
+            old, self.root = self.root, self._node(False)
+            for part in (old, other):
+                self._put(self.root, part["n"][: part["size"]].sum(), part["s"][: part["size"]].sum(0), part["q"][: part["size"]].sum(), part)
+
+    def _add(self, node: dict, x: np.ndarray, weight: float) -> dict | None:
+        """The new node where this one has split."""
+        size = node["size"]
+        if size:
+            j = int((((node["s"][:size] / node["n"][:size, None]) - x) ** 2).sum(1).argmin())
+            n, s, q = node["n"][j] + weight, node["s"][j] + weight * x, node["q"][j] + weight * float(x @ x)
+            if not node["leaf"]:
+                other = self._add(node["children"][j], x, weight)
+                if other is None:
+                    node["n"][j], node["s"][j], node["q"][j] = n, s, q
+                    return None
+                child = node["children"][j]
+                node["n"][j], node["s"][j], node["q"][j] = child["n"][: child["size"]].sum(), child["s"][: child["size"]].sum(0), child["q"][: child["size"]].sum()
+                self._put(node, other["n"][: other["size"]].sum(), other["s"][: other["size"]].sum(0), other["q"][: other["size"]].sum(), other)
+                return self._split(node)
+            if math.sqrt(max(0.0, q / n - float((s / n) @ (s / n)))) <= self.radius:
+                node["n"][j], node["s"][j], node["q"][j] = n, s, q
+                return None
+        self._put(node, weight, weight * x, weight * float(x @ x))
+        return self._split(node)
+
+    def _split(self, node: dict) -> dict | None:
+        size = node["size"]
+        if size <= self.branching:
+            return None
+        centres = node["s"][:size] / node["n"][:size, None]
+        far = _apart(centres, centres)
+        a, b = np.unravel_index(far.argmax(), far.shape)
+        stays = far[a] <= far[b]
+        stays[a], stays[b] = True, False
+        parts = self._node(node["leaf"]), self._node(node["leaf"])
+        for k in range(size):
+            self._put(parts[0 if stays[k] else 1], node["n"][k], node["s"][k].copy(), node["q"][k], None if node["leaf"] else node["children"][k])
+        node.update(parts[0])
+        return parts[1]
+
+    def features(self) -> list[tuple[float, np.ndarray]]:
+        """(number, centre) of each leaf's features."""
+        out, todo = [], [self.root]
+        while todo:
+            node = todo.pop()
+            if node["leaf"]:
+                out += [(float(node["n"][k]), node["s"][k] / node["n"][k]) for k in range(node["size"])]
+            else:
+                todo += node["children"]
+        return out
+
+
+def birch(rows: DataFrame, id_col: str, column: str, radius: float, k: int, seed: int = 1, most: int = 4096) -> DataFrame:
+    """(id, cluster) by BIRCH, in two stages. Each task absorbs its points into a tree of clustering features of at most the radius, in one pass,
+    and the features' centres, by weight, are clustered by k-means; points go to the nearest final centre.
+
+    A tree that comes to more than `most` features is built anew from them with half as large a radius more, so a task holds a bounded number.
     """
 
     def absorb(batches):
-        n, total, squares = np.zeros(0), None, np.zeros(0)
+        tree, reach, count = None, radius, 0
         for batch in batches:
             for v in batch["v"]:
                 x = np.asarray(v, float)
-                if total is None:
-                    total = np.zeros((0, len(x)))
-                if len(n):
-                    j = int(np.argmin(((total / n[:, None] - x) ** 2).sum(1)))
-                    m, s, q = n[j] + 1, total[j] + x, squares[j] + x @ x
-                    if math.sqrt(max(0.0, q / m - (s / m) @ (s / m))) <= radius:
-                        n[j], total[j], squares[j] = m, s, q
-                        continue
-                n, total, squares = np.append(n, 1.0), np.vstack([total, x]), np.append(squares, x @ x)
-        yield pd.DataFrame({"n": n, "centre": list(total / n[:, None]) if len(n) else []})
+                tree = tree or FeatureTree(len(x), reach)
+                tree.add(x)
+                count += 1
+                if count % 1024 == 0 and len(found := tree.features()) > most:
+                    reach *= 1.5
+                    tree = FeatureTree(len(x), reach)
+                    for n, centre in found:
+                        tree.add(centre, n)
+        found = tree.features() if tree else []
+        yield pd.DataFrame({"n": [n for n, _ in found], "centre": [c for _, c in found]})
 
     points = rows.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"))
     features = points.mapInPandas(absorb, "n double, centre array<double>").withColumn("_v", array_to_vector("centre"))
@@ -178,35 +324,58 @@ def isolation_forest(rows: DataFrame, id_col: str, column: str, trees: int = 50,
     return points.mapInPandas(score, f"id {points.schema['id'].dataType.simpleString()}, score double")
 
 
-def nearest(rows: DataFrame, id_col: str, column: str, k: int, queries: Column | None = None, block: int = 2048) -> DataFrame:
+def _best(x: np.ndarray, y: np.ndarray, own: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of each row's k nearest others, ties by name."""
+    far = _apart(x, y)
+    far[own[:, None] == names] = np.inf
+    k = min(k, far.shape[1])
+    reach = np.partition(far, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(x))
+    i, j = np.nonzero((far <= (reach + 1e-6 * (1 + reach))[:, None]) & np.isfinite(far))
+    d = _exactly(x[i], y[j])
+    order = np.lexsort((names[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.searchsorted(i, i)
+    ok = np.arange(len(i)) - first < k
+    return i[ok], j[ok], d[ok]
+
+
+def nearest(rows: DataFrame, id_col: str, column: str, k: int, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, dist, rank): the k nearest others of each query row, exact, ties by id.
 
-    Queries meet the rows in blocks: a task compares one block of each and hands on k rows per query, so what is shuffled
-    grows with queries times blocks, not with pairs.
+    Points are dealt into cells around pivots, and cells into blocks (see neighbours). Within its block a point's k-th neighbour is so far at most;
+    a cell meets those cells alone whose points could be as near as the farthest of these, and block meets block in one row, which
+    hands on k rows for each query.
     """
-    v = F.col(column).cast("array<double>")
-    n = max(1, -(-rows.count() // block))
-    deal = lambda df, salt: df.withColumn("part", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)))
-    points = deal(rows.select(F.col(id_col).alias("id"), v.alias("v")), 1)
-    asked = deal((rows.where(queries) if queries is not None else rows).select(F.col(id_col).alias("id"), v.alias("v")), 2).withColumnRenamed("part", "own")
-    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    spread_points = points.withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    out = f"id {points.schema['id'].dataType.simpleString()}, neighbour {points.schema['id'].dataType.simpleString()}, dist double"
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "neighbour": [], "dist": []})
-        right = right.sort_values("id")
-        y, names = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
-        found = []
-        for one, x in zip(left["id"].to_numpy(), left["v"].to_numpy()):
-            d = np.sqrt(((y - x) ** 2).sum(1))
-            d[names == one] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            found += [(one, names[j], d[j]) for j in best if np.isfinite(d[j])]
-        return pd.DataFrame(found, columns=["id", "neighbour", "dist"])
-
-    met = spread.groupBy("own", "part").cogroup(spread_points.groupBy("own", "part")).applyInPandas(compare, out)
+    blocks, cells, centres = _blocks(rows, id_col, column, queries, block)
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def reach(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                x, asks = _matrix(r.flat, len(r.ids)), np.asarray(r.asks, bool)
+                if len(x) > k and asks.any():
+                    far = _apart(x[asks], x)
+                    out.append((r.cell, float(np.partition(far, k, axis=1)[:, k].max())))
+                elif asks.any():
+                    out.append((r.cell, math.inf))
+            yield pd.DataFrame(out, columns=["cell", "reach"])
+
+    reaches = {r.cell: r.reach for r in blocks.mapInPandas(reach, "cell int, reach double").groupBy("cell").agg(F.max("reach").alias("reach")).collect()}
+    far = _apart(centres, centres)
+    near = [(a, b) for a, ra in cells for b, rb in cells if a in reaches and far[a, b] - ra - rb <= reaches[a] + 1e-6]
+
+    def compare(batches):
+        for batch in batches:
+            found = [pd.DataFrame({"id": [], "neighbour": [], "dist": []})]
+            for r in batch.itertuples(index=False):
+                asks = np.asarray(r.asks_a, bool)
+                own, names = np.asarray(r.ids_a)[asks], np.asarray(r.ids_b)
+                i, j, d = _best(_matrix(r.flat_a, len(r.ids_a))[asks], _matrix(r.flat_b, len(names)), own, names, k)
+                found.append(pd.DataFrame({"id": own[i], "neighbour": names[j], "dist": d}))
+            yield pd.concat(found)
+
+    met = _pairs_of_blocks(blocks, near).mapInPandas(compare, f"id {kind}, neighbour {kind}, dist double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour")))
     return ranked.where(F.col("rank") <= k)
 
@@ -243,10 +412,22 @@ def seasonal_forecast(series: DataFrame, key: str, at: str, value: str, horizon:
 
 
 def trend(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """(key, n, slope, mann_kendall): least-squares slope, and pairs that rise less pairs that fall; a slope near nought is stagnation."""
+    """(key, n, slope, mann_kendall): least-squares slope, and pairs that rise less pairs that fall; a slope near nought is stagnation.
+
+    A series is one group: pairs are counted in its order against a sorted list, not made.
+    """
+
+    def count(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total, known = 0, []
+        for _, same in pdf.dropna(subset=["v", "t"]).groupby("t", sort=True):
+            values = same["v"].tolist()
+            total += sum(bisect.bisect_left(known, v) - (len(known) - bisect.bisect_right(known, v)) for v in values)
+            for v in values:
+                bisect.insort(known, v)
+        return pd.DataFrame({key: [k[0]], "mann_kendall": [total]})
+
     slopes = series.groupBy(key).agg(F.count("*").alias("n"), F.regr_slope(value, at).alias("slope"))
-    a, b = series.select(key, F.col(at).alias("t1"), F.col(value).alias("v1")), series.select(key, F.col(at).alias("t2"), F.col(value).alias("v2"))
-    pairs = a.join(b, key).where("t1 < t2").groupBy(key).agg(F.sum(F.signum(F.col("v2") - F.col("v1"))).cast("long").alias("mann_kendall"))
+    pairs = series.select(key, F.col(at).alias("t"), F.col(value).cast("double").alias("v")).groupBy(key).applyInPandas(count, f"{key} {series.schema[key].dataType.simpleString()}, mann_kendall long")
     return slopes.join(pairs, key, "left").select(key, "n", "slope", F.coalesce("mann_kendall", F.lit(0)).alias("mann_kendall"))
 
 

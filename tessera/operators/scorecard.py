@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import exact_mean, exact_std
+from tessera.functions.numbers import exact_mean, exact_std, python_round
 
 DIMS = ("clarity", "relevance", "completeness", "granularity")
 
@@ -86,6 +86,33 @@ def low_performers(scorecard: DataFrame, k: int = 5) -> DataFrame:
     return scorecard.orderBy(F.desc("n_needs_improvement"), F.asc("avg_overall"), "section").limit(k).select("section", "n_questions", "n_needs_improvement", "avg_overall")
 
 
+def low_questions(evaluations: DataFrame, k: int = 5, name: str = "name") -> DataFrame:
+    """The k questions that most often need improvement, over all runs; ties by the mean of all their scores, then by name."""
+    scores = [_valid(d) for d in DIMS]
+    total = F.sum(sum((F.coalesce(c, F.lit(0.0)) for c in scores), F.lit(0.0)))
+    known = F.sum(sum((c.isNotNull().cast("long") for c in scores), F.lit(0)))
+    by = scored_only(evaluations).groupBy(name).agg(F.count("*").alias("n_runs"), F.count_if(needs_improvement()).alias("n_needs_improvement"), (total / known).alias("mean"))
+    return by.orderBy(F.desc("n_needs_improvement"), F.asc("mean"), name).limit(k)
+
+
+def rounded_summary(scorecard: DataFrame) -> DataFrame:
+    """A scorecard as summaries state it: means and deviations to two digits, half to even. For report tables, as rounding leaves the JVM."""
+    rounded = {f"{d}_{x}" for d in DIMS for x in ("mean", "std")} | {"avg_overall"}
+    return scorecard.select(*[python_round(F.col(c), 2).alias(c) if c in rounded else c for c in scorecard.columns])
+
+
+def report_lines(evaluations: DataFrame) -> DataFrame:
+    """(ord, line): the console report. How many are scored, then each dimension over all, then sections by first appearance with their means."""
+    total = evaluations.agg(F.count("*").alias("n"), F.count(_valid("clarity")).alias("ok"))
+    whole = global_scores(evaluations).crossJoin(F.broadcast(total))  # one row each
+    shown = lambda c: F.coalesce(F.format_string("%.2f", python_round(F.col(c), 2)), F.lit("nan"))
+    heads = [F.format_string("Evaluadas: %d/%d", "ok", "n"), *[F.concat(F.lit(f"{d}: "), shown(f"{d}_mean"), F.lit(" ± "), shown(f"{d}_std")) for d in DIMS]]
+    top = whole.select(F.posexplode(F.array(*heads)).alias("i", "line")).select(F.lit(0).alias("part"), F.col("i").cast("long").alias("ord"), "line")
+    cards = section_scorecard(evaluations).join(first_appearance(evaluations).select("section", "first_idx"), "section")
+    body = cards.select(F.lit(1).alias("part"), F.col("first_idx").cast("long").alias("ord"), F.concat("section", F.format_string(" (%d): ", "n_questions"), F.concat_ws(", ", *[F.concat(F.lit(f"{d} "), shown(f"{d}_mean")) for d in DIMS])).alias("line"))
+    return top.unionAll(body)
+
+
 def row_mean() -> Column:
     """Mean of a row's scores that aren't null."""
     known = F.filter(F.array(*[_valid(d) for d in DIMS]), lambda x: x.isNotNull())

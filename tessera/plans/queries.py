@@ -9,7 +9,7 @@ from tessera.functions import vectors as V
 from tessera.functions.fixed_values import COUNTRIES, GATE_NOTE, GATES, GENERATION_SECTIONS
 from tessera.functions.numbers import binarize
 from tessera.functions.text import file_name, first_truthy, list_name, unfence
-from tessera.operators import flux, forms, judge, learn, scorecard
+from tessera.operators import expression, flux, forms, judge, learn, scorecard
 from tessera.plans.views import SCORED, SURVEY, choices, scored, survey, table
 
 DIMS = scorecard.DIMS
@@ -134,10 +134,12 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fence_strip_parse(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("event_id") % 4
-    reply = F.when(n == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(n == 1, F.concat(F.lit("  "), F.col("props"), F.lit("\n"))).when(n == 2, F.concat(F.lit("```\n"), F.col("props"), F.lit("```"))).otherwise("no json")
-    text = unfence(reply)
-    return table(spark, d, "events").select("event_id", F.get_json_object(text, "$.k").try_cast("double").alias("k"), F.when(F.from_json(text, "map<string, string>").isNull(), F.substring(text, 1, 5)).alias("issue"))
+    """Replies with and without fences, without JSON, with prose after it and in single quotes, through the judge's parser."""
+    n, props = F.col("event_id") % 6, F.replace(F.col("props"), F.lit('"k"'), F.lit('"clarity_score"'))
+    reply = F.when(n == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(n == 1, F.concat(F.lit("  "), props, F.lit("\n"))).when(n == 2, F.concat(F.lit("```\n"), props, F.lit("```")))
+    reply = reply.when(n == 3, F.repeat(F.lit("no json "), 40)).when(n == 4, F.concat(props, F.lit(" and more"))).otherwise(F.replace(props, F.lit('"'), F.lit("'")))
+    parsed = judge.parse_reply(table(spark, d, "events").select("event_id", reply.alias("reply"), F.lit(None).cast("string").alias("error")))
+    return parsed.select("event_id", "clarity_score", "clarity_comment", "synthetic_generation_issues", "suggested_improvement", "score_in_range")
 
 
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -182,8 +184,7 @@ def pathway_share(spark: SparkSession, d: str) -> DataFrame:
 def metabolite_production(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_returnflag", F.col("l_partkey").alias("rxn"), F.col("l_quantity").alias("v"))
     stoich = table(spark, d, "part").select(F.col("p_partkey").alias("rxn"), F.col("p_brand").alias("met"), (F.col("p_size") % 3 - 1).cast("double").alias("coef"))
-    brands = [r[0] for r in table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").limit(3).collect()]
-    return flux.metabolite_production(lines, stoich, brands)
+    return flux.metabolite_production(lines, stoich)
 
 
 def log2_binarize(spark: SparkSession, d: str) -> DataFrame:
@@ -191,9 +192,55 @@ def log2_binarize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Probe to gene to family by two joins: suppliers by nation, nations by region."""
+    """Probe to gene to family: suppliers are probes, their nations genes, regions families; every seventh probe codes for nothing."""
     s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("family")).agg(F.count("*").alias("n_probes"), F.countDistinct("n_nationkey").alias("n_genes"))
+    values = s.select(F.col("s_suppkey").alias("subject"), F.col("s_suppkey").alias("probe"), F.col("s_acctbal").alias("value"))
+    probes = s.select(F.col("s_suppkey").alias("probe"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("gene"))
+    families = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("gene"), F.col("r_name").alias("family"))
+    mapped = expression.map_families(values, probes, families)
+    genes = mapped.groupBy("family").agg(F.countDistinct("gene").alias("n_genes"))
+    return expression.family_matrix(mapped).groupBy("family").agg(F.sum("n").alias("n_probes"), F.sum("active").alias("n_active")).join(genes, "family")
+
+
+def cluster_clinical(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters (market segments) of subjects (customers) against what is known of them (orders)."""
+    clinical = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.sum(F.floor(F.col("o_totalprice") / 1000)).alias("total")).withColumnRenamed("o_custkey", "c_custkey")
+    clusters = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("cluster"))
+    return expression.clinical_profiles(clusters, clinical, "c_custkey", ["n_orders", "total"])
+
+
+def section_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Sections' figures as summaries state them, to two digits."""
+    return scorecard.rounded_summary(section_scorecard(spark, d))
+
+
+def summary_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Over runs, means and deviations of whole summaries by form, in millionths, as sums run in any order."""
+    cards = scorecard.section_scorecard(scored(spark, d), ("form", "run", "section"))
+    shaped = cards.select("form", "run", "section", "n_questions", "n_needs_improvement", "avg_overall", *[F.struct(F.col(f"{x}_mean").alias("mean"), F.col(f"{x}_std").alias("std")).alias(x) for x in DIMS])
+    out = scorecard.summary_stability(shaped)
+    return out.select("form", "n_runs", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in out.columns[2:]])
+
+
+def low_questions(spark: SparkSession, d: str) -> DataFrame:
+    return scorecard.low_questions(scored(spark, d), 20, "l_partkey")
+
+
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    return scorecard.report_lines(scored(spark, d).withColumn("row_idx", F.col("l_orderkey")))
+
+
+def reference_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of integer vectors and distances to the vector of id 0; quotients in millionths, as logarithms and roots differ in the last bit."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 1000).cast("double")).alias("flux"))
+    both = rows.crossJoin(F.broadcast(rows.where("vec_id = 0").select(F.col("flux").alias("r"))))  # one row
+    out = flux.flux_features(both, "flux", "r")
+    return out.select("vec_id", "l1", "l2", "linf", "d_l1", "d_l2", "d_linf", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("d_cosine", "pearson")])
+
+
+def silhouette(spark: SparkSession, d: str) -> DataFrame:
+    value = learn.silhouette(table(spark, d, "embeddings"), "embedding", "label")
+    return spark.createDataFrame([(round(value * 1e6),)], "silhouette_millionths long")
 
 
 def _months(spark: SparkSession, d: str) -> DataFrame:
@@ -213,9 +260,9 @@ def pre_post_effect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chain_rhat(spark: SparkSession, d: str) -> DataFrame:
-    """Chains are ids modulo three; rounded to billionths, as sums run in any order."""
-    rows = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3).alias("chain"), F.element_at("embedding", 1).cast("double").alias("x"))
-    return flux.chain_rhat(rows, "x", ["label"]).select("label", "n_chains", F.round(F.col("rhat") * 1e6).cast("long").alias("rhat_millionths"))
+    """Of every dimension; chains are ids modulo three; rounded to millionths, as sums run in any order."""
+    rows = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3).alias("chain"), F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    return flux.chain_rhat(rows, "x", ["label", "dim"]).select("label", "dim", "n_chains", F.round(F.col("rhat") * 1e6).cast("long").alias("rhat_millionths"))
 
 
 def lof_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +271,9 @@ def lof_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lof(spark: SparkSession, d: str) -> DataFrame:
-    return learn.local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    """In millionths, as sums run in any order."""
+    _checkpointing(spark)
+    return learn.local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", F.round(F.col("lof") * 1e6).cast("long").alias("lof_millionths"))
 
 
 EPS, MIN_POINTS = 0.9, 4
@@ -240,8 +289,11 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checkpointing(spark: SparkSession) -> None:
-    """A folder for checkpoint() where the session has none, as in tests."""
+    """A folder for checkpoint() where a local session has none, as in tests; a cluster's must be named."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share; it is not set on {master}")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
@@ -261,8 +313,10 @@ def birch_like(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_explainer(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("label", *[F.element_at("embedding", i + 1).alias(f"x{i}") for i in range(17)])
-    importance, _ = learn.explain_by_tree(rows, [f"x{i}" for i in range(17)], "label")
+    vectors = table(spark, d, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = vectors.select("label", *[F.element_at("embedding", i + 1).alias(f"x{i}") for i in range(width)])
+    importance, _ = learn.explain_by_tree(rows, [f"x{i}" for i in range(width)], "label")
     return spark.createDataFrame(sorted(importance.items()), "feature string, importance double")
 
 
@@ -271,7 +325,8 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sarima_lite(spark: SparkSession, d: str) -> DataFrame:
-    return learn.seasonal_forecast(_months(spark, d), "program", "t", "n", 6, 12)
+    """In ten-thousandths, as sums run in any order."""
+    return learn.seasonal_forecast(_months(spark, d), "program", "t", "n", 6, 12).select("program", "step", F.round(F.col("forecast") * 1e4).cast("long").alias("forecast_e4"))
 
 
 def mahalanobis(spark: SparkSession, d: str) -> DataFrame:
@@ -279,20 +334,29 @@ def mahalanobis(spark: SparkSession, d: str) -> DataFrame:
     return flux.mahalanobis(rows, "v", rows.where("label = 0")).select("vec_id", "mahalanobis")
 
 
-def _model(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A small network: two ways from uptake to product, with peroxide as a by-product of one."""
-    stoich = spark.createDataFrame([("a", "IN", 1.0), ("a", "G6PDH2", -1.0), ("b", "G6PDH2", 1.0), ("a", "SLOW", -1.0), ("b", "SLOW", 1.0), ("h", "G6PDH2", 1.0), ("h", "EX_h2o2_e", -1.0), ("b", "OUT", -1.0)], "met string, rxn string, coef double")
-    reactions = spark.createDataFrame([("IN", 0.0, 10.0, 0.0), ("G6PDH2", 0.0, 20.0, 0.0), ("SLOW", 0.0, 3.0, 0.0), ("EX_h2o2_e", 0.0, 6.0, 0.0), ("OUT", 0.0, 100.0, 1.0)], "rxn string, lb double, ub double, c double")
-    return reactions, stoich, spark.createDataFrame([("a", 0.0), ("b", 0.0), ("h", 0.0)], "met string, b double")
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A network from the tables: each region is a metabolite that its suppliers' balances let in and its customers' let out; the first two regions' inflows are those that scenarios change."""
+    def balance(name: str, key: str, money: str) -> DataFrame:
+        t, n, r = table(spark, d, name), table(spark, d, "nation"), table(spark, d, "region")
+        sums = t.join(n, t[key] == n.n_nationkey).groupBy("n_regionkey").agg(F.sum(F.greatest(F.floor(money), F.lit(0))).cast("double").alias("ub"))
+        return r.join(sums, r.r_regionkey == sums.n_regionkey, "left").select("r_regionkey", "r_name", F.coalesce("ub", F.lit(0.0)).alias("ub"))
+
+    inward = F.when(F.col("r_regionkey") == 0, "G6PDH2").when(F.col("r_regionkey") == 1, "EX_h2o2_e").otherwise(F.concat(F.lit("IN_"), "r_name")).alias("rxn")
+    outward = F.concat(F.lit("OUT_"), "r_name").alias("rxn")
+    zero = F.lit(0.0)
+    reactions = balance("supplier", "s_nationkey", "s_acctbal").select(inward, zero.alias("lb"), "ub", zero.alias("c")).unionAll(balance("customer", "c_nationkey", "c_acctbal").select(outward, zero.alias("lb"), "ub", F.lit(1.0).alias("c")))
+    regions = table(spark, d, "region")
+    stoich = regions.select(F.col("r_name").alias("met"), inward, F.lit(1.0).alias("coef")).unionAll(regions.select(F.col("r_name").alias("met"), outward, F.lit(-1.0).alias("coef")))
+    return reactions, stoich, regions.select(F.col("r_name").alias("met"), zero.alias("b"))
 
 
 def fba_lp(spark: SparkSession, d: str) -> DataFrame:
-    reactions, stoich, mets = _model(spark)
-    return flux.flux_balance(flux.perturb(reactions, flux.scenario_grid(spark)), stoich, mets).select("scenario", "status", F.round("objective", 6).alias("objective")).distinct()
+    reactions, stoich, mets = _model(spark, d)
+    return flux.flux_balance(flux.perturb(reactions, flux.scenario_grid(spark)), stoich, mets).select("scenario", "status", F.round(F.col("objective") * 100).cast("long").alias("objective_cents")).distinct()
 
 
 def hit_and_run(spark: SparkSession, d: str) -> DataFrame:
-    reactions, stoich, mets = _model(spark)
+    reactions, stoich, mets = _model(spark, d)
     return flux.flux_features(flux.sample_fluxes(flux.perturb(reactions, flux.scenario_grid(spark)), stoich, mets))
 
 
@@ -308,7 +372,7 @@ _FUNCTIONS = (
     section_scorecard, global_scores, scorecard_rollup, first_appearance_sections, run_stability, stability_stats, program_clusters, before_after_delta, low_performers, row_mean_nonnull, category_counts, form_state_scan,
     extract_evaluation, extract_generation, excluded_log, section_counts, choice_lists, list_name_parse, file_name_parse, prompt_render, fence_strip_parse, resume_pending, union_resume, scenario_grid,
     vector_norms, vector_entropy, distance_to_reference, pathway_share, metabolite_production, log2_binarize, family_mapping, trend_slope, pre_post_effect, chain_rhat, lof_knn, lof, dbscan_core, dbscan,
-    pca85, kmeans, birch_like, tree_explainer, isolation_forest, sarima_lite, mahalanobis, fba_lp, hit_and_run, judge_runs,
+    cluster_clinical, section_summary, summary_stability, low_questions, report_lines, reference_features, silhouette, pca85, kmeans, birch_like, tree_explainer, isolation_forest, sarima_lite, mahalanobis, fba_lp, hit_and_run, judge_runs,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -328,6 +392,7 @@ _EXTRACTED = """SELECT form_id, row_idx, section, name, label, CASE WHEN type LI
   CASE WHEN ff THEN '{countries}' ELSE coalesce(array_to_string(choices, '|'), '') END AS choices, relevant, required = 'yes' AS required, {category} AS category,
   {rep} AS in_repeat, {rep_name} AS repeat_name, {note} AS note FROM sel LEFT JOIN lists ON ln = list_name WHERE {keep}"""
 _FILE_KEPT = "ff AND file = 'iso3166_paises.csv'"
+_GENERATED = f"({_FILE_KEPT}) OR (NOT ff AND NOT rep AND (gate_label IS NOT NULL OR target IS NOT NULL))"
 _VEC = "list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1000))"
 _FOLD = "list_reduce(list_prepend(0.0::DOUBLE, {v}), lambda s, x: {e})"
 
@@ -336,15 +401,19 @@ def _fold(v: str, e: str) -> str:
     return _FOLD.format(v=v, e=e)
 
 
-_RENDER = """concat('Evalúa la siguiente pregunta de historia clínica neurológica:', chr(10), chr(10), '    Sección: ', p_brand, chr(10), '    Variable: ', p_name, chr(10), '    Enunciado: ', p_type, chr(10), '    Tipo: select_one',
-  CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Condición de activación: x > 1' ELSE '' END,
-  CASE WHEN p_size % 6 = 0 THEN concat(chr(10), 'Pertenece a sección iterativa: Registro de animales', chr(10), 'Contexto del bloque: ', '{ctx}') WHEN p_size % 3 = 0 THEN concat(chr(10), 'Pertenece a sección iterativa: otro') ELSE '' END,
-  chr(10), '    Opciones de respuesta:', chr(10), '    ', coalesce(opts, '{none}'))"""
+from tessera.functions.fixed_values import NO_CHOICES, PARSE_ERROR, PROMPT, REPEAT_CONTEXT, REVIEW  # noqa: E402
+
+_Q = {k: "'" + v.replace("'", "''") + "'" for k, v in PROMPT.items()}
+_RENDER = f"""concat({_Q["section"]}, p_brand, {_Q["name"]}, p_name, {_Q["label"]}, p_type, {_Q["type"]}, 'select_one',
+  CASE WHEN p_size % 2 = 0 THEN {_Q["relevant"]} || 'x > 1' ELSE '' END,
+  CASE WHEN p_size % 6 = 0 THEN concat({_Q["repeat"]}, 'Registro de animales', {_Q["context"]}, '{REPEAT_CONTEXT["Registro de animales"]}') WHEN p_size % 3 = 0 THEN concat({_Q["repeat"]}, 'otro') ELSE '' END,
+  {_Q["choices"]}, coalesce(opts, '{NO_CHOICES}'))"""
+_ASKED = f"""concat({_Q["section"]}, section, {_Q["name"]}, name, {_Q["label"]}, coalesce(label, 'None'), {_Q["type"]}, CASE WHEN type LIKE '%select_multiple%' THEN 'select_multiple' ELSE 'select_one' END,
+  CASE WHEN relevant <> '' THEN {_Q["relevant"]} || relevant ELSE '' END, CASE WHEN ff AND rep AND rep_name <> '' THEN {_Q["repeat"]} || rep_name ELSE '' END,
+  {_Q["choices"]}, CASE WHEN ff THEN '{chr(10).join(f"  - {k}: {v}" for k, v in COUNTRIES.items())}' ELSE coalesce(opts, '{NO_CHOICES}') END)"""
 _MONTHS = "months AS (SELECT o_orderpriority AS program, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS t, count(*) AS n FROM orders GROUP BY 1, 2)"
 _DIST = "sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))), lambda s, x: s + x))"
 
-from tessera.functions.fixed_values import NO_CHOICES, REPEAT_CONTEXT  # noqa: E402
-
 ORACLE_SQL = {
     "section_scorecard": f"WITH {SCORED} SELECT section, {_COUNTS}, {_STATS}, {_OVERALL} FROM valid GROUP BY section",
     "global_scores": f"WITH {SCORED} SELECT count(*) AS n_questions, {_STATS}, {_OVERALL} FROM valid",
@@ -360,15 +429,17 @@ ORACLE_SQL = {
     "extract_evaluation": f"{_EXTRACT} " + _EXTRACTED.format(countries=_COUNTRIES, category="CASE WHEN ff THEN 'from_file_reduced' ELSE 'select' END", rep="rep", rep_name="rep_name", note="CASE WHEN ff THEN 'ISO 3166 reducido a 15 países' END", keep=f"NOT ff OR ({_FILE_KEPT})"),
     "extract_generation": f"{_EXTRACT} " + _EXTRACTED.format(
         countries=_COUNTRIES, category="CASE WHEN ff THEN 'from_file_reduced' WHEN gate_label IS NOT NULL THEN 'gate' ELSE 'select' END", rep="CASE WHEN ff THEN rep ELSE false END", rep_name="CASE WHEN ff THEN rep_name ELSE gate_label END",
-        note=f"CASE WHEN ff THEN 'ISO 3166 reducido a 15 países' WHEN gate_label IS NOT NULL THEN '{GATE_NOTE}' END", keep=f"({_FILE_KEPT}) OR (NOT ff AND NOT rep AND (gate_label IS NOT NULL OR target IS NOT NULL))",
+        note=f"CASE WHEN ff THEN 'ISO 3166 reducido a 15 países' WHEN gate_label IS NOT NULL THEN '{GATE_NOTE}' END", keep=_GENERATED,
     ),
     "excluded_log": f"{_EXTRACT} SELECT form_id, row_idx, name, label, CASE WHEN file = 'lab_loinc.csv' THEN 'Excluido: LOINC laboratorio' ELSE 'Excluido: catálogo ' || file END AS reason FROM sel WHERE ff AND file <> 'iso3166_paises.csv'",
     "section_counts": f"{_EXTRACT}, ords(target, ord) AS (VALUES {', '.join(f'({_values([(s,)])[1:-1]}, {i})' for i, s in enumerate(GENERATION_SECTIONS))}) SELECT CAST(ord AS INTEGER) AS ord, section, count(*) AS n FROM sel JOIN ords ON section = ords.target WHERE NOT ff AND NOT rep AND gate_label IS NULL GROUP BY ALL",
     "choice_lists": "SELECT 'list' || n_regionkey AS list_name, string_agg(n_nationkey || '=' || n_name, '|' ORDER BY n_nationkey) AS choices FROM nation WHERE n_nationkey <> 0 GROUP BY 1",
     "list_name_parse": "SELECT p_partkey, p_brand || CASE WHEN p_size % 3 = 0 THEN ' or_other' ELSE '' END AS list_name, CASE WHEN p_size % 5 = 0 THEN p_brand ELSE p_name END AS shown FROM part",
     "file_name_parse": "SELECT p_partkey, p_brand || '.csv' AS file_name FROM part",
-    "prompt_render": "WITH lists AS (SELECT n_regionkey AS k, string_agg('  - ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS opts FROM nation WHERE n_nationkey <> 0 GROUP BY 1), r AS (SELECT p_partkey, " + _RENDER.format(ctx=REPEAT_CONTEXT["Registro de animales"], none=NO_CHOICES) + " AS p FROM part LEFT JOIN lists ON p_size % 7 = k) SELECT p_partkey, md5(p) AS prompt_md5, length(p) AS n_chars FROM r",
-    "fence_strip_parse": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, CASE WHEN event_id % 4 = 3 THEN 'no js' END AS issue FROM events",
+    "prompt_render": "WITH lists AS (SELECT n_regionkey AS k, string_agg('  - ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS opts FROM nation WHERE n_nationkey <> 0 GROUP BY 1), r AS (SELECT p_partkey, " + _RENDER + " AS p FROM part LEFT JOIN lists ON p_size % 7 = k) SELECT p_partkey, md5(p) AS prompt_md5, length(p) AS n_chars FROM r",
+    "fence_strip_parse": f"""WITH r AS (SELECT event_id, event_id % 6 AS n, replace(props, '"k"', '"clarity_score"') AS p FROM events) SELECT event_id, CASE WHEN n < 3 THEN TRY_CAST(json_extract_string(p, '$.clarity_score') AS DOUBLE) END AS clarity_score,
+      CASE WHEN n >= 3 THEN '{PARSE_ERROR}' END AS clarity_comment, CASE n WHEN 3 THEN substr(repeat('no json ', 40), 1, 200) WHEN 4 THEN substr(p || ' and more', 1, 200) WHEN 5 THEN substr(replace(p, '"', chr(39)), 1, 200) END AS synthetic_generation_issues,
+      CASE WHEN n >= 3 THEN '{REVIEW}' END AS suggested_improvement, false AS score_in_range FROM r""",
     "resume_pending": "SELECT doc_id AS name, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "union_resume": "SELECT doc_id AS name, CAST(quality AS DOUBLE) AS score, NULL AS lang FROM labels UNION ALL SELECT doc_id, NULL, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "scenario_grid": "SELECT 'G6PD_' || n1 || '_h2o2_' || n2 AS scenario, CASE s_suppkey WHEN 1 THEN 'G6PDH2' WHEN 2 THEN 'EX_h2o2_e' ELSE s_name END AS rxn, CASE s_suppkey WHEN 1 THEN s_acctbal * f1 WHEN 2 THEN s_acctbal * f2 ELSE s_acctbal END AS ub FROM supplier, (VALUES (0.1::DOUBLE, '0_1'), (0.28::DOUBLE, '0_28'), (0.5::DOUBLE, '0_5')) AS a(f1, n1), (VALUES (1::DOUBLE, '1'), (0.75::DOUBLE, '0_75'), (0.5::DOUBLE, '0_5')) AS b(f2, n2)",
@@ -376,12 +447,32 @@ ORACLE_SQL = {
     "vector_entropy": f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), t AS (SELECT vec_id, v, {_fold('v', 's + x')} AS n FROM e) SELECT vec_id, CAST(round(list_sum(list_transform(list_filter(v, lambda x: x > 0), lambda x: -(x / n) * ln(x / n))) * 1e6) AS BIGINT) AS entropy_millionths FROM t",
     "distance_to_reference": f"WITH e AS (SELECT vec_id, {_VEC} AS v FROM embeddings), d AS (SELECT e.vec_id, list_transform(list_zip(e.v, r.v), lambda z: z[1] - z[2]) AS x, list_transform(list_zip(e.v, r.v), lambda z: z[1] * z[2]) AS p FROM e, e AS r WHERE r.vec_id = 0) SELECT vec_id, {_fold('x', 's + abs(x)').replace('list_prepend(0.0::DOUBLE, x)', 'list_prepend(0.0::DOUBLE, d.x)')} AS d_l1, sqrt({_fold('d.x', 's + x * x')}) AS d_l2, {_fold('d.x', 'greatest(s, abs(x))')} AS d_linf, {_fold('d.p', 's + x')} AS dot FROM d",
     "pathway_share": "WITH u AS (SELECT l_returnflag, p_type AS pathway, sum(l_quantity) AS usage FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT *, usage / sum(usage) OVER (PARTITION BY l_returnflag) AS share FROM u",
-    "metabolite_production": "WITH x AS (SELECT l_returnflag, p_brand AS met, (p_size % 3 - 1) * l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 3)) SELECT l_returnflag, met, sum(greatest(q, 0.0)) AS produced, sum(q) AS net FROM x GROUP BY ALL",
+    "metabolite_production": "WITH x AS (SELECT l_returnflag, p_brand AS met, (p_size % 3 - 1) * l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_returnflag, met, sum(greatest(q, 0.0)) AS produced, sum(q) AS net FROM x GROUP BY ALL",
     "log2_binarize": "SELECT event_id, CASE WHEN value > 0 THEN CAST(log2(value) > 1.5 AS INTEGER) END AS bit FROM events",
-    "family_mapping": "SELECT r_name AS family, count(*) AS n_probes, count(DISTINCT n_nationkey) AS n_genes FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    "family_mapping": "SELECT r_name AS family, count(*) AS n_probes, CAST(count(*) FILTER (s_acctbal > 0 AND log2(greatest(s_acctbal, 1e-9)) > 1.5) AS BIGINT) AS n_active, count(DISTINCT n_nationkey) AS n_genes FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 <> 0 GROUP BY 1",
     "trend_slope": f"WITH {_MONTHS}, p AS (SELECT a.program, CAST(sum(sign(b.n - a.n)) AS BIGINT) AS mann_kendall FROM months a JOIN months b ON a.program = b.program AND a.t < b.t GROUP BY 1) SELECT program, count(*) AS n, any_value(mann_kendall) AS mann_kendall, CAST(count(*) * sum(t * n) - sum(t) * sum(n) AS BIGINT) AS slope_num, CAST(count(*) * sum(t * t) - sum(t) * sum(t) AS BIGINT) AS slope_den FROM months JOIN p USING (program) GROUP BY program",
     "pre_post_effect": f"WITH {_MONTHS}, s AS (SELECT program, avg(n) FILTER (t < 23946) AS pre_mean, avg(n) FILTER (t >= 23946) AS post_mean FROM months GROUP BY 1) SELECT *, post_mean - pre_mean AS effect FROM s",
-    "chain_rhat": "WITH p AS (SELECT label, vec_id % 3 AS c, count(*) AS n, avg(CAST(embedding[1] AS DOUBLE)) AS m, var_samp(CAST(embedding[1] AS DOUBLE)) AS v FROM embeddings GROUP BY 1, 2), g AS (SELECT label, count(*) AS n_chains, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM p GROUP BY 1) SELECT label, n_chains, CAST(round(sqrt(((n - 1) / n * w + b) / w) * 1e6) AS BIGINT) AS rhat_millionths FROM g",
+    "chain_rhat": "WITH x AS (SELECT label, vec_id % 3 AS c, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim FROM embeddings), p AS (SELECT label, dim, c, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM x GROUP BY ALL), g AS (SELECT label, dim, count(*) AS n_chains, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM p GROUP BY 1, 2) SELECT label, dim, n_chains, CAST(round(sqrt(((n - 1) / n * w + b) / w) * 1e6) AS BIGINT) AS rhat_millionths FROM g",
     "lof_knn": f"SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5",
     "dbscan_core": f"SELECT a.vec_id, count(*) AS degree, count(*) >= {MIN_POINTS} AS is_core FROM embeddings a JOIN embeddings b ON {_DIST} <= {EPS} GROUP BY 1",
 }
+
+_MEAN2 = ", ".join(f"CAST(printf('%.2f', {e}) AS DOUBLE) AS {n}" for d in DIMS for e, n in ((_mean(d), f"{d}_mean"), (_std(d), f"{d}_std")))
+_CENTRES = f"d AS (SELECT a.vec_id AS a, a.label AS la, b.label AS lb, b.vec_id AS b, power({_DIST}, 2) AS q FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
+_KNN = f"near AS (SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS nb, {_DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5)"
+_LINES = ", ".join(f"'{d}: ' || printf('%.2f', {_mean(d)}) || ' ± ' || printf('%.2f', {_std(d)})" for d in DIMS)
+_SECTION_LINE = " || ', ' || ".join(f"'{d} ' || printf('%.2f', {_mean(d)})" for d in DIMS)
+ORACLE_SQL |= {
+    "cluster_clinical": "WITH o AS (SELECT o_custkey, count(*) AS n_orders, sum(floor(o_totalprice / 1000)) AS total FROM orders GROUP BY 1), l AS (SELECT c_mktsegment AS cluster, unnest(['n_orders', 'total']) AS variable, unnest([CAST(n_orders AS DOUBLE), total]) AS x FROM customer JOIN o ON c_custkey = o_custkey) SELECT cluster, variable, count(*) AS n, sum(x) / count(*) AS mean, CASE WHEN count(*) > 1 THEN sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) / CAST(count(*) * (count(*) - 1) AS DOUBLE)) END AS std FROM l GROUP BY ALL",
+    "section_summary": f"WITH {SCORED} SELECT section, {_COUNTS}, {_MEAN2}, CAST(printf('%.2f', {_OVERALL.removesuffix(' AS avg_overall')}) AS DOUBLE) AS avg_overall FROM valid GROUP BY section",
+    "summary_stability": f"WITH {SCORED}, c AS (SELECT form, run, section, {_COUNTS}, {', '.join(f'{_mean(d)} AS {d}' for d in DIMS)}, {_OVERALL.replace('avg_overall', 'overall')} FROM valid GROUP BY ALL), r AS (SELECT form, run, {', '.join(f'sum({d} * n_questions) / sum(n_questions) AS {d}' for d in (*DIMS, 'overall'))}, sum(n_needs_improvement) AS needs_improvement FROM c GROUP BY ALL) SELECT form, count(*) AS n_runs, {', '.join(f'CAST(round({f}({d}) * 1e6) AS BIGINT) AS {d}_{x}' for d in (*DIMS, 'overall', 'needs_improvement') for f, x in (('avg', 'mean'), ('stddev_samp', 'sd')))} FROM r GROUP BY form",
+    "low_questions": f"WITH {SCORED} SELECT l_partkey, count(*) AS n_runs, count(*) FILTER (completeness <= 2 OR granularity <= 2) AS n_needs_improvement, CAST(sum(clarity + relevance + completeness + granularity) AS DOUBLE) / (4 * count(*)) AS mean FROM valid GROUP BY 1 ORDER BY n_needs_improvement DESC, mean, l_partkey LIMIT 20",
+    "report_lines": f"WITH {SCORED}, top AS (SELECT ['Evaluadas: ' || count(*) || '/' || (SELECT count(*) FROM scored), {_LINES}] AS l FROM valid), firsts AS (SELECT section, min(l_orderkey) AS ord FROM scored GROUP BY 1) SELECT CAST(0 AS INTEGER) AS part, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM top UNION ALL SELECT 1, any_value(ord), section || ' (' || count(*) || '): ' || {_SECTION_LINE} FROM valid JOIN firsts USING (section) GROUP BY section",
+    "reference_features": f"WITH e AS (SELECT vec_id, {_VEC} AS v FROM embeddings), d AS (SELECT e.vec_id, e.v, r.v AS r, list_transform(list_zip(e.v, r.v), lambda z: z[1] - z[2]) AS x, list_transform(list_zip(e.v, r.v), lambda z: z[1] * z[2]) AS p FROM e, e AS r WHERE r.vec_id = 0), s AS (SELECT vec_id, {_fold('v', 's + abs(x)').replace('list_prepend(0.0::DOUBLE, v)', 'list_prepend(0.0::DOUBLE, d.v)')} AS l1, sqrt({_fold('d.v', 's + x * x')}) AS l2, {_fold('d.v', 'greatest(s, abs(x))')} AS linf, {_fold('d.x', 's + abs(x)')} AS d_l1, sqrt({_fold('d.x', 's + x * x')}) AS d_l2, {_fold('d.x', 'greatest(s, abs(x))')} AS d_linf, {_fold('d.p', 's + x')} AS dot, {_fold('d.v', 's + x')} AS sa, {_fold('d.r', 's + x')} AS sb, {_fold('d.v', 's + x * x')} AS aa, {_fold('d.r', 's + x * x')} AS bb, len(d.v) AS n FROM d) SELECT vec_id, l1, l2, linf, d_l1, d_l2, d_linf, CAST(round((1 - dot / (sqrt(aa) * sqrt(bb))) * 1e6) AS BIGINT) AS d_cosine, CAST(round((n * dot - sa * sb) / (sqrt(n * aa - sa * sa) * sqrt(n * bb - sb * sb)) * 1e6) AS BIGINT) AS pearson FROM s",
+    "silhouette": f"WITH {_CENTRES}, m AS (SELECT a, la, lb, avg(q) AS q FROM d GROUP BY ALL), s AS (SELECT a, max(q) FILTER (la = lb) AS own, min(q) FILTER (la <> lb) AS other FROM m GROUP BY a) SELECT CAST(round(avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(other, own) END) * 1e6) AS BIGINT) AS silhouette_millionths FROM s",
+    "lof": f"WITH {_KNN}, k AS (SELECT id, max(d) AS kd FROM near GROUP BY 1), r AS (SELECT near.id, count(*) / sum(greatest(d, kd)) AS lrd FROM near JOIN k ON nb = k.id GROUP BY 1) SELECT near.id, CAST(round(avg(o.lrd) / any_value(r.lrd) * 1e6) AS BIGINT) AS lof_millionths FROM near JOIN r ON near.id = r.id JOIN r o ON near.nb = o.id GROUP BY 1",
+    "dbscan": f"WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON {_DIST} <= {EPS}), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= {MIN_POINTS}), links AS (SELECT near.a, b FROM near JOIN core ON near.a = core.a JOIN core c ON near.b = c.a), reach(a, l) AS (SELECT a, a FROM core UNION SELECT links.b, reach.l FROM reach JOIN links ON reach.a = links.a), named AS (SELECT a, min(l) AS l FROM reach GROUP BY a), border AS (SELECT near.a, min(l) AS l FROM near JOIN named ON near.b = named.a GROUP BY 1) SELECT vec_id AS id, named.a IS NOT NULL AS is_core, coalesce(named.l, border.l, -1) AS cluster FROM embeddings LEFT JOIN named ON vec_id = named.a LEFT JOIN border ON vec_id = border.a",
+    "sarima_lite": f"WITH RECURSIVE {_MONTHS}, y AS (SELECT program, CAST(n AS DOUBLE) AS v, row_number() OVER (PARTITION BY program ORDER BY t) AS i, count(*) OVER (PARTITION BY program) AS m FROM months), d AS (SELECT a.program, a.i, a.m, a.v - b.v AS d FROM y a JOIN y b ON a.program = b.program AND a.i = b.i + 12), fit AS (SELECT a.program, any_value(a.m) AS m, greatest(least(regr_slope(b.d, a.d), 0.99), -0.99) AS phi, regr_intercept(b.d, a.d) AS c, max_by(b.d, b.i) AS last FROM d a JOIN d b ON a.program = b.program AND b.i = a.i + 1 GROUP BY 1), f(program, m, phi, c, step, last) AS (SELECT program, m, phi, c, 1, c + phi * last FROM fit UNION ALL SELECT program, m, phi, c, step + 1, c + phi * last FROM f WHERE step < 6) SELECT f.program, CAST(step AS INTEGER) AS step, CAST(round((v + last) * 1e4) AS BIGINT) AS forecast_e4 FROM f JOIN y ON f.program = y.program AND y.i = f.m + step - 12",
+    "fba_lp": "WITH s AS (SELECT n_regionkey AS k, sum(greatest(floor(s_acctbal), 0)) AS ub FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), c AS (SELECT n_regionkey AS k, sum(greatest(floor(c_acctbal), 0)) AS ub FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), g AS (SELECT * FROM (VALUES (0.1::DOUBLE, '0_1'), (0.28::DOUBLE, '0_28'), (0.5::DOUBLE, '0_5')) AS a(f1, n1), (VALUES (1::DOUBLE, '1'), (0.75::DOUBLE, '0_75'), (0.5::DOUBLE, '0_5')) AS b(f2, n2)) SELECT 'G6PD_' || n1 || '_h2o2_' || n2 AS scenario, 'optimal' AS status, CAST(round(sum(least(coalesce(s.ub, 0) * CASE s.k WHEN 0 THEN f1 WHEN 1 THEN f2 ELSE 1 END, coalesce(c.ub, 0))) * 100) AS BIGINT) AS objective_cents FROM g, s JOIN c USING (k) GROUP BY ALL",
+    "judge_runs": f"{_EXTRACT}, shown AS (SELECT 'list' || n_regionkey AS list_name, string_agg('  - ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS opts FROM nation WHERE n_nationkey <> 0 GROUP BY 1), asked AS (SELECT section, ff AND rep AS in_repeat, {_ASKED} AS p FROM sel LEFT JOIN shown ON ln = list_name WHERE {_GENERATED}), h AS (SELECT CAST(run AS INTEGER) AS run, section, in_repeat, sha256(run || chr(10) || p) AS h FROM asked, range(1, 10) AS r(run)), valid AS (SELECT run, section, in_repeat, {', '.join(f'1 + CAST((chr(48) || chr(120) || substr(h, {2 * i + 1}, 2)) AS INTEGER) % 5 AS {d}' for i, d in enumerate(DIMS))} FROM h) SELECT run, section, {_COUNTS}, {_STATS}, {_OVERALL} FROM valid GROUP BY run, section",
+}

@@ -48,8 +48,8 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as choices: lists are regions, and the nation of key 0 is left out for its value."""
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_idx"), F.concat(F.lit("list"), F.col("n_regionkey").cast("string")).alias("list_name"), F.col("n_nationkey").cast("string").alias("value"), F.col("n_name").alias("label"))
+    """Nations as choices: lists are regions, and the nation of key 0, a numeric nought, has no value."""
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_idx"), F.concat(F.lit("list"), F.col("n_regionkey").cast("string")).alias("list_name"), F.when(F.col("n_nationkey") != 0, F.col("n_nationkey").cast("string")).alias("value"), F.col("n_name").alias("label"))
 
 
 SURVEY = """survey AS (

@@ -23,8 +23,18 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
-    """(row number from 1, cells) of one sheet; rows are read as they come, one at a time."""
+def _number(text: str) -> int | float:
+    x = float(text)
+    return int(x) if x.is_integer() and "." not in text and "e" not in text.lower() else x
+
+
+def as_text(value: str | int | float | bool | None) -> str | None:
+    """A cell as text. Nought and false count as empty, as a text of 0 doesn't."""
+    return value if isinstance(value, str) else str(value) if value else None
+
+
+def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | int | float | bool | None]]]:
+    """(row number from 1, typed cells) of one sheet; rows are read as they come, one at a time. Rows and cells without a place follow the one before."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
@@ -35,10 +45,12 @@ def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | Non
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        number = 0
         for _, row in ElementTree.iterparse(book.open(path)):
             if row.tag != f"{{{_NS['m']}}}row":
                 continue
-            cells: list[str | None] = []
+            number = int(row.get("r") or number + 1)
+            cells: list[str | int | float | bool | None] = []
             for cell in row.iterfind("m:c", _NS):
                 at = _column(cell.get("r")) if cell.get("r") else len(cells)
                 cells += [None] * (at + 1 - len(cells))
@@ -47,15 +59,19 @@ def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | Non
                     cells[at] = shared[int(value.text)]
                 elif inline is not None:
                     cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
-                elif value is not None:
+                elif value is not None and cell.get("t") in ("str", "e", "d"):
                     cells[at] = value.text
-            yield int(row.get("r") or 0), cells
+                elif value is not None and value.text:
+                    cells[at] = value.text == "1" if cell.get("t") == "b" else _number(value.text)
+            yield number, cells
             row.clear()
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, columns: dict[int, str], has_header: bool = True) -> DataFrame:
     """Rows of one sheet of each workbook in path: form_id (its path), row_idx, and cells by position as strings.
 
+    Cells are read by their type: nought and false are null, as truth tests on them say, and a text of 0 is a text.
+
     A workbook is one file of bounded size, read by one task through Spark's own file systems.
     """
     names = list(columns.values())
@@ -65,7 +81,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, columns: dict[int, st
 
         for batch in batches:
             for form, content in zip(batch["path"], batch["content"]):
-                rows = [(form, i, *[cells[k] if k < len(cells) else None for k in columns]) for i, cells in sheet_rows(bytes(content), sheet) if i > has_header]
+                rows = [(form, i, *[as_text(cells[k]) if k < len(cells) else None for k in columns]) for i, cells in sheet_rows(bytes(content), sheet) if i > has_header]
                 yield pd.DataFrame(rows, columns=["form_id", "row_idx", *names])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")

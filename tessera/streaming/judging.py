@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.judge import Client, evaluate
 from tessera.sources.documents import read_prior_results
 
 
+#: Results are stored by this many buckets of names, so that a batch reads those of its own names alone.
+BUCKETS = 256
+
+
 def judge_stream(questions: DataFrame, client: Client, output: str, checkpoint: str, runs: int = 1, **options) -> StreamingQuery:
-    """Starts a query that appends results to the Parquet folder `output`.
+    """Starts a query that appends results to the Parquet folder `output`, by bucket of names.
 
     Streaming gives each question at least once; results already in the folder, by name and run, are left out, so a batch
-    that is run again after a failure adds nothing twice.
+    that is run again after a failure adds nothing twice. A batch reads the buckets of its names and no others, name and run alone.
     """
+    bucket = F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).cast("int")
 
     def score(batch: DataFrame, _: int) -> None:
-        results = evaluate(batch, client, runs)
-        done = read_prior_results(batch.sparkSession, output, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in results.schema))
-        evaluate(batch, client, runs, done, **options).write.mode("append").parquet(output)
+        asked = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+        done = read_prior_results(batch.sparkSession, output, "name string, run int, clarity_score double, bucket int").where(F.col("bucket").isin(asked))
+        evaluate(batch, client, runs, done, **options).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(output)
 
     return questions.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

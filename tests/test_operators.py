@@ -56,7 +56,8 @@ def _choices(spark):
 def test_extraction_decides_row_by_row(spark):
     one = {r.row_idx: r for r in forms.extract_questions(_form(spark), _choices(spark), "evaluation").collect()}
     assert sorted(one) == [1, 4, 7, 11, 12]
-    assert [c.value for c in one[1].choices] == ["1", "2"] and one[11].choices == []
+    # a text of 0 stays
+    assert [c.value for c in one[1].choices] == ["1", "2", "0"] and one[11].choices == []
     assert one[1].required and not one[12].required
     assert (one[4].in_repeat, one[4].repeat_name, one[7].repeat_name, one[7].category) == (True, "r", "Inner", "from_file_reduced")
     two = {r.row_idx: r for r in forms.extract_questions(_form(spark), _choices(spark), "generation").collect()}
@@ -75,14 +76,16 @@ def _workbook(path):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/s1.xml"/><Relationship Id="b" Target="/xl/worksheets/s2.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>select_one yn</t></si></sst>")
         z.writestr("xl/worksheets/s1.xml", f'<worksheet {ns}><sheetData><row r="1">{cell("A1", "type")}</row><row r="2"><c r="A2" t="s"><v>0</v></c>{cell("C2", "Label")}{cell("I2", "a &gt; 1")}</row></sheetData></worksheet>')
-        z.writestr("xl/worksheets/s2.xml", f'<worksheet {ns}><sheetData><row r="1"/><row r="2">{cell("A2", "yn")}<c r="B2"><v>1</v></c>{cell("C2", "Yes")}</row></sheetData></worksheet>')
+        typed = "".join(f'<row>{cell("A9", "yn")}{value}{cell("C9", label)}</row>' for value, label in (('<c r="B9"><v>0</v></c>', "Nought"), (cell("B9", "0"), "Text"), ('<c r="B9" t="b"><v>0</v></c>', "False"), ('<c r="B9" t="b"><v>1</v></c>', "True"), ('<c r="B9"><v>1.5</v></c>', "Half")))
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {ns}><sheetData><row r="1"/><row r="2">{cell("A2", "yn")}<c r="B2"><v>1</v></c>{cell("C2", "Yes")}</row>{typed}</sheetData></worksheet>')
 
 
 def test_workbook(spark, tmp_path):
     _workbook(tmp_path / "f.xlsx")
     row = read_survey(spark, str(tmp_path / "f.xlsx")).collect()
     assert [(r.row_idx, r.type, r.name, r.label, r.required, r.relevant) for r in row] == [(2, "select_one yn", None, "Label", None, "a > 1")]
-    assert [tuple(r)[2:] for r in read_choices(spark, str(tmp_path / "f.xlsx")).collect()] == [("yn", "1", "Yes")]
+    got = read_choices(spark, str(tmp_path / "f.xlsx")).collect()
+    assert [tuple(r)[1:] for r in got] == [(2, "yn", "1", "Yes"), (3, "yn", None, "Nought"), (4, "yn", "0", "Text"), (5, "yn", None, "False"), (6, "yn", "True", "True"), (7, "yn", "1.5", "Half")]
 
 
 def test_documents_round_trip(spark, tmp_path):
@@ -111,14 +114,16 @@ def test_judge_retries_parses_and_resumes(spark):
         raise RuntimeError("down")
 
     assert judge.ask(broken, "q", 1, sleep=waits.append) == (None, "down") and waits == [30.0, 60.0]
-    replies = [('```json\n{"clarity_score": 4, "x": 1}\n```', None), ("no", None), (None, "down"), ("[1]", None), ('{"clarity_score": "5"}', None)]
+    replies = [('```json\n{"clarity_score": 4, "x": 1}\n```', None), ("no", None), (None, "down"), ("[1]", None), ('{"clarity_score": "5"}', None), ('{"clarity_score": 5} and more', None), ("{'clarity_score': 5}", None)]
     rows = judge.parse_reply(spark.createDataFrame(replies, "reply string, error string")).collect()
-    assert [r.clarity_score for r in rows] == [4.0, None, None, None, 5.0]
+    assert [r.clarity_score for r in rows] == [4.0, None, None, None, 5.0, None, None]
     assert rows[0].other == {"x": "1"} and rows[1].clarity_comment == "Error de parseo" and rows[2].clarity_comment == "down" and rows[1].synthetic_generation_issues == "no"
     questions = forms.extract_questions(_form(spark), _choices(spark)).withColumn("name", F.concat("name", F.col("row_idx").cast("string")))
     first = judge.evaluate(questions, judge.StubClient(), runs=2).cache()
     assert first.count() == 10 and first.where("score_in_range").count() == 10
     assert judge.evaluate(questions, judge.StubClient(), runs=3, done=first).count() == 5
+    failed = first.withColumn("clarity_score", F.when(F.col("run") == 1, F.col("clarity_score")))
+    assert judge.evaluate(questions, judge.StubClient(), runs=2, done=failed, retry_failed=True).count() == 5
     lines = judge.progress(first, 7).where("run = 1").orderBy("idx").collect()
     assert [r.idx for r in lines] == [8, 9, 10, 11, 12] and all(1 <= r.avg <= 5 for r in lines)
     prompts = {r.name: r.prompt for r in judge.with_prompts(questions).collect()}
@@ -157,11 +162,11 @@ def test_simplex_finds_vertices():
             assert c @ (x + t * d) <= c @ x + 1e-6
 
 
-def test_clusters_and_anomalies(spark):
+def test_clusters_and_anomalies(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(5, 0.1, (40, 2)), [[20.0, 20.0]]])
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    spark.sparkContext.setCheckpointDir("/tmp/tessera-tests")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
     got = {r.id: r.cluster for r in learn.dbscan(rows, "id", "v", 0.8, 4).collect()}
     assert {got[i] for i in range(40)} == {0} and {got[i] for i in range(40, 80)} == {40} and got[80] == -1
     assert max(learn.isolation_forest(rows, "id", "v", trees=30).collect(), key=lambda r: r.score).id == 80
@@ -177,11 +182,17 @@ def test_forecast_repeats_a_season(spark):
     assert np.allclose(got, [22, 28], atol=1e-6)
 
 
+def _small_model(spark):
+    """Two ways from uptake to product, with peroxide as a by-product of one."""
+    stoich = spark.createDataFrame([("a", "IN", 1.0), ("a", "G6PDH2", -1.0), ("b", "G6PDH2", 1.0), ("a", "SLOW", -1.0), ("b", "SLOW", 1.0), ("h", "G6PDH2", 1.0), ("h", "EX_h2o2_e", -1.0), ("b", "OUT", -1.0)], "met string, rxn string, coef double")
+    reactions = spark.createDataFrame([("IN", 0.0, 10.0, 0.0), ("G6PDH2", 0.0, 20.0, 0.0), ("SLOW", 0.0, 3.0, 0.0), ("EX_h2o2_e", 0.0, 6.0, 0.0), ("OUT", 0.0, 100.0, 1.0)], "rxn string, lb double, ub double, c double")
+    return reactions, stoich, spark.createDataFrame([("a", 0.0), ("b", 0.0), ("h", 0.0)], "met string, b double")
+
+
 def test_models_round_trip(spark, tmp_path):
-    from tessera.plans.queries import _model
     from tessera.sources import models
 
-    reactions, stoich, mets = _model(spark)
+    reactions, stoich, mets = _small_model(spark)
     models.write_model({"reactions": reactions, "stoich": stoich, "metabolites": mets}, str(tmp_path / "m"))
     back = models.read_model(spark, str(tmp_path / "m"))
     grid = flux.perturb(back["reactions"], flux.scenario_grid(spark))
@@ -189,6 +200,83 @@ def test_models_round_trip(spark, tmp_path):
     # G6PD at 0.5 of 20 lets 10 through, peroxide at 0.5 of 6 lets 3, and 3 go the slow way
     assert {r.scenario: round(r.objective, 6) for r in optima.collect()}["G6PD_0_5_h2o2_0_5"] == 6.0
     samples = flux.sample_fluxes(grid, back["stoich"], back["metabolites"], chains=2, samples=20)
-    models.write_scenarios(str(tmp_path / "out"), grid, optima, samples)
-    assert spark.read.parquet(str(tmp_path / "out" / "samples")).where("chain = 2").count() == 180
+    baseline = flux.flux_balance(back["reactions"].withColumn("scenario", F.lit("as it is")), back["stoich"], back["metabolites"])
+    models.write_scenarios(str(tmp_path / "out"), grid, optima, samples, baseline)
+    assert spark.read.parquet(str(tmp_path / "out" / "samples")).where("chain = 2 AND g6pd = '0_28' AND h2o2 = '0_75'").count() == 20
+    assert spark.read.parquet(str(tmp_path / "out" / "v_or")).count() == 5
     assert flux.chain_rhat(samples.withColumn("x", F.element_at("flux", 1)), "x", ["scenario"]).count() == 9
+
+
+def test_simplex_solves_large_models():
+    """A thousand reactions; the optimum is the one that bounds of a chain of reactions give."""
+    rng = np.random.default_rng(4)
+    n = 1000
+    ub = rng.uniform(5, 50, n)
+    a = np.zeros((n - 1, n))
+    a[np.arange(n - 1), np.arange(n - 1)], a[np.arange(n - 1), np.arange(1, n)] = 1, -1
+    status, x = flux.maximize(np.eye(n)[-1], a, np.zeros(n - 1), np.zeros(n), ub)
+    assert status == "optimal" and np.allclose(x, ub.min(), atol=1e-6)
+
+
+def test_neighbours_in_many_cells_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 3)) for c in (0, 4, 9)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    got = {(r.a, r.b) for r in learn.neighbours(rows, "id", "v", 0.5, block=20).collect()}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(far <= 0.5)) if i < j}
+    np.fill_diagonal(far, np.inf)
+    near = {(r.id, r["rank"]): r.neighbour for r in learn.nearest(rows, "id", "v", 4, F.col("id") % 20 == 0, block=20).collect()}
+    assert near == {(i, k + 1): int(np.argsort(far[i], kind="stable")[k]) for i in range(0, 180, 20) for k in range(4)}
+
+
+def test_feature_trees_hold_all_points():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
+    tree = learn.FeatureTree(2, 0.2, branching=4)
+    for v in rng.permutation(x):
+        tree.add(v)
+    found = tree.features()
+    assert sum(n for n, _ in found) == len(x) and 4 <= len(found) < 60
+    assert np.allclose(sum(n * c for n, c in found), x.sum(0))
+
+
+def test_mahalanobis_is_the_formula(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0.2], [0, 0, 2]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.mahalanobis for r in flux.mahalanobis(rows, "v", rows.where("id < 40")).collect()}
+    centred = x - x[:40].mean(0)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", centred, np.linalg.inv(np.cov(x[:40].T)), centred))
+    assert np.allclose([got[i] for i in range(60)], want, rtol=1e-6)
+
+
+def test_features_of_matrices(spark):
+    rows = spark.createDataFrame([("m", [[1.0, 0.0, 3.0], [2.0, 0.0, -4.0]])], "name string, flux array<array<double>>")
+    got = sorted((r["sample"], r.l1, r.l2) for r in flux.flux_features(rows).collect())
+    assert got == [(0, 3.0, 5.0**0.5), (1, 0.0, 0.0), (2, 7.0, 5.0)]
+
+
+def test_trend_counts_pairs(spark):
+    rng = random.Random(2)
+    rows = [("a", t, float(rng.randrange(6))) for t in range(30)] + [("a", 4, 2.0), ("b", 1, 1.0)]
+    got = {r.k: r.mann_kendall for r in learn.trend(spark.createDataFrame(rows, "k string, t int, v double"), "k", "t", "v").collect()}
+    of = [r for r in rows if r[0] == "a"]
+    assert got == {"a": sum((q[2] > p[2]) - (q[2] < p[2]) for p in of for q in of if p[1] < q[1]), "b": 0}
+
+
+def test_soft_files(spark, tmp_path):
+    from tessera.sources.soft import read_expression, read_soft_attributes
+
+    text = "^PLATFORM = P1\n!Platform_title = Array = one\n!platform_table_begin\nID\tGENE\n1\tG6PD\n!platform_table_end\n"
+    text += "".join(f"^SAMPLE = S{k}\r\n!Sample_title = subject {k}\r\n#VALUE = level\r\n!sample_table_begin\r\nID_REF\tVALUE\r\np1\t{k}.5\r\np2\tnull\r\n!sample_table_end\r\n" for k in (1, 2))
+    (tmp_path / "x.soft").write_bytes(text.encode())
+    assert {(r.kind, r.name, r.key, r.value) for r in read_soft_attributes(spark, str(tmp_path / "x.soft")).collect()} == {("platform", "P1", "Platform_title", "Array = one"), ("sample", "S1", "Sample_title", "subject 1"), ("sample", "S2", "Sample_title", "subject 2")}
+    assert sorted((r.subject, r.probe, r.value) for r in read_expression(spark, str(tmp_path / "x.soft")).collect()) == [("S1", "p1", 1.5), ("S1", "p2", None), ("S2", "p1", 2.5), ("S2", "p2", None)]
+
+
+def test_report_and_rounded_summary(spark):
+    scores = spark.createDataFrame([("s", 1, 4, 2, 5, True, 0), ("s", 2, 4, 3, 1, False, 1), ("t", 3, 3, 3, 3, False, 2), ("u", None, 1, 1, 1, False, 3)], "section string, clarity int, relevance int, completeness int, granularity int, in_repeat boolean, row_idx long")
+    lines = [r.line for r in scorecard.report_lines(scores).orderBy("part", "ord").collect()]
+    assert lines[0] == "Evaluadas: 3/4" and lines[1] == "clarity: 2.00 ± 1.00" and lines[5:] == ["s (2): clarity 1.50, relevance 4.00, completeness 2.50, granularity 3.00", "t (1): clarity 3.00, relevance 3.00, completeness 3.00, granularity 3.00"]
+    assert {r.section: r.clarity_std for r in scorecard.rounded_summary(scorecard.section_scorecard(scores)).collect()} == {"s": 0.71, "t": None}
