@@ -61,7 +61,8 @@ def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
 
     A turn is START, role, newline, escaped text, END, newline. `turns` holds (piece_start, start, end, masked) by turn:
     the text stands at [start, end), and loss is taken on the masked ones, those of trained_role.
-    Null roles and texts are empty. An empty table gives no rows; a conversation's null id is an id like others.
+    Null roles and texts are empty. An empty table gives no rows; a conversation's null id is an id like others. A conversation is
+    one window and one row, so it has 2 GB at most.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "body")

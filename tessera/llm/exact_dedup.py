@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import materialize
+from tessera.llm.storage import discard, materialize
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -52,8 +52,8 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("doc", "sha", F.posexplode(cut).alias("at", "block"))
         .withColumn("at", F.col("at").cast("long"))
     )
-    named = materialize(_names(blocks, ["block"]), "blocks").distinct()
-    done = None
+    stored = materialize(_names(blocks, ["block"]), "blocks")
+    named, done = stored.distinct(), None
     while True:
         sized = named.groupBy("doc", "sha").agg(F.max("at").alias("last"), F.max("name").alias("name"))
         if done is None:
@@ -65,8 +65,10 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = named.groupBy("doc", "sha", F.expr("at div 2").alias("pair")).agg(
             F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("at") % 2 == 1, F.col("name"))).alias("b")
         ).withColumnRenamed("pair", "at")
-        named = materialize(_names(pairs, ["a", "b"]), "names")
-        done, top = named, top // 2
+        before, stored = stored, materialize(_names(pairs, ["a", "b"]), "names")
+        discard(before)
+        named = done = stored
+        top //= 2
     # one name each; documents of unequal block counts differ in bytes
     identity = sized.select("doc", F.lower(F.hex("sha")).alias("text_sha256"), "name")
     rows = rows.join(identity, [rows.doc.eqNullSafe(identity.doc), rows.text_sha256 == identity.text_sha256]).select(rows.doc, "points", rows.text_sha256, "bytes", "name")

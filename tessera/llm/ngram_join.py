@@ -27,6 +27,8 @@ TREE_BYTES, FANOUT = 1 << 20, 8
 PAIRS = 1 << 14
 #: Rows' names are broadcast up to this many (about 25 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Blocks are broadcast up to this many, each with its hubs (about 15 MB).
+BROADCAST_KEYS = 100_000
 #: Names of rows without an id are numbers from here, of their texts; ids are below.
 NO_ID = 1 << 62
 _LIMIT = np.uint64(int(COUNTED * 2**64))
@@ -271,11 +273,13 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # counted shingles of one document come first in the order; those listed follow
     prefix = by_doc.select("doc", F.explode(F.expr("transform(slice(shared, 1, greatest(need - (has - size(shared)), 0)), s -> s.h)")).alias("h"))
     rest = first.select("doc", F.explode(F.slice("high", F.lit(1), F.greatest(need - F.size("low"), F.lit(0)))).alias("h"))
-    keys = prefix.unionAll(rest).distinct()
+    keys = materialize(prefix.unionAll(rest).distinct(), "prefixes")
     shared_keys = keys.groupBy("h").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"s{i}") for i in (1, 2)], *[F.min(F.struct(F.xxhash64("doc", F.lit(10 + i)).alias("x"), "doc")).alias(f"hub{i}") for i in range(HUBS)]).where("k > 1")
     # shingles with the same members make the same pairs: one block for all of them
     shared_keys = shared_keys.groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), *[F.min(f"hub{i}").alias(f"hub{i}") for i in range(HUBS)])
-    where = materialize(keys.join(shared_keys, "h").select("h", "doc", "k", *[f"hub{i}" for i in range(HUBS)]), "blocks")
+    shared_keys = materialize(shared_keys, "shared-keys")
+    # a shingle of a third of all points is one key, so few keys go to the points instead of meeting them
+    where = materialize(keys.join(F.broadcast(shared_keys) if shared_keys.count() <= BROADCAST_KEYS else shared_keys, "h").select("h", "doc", "k", *[f"hub{i}" for i in range(HUBS)]), "blocks")
     lean = points.select("doc", "n", "vec")
     hubs = lean.select(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec"))
 
@@ -328,7 +332,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     more = materialize(pairs.mapInArrow(_compare(percent), "a long, b long"), "links")
     if not more.isEmpty():
         parts = materialize(connected_components(edges.unionAll(more)), "components")
-    discard(uses, left, points, where, members, homes, trees)
+    discard(uses, left, points, keys, shared_keys, where, members, homes, trees)
     of_class = classes.join(parts, classes.doc == parts.node, "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("component"))
     out = digests.join(of_class, ["n", "d1", "d2"], "left").select(_id(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "doc")).alias("component_id"))
     return out

@@ -23,6 +23,8 @@ BUCKET_BYTES, MOST_SEGMENTS = 1 << 18, 1 << 10
 PIECES = (16, 1)
 #: Rows' names are broadcast up to this many (about 25 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Ranges of pieces are broadcast up to this many (about 15 MB).
+BROADCAST_RANGES = 250_000
 #: Bytes searched for anchors at once: a place takes so many bits, and the other bits of a number are the hash's, for texts of any length.
 PLACE_BITS = 24
 
@@ -303,7 +305,9 @@ def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFr
         many = unlike.where(F.col("variants") > MOST_SEGMENTS).select("h", "s", "n", "segment", "anchor")
         pieces = many.mapInArrow(_pieces(length, steps[0]), "h2 long, s2 long, segment binary, anchor long, h long, s long, at long, n long")
         below = _repeats(pieces.select(F.col("h2").alias("h"), F.col("s2").alias("s"), "segment", "anchor", "n"), length, steps[1:])
-        named = pieces.select("h2", "s2", "h", "s", "at").join(below.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "first", "last"), ["h2", "s2"])
+        below = materialize(below.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "first", "last"), "piece-ranges")
+        # a piece that most segments share is one key, so few ranges go to the pieces instead of meeting them
+        named = pieces.select("h2", "s2", "h", "s", "at").join(F.broadcast(below) if below.count() <= BROADCAST_RANGES else below, ["h2", "s2"])
         out = out.unionAll(named.select("h", "s", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")))
     return out
 
