@@ -299,7 +299,7 @@ def _word_counts(d: list[np.ndarray], n_shards: int):
 
 def _sum_word_counts(key: tuple, table: pa.Table) -> pa.Table:
     """A shard of words: (words; by half: times first, given up, distinct words before, spelled)."""
-    rows = table.to_pylist()
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["a"], r["values"]))  # sums of fractions are of one order, whichever rows come first
     x = np.unique(np.concatenate([_unpack(r["a"]) for r in rows]))
     values = np.zeros((8, len(x)))
     values[6:] = BOUNDARY_SPELLED
@@ -483,7 +483,10 @@ _GAINED = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.b
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, documents' places, sums of their entries' gains) by shard, and chunks' documents. Rows come by slot and salt, the model's entries first."""
+    """(chunk, documents' places, sums of their entries' gains) by shard, and chunks' documents. Rows come by slot and salt, the model's entries first.
+
+    A shard's entries come in any order. Of entries that share a key the least gain counts, so that a repeated task gives the same sums.
+    """
     now, table = None, (np.zeros(0, np.uint32), np.zeros(0, np.int16))
     for batch in batches:
         out = []
@@ -497,8 +500,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 more = low, np.frombuffer(row["value"], np.int16)
                 if now == place:
                     more = tuple(np.concatenate([a, b]) for a, b in zip(table, more))
-                order = np.argsort(more[0], kind="stable")
-                now, table = place, (more[0][order], more[1][order])
+                both = np.sort(more[0].astype(np.uint64) << np.uint64(16) | (more[1].astype(np.int64) + 32768).astype(np.uint64))
+                now, table = place, ((both >> np.uint64(16)).astype(np.uint32), ((both & np.uint64(0xFFFF)).astype(np.int64) - 32768).astype(np.int16))
                 continue
             if now != place or not len(table[0]):
                 continue

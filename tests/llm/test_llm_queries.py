@@ -351,6 +351,29 @@ def test_quality_is_plain_kneser_ney(spark):
                 assert abs(plain.log_perplexity(r.text) - got[r.doc_id]) < 0.01, r.doc_id
 
 
+def test_quality_sums_don_t_depend_on_the_order_of_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import quality as Q
+
+    def row(low, value, docs=None):
+        sizes = None if docs is None else np.array([len(low)], np.uint32).tobytes()
+        kind = np.int16 if docs is None else np.uint32
+        return (0, 0, 0, docs, sizes, np.array(low, np.uint32).tobytes(), np.array(value, kind).tobytes())
+
+    pairs, words = row([3, 7], [100, 40]), row([7, 9], [-25, 60])  # both have the key 7
+    asked = row([3, 7, 9], [1, 2, 1], np.zeros(1, np.uint32).tobytes())
+    sums = [np.frombuffer(next(Q._probe(iter([Q._batch(rows, Q._LOOKED)]))).column("sums")[0].as_py(), np.int64).tolist() for rows in ([pairs, words, asked], [words, pairs, asked])]
+    assert sums == [[100 + 2 * -25 + 60]] * 2
+
+    rng = np.random.default_rng(1)
+    x = Q._pack(np.arange(5, dtype=np.uint64))
+    rows = [(0, 0, x, (rng.random((6, 5)) * 10.0 ** rng.integers(-8, 8, (6, 5))).astype(np.float32).tobytes()) for _ in range(40)]
+    shard = lambda some: Q._sum_word_counts((pa.scalar(0),), pa.Table.from_batches([Q._batch(some, Q._STATS)])).to_pylist()
+    assert shard(rows) == shard(rows[::-1])
+
+
 def test_toxic_text_is_not_trusted(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert sorted(r.doc_id for r in quality.trusted_labels(spark, str(tmp_path)).collect()) == [1, 4]
