@@ -19,7 +19,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
-    same_rows(QUERIES[name](spark, SMALL).toPandas(), duck.sql(ORACLE_SQL[name]).df())
+    same_rows(QUERIES[name](spark, SMALL).toArrow().to_pandas(integer_object_nulls=True), duck.sql(ORACLE_SQL[name]).df())
 
 
 def _edge_documents(spark, tmp_path):
