@@ -32,10 +32,11 @@ LONG_WORD = 512
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
-def span_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each byte span, the same wherever the span stands: eight bytes at a time are added and mixed."""
     size = ends - starts
-    out = mix(size.astype(np.uint64) * _SEED)
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * _SEED + np.uint64(seed))
     padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(buffer) + 1,), "<u8", padded.data, strides=(1,))
     with np.errstate(over="ignore"):
@@ -50,7 +51,7 @@ def span_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             k += 8
             at = at[left > 8]
     for i in np.flatnonzero(size > LONG_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
@@ -130,9 +131,9 @@ def words(part: Slice, classes: tuple[np.ndarray, np.ndarray]) -> Words:
     return Words(starts, ends, rows, np.bincount(rows, minlength=part.last - part.first).astype(np.int64))
 
 
-def word_hashes(part: Slice, found: Words, classes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def word_hashes(part: Slice, found: Words, classes: tuple[np.ndarray, np.ndarray], seed: int = 0) -> np.ndarray:
     """64-bit hash of each word after translation (A-Z lower-cased)."""
-    return span_hash(classes[1][part.buffer], found.starts, found.ends)
+    return span_hash(classes[1][part.buffer], found.starts, found.ends, seed)
 
 
 _ORDER = _splitmix_table(99, 64)
