@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.storage import bound_batches, discard, materialize
+from tessera.llm.storage import bound_batches, discard, join_frequent, materialize
 from tessera.llm.tokens import SPACED, Slice, mix, shingles, slices, word_hashes, words
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -27,9 +27,7 @@ TREE_BYTES, FANOUT = 1 << 20, 8
 PAIRS = 1 << 14
 #: Rows' names are broadcast up to this many (about 25 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Blocks are broadcast up to this many, each with its hubs (about 15 MB).
-BROADCAST_KEYS = 100_000
-#: Names of rows without an id are numbers from here, of their texts; ids are below.
+#: Names of rows without an id are numbers from here, of their texts, as are those of sets of an id that has several; ids are below.
 NO_ID = 1 << 62
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 
@@ -245,7 +243,9 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     5. Surviving pairs are verified by whole sets.
 
     Returns one row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included). Ids are
-    integers below 2 ** 62. Rows of one id are one node with the links of each text. A row without an id is a node of its own
+    integers below 2 ** 62. Rows of one id are one node with the links of each text: each of its sets is a point of its own, named
+    by 62 bits of a hash, with an edge to the id. Rows are told apart by 64 bits of a hash of id and text; of 10 ** 9 rows two
+    share one with a probability of 0.03. A row without an id is a node of its own
     (with those of equal texts), counts as larger than any id, and is returned as null; so is the component of such rows alone. An
     empty table gives no rows. Other columns are ignored. A document's set fits one row (2 GB). Lowers the session's limits on Arrow batches (bound_batches).
     """
@@ -254,22 +254,26 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     doc = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
     rows = documents.select(doc.alias("doc"), F.col(text_col).alias("text")).select("doc", F.xxhash64("doc", "text").alias("row"), "text")
     digests = materialize(rows.mapInArrow(_digests(size), "doc long, row long, n long, d1 long, d2 long"), "digests")
-    classes = materialize(digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc", "row")).alias("least")).select("n", "d1", "d2", "least.doc", "least.row"), "classes")
+    classes = digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc", "row")).alias("least")).select("n", "d1", "d2", F.col("least.doc").alias("of"), "least.row")
+    # a set is a point by itself; sets of one id are joined to it by edges
+    several = materialize(digests.groupBy("doc").agg(F.min(F.struct("n", "d1", "d2")).alias("x"), F.max(F.struct("n", "d1", "d2")).alias("y")).where("x <> y").select(F.col("doc").alias("of"), F.lit(True).alias("several")), "several")
+    own_number = F.xxhash64("n", "d1", "d2").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    classes = materialize(classes.join(several, "of", "left").select("n", "d1", "d2", F.when(F.col("several"), own_number).otherwise(F.col("of")).alias("doc"), "row"), "classes")
     uses = rows.mapInArrow(_counted(size), "h long, row long").groupBy("h").agg(F.count("*").alias("df"), F.min("row").alias("row"))
     # one pass over the counts: shingles in one row are summed by row, others are listed
     uses = materialize(uses.select("h", F.when(F.col("df") > 1, F.col("df")).alias("df"), F.when(F.col("df") == 1, F.col("row")).alias("row")).groupBy(F.when(F.col("row").isNull(), F.col("h")).alias("h"), "row").agg(F.count("*").alias("alone"), F.max("df").alias("df")), "uses")
     alone = uses.where("h IS NULL").select("row", "alone")
     spare = lambda n: n - F.ceil(n * percent / 100)
-    left = materialize(classes.join(alone, "row", "left").where(F.coalesce("alone", F.lit(0)) <= spare(F.col("n"))).select("row").distinct(), "candidates")
+    left = materialize(classes.join(alone, "row", "left").where(F.coalesce("alone", F.lit(0)) <= spare(F.col("n"))).select("row", "doc"), "candidates")
     few = left.count() <= BROADCAST_IDS
-    points = materialize(rows.join(F.broadcast(left) if few else left, "row").select("doc", "text").mapInArrow(_full(size), "doc long, n long, vec array<int>, hashes array<long>").where("n > 0"), "points")
+    points = materialize(rows.drop("doc").join(F.broadcast(left) if few else left, "row").select("doc", "text").mapInArrow(_full(size), "doc long, n long, vec array<int>, hashes array<long>").where("n > 0"), "points")
     limit = int(_LIMIT)
     frequency = uses.where("h IS NOT NULL").select("h", "df")
     first = points.select("doc", "n", F.expr(f"filter(hashes, h -> h >= 0 AND h < {limit})").alias("low"), F.expr(f"filter(hashes, h -> NOT (h >= 0 AND h < {limit}))").alias("high"))
     need = (spare(F.col("n")) + 1).cast("int")
     # every counted shingle takes part in the order; of the rest only as many as the prefix lacks
     counted = first.select("doc", need.alias("need"), F.size("low").alias("has"), F.explode("low").alias("h")).join(frequency, "h")
-    by_doc = counted.groupBy("doc").agg(F.max("need").alias("need"), F.max("has").alias("has"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    by_doc = counted.groupBy("doc").agg(F.max("need").alias("need"), F.max("has").alias("has"), F.sort_array(F.collect_set(F.struct("df", "h"))).alias("shared"))
     # counted shingles of one document come first in the order; those listed follow
     prefix = by_doc.select("doc", F.explode(F.expr("transform(slice(shared, 1, greatest(need - (has - size(shared)), 0)), s -> s.h)")).alias("h"))
     rest = first.select("doc", F.explode(F.slice("high", F.lit(1), F.greatest(need - F.size("low"), F.lit(0)))).alias("h"))
@@ -278,8 +282,8 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # shingles with the same members make the same pairs: one block for all of them
     shared_keys = shared_keys.groupBy("k", "s1", "s2").agg(F.min("h").alias("h"), *[F.min(f"hub{i}").alias(f"hub{i}") for i in range(HUBS)])
     shared_keys = materialize(shared_keys, "shared-keys")
-    # a shingle of a third of all points is one key, so few keys go to the points instead of meeting them
-    where = materialize(keys.join(F.broadcast(shared_keys) if shared_keys.count() <= BROADCAST_KEYS else shared_keys, "h").select("h", "doc", "k", *[f"hub{i}" for i in range(HUBS)]), "blocks")
+    # a shingle of a third of all points is one key
+    where = materialize(join_frequent(keys, shared_keys, "h", "k").select("h", "doc", "k", *[f"hub{i}" for i in range(HUBS)]), "blocks")
     lean = points.select("doc", "n", "vec")
     hubs = lean.select(F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec"))
 
@@ -298,6 +302,10 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # a few hubs for each document, then those of its other blocks that are elsewhere
     own = where.groupBy("doc").agg(*[F.min(f"hub{i}").alias(f"hub{i}") for i in range(HUBS)])
     edges = linked(own.select("doc", F.explode(F.array_distinct(F.array(*[F.col(f"hub{i}.doc") for i in range(HUBS)]))).alias("hub")))
+    repeated = not several.isEmpty()
+    if repeated:
+        same_id = digests.where("n > 0").join(several.select(F.col("of").alias("doc")), "doc").join(classes.withColumnRenamed("doc", "node"), ["n", "d1", "d2"])
+        edges = edges.unionAll(materialize(same_id.select(*_one_order(F.col("doc"), F.col("node"))).distinct(), "same-id"))
     parts = materialize(connected_components(edges), "components")
     of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     apart = placed(parts).join(of_hub, "hub", "left").where(F.coalesce("hub_component", "hub") != F.col("component"))
@@ -334,8 +342,12 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         parts = materialize(connected_components(edges.unionAll(more)), "components")
     discard(uses, left, points, keys, shared_keys, where, members, homes, trees)
     of_class = classes.join(parts, classes.doc == parts.node, "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("component"))
-    out = digests.join(of_class, ["n", "d1", "d2"], "left").select(_id(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "doc")).alias("component_id"))
-    return out
+    out = digests.join(of_class, ["n", "d1", "d2"], "left")
+    if repeated:
+        # an id's rows without words have its component, too
+        of_id = several.join(parts, several.of == parts.node).select(F.col("of").alias("doc"), F.col("component").alias("id_component"))
+        out = out.join(of_id, "doc", "left").withColumn("component", F.coalesce("id_component", "component"))
+    return out.select(_id(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "doc")).alias("component_id"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: With it, a step's shuffle files go when its result is written, instead of when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -67,6 +68,18 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_frequent(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 10_000) -> DataFrame:
+    """left joined with right by key, whatever share of left's rows a key has; left must be a table, as it is read three times.
+
+    right has one row per key, with the number of left's rows that have it in column weight. Keys with more than 1 / share of
+    left's rows are fewer than share, at every size: these are broadcast. Of the others, which are shuffled, none is a heavy one.
+    """
+    heavy = F.col(weight) * share > left.count()
+    few = right.where(heavy)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti")
+    return left.join(F.broadcast(few), key).unionByName(rest.join(right.where(~heavy), key))
+
+
 def bound_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
     """Lowers the session's limits on Arrow batches, which count rows first and would hold ten thousand whole texts.
 
