@@ -1,4 +1,4 @@
-"""Workbooks as a Spark data source, over the standard library's zip and XML readers."""
+"""Sheets of workbooks, over the standard library's zip and XML readers."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _column(ref: str) -> int:
+def cell_column(ref: str) -> int:
     """Zero-based column of a cell reference."""
     n = 0
     for c in re.match("[A-Z]+", ref).group():
@@ -33,38 +33,53 @@ def as_text(value: str | int | float | bool | None) -> str | None:
     return value if isinstance(value, str) else str(value) if value else None
 
 
-def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, list[str | int | float | bool | None]]]:
-    """(row number from 1, typed cells) of one sheet; rows are read as they come, one at a time. Rows and cells without a place follow the one before."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        target = next((links[s.get(_REL)] for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _NS) if s.get("name") == sheet), None)
-        if target is None:
-            raise ValueError(f"the workbook has no sheet {sheet!r}")
-        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        number = 0
-        for _, row in ElementTree.iterparse(book.open(path)):
-            if row.tag != f"{{{_NS['m']}}}row":
+def _sheets(book: zipfile.ZipFile) -> dict[str, str]:
+    """The path inside the workbook of each sheet, in their order."""
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    targets = {s.get("name"): links[s.get(_REL)] for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _NS)}
+    return {name: t.lstrip("/") if t.startswith("/") else f"xl/{t}" for name, t in targets.items()}
+
+
+def sheet_names(book: zipfile.ZipFile) -> list[str]:
+    return list(_sheets(book))
+
+
+def _shared_texts(book: zipfile.ZipFile) -> list[str]:
+    return ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+
+
+def sheet_rows(book: zipfile.ZipFile, sheet: str, wanted: set[int] | None = None) -> Iterator[tuple[int, list[str | int | float | bool | None]]]:
+    """(row number from 1, typed cells) of one sheet; rows are read as they come, one at a time. Rows and cells without a place follow the one before.
+
+    Cells of columns that aren't wanted stay null and are not parsed; shared texts are read with the first wanted cell that has one.
+    """
+    path = _sheets(book).get(sheet)
+    if path is None:
+        raise ValueError(f"the workbook has no sheet {sheet!r}")
+    shared: list[str] | None = None
+    number = 0
+    for _, row in ElementTree.iterparse(book.open(path)):
+        if row.tag != f"{{{_NS['m']}}}row":
+            continue
+        number = int(row.get("r") or number + 1)
+        cells: list[str | int | float | bool | None] = []
+        for cell in row.iterfind("m:c", _NS):
+            at = cell_column(cell.get("r")) if cell.get("r") else len(cells)
+            cells += [None] * (at + 1 - len(cells))
+            if wanted is not None and at not in wanted:
                 continue
-            number = int(row.get("r") or number + 1)
-            cells: list[str | int | float | bool | None] = []
-            for cell in row.iterfind("m:c", _NS):
-                at = _column(cell.get("r")) if cell.get("r") else len(cells)
-                cells += [None] * (at + 1 - len(cells))
-                value, inline = cell.find("m:v", _NS), cell.find("m:is", _NS)
-                if cell.get("t") == "s" and value is not None:
-                    cells[at] = shared[int(value.text)]
-                elif inline is not None:
-                    cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
-                elif value is not None and cell.get("t") in ("str", "e", "d"):
-                    cells[at] = value.text
-                elif value is not None and value.text:
-                    cells[at] = value.text == "1" if cell.get("t") == "b" else _number(value.text)
-            yield number, cells
-            row.clear()
+            value, inline = cell.find("m:v", _NS), cell.find("m:is", _NS)
+            if cell.get("t") == "s" and value is not None:
+                shared = _shared_texts(book) if shared is None else shared
+                cells[at] = shared[int(value.text)]
+            elif inline is not None:
+                cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
+            elif value is not None and cell.get("t") in ("str", "e", "d"):
+                cells[at] = value.text
+            elif value is not None and value.text:
+                cells[at] = value.text == "1" if cell.get("t") == "b" else _number(value.text)
+        yield number, cells
+        row.clear()
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, columns: dict[int, str], has_header: bool = True) -> DataFrame:
@@ -81,7 +96,8 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, columns: dict[int, st
 
         for batch in batches:
             for form, content in zip(batch["path"], batch["content"]):
-                rows = [(form, i, *[as_text(cells[k]) if k < len(cells) else None for k in columns]) for i, cells in sheet_rows(bytes(content), sheet) if i > has_header]
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    rows = [(form, i, *[as_text(cells[k]) if k < len(cells) else None for k in columns]) for i, cells in sheet_rows(book, sheet, set(columns)) if i > has_header]
                 yield pd.DataFrame(rows, columns=["form_id", "row_idx", *names])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
