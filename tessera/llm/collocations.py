@@ -16,6 +16,8 @@ from tessera.llm.tokens import Slice, Words, byte_class, mix, slices, word_hashe
 LEAST, MOST_WORDS, INSIDE_PERCENT = 10, 3, 50
 #: Phrases reported for each language.
 TOP = 2000
+#: Parts of a language that are ranked by themselves before it is.
+RANK_PARTS = 64
 #: Words that a task projects at once, and distinct windows of a group of prefixes, about.
 FLUSH, GROUP = 1 << 21, 1 << 21
 #: Ends a piece of text: no phrase crosses it.
@@ -274,9 +276,11 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     longer = longer.groupBy("lang", "codes").agg(F.max("a").alias("longer"))
     kept = lowest.join(longer, ["lang", "codes"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("a")))
 
-    # ties at the end are all kept until their phrases are spelled
+    # parts of a language are ranked first, as its ranks are one task; ties at the end are all kept until their phrases are spelled
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"))
-    first = materialize(kept.withColumn("place", F.rank().over(order)).where(F.col("place") <= top).drop("place", "longer"), "first")
+    of_part = Window.partitionBy("lang", "part").orderBy(F.desc("cut.score"), F.desc("a"))
+    first = kept.withColumn("part", F.pmod(F.xxhash64("codes"), F.lit(RANK_PARTS))).withColumn("place", F.rank().over(of_part)).where(F.col("place") <= top)
+    first = materialize(first.withColumn("place", F.rank().over(order)).where(F.col("place") <= top).drop("place", "part", "longer"), "first")
     spelled = first.select("lang", "codes", F.posexplode("codes").alias("pos", "code")).join(vocabulary.select("lang", "code", "word"), ["lang", "code"])
     spelled = spelled.groupBy("lang", "codes").agg(F.concat_ws(" ", F.expr("transform(sort_array(collect_list(struct(pos, word))), x -> x.word)")).alias("phrase"))
     sizes = vocabulary.groupBy("lang").agg(F.sum("f").alias("n"))
