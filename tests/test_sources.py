@@ -144,3 +144,55 @@ def test_a_read_model_is_solved(spark, tmp_path):
 
     best = flux.flux_balance(model["reactions"].withColumn("scenario", F.lit("x")), model["stoich"], model["metabolites"]).collect()
     assert {r.objective for r in best} == {4.0} and {r.status for r in best} == {"optimal"}
+
+
+def _soft(path, samples, rows, end="\n"):
+    """A SOFT file, and its table rows and attributes as a plain pass over the lines finds them."""
+    rng = np.random.default_rng(1)
+    with open(path, "w", newline="") as f:
+        f.write(f"^DATABASE = Geo{end}!Database_name = x = y{end}^PLATFORM = P1{end}!platform_table_begin{end}ID\tGene{end}")
+        f.writelines(f"p{i}\tg{i % 7}{end}" for i in range(rows))
+        f.write(f"!platform_table_end{end}")
+        for s in range(samples):
+            f.write(f"^SAMPLE = S{s}{end}!Sample_title = subject {s}{end}#ID_REF = probe{end}!sample_table_begin{end}" + ("VALUE\tID_REF" if s % 2 else "ID_REF\tVALUE\tP") + end)
+            for i in range(rows if s % 5 else 0):
+                v = "null" if i % 11 == 0 else f"{rng.normal():.4f}"
+                f.write((f"{v}\tp{i}" if s % 2 else f"p{i}\t{v}\t0.5") + end)
+            f.write(f"!sample_table_end{end}!Sample_end = yes{end}")
+    cells, attributes = [], []
+    name = head = None
+    inside = False
+    for n, line in enumerate(open(path, newline="").read().split("\n")[:-1], 1):
+        line = line.removesuffix("\r")
+        if line.startswith("^"):
+            name = line.split(" = ", 1)[1]
+        elif "_table_begin" in line:
+            inside, head = True, None
+        elif "_table_end" in line:
+            inside = False
+        elif inside and head is None:
+            head = line.split("\t")
+        elif inside:
+            cells.append((n, name, tuple(sorted(zip(head, line.split("\t"))))))
+        if line.startswith("!") and "=" in line:
+            attributes.append((n, name, *line[1:].split(" = ", 1)))
+    return cells, attributes
+
+
+@pytest.mark.parametrize(("split", "end"), [("128m", "\n"), ("700", "\n"), ("64", "\r\n"), ("37", "\n")])
+def test_soft_files_read_in_splits_are_the_whole_file(spark, tmp_path, split, end):
+    """However a file is split, in the middle of tables, before their first line or right after a mark."""
+    from tessera.sources.soft import read_soft_attributes, read_soft_tables
+
+    cells, attributes = _soft(tmp_path / "x.soft", 6, 12, end)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = read_soft_tables(spark, str(tmp_path / "x.soft"))
+        assert sorted((r.line_no, r.name, tuple(sorted(r.cells.items()))) for r in rows.collect()) == cells
+        assert sorted((r.line_no, r.name, r.key, r.value) for r in read_soft_attributes(spark, str(tmp_path / "x.soft")).collect()) == attributes
+        assert (spark.read.text(str(tmp_path / "x.soft")).rdd.getNumPartitions() > 4) == (split != "128m")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
