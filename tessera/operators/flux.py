@@ -198,36 +198,49 @@ def chain_rhat(samples: DataFrame, value: str, group: list[str], chain: str = "c
     return out.select(*group, "n_chains", "within", "between", F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between")) / F.col("within")).alias("rhat"))
 
 
+#: Sums of tasks are merged in so many groups, which the driver adds up.
+MERGED = 16
+
+
 def mahalanobis(samples: DataFrame, column: str, reference: DataFrame) -> DataFrame:
-    """Distance of each vector to the reference's mean, by the pseudo-inverse of its covariance.
+    """Distance of each vector to the reference's mean, by the pseudo-inverse of its covariance; null without any reference, or for a null vector.
 
-    Means and products are summed on executors; the driver inverts a matrix as wide as a vector is long.
+    Each task sums vectors and their products about the first vector into one row, and MERGED rows of them reach the driver, which
+    inverts a matrix as wide as a vector is long.
     """
-    d = len(reference.select(column).first()[0])
-    at = F.posexplode(column).alias("i", "x")
-    long = reference.select(F.monotonically_increasing_id().alias("id"), column).select("id", at)
-    sums = np.zeros(d)
-    for r in long.groupBy("i").agg(F.avg("x").alias("m")).toLocalIterator():
-        sums[r.i] = r.m
-    n = reference.count()
-
-    def products(batches):
-        total = np.zeros((d, d))
+    first = reference.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v")).first()
+    if first is None:
+        return samples.withColumn("mahalanobis", F.lit(None).cast("double"))
+    about = np.array(first.v)
+    d = len(about)
+
+    def added(batches):
+        n, total, products = 0, np.zeros(d), np.zeros((d, d))
         for batch in batches:
             if len(batch):
-                x = np.stack(batch[column].to_numpy()) - sums
-                total += x.T @ x
-        yield pd.DataFrame({"p": [total.ravel()]})
-
-    parts = reference.select(column).mapInPandas(products, "p array<double>").select(F.posexplode("p").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-    cov = np.zeros(d * d)
-    for r in parts.toLocalIterator():
-        cov[r.k] = r.x
-    inverse = np.linalg.pinv(cov.reshape(d, d) / max(1, n - 1))
+                x = np.stack(batch["v"].to_numpy()) - about
+                n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
+        yield pd.DataFrame({"n": [n], "s": [total], "p": [products.ravel()]})
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [parts["n"].sum()], "s": [np.sum(parts["s"].to_list(), axis=0)], "p": [np.sum(parts["p"].to_list(), axis=0)]})
+
+    kind = "n long, s array<double>, p array<double>"
+    parts = reference.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v")).mapInPandas(added, kind)
+    sums = parts.groupBy(F.spark_partition_id() % MERGED).applyInPandas(merged, kind).toPandas()
+    n = int(sums["n"].sum())
+    shift = np.sum(sums["s"].to_list(), axis=0) / n
+    mean = about + shift
+    cov = (np.sum(sums["p"].to_list(), axis=0).reshape(d, d) - n * np.outer(shift, shift)) / max(1, n - 1)
+    inverse = np.linalg.pinv(cov)
 
     @F.pandas_udf("double")
     def distance(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()) - sums if len(v) else np.zeros((0, d))
-        return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, inverse, x), 0)))
+        out = pd.Series(np.nan, index=v.index)
+        known = v.notna()
+        if known.any():
+            x = np.stack(v[known].to_numpy()) - mean
+            out[known] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, inverse, x), 0))
+        return out.astype(object).where(known, None)
 
     return samples.withColumn("mahalanobis", distance(F.col(column)))

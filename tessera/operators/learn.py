@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
+from tessera.operators.near import apart, nearest, neighbours
 
 
 def pca_to_variance(rows: DataFrame, column: str, variance: float = 0.85) -> tuple[DataFrame, int]:
-    """Rows with `pca`, of as few components as explain the variance, and their number."""
-    d = len(rows.select(column).first()[0])
+    """Rows with `pca`, of as few components as explain the variance, and their number. Without rows there are none, of no components."""
+    first = rows.select(column).first()
+    if first is None:
+        return rows.withColumn("pca", F.lit(None).cast("array<double>")), 0
+    d = len(first[0])
     vectors = rows.withColumn("_v", array_to_vector(column))
     model = PCA(k=d, inputCol="_v", outputCol="_p").fit(vectors)
     k = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), variance - 1e-12) + 1)
@@ -48,89 +52,6 @@ def silhouette(rows: DataFrame, column: str, cluster: str = "cluster") -> float:
     return ClusteringEvaluator(featuresCol="_v", predictionCol="_c").evaluate(vectors)
 
 
-#: Cells that points are dealt into by their nearest pivot, and points of a block, about.
-PIVOTS, BLOCK = 256, 2048
-
-
-def _blocks(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, list[tuple], np.ndarray]:
-    """(blocks (cell, block, ids, flat, asks), cells (cell, radius, greatest distance of an asking point to its k-th in the block), pivots).
-
-    Pivots are the points with the least hashes, PIVOTS at most: a bounded sample that decides nothing but speed. A cell's points
-    are those nearest to its pivot, dealt into blocks of about `block`, so no task holds more, whatever the cell.
-    """
-    points = rows.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"), (F.lit(True) if asked is None else asked).alias("asks"))
-    n = points.count()
-    chosen = [r.v for r in points.orderBy(F.xxhash64("id"), "id").limit(min(pivots, -(-n // block))).select("v").collect()]
-    centres = np.array(chosen, float).reshape(len(chosen), -1)
-    kind = points.schema["id"].dataType.simpleString()
-
-    def place(batches):
-        for batch in batches:
-            x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, centres.shape[1]))
-            far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0))
-            yield batch.assign(cell=far.argmin(1) if len(x) else [], far=far.min(1) if len(x) else [])
-
-    placed = points.mapInPandas(place, f"id {kind}, v array<double>, asks boolean, cell int, far double")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect() if n else []  # a row for each pivot
-    parts = F.create_map(*[F.lit(x) for r in sizes for x in (r.cell, -(-r.n // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), parts[F.col("cell")]))
-    listed = dealt.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v", "asks"))).alias("p"))
-    blocks = listed.select("cell", F.concat_ws("-", "cell", "part").alias("block"), F.col("p.id").alias("ids"), F.flatten("p.v").alias("flat"), F.col("p.asks").alias("asks"))
-    return blocks, [(r.cell, r.radius) for r in sizes], centres
-
-
-def _pairs_of_blocks(blocks: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
-    """Blocks of each pair of cells listed, side by side."""
-    spark = blocks.sparkSession
-    side = lambda x: blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in blocks.columns])
-    listed = F.broadcast(spark.createDataFrame(cells, "cell_a int, cell_b int"))  # PIVOTS ** 2 at most
-    return side("a").join(listed, "cell_a").join(side("b"), "cell_b")
-
-
-def _matrix(flat: np.ndarray, n: int) -> np.ndarray:
-    return np.asarray(flat, float).reshape(n, -1)
-
-
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All distances, but for rounding."""
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
-
-
-def _exactly(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of rows, squares summed from left to right."""
-    return np.sqrt(np.add.accumulate((x - y) ** 2, axis=1)[:, -1]) if len(x) else np.zeros(0)
-
-
-def neighbours(rows: DataFrame, id_col: str, column: str, eps: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, dist) of pairs a < b within eps.
-
-    Points are dealt into cells around pivots, and cells into blocks. Cells meet if their pivots are no farther apart than their radii and eps,
-    as no points of others can be within eps; of these each pair of blocks is one row, compared at once. What stays is
-    quadratic only within eps and the cells' radii, and no key holds more than a block.
-    """
-    blocks, cells, centres = _blocks(rows, id_col, column, block=block)
-    far = _apart(centres, centres)
-    near = [(a, b) for a, ra in cells for b, rb in cells if far[a, b] <= ra + rb + eps + 1e-6]
-    met = _pairs_of_blocks(blocks, near).where("block_a <= block_b")
-    kind = rows.schema[id_col].dataType.simpleString()
-
-    def compare(batches):
-        for batch in batches:
-            found = [pd.DataFrame({"a": [], "b": [], "dist": []})]
-            for r in batch.itertuples(index=False):
-                x, y = _matrix(r.flat_a, len(r.ids_a)), _matrix(r.flat_b, len(r.ids_b))
-                i, j = np.nonzero(_apart(x, y) <= eps + 1e-6 * (1 + eps))
-                if r.block_a == r.block_b:
-                    i, j = i[i < j], j[i < j]
-                d = _exactly(x[i], y[j])
-                ok = d <= eps
-                p, q = np.asarray(r.ids_a)[i[ok]], np.asarray(r.ids_b)[j[ok]]
-                found.append(pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p), "dist": d[ok]}))
-            yield pd.concat(found)
-
-    return met.mapInPandas(compare, f"a {kind}, b {kind}, dist double")
-
-
 def density_counts(rows: DataFrame, id_col: str, column: str, eps: float, min_points: int) -> DataFrame:
     """(id, degree, is_core): neighbours within eps, itself included, and whether they are min_points or more."""
     pairs = neighbours(rows, id_col, column, eps)
@@ -213,7 +134,7 @@ class FeatureTree:
         if size <= self.branching:
             return None
         centres = node["s"][:size] / node["n"][:size, None]
-        far = _apart(centres, centres)
+        far = apart(centres, centres)
         a, b = np.unravel_index(far.argmax(), far.shape)
         stays = far[a] <= far[b]
         stays[a], stays[b] = True, False
@@ -324,62 +245,6 @@ def isolation_forest(rows: DataFrame, id_col: str, column: str, trees: int = 50,
     return points.mapInPandas(score, f"id {points.schema['id'].dataType.simpleString()}, score double")
 
 
-def _best(x: np.ndarray, y: np.ndarray, own: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, distance) of each row's k nearest others, ties by name."""
-    far = _apart(x, y)
-    far[own[:, None] == names] = np.inf
-    k = min(k, far.shape[1])
-    reach = np.partition(far, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(x))
-    i, j = np.nonzero((far <= (reach + 1e-6 * (1 + reach))[:, None]) & np.isfinite(far))
-    d = _exactly(x[i], y[j])
-    order = np.lexsort((names[j], d, i))
-    i, j, d = i[order], j[order], d[order]
-    first = np.searchsorted(i, i)
-    ok = np.arange(len(i)) - first < k
-    return i[ok], j[ok], d[ok]
-
-
-def nearest(rows: DataFrame, id_col: str, column: str, k: int, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour, dist, rank): the k nearest others of each query row, exact, ties by id.
-
-    Points are dealt into cells around pivots, and cells into blocks (see neighbours). Within its block a point's k-th neighbour is so far at most;
-    a cell meets those cells alone whose points could be as near as the farthest of these, and block meets block in one row, which
-    hands on k rows for each query.
-    """
-    blocks, cells, centres = _blocks(rows, id_col, column, queries, block)
-    kind = rows.schema[id_col].dataType.simpleString()
-
-    def reach(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                x, asks = _matrix(r.flat, len(r.ids)), np.asarray(r.asks, bool)
-                if len(x) > k and asks.any():
-                    far = _apart(x[asks], x)
-                    out.append((r.cell, float(np.partition(far, k, axis=1)[:, k].max())))
-                elif asks.any():
-                    out.append((r.cell, math.inf))
-            yield pd.DataFrame(out, columns=["cell", "reach"])
-
-    reaches = {r.cell: r.reach for r in blocks.mapInPandas(reach, "cell int, reach double").groupBy("cell").agg(F.max("reach").alias("reach")).collect()}
-    far = _apart(centres, centres)
-    near = [(a, b) for a, ra in cells for b, rb in cells if a in reaches and far[a, b] - ra - rb <= reaches[a] + 1e-6]
-
-    def compare(batches):
-        for batch in batches:
-            found = [pd.DataFrame({"id": [], "neighbour": [], "dist": []})]
-            for r in batch.itertuples(index=False):
-                asks = np.asarray(r.asks_a, bool)
-                own, names = np.asarray(r.ids_a)[asks], np.asarray(r.ids_b)
-                i, j, d = _best(_matrix(r.flat_a, len(r.ids_a))[asks], _matrix(r.flat_b, len(names)), own, names, k)
-                found.append(pd.DataFrame({"id": own[i], "neighbour": names[j], "dist": d}))
-            yield pd.concat(found)
-
-    met = _pairs_of_blocks(blocks, near).mapInPandas(compare, f"id {kind}, neighbour {kind}, dist double")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour")))
-    return ranked.where(F.col("rank") <= k)
-
-
 def local_outlier_factor(rows: DataFrame, id_col: str, column: str, k: int) -> DataFrame:
     """(id, lof) from k nearest neighbours, exact."""
     near = nearest(rows, id_col, column, k).checkpoint()

@@ -11,6 +11,7 @@ from tessera.functions.numbers import binarize
 from tessera.functions.text import file_name, first_truthy, list_name, unfence
 from tessera.operators import expression, flux, forms, judge, learn, scorecard
 from tessera.plans.views import SCORED, SURVEY, choices, scored, survey, table
+from tessera.session import ensure_checkpoints
 
 DIMS = scorecard.DIMS
 
@@ -272,7 +273,7 @@ def lof_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def lof(spark: SparkSession, d: str) -> DataFrame:
     """In millionths, as sums run in any order."""
-    _checkpointing(spark)
+    ensure_checkpoints(spark)
     return learn.local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", F.round(F.col("lof") * 1e6).cast("long").alias("lof_millionths"))
 
 
@@ -284,21 +285,10 @@ def dbscan_core(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
-    _checkpointing(spark)
+    ensure_checkpoints(spark)
     return learn.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", EPS, MIN_POINTS)
 
 
-def _checkpointing(spark: SparkSession) -> None:
-    """A folder for checkpoint() where a local session has none, as in tests; a cluster's must be named."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share; it is not set on {master}")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-
-
 def pca85(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     return learn.pca_to_variance(rows, "v")[0].select("vec_id", "pca")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import python_round
 from tessera.functions.text import number_token, unfence
-from tessera.operators import flux, forms, judge, learn, scorecard
+from tessera.operators import flux, forms, judge, learn, near, scorecard
 from tessera.sources import documents as docs
 from tessera.sources.xlsx import read_choices, read_survey
 
@@ -230,6 +230,37 @@ def test_neighbours_in_many_cells_and_blocks(spark, monkeypatch):
     assert near == {(i, k + 1): int(np.argsort(far[i], kind="stable")[k]) for i in range(0, 180, 20) for k in range(4)}
 
 
+def test_pairs_compared_grow_slowly(spark):
+    """Of unit vectors in clusters of about 20: below n ** 1.5, from one size to four times it."""
+    rng = np.random.default_rng(2)
+
+    def compared(n):
+        centres = rng.normal(size=(n // 20, 12))
+        x = centres[rng.integers(0, n // 20, n)] + rng.normal(size=(n, 12)) * 0.05
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        return near.meeting_blocks(rows, "id", "v", 0.05, block=32).agg(F.sum(F.size("own") * F.size("ids"))).first()[0]
+
+    small, large = compared(1500), compared(6000)
+    assert large < small * 4**1.5 and large < 6000**2 / 10, (small, large)
+
+
+def test_neighbours_of_copies_outliers_and_no_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.zeros((150, 2)), rng.normal(size=(90, 2)), [[1e6, 0], [0, -1e6]]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    got = {(r.a, r.b) for r in near.neighbours(rows, "id", "v", 0.4, block=16).collect()}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(far <= 0.4)) if i < j}
+    np.fill_diagonal(far, np.inf)
+    best = {(r.id, r["rank"]): (r.dist, r.neighbour) for r in near.nearest(rows, "id", "v", 3, block=16).collect()}
+    assert best == {(i, k + 1): (far[i, j], int(j)) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), far[i]))[:3])}
+    none = rows.limit(0)
+    assert near.neighbours(none, "id", "v", 1.0).count() == near.nearest(none, "id", "v", 3).count() == learn.local_outlier_factor(none, "id", "v", 3).count() == 0
+    assert learn.pca_to_variance(none, "v")[1] == 0 and flux.mahalanobis(none, "v", none).count() == 0
+    assert flux.mahalanobis(rows, "v", rows).where("id = 999").first().mahalanobis is None
+
+
 def test_feature_trees_hold_all_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
