@@ -19,6 +19,8 @@ WINDOW = 10
 SLOP = 1
 #: Lists that are intersected by joins, from the rarest; texts with what is left are read.
 LISTS = 3
+#: Candidate places that are compared at once.
+CHECKED = 1 << 16
 #: Terms are broadcast up to this many (8 MB); beyond, all words are counted and indexed, and joined with the terms.
 BROADCAST_TERMS = 1_000_000
 #: Keys of texts are broadcast up to this many, and lists of candidates and of matches up to this many entries in all (some 25 MB each); beyond, they are joined by a shuffle.
@@ -122,7 +124,7 @@ def _matches(term: np.ndarray, start: np.ndarray, wanted: np.ndarray, sizes: np.
 
 def _verify(slop: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, spans of exact matches, windows found exactly, windows found near by) of texts with candidates (window, terms, start)."""
+        """(key, spans of exact matches, windows found exactly, windows found near by) of texts with candidates (window, starts, terms)."""
         for batch in batches:
             for part in slices(batch.column("text")):
                 found = words(part, ALNUM)
@@ -131,11 +133,16 @@ def _verify(slop: int):
                 spans, exact, near = [], [], []
                 for i in range(part.last - part.first):
                     listed = batch.column("listed")[part.first + i].values
-                    wid, start, terms = listed.field("wid").to_numpy(), listed.field("start").to_numpy().astype(np.int64), listed.field("terms")
-                    sizes = terms.value_lengths().to_numpy().astype(np.int64)
-                    wanted = np.zeros((len(wid), sizes.max()), np.int64)
-                    wanted[np.arange(wanted.shape[1]) < sizes[:, None]] = terms.flatten().to_numpy()
-                    own, close = _matches(every[ends[i] - found.per_row[i] : ends[i]], start, wanted, sizes, slop)
+                    lists, terms = listed.field("starts"), listed.field("terms")
+                    counts, sizes = (x.value_lengths().to_numpy().astype(np.int64) for x in (lists, terms))
+                    table = np.zeros((len(sizes), sizes.max()), np.int64)
+                    table[np.arange(table.shape[1]) < sizes[:, None]] = terms.flatten().to_numpy()
+                    which, start = np.repeat(np.arange(len(sizes)), counts), lists.flatten().to_numpy().astype(np.int64)
+                    text, own, close = every[ends[i] - found.per_row[i] : ends[i]], np.zeros(len(start), bool), np.zeros(len(start), bool)
+                    for at in range(0, len(start), CHECKED):
+                        rows = which[at : at + CHECKED]
+                        own[at : at + CHECKED], close[at : at + CHECKED] = _matches(text, start[at : at + CHECKED], table[rows], sizes[rows], slop)
+                    wid, sizes = listed.field("wid").to_numpy()[which], sizes[which]
                     spans.append(_merge(start[own], (start + sizes)[own]))
                     exact.append(np.unique(wid[own]).tolist())
                     near.append(np.setdiff1d(wid[close], wid[own]).tolist())
@@ -228,16 +235,18 @@ def decontaminate(
     for k in range(1, LISTS):
         # windows of fewer terms than lists go on as they are
         more, done = met.where(F.size("rare") > k), met.where(F.size("rare") <= k)
-        at: Column = F.col("rare")[k]["place"]
-        near = lambda s: F.exists("positions", lambda p: F.abs(p - s - at) <= slop)  # noqa: B023, E731
-        more = more.withColumn("term", F.col("rare")[k]["term"]).join(index, ["term", "key"]).select("wid", "rare", "key", F.filter("starts", near).alias("starts")).where(F.size("starts") > 0)
+        # hashed, so that a word repeated through a text costs its length and not its square
+        near = F.array_intersect("starts", starts(F.col("positions"), F.col("rare")[k]["place"]))
+        more = more.withColumn("term", F.col("rare")[k]["term"]).join(index, ["term", "key"]).select("wid", "rare", "key", near.alias("starts")).where(F.size("starts") > 0)
         met = more.unionAll(done)
-    listed = met.join(distinct, "wid").select("key", F.explode("starts").alias("start"), "wid", "terms").groupBy("key").agg(F.collect_list(F.struct("wid", "start", "terms")).alias("listed"))
+    listed = met.join(distinct, "wid").groupBy("key").agg(F.collect_list(F.struct("wid", "starts", "terms")).alias("listed"))
     listed = materialize(listed, "candidates")
     keys = listed.select("key")
     near_texts = rows.select("key", "text").join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_KEYS else rows.select("key", "text")
-    found = near_texts.join(_small(listed, "listed"), "key").mapInArrow(_verify(slop), "key long, spans array<struct<start: long, end: long>>, exact array<long>, near array<long>")
-    found = materialize(found.dropDuplicates(["key"]).where((F.size("exact") > 0) | (F.size("near") > 0)), "matches")
+    # copies are one before they move, so no text is a heavy key
+    near_texts = near_texts.groupBy("key").agg(F.any_value("text").alias("text"))
+    found = near_texts.join(listed, "key").mapInArrow(_verify(slop), "key long, spans array<struct<start: long, end: long>>, exact array<long>, near array<long>")
+    found = materialize(found.where((F.size("exact") > 0) | (F.size("near") > 0)), "matches")
     named = found.select("key", "spans").join(_items(found, "exact", owners, "items"), "key", "left").join(_items(found, "near", owners, "close"), "key", "left")
     named = materialize(named, "contaminated")
     discard(cut, vocabulary, alive, selected, index, listed, found)
