@@ -272,7 +272,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     first = points.select("doc", "n", F.expr(f"filter(hashes, h -> h >= 0 AND h < {limit})").alias("low"), F.expr(f"filter(hashes, h -> NOT (h >= 0 AND h < {limit}))").alias("high"))
     need = (spare(F.col("n")) + 1).cast("int")
     # every counted shingle takes part in the order; of the rest only as many as the prefix lacks
-    counted = first.select("doc", need.alias("need"), F.size("low").alias("has"), F.explode("low").alias("h")).join(frequency, "h")
+    counted = join_frequent(first.select("doc", need.alias("need"), F.size("low").alias("has"), F.explode("low").alias("h")), frequency, "h", "df")
     by_doc = counted.groupBy("doc").agg(F.max("need").alias("need"), F.max("has").alias("has"), F.sort_array(F.collect_set(F.struct("df", "h"))).alias("shared"))
     # counted shingles of one document come first in the order; those listed follow
     prefix = by_doc.select("doc", F.explode(F.expr("transform(slice(shared, 1, greatest(need - (has - size(shared)), 0)), s -> s.h)")).alias("h"))

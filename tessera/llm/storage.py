@@ -69,12 +69,12 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def join_frequent(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 10_000) -> DataFrame:
-    """left joined with right by key, whatever share of left's rows a key has; left must be a table, as it is read three times.
+    """left joined with right by key, whatever share of left's rows a key has; both must be read from tables, left twice.
 
-    right has one row per key, with the number of left's rows that have it in column weight. Keys with more than 1 / share of
-    left's rows are fewer than share, at every size: these are broadcast. Of the others, which are shuffled, none is a heavy one.
+    right has one row per key, with the number of left's rows that have it, or more, in column weight. Keys with more than 1 / share
+    of all weight are fewer than share, at every size: these are broadcast. Of the others, which are shuffled, none is a heavy one.
     """
-    heavy = F.col(weight) * share > left.count()
+    heavy = F.col(weight) * share > (right.agg(F.sum(weight)).first()[0] or 0)
     few = right.where(heavy)
     rest = left.join(F.broadcast(few.select(key)), key, "left_anti")
     return left.join(F.broadcast(few), key).unionByName(rest.join(right.where(~heavy), key))
