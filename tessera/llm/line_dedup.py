@@ -195,16 +195,17 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of one id are one document
     counted = counted.select("a", "b", "uses", "owner", F.when(F.col("owner") == F.col("last"), 1).otherwise(F.col("uses")).alias("count"), shard.alias("shard"))
     shards = materialize(counted.groupBy("shard").applyInArrow(_build, SHARDS), "line-shards")
-    # one row per shard: its number of copies
-    copies = spark.createDataFrame([(r.shard, int(r.uses // probes) + 1) for r in shards.select("shard", "uses").toLocalIterator()], "shard int, copies int")
+    # of shards with more probes than one copy takes, the number of copies; Spark sees how small this table is
+    copies = materialize(shards.where(F.col("uses") >= probes).select("shard", (F.floor(F.col("uses") / probes) + 1).cast("int").alias("copies")), "line-copies")
+    times = F.coalesce("copies", F.lit(1))
     arrays = ("fingerprints", "counts", "owners")
-    copied = shards.join(F.broadcast(copies), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "levels", *arrays, *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "doc")])
-    asked = lines.withColumn("shard", shard).join(F.broadcast(copies), "shard").select(
-        "shard", F.pmod(F.xxhash64("doc"), "copies").cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("levels"), *[F.lit(None).cast("binary").alias(c) for c in arrays], "a", "b", "doc"
+    copied = shards.join(copies, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), times - 1)).alias("salt"), "levels", *arrays, *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "doc")])
+    asked = lines.withColumn("shard", shard).join(copies, "shard", "left").select(
+        "shard", F.pmod(F.xxhash64("doc"), times).cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("levels"), *[F.lit(None).cast("binary").alias(c) for c in arrays], "a", "b", "doc"
     )
     met = copied.unionAll(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("levels").isNull())
     lost = materialize(met.mapInArrow(_probe, "doc long, a long").groupBy("doc").agg(F.collect_set("a").alias("lost")), "lost-lines")
-    discard(lines, shards)
+    discard(lines, shards, copies)
     rows = documents.select(doc.alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
     joined = rows.join(lost, rows.key == lost.doc, "left").select("rest", "text", "lost")
     return joined.mapInArrow(_apply, f"rest {joined.schema['rest'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
