@@ -126,8 +126,8 @@ def train_bytes(trusted: DataFrame) -> np.ndarray:
     n_bytes = 0
     for k in (0, 1):
         found = counted.select("g", f"c{k}").toArrow()
-        dense = np.zeros(SYMBOLS**ORDER, np.uint32)
-        dense[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), (1 << 32) - 1)
+        dense = np.zeros(SYMBOLS**ORDER, np.int64)
+        dense[found.column(0).to_numpy()] = found.column(1).to_numpy()
         n_bytes += int(found.column(1).to_numpy().sum())
         del found
         table[k] = np.clip(np.round(byte_model(dense) * BYTE_SCALE), -32000, 0)
@@ -257,7 +257,9 @@ def _sum_words(key: tuple, table: pa.Table) -> pa.Table:
     v, w = (_unpack(b"".join(table.column(c).to_pylist())) for c in "ab")
     n, half = _all(table.column("c"), np.uint32), _all(table.column("d"), np.uint8)
     _, at, of = np.unique(_pair_key(v, w), return_index=True, return_inverse=True)
-    counts = [np.bincount(of, np.where(half == k, n, 0), len(at)).astype(np.uint32) for k in (0, 1)]
+    counts = [np.bincount(of, np.where(half == k, n, 0), len(at)) for k in (0, 1)]
+    # four bytes for a count, eight in a shard that has a larger one
+    counts = [c.astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.int64) for c in counts]
     v, w = v[at], w[at]
     x = np.unique(np.concatenate([v, w]))
     places = [np.searchsorted(x, y).astype(np.uint32).tobytes() for y in (v, w)]
@@ -265,7 +267,8 @@ def _sum_words(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _opened(row: dict) -> tuple[np.ndarray, ...]:
-    return _unpack(row["a"]), *[np.frombuffer(row[c], np.uint32).astype(np.int64) for c in "bcde"]
+    pairs = len(row["b"]) // 4
+    return _unpack(row["a"]), *[np.frombuffer(row[c], np.int64 if len(row[c]) > 4 * pairs else np.uint32).astype(np.int64) for c in "bcde"]
 
 
 def _totals(df: DataFrame) -> np.ndarray:
