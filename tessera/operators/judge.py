@@ -93,11 +93,14 @@ def call_judge(prompts: DataFrame, client: Client, retries: int = 3, backoff: fl
 
 @F.pandas_udf(StringType())
 def json_object(text: pd.Series) -> pd.Series:
-    """The text if it is one JSON object and nothing else, as strictly as the judge's replies are read; else null. JVM parsers let trailing prose and single quotes pass."""
+    """The object as JSON if the text is one and nothing else, as strictly as the judge's replies are read; else null. Of a repeated key the last value
+    counts. JVM parsers let trailing prose and single quotes pass, and take the first."""
 
     def strict(t: str | None) -> str | None:
+        if t is None or not t.lstrip().startswith("{"):
+            return None
         try:
-            return t if t is not None and isinstance(json.loads(t), dict) else None
+            return json.dumps(json.loads(t), ensure_ascii=False)
         except ValueError:
             return None
 
@@ -126,13 +129,26 @@ def parse_reply(replies: DataFrame, reply: str = "reply", error: str = "error")
     )
 
 
+#: What a result has of its question, beside name and row_idx.
+CARRIED = ("section", "label", "n_choices", "in_repeat", "repeat_name")
+
+
+def prompts_of_runs(questions: DataFrame, runs: int) -> DataFrame:
+    """Questions with their prompt, once for each run."""
+    spread = with_prompts(questions).crossJoin(F.broadcast(questions.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))))
+    return spread.withColumns({"n_choices": F.size("choices"), "in_repeat": F.coalesce("in_repeat", F.lit(False))})
+
+
+def result_columns(parsed: DataFrame) -> DataFrame:
+    return parsed.select("run", run_tag(F.col("run")).alias("tag"), "row_idx", "section", "name", *CARRIED[1:], *SCORES, *COMMENTS, "synthetic_generation_issues", "suggested_improvement", "other", "score_in_range")
+
+
 def evaluate(questions: DataFrame, client: Client, runs: int = 9, done: DataFrame | None = None, retry_failed: bool = False, **options) -> DataFrame:
     """One result per question and run, without those that `done` has (by name and run); failed ones are asked again if retry_failed."""
-    asked = with_prompts(questions).crossJoin(F.broadcast(questions.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))))
+    asked = prompts_of_runs(questions, runs)
     if done is not None:
         asked = pending(asked, done, ("name", "run"), retry_failed)
-    results = parse_reply(call_judge(asked, client, **options))
-    return results.select("run", run_tag(F.col("run")).alias("tag"), "row_idx", "section", "name", "label", F.size("choices").alias("n_choices"), F.coalesce("in_repeat", F.lit(False)).alias("in_repeat"), "repeat_name", *SCORES, *COMMENTS, "synthetic_generation_issues", "suggested_improvement", "other", "score_in_range")
+    return result_columns(parse_reply(call_judge(asked, client, **options)))
 
 
 def as_scorecard_input(results: DataFrame) -> DataFrame:

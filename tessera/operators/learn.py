@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import bisect
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
 from tessera.operators.near import apart, nearest, neighbours
+from tessera.session import ensure_checkpoints
 
 
 def pca_to_variance(rows: DataFrame, column: str, variance: float = 0.85) -> tuple[DataFrame, int]:
@@ -185,13 +187,54 @@ def birch(rows: DataFrame, id_col: str, column: str, radius: float, k: int, seed
     return model.transform(points.withColumn("_v", array_to_vector("v"))).select("id", "cluster")
 
 
+def _tree_vectors(rows: DataFrame, features: list[str]) -> DataFrame:
+    return rows.withColumn("_v", array_to_vector(F.array(*[F.col(c).cast("double") for c in features])))
+
+
+def fit_tree(rows: DataFrame, features: list[str], label: str, depth: int = 4) -> DecisionTreeClassificationModel:
+    """A decision tree for the label; rows with a null label or feature don't count."""
+    whole = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*features, label]))
+    return DecisionTreeClassifier(featuresCol="_v", labelCol="_y", maxDepth=depth, seed=1).fit(_tree_vectors(whole, features).withColumn("_y", F.col(label).cast("double")))
+
+
 def explain_by_tree(rows: DataFrame, features: list[str], label: str, depth: int = 4) -> tuple[dict[str, float], str]:
-    """(importance of each feature, rules) of a decision tree for the label."""
-    vectors = rows.select(F.col(label).cast("double").alias("_y"), array_to_vector(F.array(*[F.col(c).cast("double") for c in features])).alias("_v"))
-    model = DecisionTreeClassifier(featuresCol="_v", labelCol="_y", maxDepth=depth, seed=1).fit(vectors)
+    """(importance of each feature, rules as text) of a decision tree for the label."""
+    model = fit_tree(rows, features, label, depth)
     return dict(zip(features, model.featureImportances.toArray().tolist())), model.toDebugString
 
 
+def tree_rules(model: DecisionTreeClassificationModel, features: list[str], spark: SparkSession) -> DataFrame:
+    """(rule, path, length, prediction, support, purity) of each leaf of a fitted tree, from left to right.
+
+    path is a SQL condition over the features, true for the rows that reach the leaf; support is the number of rows that trained it and purity
+    the share of them that are of its class. The tree's nodes are read from what the model saves of itself; of depth d there are
+    2 ** (d + 1) - 1 at most.
+    """
+    ensure_checkpoints(spark)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/tree-{uuid.uuid4().hex}"
+    model.write().save(folder)
+    nodes = {r.id: r for r in spark.read.parquet(f"{folder}/data").select("id", "prediction", "impurityStats", "leftChild", "rightChild", "split").toLocalIterator()}
+    rules, todo = [], [(0, [])]
+    while todo:
+        node, path = todo.pop()
+        at = nodes[node]
+        if at.leftChild < 0:
+            stats = at.impurityStats
+            rules.append((len(rules) + 1, " AND ".join(path) or "true", len(path), at.prediction, sum(stats), max(stats) / sum(stats)))
+            continue
+        feature, bound = f"CAST(`{features[at.split.featureIndex]}` AS DOUBLE)", at.split.leftCategoriesOrThreshold[0]
+        todo += [(at.rightChild, [*path, f"{feature} > double('{bound!r}')"]), (at.leftChild, [*path, f"{feature} <= double('{bound!r}')"])]
+    return spark.createDataFrame(rules, "rule int, path string, length int, prediction double, support double, purity double")
+
+
+def by_rules(rules: list[tuple[str, float]]) -> Column:
+    """The prediction of the rule (path, prediction) whose path holds, as an expression."""
+    out = F.lit(None).cast("double")
+    for path, prediction in reversed(rules):
+        out = F.when(F.expr(path), F.lit(prediction)).otherwise(out)
+    return out
+
+
 def isolation_forest(rows: DataFrame, id_col: str, column: str, trees: int = 50, sample: int = 256, seed: int = 1) -> DataFrame:
     """(id, score): isolation score in (0, 1), higher for anomalies. Each tree grows on a seeded sample of that many rows; all rows are scored."""
 

@@ -9,7 +9,7 @@ from tessera.functions import vectors as V
 from tessera.functions.fixed_values import COUNTRIES, GATE_NOTE, GATES, GENERATION_SECTIONS
 from tessera.functions.numbers import binarize
 from tessera.functions.text import file_name, first_truthy, list_name, unfence
-from tessera.operators import expression, flux, forms, judge, learn, scorecard
+from tessera.operators import expression, flux, forms, judge, learn, reliability, scorecard, series
 from tessera.plans.views import SCORED, SURVEY, choices, scored, survey, table
 from tessera.session import ensure_checkpoints
 
@@ -260,6 +260,30 @@ def pre_post_effect(spark: SparkSession, d: str) -> DataFrame:
     return learn.intervention_effect(_months(spark, d), "program", "t", "n", 1995 * 12 + 6).select("program", "pre_mean", "post_mean", "effect")
 
 
+def trend_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Statistic, its variance, score and median slope in millionths, and what they decide."""
+    out = series.trend_test(_months(spark, d), "program", "t", "n")
+    return out.select("program", "n", "mann_kendall", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("variance", "z", "sen_slope")], "trend")
+
+
+def intervention_line(spark: SparkSession, d: str) -> DataFrame:
+    """Levels and slopes before and after, in thousandths, and the error of the slope's change without lags."""
+    out = series.intervention_test(_months(spark, d), "program", "t", "n", 1995 * 12 + 6, lags=0)
+    return out.select("program", "n", *[F.round(F.col(c) * 1e3).cast("long").alias(c) for c in ("level", "slope", "level_change", "slope_change", "se_slope_change")])
+
+
+def score_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Of each section's parts, judged again and again; in millionths."""
+    out = reliability.agreement(scored(spark, d), "clarity", ["section"], ["l_partkey"])
+    return out.select("section", "subjects", "n", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("within", "between", "icc")])
+
+
+def paired_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Parts judged under both forms, by section."""
+    out = reliability.paired_permutation(scored(spark, d), "clarity", ["section"], ["l_partkey"], "form", "F", "O")
+    return out.select("section", "pairs", "extreme", "draws", "rank", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("change", "p_value", "p_adjusted")])
+
+
 def chain_rhat(spark: SparkSession, d: str) -> DataFrame:
     """Of every dimension; chains are ids modulo three; rounded to millionths, as sums run in any order."""
     rows = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3).alias("chain"), F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
@@ -363,6 +387,7 @@ _FUNCTIONS = (
     extract_evaluation, extract_generation, excluded_log, section_counts, choice_lists, list_name_parse, file_name_parse, prompt_render, fence_strip_parse, resume_pending, union_resume, scenario_grid,
     vector_norms, vector_entropy, distance_to_reference, pathway_share, metabolite_production, log2_binarize, family_mapping, trend_slope, pre_post_effect, chain_rhat, lof_knn, lof, dbscan_core, dbscan,
     cluster_clinical, section_summary, summary_stability, low_questions, report_lines, reference_features, silhouette, pca85, kmeans, birch_like, tree_explainer, isolation_forest, sarima_lite, mahalanobis, fba_lp, hit_and_run, judge_runs,
+    trend_decision, intervention_line, score_agreement, paired_forms,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -466,3 +491,23 @@ ORACLE_SQL |= {
     "fba_lp": "WITH s AS (SELECT n_regionkey AS k, sum(greatest(floor(s_acctbal), 0)) AS ub FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), c AS (SELECT n_regionkey AS k, sum(greatest(floor(c_acctbal), 0)) AS ub FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), g AS (SELECT * FROM (VALUES (0.1::DOUBLE, '0_1'), (0.28::DOUBLE, '0_28'), (0.5::DOUBLE, '0_5')) AS a(f1, n1), (VALUES (1::DOUBLE, '1'), (0.75::DOUBLE, '0_75'), (0.5::DOUBLE, '0_5')) AS b(f2, n2)) SELECT 'G6PD_' || n1 || '_h2o2_' || n2 AS scenario, 'optimal' AS status, CAST(round(sum(least(coalesce(s.ub, 0) * CASE s.k WHEN 0 THEN f1 WHEN 1 THEN f2 ELSE 1 END, coalesce(c.ub, 0))) * 100) AS BIGINT) AS objective_cents FROM g, s JOIN c USING (k) GROUP BY ALL",
     "judge_runs": f"{_EXTRACT}, shown AS (SELECT 'list' || n_regionkey AS list_name, string_agg('  - ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS opts FROM nation WHERE n_nationkey <> 0 GROUP BY 1), asked AS (SELECT section, ff AND rep AS in_repeat, {_ASKED} AS p FROM sel LEFT JOIN shown ON ln = list_name WHERE {_GENERATED}), h AS (SELECT CAST(run AS INTEGER) AS run, section, in_repeat, sha256(run || chr(10) || p) AS h FROM asked, range(1, 10) AS r(run)), valid AS (SELECT run, section, in_repeat, {', '.join(f'1 + CAST((chr(48) || chr(120) || substr(h, {2 * i + 1}, 2)) AS INTEGER) % 5 AS {d}' for i, d in enumerate(DIMS))} FROM h) SELECT run, section, {_COUNTS}, {_STATS}, {_OVERALL} FROM valid GROUP BY run, section",
 }
+
+_PAIRED = "paired AS (SELECT section, l_partkey, CAST(round((avg(clarity) FILTER (form = 'O') - avg(clarity) FILTER (form = 'F')) * 1e6) AS BIGINT) AS d FROM valid WHERE form IN ('F', 'O') GROUP BY ALL HAVING count(*) FILTER (form = 'O') > 0 AND count(*) FILTER (form = 'F') > 0)"
+_KENDALL = "(n * (n - 1) * (2 * n + 5) - ties) / 18.0"
+ORACLE_SQL |= {
+    "trend_decision": f"""WITH {_MONTHS}, pairs AS (SELECT a.program, CAST(sum(sign(b.n - a.n)) AS BIGINT) AS s, median((b.n - a.n) / CAST(b.t - a.t AS DOUBLE)) AS sen FROM months a JOIN months b ON a.program = b.program AND a.t < b.t GROUP BY 1),
+      tied AS (SELECT program, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT program, n, count(*) AS c FROM months GROUP BY ALL) GROUP BY 1), sizes AS (SELECT program, count(*) AS n FROM months GROUP BY 1),
+      z AS (SELECT program, n, s, sen, {_KENDALL} AS variance, (s - sign(s)) / sqrt({_KENDALL}) AS z FROM pairs JOIN tied USING (program) JOIN sizes USING (program))
+      SELECT program, n, s AS mann_kendall, CAST(round(variance * 1e6) AS BIGINT) AS variance, CAST(round(z * 1e6) AS BIGINT) AS z, CAST(round(sen * 1e6) AS BIGINT) AS sen_slope, CASE WHEN abs(z) < 1.959963984540054 THEN 'stagnant' WHEN s > 0 THEN 'rising' ELSE 'falling' END AS trend FROM z""",
+    "intervention_line": f"""WITH {_MONTHS}, x AS (SELECT program, CAST(t - 23946 AS DOUBLE) AS t, CAST(n AS DOUBLE) AS n FROM months),
+      f AS (SELECT program, count(*) AS k, regr_intercept(n, t) FILTER (t < 0) AS a0, regr_slope(n, t) FILTER (t < 0) AS b0, regr_intercept(n, t) FILTER (t >= 0) AS a1, regr_slope(n, t) FILTER (t >= 0) AS b1, avg(t) FILTER (t < 0) AS m0, avg(t) FILTER (t >= 0) AS m1 FROM x GROUP BY 1),
+      e AS (SELECT program, t, m0, m1, k, a0, b0, a1, b1, n - CASE WHEN t < 0 THEN a0 + b0 * t ELSE a1 + b1 * t END AS u FROM x JOIN f USING (program)),
+      v AS (SELECT program, any_value(k) AS k, any_value(a0) AS a0, any_value(b0) AS b0, any_value(a1) AS a1, any_value(b1) AS b1, sum(power((t - m0) * u, 2)) FILTER (t < 0) / power(sum(power(t - m0, 2)) FILTER (t < 0), 2) + sum(power((t - m1) * u, 2)) FILTER (t >= 0) / power(sum(power(t - m1, 2)) FILTER (t >= 0), 2) AS var FROM e GROUP BY 1)
+      SELECT program, k AS n, """ + ", ".join(f"CAST(round({e} * 1e3) AS BIGINT) AS {c}" for c, e in (("level", "a0"), ("slope", "b0"), ("level_change", "(a1 - a0)"), ("slope_change", "(b1 - b0)"), ("se_slope_change", "sqrt(var * k / (k - 4))"))) + " FROM v",
+    "score_agreement": f"WITH {SCORED}, p AS (SELECT section, l_partkey, count(*) AS k, CAST(sum(clarity) AS DOUBLE) AS s, sum(clarity * clarity) AS q FROM valid GROUP BY ALL), g AS (SELECT section, count(*) AS subjects, CAST(sum(k) AS BIGINT) AS n, sum(s) AS t, sum(q) AS q, sum(s * s / k) AS b, sum(k * k) AS kk FROM p GROUP BY 1), c AS (SELECT *, (q - b) / (n - subjects) AS w, (b - t * t / n) / (subjects - 1) AS m, (n - kk / CAST(n AS DOUBLE)) / (subjects - 1) AS e FROM g) SELECT section, subjects, n, CAST(round(w * 1e6) AS BIGINT) AS within, CAST(round((m - w) / e * 1e6) AS BIGINT) AS \"between\", CAST(round((m - w) / (m + (e - 1) * w) * 1e6) AS BIGINT) AS icc FROM c",
+    "paired_forms": f"""WITH {SCORED}, {_PAIRED}, r AS (SELECT section, count(*) AS pairs, CAST(sum(d) AS BIGINT) AS total FROM paired GROUP BY 1),
+      bits AS (SELECT section, d, b, (strpos('0123456789abcdef', substr(md5('1|' || section || '|' || l_partkey || '|0'), CAST(b // 4 + 1 AS BIGINT), 1)) - 1) // CAST(power(2, b % 4) AS BIGINT) % 2 AS flip FROM paired, range(128) AS bit(b)),
+      sums AS (SELECT section, b, sum(d * (1 - 2 * flip)) AS s FROM bits GROUP BY ALL), far AS (SELECT section, count(*) FILTER (abs(s) >= abs(total)) AS extreme, count(*) AS draws FROM sums JOIN r USING (section) GROUP BY 1),
+      t AS (SELECT *, (extreme + 1) / CAST(draws + 1 AS DOUBLE) AS p FROM r JOIN far USING (section)), k AS (SELECT *, row_number() OVER (ORDER BY p, section) AS rank, count(*) OVER () AS g FROM t)
+      SELECT section, pairs, extreme, draws, CAST(rank AS INTEGER) AS rank, CAST(round(total / CAST(pairs AS DOUBLE) / 1e6 * 1e6) AS BIGINT) AS change, CAST(round(p * 1e6) AS BIGINT) AS p_value, CAST(round(least(1.0, max(p * (g - rank + 1)) OVER (ORDER BY p, section)) * 1e6) AS BIGINT) AS p_adjusted FROM k""",
+}

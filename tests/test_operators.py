@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import python_round
 from tessera.functions.text import number_token, unfence
-from tessera.operators import flux, forms, judge, learn, near, scorecard
+from tessera.operators import flux, forms, interior, judge, learn, near, scorecard
 from tessera.sources import documents as docs
 from tessera.sources.xlsx import read_choices, read_survey
 
@@ -141,6 +141,74 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_stream_retries_by_timers_and_keeps_no_answer_twice(spark, tmp_path):
+    import time
+
+    from tessera.streaming.judging import judge_stream
+
+    calls = str(tmp_path / "calls")
+
+    def fails_first(system, prompt, run):
+        """Counts its calls in files; the first one for each prompt and run fails, and all do for prompts with `never`."""
+        import hashlib
+        import os
+
+        name = f"{calls}/{hashlib.sha256(prompt.encode()).hexdigest()[:16]}-{run}"
+        with open(name, "a") as f:
+            f.write("x")
+        if os.path.getsize(name) <= 1 or "never" in prompt:
+            raise RuntimeError("busy")
+        return judge.StubClient()(system, prompt, run)
+
+    base = forms.extract_questions(_form(spark), _choices(spark)).withColumn("name", F.concat("name", F.col("row_idx").cast("string")))
+    base = base.withColumn("label", F.when(F.col("row_idx") == 12, "never").otherwise(F.col("label")))
+    (tmp_path / "calls").mkdir()
+    base.where("row_idx <= 4").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start = lambda: judge_stream(stream, fails_first, str(tmp_path / "out"), str(tmp_path / "c"), runs=2, backoff=0.1, trigger={"processingTime": "200 milliseconds"})
+    results = lambda: spark.read.parquet(str(tmp_path / "out"))
+
+    def until(query, n):
+        for _ in range(240):
+            time.sleep(0.5)
+            assert query.exception() is None
+            if (tmp_path / "out").exists() and any((tmp_path / "out").glob("batch=*/_SUCCESS")) and results().count() >= n:
+                break
+        query.stop()
+
+    until(start(), 4)
+    assert {(r.name, r.run) for r in results().where("score_in_range").collect()} == {(n, k) for n in ("q11", "agregar_fam4") for k in (1, 2)}
+    # a restart with the same questions again and new ones: each is answered once, or has failed three times
+    base.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    until(start(), 10)
+    rows = results().collect()
+    assert len(rows) == 10 and len({(r.name, r.run) for r in rows}) == 10
+    assert sorted((r.run, r.clarity_score, r.clarity_comment) for r in rows if r.row_idx == 12) == [(1, None, "busy"), (2, None, "busy")]
+    assert sorted(f.stat().st_size for f in (tmp_path / "calls").iterdir()) == [2] * 8 + [3] * 2
+
+
+def test_repeated_keys_of_a_reply_take_the_last_value(spark):
+    rows = spark.createDataFrame([('{"clarity_score": 1, "clarity_score": 4, "é": [1, {"a": "b"}]}', None), ("[1]", None), ("", None), (None, None)], "reply string, error string")
+    got = judge.parse_reply(rows).collect()
+    assert [r.clarity_score for r in got] == [4.0, None, None, None] and got[0].other == {"é": '[1,{"a":"b"}]'}
+
+
+def test_rules_of_a_tree_are_its_predictions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    rows = spark.createDataFrame([(*map(float, v), int(v[0] > 0.3) + int(v[1] * v[2] > 0)) for v in x] + [(None, 1.0, 1.0, 1)], "`a b` double, y double, z double, label int")
+    names = ["a b", "y", "z"]
+    model = learn.fit_tree(rows, names, "label", 5)
+    rules = learn.tree_rules(model, names, spark).collect()
+    told = rows.withColumn("told", learn.by_rules([(r.path, r.prediction) for r in rules])).where("`a b` IS NOT NULL")
+    own = model.transform(learn._tree_vectors(told, names))
+    assert own.where("told = prediction").count() == 600
+    for r in rules:  # each row reaches one leaf, with the numbers that it says
+        reached = told.where(r.path)
+        assert reached.count() == r.support and max(q["count"] for q in reached.groupBy("label").count().collect()) / r.support == pytest.approx(r.purity)
+    assert sum(r.support for r in rules) == 600 and [r.rule for r in rules] == list(range(1, len(rules) + 1)) and max(r.length for r in rules) <= 5
+
+
 def test_small_functions(spark):
     row = spark.createDataFrame([(" ```x```",)], "t string").select(unfence(F.col("t")).alias("a"), number_token(F.lit(0.28)).alias("b"), number_token(F.lit(1.0)).alias("c"), python_round(F.lit(49 / 40)).alias("d")).first()
     assert (row.a, row.b, row.c, row.d) == ("x", "0_28", "1", round(49 / 40, 2))
@@ -162,6 +230,50 @@ def test_simplex_finds_vertices():
             assert c @ (x + t * d) <= c @ x + 1e-6
 
 
+def test_interior_points_are_as_good_as_vertices():
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        m, n = (int(rng.integers(2, 12)), int(rng.integers(3, 25))) if k < 50 else (40, 90)
+        full = np.where(rng.random((m, n)) < 0.4, rng.integers(-3, 4, (m, n)), 0).astype(float)
+        full[m - 1] = full[0] * 2  # a row that depends on another
+        lb, ub = -rng.integers(0, 4, n).astype(float), rng.integers(0, 1000, n).astype(float)
+        b = full @ np.clip(rng.normal(size=n), lb, ub) if k % 3 else np.zeros(m)
+        if k % 10 == 9:
+            b[m - 1] += 5.0  # no solution
+        c = rng.normal(size=n) * (rng.random(n) < 0.5)
+        i, j = np.nonzero(full)
+        status, x = interior.maximize_sparse(c, interior.Sparse(i, j, full[i, j], full.shape), b, lb, ub)
+        other, y = flux.maximize(c, full, b, lb, ub)
+        assert status == other, (k, status, other)
+        if status == "optimal":
+            assert abs(c @ x - c @ y) <= 1e-6 * (1 + abs(c @ y)), (k, c @ x, c @ y)
+            assert np.abs(full @ x - b).max() <= 1e-6 * (1 + np.abs(x).max()) and np.all(x >= lb - 1e-6) and np.all(x <= ub + 1e-6)
+
+
+def test_models_without_bounds_or_solutions():
+    one = interior.Sparse(np.array([0, 0]), np.array([0, 1]), np.array([1.0, -1.0]), (1, 2))
+    none, free = np.zeros(1), np.full(2, np.inf)
+    assert interior.maximize_sparse(np.array([1.0, 0.0]), one, none, np.zeros(2), free)[0] == "unbounded"
+    status, x = interior.maximize_sparse(np.array([-1.0, 0.0]), one, none, np.array([-3.0, -np.inf]), free)
+    assert status == "optimal" and np.allclose(x, -3, atol=1e-5)
+    assert interior.maximize_sparse(np.ones(2), one, none, np.ones(2), np.zeros(2))[0] == "infeasible"
+    assert interior.maximize_sparse(np.ones(2), one, np.array([9.0]), np.zeros(2), np.ones(2))[0] == "infeasible"
+    assert interior.maximize_sparse(np.ones(2), interior.Sparse(np.zeros(0, int), np.zeros(0, int), np.zeros(0), (1, 2)), none, np.zeros(2), np.ones(2))[1].tolist() == pytest.approx([1, 1], abs=1e-6)
+
+
+def test_solvers_agree_on_a_model_in_tables(spark):
+    rng = np.random.default_rng(9)
+    m, n = 60, 110
+    full = np.where(rng.random((m, n)) < 0.08, rng.integers(-2, 3, (m, n)), 0).astype(float)
+    stoich = spark.createDataFrame([(f"m{i}", f"r{j}", float(full[i, j])) for i, j in zip(*np.nonzero(full))] + [("m1", "other", 1.0), ("none", "r1", 1.0)], "met string, rxn string, coef double")
+    mets = spark.createDataFrame([(f"m{i}", 0.0) for i in range(m)], "met string, b double")
+    reactions = spark.createDataFrame([(s, f"r{j}", -1000.0 if j % 2 else 0.0, 1000.0 * f if j == 3 else 1000.0, float(j % 7 == 3)) for s, f in (("a", 1.0), ("b", 0.01)) for j in range(n)], "scenario string, rxn string, lb double, ub double, c double")
+    best = {k: {r.scenario: (r.status, r.objective) for r in flux.flux_balance(reactions, stoich, mets, k).select("scenario", "status", "objective").distinct().collect()} for k in ("simplex", "interior")}
+    assert best["simplex"].keys() == best["interior"].keys() == {"a", "b"}
+    for s in "ab":
+        assert best["interior"][s][0] == best["simplex"][s][0] == "optimal" and best["interior"][s][1] == pytest.approx(best["simplex"][s][1], rel=1e-6)
+
+
 def test_clusters_and_anomalies(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(5, 0.1, (40, 2)), [[20.0, 20.0]]])
