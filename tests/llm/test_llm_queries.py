@@ -36,6 +36,7 @@ def _edge_documents(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(5, 20))), (2, "one two"), (3, None), (4, ""), (5, "one two")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(3, 1, 0), (14, 1, 0), (7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "<|im_end|> \\ <\\|x"), (2, 0, None, ""), (None, 0, "assistant", "a\nb"), (3, 0, "assi\nstant&", "t"), (3, 0, "assi\nstant&", "t")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (None, [1.0, 0.0], 1), (3, [0.0, 0.0], None), (4, [1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     return str(tmp_path), docs
 
 
@@ -54,7 +55,7 @@ def test_every_query_takes_edge_cases(spark, edge):
 
 
 def test_every_query_takes_empty_tables(spark, tmp_path):
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op9") else 0), name
