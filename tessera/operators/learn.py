@@ -146,17 +146,52 @@ class FeatureTree:
         node.update(parts[0])
         return parts[1]
 
-    def features(self) -> list[tuple[float, np.ndarray]]:
-        """(number, centre) of each leaf's features."""
+    def add_block(self, x: np.ndarray) -> None:
+        """Points at once: those nearest to one feature are absorbed together where its radius stays within bounds; others go down one by one."""
+        leaves = self._leaves()
+        n, s, q = (np.concatenate([leaf[c][: leaf["size"]] for leaf in leaves]) for c in "nsq")
+        if len(n):
+            near = apart(x, s / n[:, None]).argmin(1)
+            more = np.bincount(near, minlength=len(n)).astype(float)
+            sums, squares = np.zeros_like(s), np.bincount(near, (x**2).sum(1), len(n))
+            np.add.at(sums, near, x)
+            fits = (more > 0) & ((q + squares) / (n + more) - (((s + sums) / (n + more)[:, None]) ** 2).sum(1) <= self.radius**2)
+            n, s, q = np.where(fits, n + more, n), np.where(fits[:, None], s + sums, s), np.where(fits, q + squares, q)
+            at = 0
+            for leaf in leaves:
+                size = leaf["size"]
+                leaf["n"][:size], leaf["s"][:size], leaf["q"][:size] = n[at : at + size], s[at : at + size], q[at : at + size]
+                at += size
+            self._summed(self.root)
+            x = x[~fits[near]]
+        for v in x:
+            self.add(v)
+
+    def _summed(self, node: dict) -> tuple:
+        """The sums below a node, which its entries are set to."""
+        for k, child in enumerate(node["children"]):
+            node["n"][k], node["s"][k], node["q"][k] = self._summed(child)
+        size = node["size"]
+        return node["n"][:size].sum(), node["s"][:size].sum(0), node["q"][:size].sum()
+
+    def _leaves(self) -> list[dict]:
         out, todo = [], [self.root]
         while todo:
             node = todo.pop()
             if node["leaf"]:
-                out += [(float(node["n"][k]), node["s"][k] / node["n"][k]) for k in range(node["size"])]
+                out.append(node)
             else:
                 todo += node["children"]
         return out
 
+    def features(self) -> list[tuple[float, np.ndarray]]:
+        """(number, centre) of each leaf's features."""
+        return [(float(node["n"][k]), node["s"][k] / node["n"][k]) for node in self._leaves() for k in range(node["size"])]
+
+
+#: Points that a tree of features absorbs at once.
+ABSORBED = 1024
+
 
 def birch(rows: DataFrame, id_col: str, column: str, radius: float, k: int, seed: int = 1, most: int = 4096) -> DataFrame:
     """(id, cluster) by BIRCH, in two stages. Each task absorbs its points into a tree of clustering features of at most the radius, in one pass,
@@ -166,16 +201,16 @@ def birch(rows: DataFrame, id_col: str, column: str, radius: float, k: int, seed
     """
 
     def absorb(batches):
-        tree, reach, count = None, radius, 0
+        tree, reach = None, radius
         for batch in batches:
-            for v in batch["v"]:
-                x = np.asarray(v, float)
-                tree = tree or FeatureTree(len(x), reach)
-                tree.add(x)
-                count += 1
-                if count % 1024 == 0 and len(found := tree.features()) > most:
+            vectors = batch["v"].to_numpy()
+            for at in range(0, len(vectors), ABSORBED):
+                x = np.stack(vectors[at : at + ABSORBED]).astype(float)
+                tree = tree or FeatureTree(x.shape[1], reach)
+                tree.add_block(x)
+                if len(found := tree.features()) > most:
                     reach *= 1.5
-                    tree = FeatureTree(len(x), reach)
+                    tree = FeatureTree(x.shape[1], reach)
                     for n, centre in found:
                         tree.add(centre, n)
         found = tree.features() if tree else []

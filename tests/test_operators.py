@@ -381,6 +381,12 @@ def test_feature_trees_hold_all_points():
         tree.add(v)
     found = tree.features()
     assert sum(n for n, _ in found) == len(x) and 4 <= len(found) < 60
+    blocks = learn.FeatureTree(2, 0.2, branching=4)
+    for part in np.array_split(rng.permutation(x), 9):
+        blocks.add_block(part)
+    found = blocks.features()
+    assert sum(n for n, _ in found) == len(x) and 4 <= len(found) < 60
+    assert np.allclose(sum(n * c for n, c in found), x.sum(0)) and np.allclose(blocks._summed(blocks.root)[1], x.sum(0))
     assert np.allclose(sum(n * c for n, c in found), x.sum(0))
 
 
