@@ -361,3 +361,21 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     done = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 200 bytes by its place, in hexadecimal; texts are cut into blocks first, so that places are found without counting from the start.
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (SELECT row, n, b, substr(h, 2 * b + 1, 2400) AS x FROM (SELECT row, n, h, unnest(range(0, n - 199, 1000)) AS b FROM d WHERE n >= 200)),
+w AS (SELECT row, b + i AS i, hash(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT row, b, x, unnest(range(0, least(1000, n - 199 - b))) AS i FROM blocks)),
+r AS (SELECT row, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT row, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+runs AS (SELECT row, min(i) AS s, max(i) + 200 AS e FROM (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run FROM marked) GROUP BY row, run),
+kept AS (
+  SELECT row, coalesce(lag(e) OVER (PARTITION BY row ORDER BY s), 0) AS a, s AS z FROM runs
+  UNION ALL SELECT d.row, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN runs USING (row) GROUP BY d.row
+),
+parts AS (SELECT row, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS k FROM kept JOIN d USING (row) GROUP BY row),
+sums AS (SELECT row, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY row)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN parts USING (row) LEFT JOIN sums USING (row)
+"""
