@@ -1,4 +1,4 @@
-"""Exact neighbours of vectors over a tree of pivots: radius joins and k nearest."""
+"""Exact neighbours of vectors: radius joins and k nearest. A tree of pivots makes blocks of points that lie together, and blocks meet as a product in which no vector is shuffled."""
 
 from __future__ import annotations
 
@@ -14,12 +14,16 @@ from pyspark.sql.window import Window
 
 from tessera.session import checkpointed
 
-#: Points of a leaf at most, and children of a node.
+#: Points of a block at most, and children of a node.
 BLOCK, FAN = 2048, 16
 #: Points of a node from which its children's pivots are drawn, about.
 DRAWN = 4 * FAN
 #: Points placed in one task.
 PLACED = 1 << 14
+#: Points that a task holds of those which ask, about; parts at most into which the points that pass by are dealt, and points in one.
+HELD, PARTS, PASSING = 1 << 13, 8, 1 << 14
+#: Own points compared with a block at once.
+SLICE = 512
 _ROOT = "0"
 
 
@@ -28,18 +32,34 @@ def _vectors(table: pa.Table, column: str) -> np.ndarray:
     return np.asarray(values.flatten().to_numpy(zero_copy_only=False), float).reshape(len(values), -1) if len(values) else np.zeros((0, 1))
 
 
-def _matrix(flat: np.ndarray, n: int) -> np.ndarray:
-    return np.asarray(flat, float).reshape(n, -1)
-
-
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All distances, but for rounding."""
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All squared distances, and for each row of x how far rounding may have moved them."""
+    own, other = (x**2).sum(1), (y**2).sum(1)
+    out = x @ y.T
+    out *= -2
+    out += other
+    out += own[:, None]
+    return out, 1e-15 * (x.shape[1] + 8) * (own + other.max(initial=0))
+
+
 def exactly(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of rows, squares summed from left to right."""
-    return np.sqrt(np.add.accumulate((x - y) ** 2, axis=1)[:, -1]) if len(x) else np.zeros(0)
+    parts = [np.sqrt(np.add.accumulate((x[at : at + PLACED] - y[at : at + PLACED]) ** 2, axis=1)[:, -1]) for at in range(0, len(x), PLACED)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows lie within eps of each other; exact distances decide where rounding might."""
+    far, moved = _squares(x, y)
+    out = far <= eps * eps + moved[:, None]
+    i, j = np.nonzero(out & (far >= (eps * eps - moved - 1e-12 * eps * eps)[:, None]))
+    out[i, j] = np.concatenate([exactly(x[i[at : at + PLACED]], y[j[at : at + PLACED]]) <= eps for at in range(0, len(i), PLACED)] or [np.zeros(0, bool)])
+    return out
 
 
 def _place(points: pa.Table, drawn: pa.Table) -> pa.Table:
@@ -58,14 +78,16 @@ def _place(points: pa.Table, drawn: pa.Table) -> pa.Table:
     return pa.table([*(points.column(c) for c in ("id", "v", "asks")), pa.array(nodes, pa.string()), pa.array(far), pa.array(pivot, pa.list_(pa.float64())), pa.array(child < 0)], ["id", "v", "asks", "node", "far", "pivot", "stuck"])
 
 
-def pivot_tree(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points (id, v), blocks (node, part, ids, flat, asks), nodes (node, parent, leaf, pivot, radius, n)) of a tree over the rows' vectors.
+def pivot_tree(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(blocks (node, part, ids, flat, asks), nodes (node, parent, leaf, pivot, radius, n)) of a tree over the rows' vectors.
 
     A node of more than block points is split among up to FAN pivots, drawn of its own points by their hashes, and so on until
     leaves are small, whatever the number of points; a node's radius is its farthest point's distance to its pivot. Points that no
     pivots tell apart stay in one leaf, dealt into parts by hash. No task gets a node whole, and nothing of it reaches the driver.
+    Vectors that are null, or hold null or what isn't finite, are left out.
     """
-    points = rows.where(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks"))
+    finite = F.forall(F.col(column), lambda x: F.coalesce(F.abs(x.cast("double")) < math.inf, F.lit(False)))
+    points = rows.where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks"))
     kind = points.schema["id"].dataType.simpleString()
     now = points.select("*", F.lit(_ROOT).alias("node"), F.lit(0.0).alias("far"), F.lit(None).cast("array<double>").alias("pivot"), F.lit(False).alias("stuck"))
     leaves, nodes, level = [], [], 0
@@ -92,138 +114,259 @@ def pivot_tree(rows: DataFrame, id_col: str, column: str, asked: Column | None =
         all_leaves, all_nodes = all_leaves.unionAll(x), all_nodes.unionAll(y)
     blocks = all_leaves.groupBy("node", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v", "asks"))).alias("p"))
     blocks = blocks.select("node", "part", F.col("p.id").alias("ids"), F.flatten("p.v").alias("flat"), F.col("p.asks").alias("asks"))
-    points = all_leaves.select("id", "v")
     ends = all_leaves.select("node").distinct().withColumn("leaf", F.lit(True))
     all_nodes = all_nodes.join(ends, "node", "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
-    return points, blocks, all_nodes if level == 0 else checkpointed(all_nodes)
+    return blocks, all_nodes if level == 0 else checkpointed(all_nodes)
+
 
+def _matrix(flat: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(flat).reshape(n, -1)
 
-def _route(queries: pa.Table, children: pa.Table) -> pa.Table:
-    """Queries of a node to those of its children that may hold points within their reach.
 
-    A point lies with the nearest pivot. So one within reach of a query lies where the pivot is at most twice the reach farther
-    from the query than the nearest one, and no farther than the child's radius and the reach.
+def _dealt(blocks: DataFrame, n: int) -> DataFrame:
+    """Blocks written to the shared folder in parts of a few."""
+    return checkpointed(blocks.repartition(max(1, math.ceil(n / HELD))))
+
+
+def blocked(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK, k: int = 0) -> tuple[DataFrame, int]:
+    """(blocks (key, ids, flat, asks, reach, far, centre, radius), number of points), written to the shared folder.
+
+    centre and radius are of a ball around a block's points. With k, reach has for each point that asks a distance within which its k nearest
+    others lie, and far the greatest of a block: a point's k-th neighbour is no farther than the k-th in its own block, nor than twice the
+    radius of a node of more than k points that it lies in.
     """
-    if queries.num_rows and children.num_rows:
-        gaps, reach = apart(_vectors(queries, "v"), _vectors(children, "pivot")), queries.column("reach").to_numpy()[:, None]
-        slack = 1e-6 * (1 + np.where(np.isfinite(reach), reach, 0))
-        i, j = np.nonzero((gaps <= gaps.min(1, keepdims=True) + 2 * reach + slack) & (gaps <= children.column("radius").to_numpy() + reach + slack))
+    # a row holds a block, or two that meet, so a batch must not hold as many rows as it else would
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    blocks, nodes = pivot_tree(rows, id_col, column, asked, block)
+    kind = rows.schema[id_col].dataType.simpleString()
+    if k:
+        # a leaf's ancestors are the beginnings of its name
+        above = F.expr("transform(sequence(1, size(split(leaf_node, '[.]'))), i -> array_join(slice(split(leaf_node, '[.]'), 1, i), '.'))")
+        lines = nodes.where("leaf").select(F.col("node").alias("leaf_node")).select("leaf_node", F.explode(above).alias("node")).join(nodes.where((F.col("n") > k) & F.col("parent").isNotNull()).select("node", "radius"), "node")
+        bounds = lines.groupBy(F.col("leaf_node").alias("node")).agg((2 * F.min("radius")).alias("bound"))
+        blocks = blocks.join(bounds, "node", "left")
     else:
-        i = j = np.zeros(0, np.int64)
-    sent, to = queries.take(pa.array(i)), children.take(pa.array(j))
-    return pa.table([*(sent.column(c) for c in ("id", "v", "reach")), to.column("child"), to.column("ends")], ["id", "v", "reach", "node", "leaf"])
+        blocks = blocks.withColumn("bound", F.lit(None).cast("double"))
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                names, asks = np.asarray(r.ids), np.asarray(r.asks, bool)
+                x = np.asarray(r.flat, float).reshape(len(names), -1)
+                centre, reach = x.mean(0), np.zeros(len(names))
+                if k:
+                    reach[:] = math.inf if r.bound is None or math.isnan(r.bound) else r.bound * (1 + 1e-9)
+                    for at in range(0, len(x), SLICE):
+                        far, moved = _squares(x[at : at + SLICE], x)
+                        far[names[at : at + SLICE, None] == names] = math.inf
+                        if k <= len(x):
+                            far = np.sqrt(np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1], 0) + moved) * (1 + 1e-9)
+                            reach[at : at + SLICE] = np.minimum(reach[at : at + SLICE], far)
+                    reach[~asks] = math.nan
+                radius = float(np.sqrt(((x - centre) ** 2).sum(1).max())) * (1 + 1e-9)
+                yield pd.DataFrame({"key": [f"{r.node}/{r.part}"], "ids": [names], "flat": [x.tobytes()], "asks": [asks], "reach": [reach.tobytes()], "far": [float(reach[asks].max()) if asks.any() else None], "centre": [centre], "radius": [radius]})
+
+    packed = blocks.select("node", "part", "ids", "flat", "asks", "bound").mapInPandas(pack, f"key string, ids array<{kind}>, flat binary, asks array<boolean>, reach binary, far double, centre array<double>, radius double")
+    n = nodes.where("leaf").agg(F.sum("n")).first()[0] or 0
+    return _dealt(packed, n), n
+
+
+def _met(blocks: DataFrame, n: int, reach: Column | float, own: str = "true", other: str = "true") -> DataFrame:
+    """Blocks (own_key, own_ids, ...) beside each (key, ids, ...) that may hold points within their reach: balls decide.
+
+    Each task holds some blocks that ask while a share of all passes by, read from the shared folder: nothing is shuffled, and what a task
+    finds for its own blocks comes from as few tasks as there are shares, however many blocks there are.
+    """
+    asking = blocks.where(own).select(*[F.col(c).alias(f"own_{c}") for c in blocks.columns])
+    passing = blocks.coalesce(max(1, min(PARTS, math.ceil(n / PASSING)))).where(other)
+    gap = F.sqrt(F.aggregate(F.zip_with("own_centre", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    bound = (F.col("own_radius") + F.col("radius") + reach) * (1 + 1e-9)
+    size = F.aggregate("own_centre", F.lit(0.0), lambda s, x: s + x * x) + F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x)
+    return passing.join(asking.hint("shuffle_replicate_nl"), gap <= bound + 1e-9 * F.sqrt(size))
 
-def _visits(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, id, v, reach) of each leaf that a query (id, v, reach) has to see; all queries go down together, a level at a time."""
-    kind = queries.schema["id"].dataType.simpleString()
-    now = queries.crossJoin(F.broadcast(nodes.where(F.col("node") == _ROOT).select("node", "leaf")))  # one row
-    ended = []
-    while True:
-        ended.append(now.where("leaf").select("node", "id", "v", "reach"))
-        going = now.where("NOT leaf")
-        if going.isEmpty():
-            break
-        counts = going.groupBy("node").agg(F.ceil(F.count("*") / PLACED).alias("salts"))
-        dealt = going.join(counts, "node").select("id", "v", "reach", "node", F.pmod(F.xxhash64("id", F.lit(13)), "salts").alias("salt"))
-        of = counts.select(F.col("node").alias("of"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("for"))
-        children = of.join(nodes.select(F.col("parent").alias("of"), F.col("node").alias("child"), "pivot", "radius", F.col("leaf").alias("ends")), "of")
-        now = dealt.groupBy("node", "salt").cogroup(children.groupBy("of", "for")).applyInArrow(_route, f"id {kind}, v array<double>, reach double, node string, leaf boolean")
-        now = checkpointed(now)
-    out = ended[0]
-    for x in ended[1:]:
-        out = out.unionAll(x)
-    return out
 
+def _narrowed(x: np.ndarray, centre: np.ndarray, radius: float, reach: np.ndarray | float) -> np.ndarray:
+    """The rows of x that may have points of a ball within reach."""
+    centre = np.asarray(centre, float)
+    gap = np.sqrt(((x - centre) ** 2).sum(1))
+    return np.flatnonzero(gap <= (radius + reach) * (1 + 1e-9) + 1e-9 * math.sqrt(float(centre @ centre)))
 
-def _met(queries: DataFrame, blocks: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """(own, own_flat, ids, flat): queries beside each block of the leaves that they have to see, at most block of them in a row or so."""
-    visits = _visits(queries, nodes)
-    turns = visits.groupBy("node").agg(F.ceil(F.count("*") / block).alias("turns"))
-    sized = visits.join(turns, "node").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(14)), "turns"))
-    asked = sized.groupBy("node", "turn").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("q")).select("node", F.col("q.id").alias("own"), F.flatten("q.v").alias("own_flat"))
-    return asked.join(blocks.select("node", "ids", "flat"), "node")
+
+_PAIR = ("own_key", "own_ids", "own_flat", "key", "ids", "flat", "centre", "radius")
 
 
 def meeting_blocks(rows: DataFrame, id_col: str, column: str, eps: float, block: int = BLOCK) -> DataFrame:
-    """(own, own_flat, ids, flat): points beside the blocks that may hold others within eps of them."""
-    points, blocks, nodes = pivot_tree(rows, id_col, column, block=block)
-    return _met(points.withColumn("reach", F.lit(float(eps))), blocks, nodes, block)
+    """(own, ids): points beside the blocks that may hold others within eps of them, which is what gets compared."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                i = _narrowed(_matrix(r.own_flat, len(r.own_ids)), r.centre, r.radius, eps)
+                if len(i):
+                    yield pd.DataFrame({"own": [np.asarray(r.own_ids)[i]], "ids": [r.ids]})
+
+    return _met(*blocked(rows, id_col, column, block=block), F.lit(float(eps))).select(*_PAIR).mapInPandas(narrow, f"own array<{kind}>, ids array<{kind}>")
+
+
+def _slices(r, eps: float, keep: np.ndarray | None = None, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of the own block, which points of the other lie within eps of them), some rows at once; of those to keep, beside some of the others."""
+    x, y = _matrix(r.own_flat, len(r.own_ids)), _matrix(r.flat, len(r.ids))
+    rows = _narrowed(x, r.centre, r.radius, eps)
+    rows = rows if keep is None else rows[keep[rows]]
+    y = y if other is None else y[other]
+    for at in range(0, len(rows), SLICE):
+        yield (i := rows[at : at + SLICE]), _within(x[i], y, eps)
 
 
 def neighbours(rows: DataFrame, id_col: str, column: str, eps: float, block: int = BLOCK) -> DataFrame:
     """(a, b, dist) of pairs a < b within eps.
 
-    Every point goes down the tree of all of them, to the leaves that may hold others within eps, and is compared with their blocks.
-    What is compared is quadratic only where eps reaches over many leaves, and no key holds more than a block. Rows with a
-    null vector have no neighbours, and an empty table gives no rows.
+    Points are compared with the blocks whose ball is within eps. What is compared is quadratic where balls overlap, and the pairs are as
+    many as there are; `degrees` and `links` need no pairs. Rows with a null vector have no neighbours, and an empty table gives no rows.
     """
     kind = rows.schema[id_col].dataType.simpleString()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [pd.DataFrame({"a": [], "b": [], "dist": []})]
             for r in batch.itertuples(index=False):
-                own, ids = np.asarray(r.own), np.asarray(r.ids)
+                own, ids = np.asarray(r.own_ids), np.asarray(r.ids)
                 x, y = _matrix(r.own_flat, len(own)), _matrix(r.flat, len(ids))
-                i, j = np.nonzero((apart(x, y) <= eps + 1e-6 * (1 + eps)) & (own[:, None] < ids))
-                d = exactly(x[i], y[j])
-                ok = d <= eps
-                found.append(pd.DataFrame({"a": own[i[ok]], "b": ids[j[ok]], "dist": d[ok]}))
-            yield pd.concat(found)
-
-    return meeting_blocks(rows, id_col, column, eps, block).mapInPandas(compare, f"a {kind}, b {kind}, dist double")
-
-
-def _best(x: np.ndarray, y: np.ndarray, own: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, distance) of each row's k nearest others, ties by name."""
-    far = apart(x, y)
-    far[own[:, None] == names] = np.inf
-    k = min(k, far.shape[1])
-    reach = np.partition(far, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(x))
-    i, j = np.nonzero((far <= (reach + 1e-6 * (1 + reach))[:, None]) & np.isfinite(far))
-    d = exactly(x[i], y[j])
-    order = np.lexsort((names[j], d, i))
-    i, j, d = i[order], j[order], d[order]
-    first = np.searchsorted(i, i)
-    ok = np.arange(len(i)) - first < k
-    return i[ok], j[ok], d[ok]
+                for rows, within in _slices(r, eps):
+                    i, j = np.nonzero(within & (own[rows, None] < ids))
+                    for at in range(0, len(i), PLACED):
+                        p, q = rows[i[at : at + PLACED]], j[at : at + PLACED]
+                        yield pd.DataFrame({"a": own[p], "b": ids[q], "dist": exactly(x[p], y[q])})
 
+    return _met(*blocked(rows, id_col, column, block=block), F.lit(float(eps))).select(*_PAIR).mapInPandas(compare, f"a {kind}, b {kind}, dist double")
 
-def nearest(rows: DataFrame, id_col: str, column: str, k: int, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour, dist, rank): the k nearest others of each query row, exact, ties by id.
 
-    A point's k-th neighbour is no farther than the k-th in its own block, nor than twice the radius of a node of more than k points that
-    it lies in; so far reaches its search, down the tree of all points. Rows with a null vector have and are no neighbours.
+def degrees(blocks: DataFrame, n: int, eps: float) -> DataFrame:
+    """(key, at, id, degree) of each point at its place in a block: the number of points within eps, itself included. Tasks answer with counts, not pairs."""
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                _, counts = held.setdefault(r.own_key, (np.asarray(r.own_ids), np.zeros(len(r.own_ids), np.int64)))
+                for rows, within in _slices(r, eps):
+                    counts[rows] += within.sum(1)
+        for key, (ids, counts) in held.items():
+            yield pd.DataFrame({"key": key, "at": np.arange(len(ids)), "id": ids, "n": counts})
+
+    found = _met(blocks, n, F.lit(float(eps))).select(*_PAIR).mapInPandas(count, f"key string, at int, id {kind}, n long")
+    return found.groupBy("key", "at", "id").agg(F.sum("n").alias("degree"))
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node but roots that the edges connect."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[i], label[j])
+        for end in (i, j, label[i], label[j]):  # roots hear it, too
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+#: Edges that a task gathers before it reduces them to stars.
+GATHERED = 1 << 19
+
+
+def links(blocks: DataFrame, n: int, eps: float, cores: DataFrame) -> DataFrame:
+    """(a, b, border): edges that connect the cores within eps of each other, and each pair of another point a and a core b within eps (border).
+
+    cores: (key, at, is_core) of all points of the blocks. Of edges between cores a task answers with stars of its own components, which are fewer
+    than its points, however many the pairs.
     """
-    _, blocks, nodes = pivot_tree(rows, id_col, column, queries, block)
-    kind = rows.schema[id_col].dataType.simpleString()
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    flags = cores.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "is_core"))).alias("c")).select("key", F.col("c.is_core").alias("core"))
+    flagged = _dealt(blocks.join(flags, "key"), n)
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gathered, size = [], 0
         for batch in batches:
-            found = [pd.DataFrame({"leaf_node": [], "id": [], "v": [], "reach": []})]
             for r in batch.itertuples(index=False):
-                x, asks = _matrix(r.flat, len(r.ids)), np.asarray(r.asks, bool)
-                if asks.any():
-                    far = np.partition(apart(x[asks], x), k, axis=1)[:, k] if len(x) > k else np.full(asks.sum(), math.inf)
-                    found.append(pd.DataFrame({"leaf_node": r.node, "id": np.asarray(r.ids)[asks], "v": list(x[asks]), "reach": far}))
-            yield pd.concat(found)
-
-    asked = blocks.select("node", "ids", "flat", "asks").mapInPandas(reach, f"leaf_node string, id {kind}, v array<double>, reach double")
-    # a leaf's ancestors are the beginnings of its name
-    above = F.expr("transform(sequence(1, size(split(leaf_node, '[.]'))), i -> array_join(slice(split(leaf_node, '[.]'), 1, i), '.'))")
-    lines = nodes.where("leaf").select(F.col("node").alias("leaf_node")).select("leaf_node", F.explode(above).alias("node")).join(nodes.where((F.col("n") > k) & F.col("parent").isNotNull()).select("node", "radius"), "node")
-    bounds = lines.groupBy("leaf_node").agg((2 * F.min("radius")).alias("bound"))
-    met = _met(asked.join(bounds, "leaf_node", "left").select("id", "v", F.least("reach", "bound").alias("reach")), blocks, nodes, block)
+                own, own_core, core = np.asarray(r.own_ids), np.asarray(r.own_core, bool), np.asarray(r.core, bool)
+                ids = np.asarray(r.ids)[core]
+                # pairs of cores are seen from one side
+                for rows, within in _slices(r, eps, None if r.own_key <= r.key else ~own_core, core):
+                    i, j = np.nonzero(within)
+                    inner = own_core[rows[i]]
+                    a, b = own[rows[i]], ids[j]
+                    if not inner.all():
+                        yield pd.DataFrame({"a": a[~inner], "b": b[~inner], "border": True})
+                    if inner.any():
+                        gathered.append(_stars(a[inner], b[inner]))
+                        size += len(gathered[-1][0])
+                if size > GATHERED:
+                    gathered = [_stars(*(np.concatenate(x) for x in zip(*gathered, strict=True)))]
+                    size = 0
+        if gathered:
+            a, b = _stars(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
+            yield pd.DataFrame({"a": a, "b": b, "border": False})
+
+    met = _met(flagged, n, F.lit(float(eps)), other="exists(core, c -> c)")
+    return met.select(*_PAIR, "own_core", "core").mapInPandas(link, f"a {kind}, b {kind}, border boolean")
+
+
+def nearest(rows: DataFrame, id_col: str, column: str, k: int, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, neighbour, dist, rank): the k nearest others of each query row, exact, ties by id.
+
+    A task keeps the k best of the blocks that pass by for each point it holds, whose search reaches no farther than the k-th of them.
+    Rows with a null vector have and are no neighbours.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
         for batch in batches:
-            found = [pd.DataFrame({"id": [], "neighbour": [], "dist": []})]
             for r in batch.itertuples(index=False):
-                own, names = np.asarray(r.own), np.asarray(r.ids)
-                i, j, d = _best(_matrix(r.own_flat, len(own)), _matrix(r.flat, len(names)), own, names, k)
-                found.append(pd.DataFrame({"id": own[i], "neighbour": names[j], "dist": d}))
-            yield pd.concat(found)
-
-    ranked = met.mapInPandas(compare, f"id {kind}, neighbour {kind}, dist double").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour")))
+                own, names = np.asarray(r.own_ids), np.asarray(r.ids)
+                x, y = _matrix(r.own_flat, len(own)), _matrix(r.flat, len(names))
+                best = held.setdefault(r.own_key, [own, np.frombuffer(r.own_reach).copy(), np.zeros(0, np.int64), np.zeros(0), names[:0]])
+                reach = best[1]
+                asking = _narrowed(x, r.centre, r.radius, reach)
+                for at in range(0, len(asking), SLICE):
+                    i, j, d = _reached(x, y, asking[at : at + SLICE], reach)
+                    other = own[i] != names[j]
+                    if other.any():
+                        _keep(best, i[other], d[other], names[j[other]], k)
+        for own, _, i, d, names in held.values():
+            yield pd.DataFrame({"id": own[i], "neighbour": names, "dist": d})
+
+    met = _met(*blocked(rows, id_col, column, queries, block, k), F.col("own_far"), own="far IS NOT NULL")
+    found = met.select(*_PAIR, "own_reach").mapInPandas(compare, f"id {kind}, neighbour {kind}, dist double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour")))
     return ranked.where(F.col("rank") <= k)
+
+
+def _reached(x: np.ndarray, y: np.ndarray, rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of pairs within the reach of rows."""
+    far, moved = _squares(x[rows], y)
+    bound = reach[rows] ** 2
+    i, j = np.nonzero(far <= (bound * (1 + 1e-9) + moved)[:, None])
+    i = rows[i]
+    d = np.concatenate([exactly(x[i[at : at + PLACED]], y[j[at : at + PLACED]]) for at in range(0, len(i), PLACED)] or [np.zeros(0)])
+    ok = d <= reach[i]
+    return i[ok], j[ok], d[ok]
+
+
+def _keep(best: list, i: np.ndarray, d: np.ndarray, names: np.ndarray, k: int) -> None:
+    """Merges found (row, distance, name) into the k best of each row, ties by name, and shortens the reach of rows that have k."""
+    _, reach, *known = best
+    i, d, names = (np.concatenate(pair) for pair in zip(known, (i, d, names), strict=True))
+    order = np.lexsort((names, d, i))
+    i, d, names = i[order], d[order], names[order]
+    turn = np.arange(len(i)) - np.searchsorted(i, i)
+    last = turn == k - 1
+    reach[i[last]] = np.minimum(reach[i[last]], d[last])
+    best[2:] = [i[turn < k], d[turn < k], names[turn < k]]

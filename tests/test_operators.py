@@ -373,6 +373,45 @@ def test_neighbours_of_copies_outliers_and_no_rows(spark):
     assert flux.mahalanobis(rows, "v", rows).where("id = 999").first().mahalanobis is None
 
 
+def _groups(spark, monkeypatch):
+    """Groups of copies, of near points and lone ones, with vectors that are null or not finite; tasks hold few points of them."""
+    monkeypatch.setattr(near, "HELD", 96)
+    monkeypatch.setattr(near, "PASSING", 96)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.zeros((90, 3)) + 1e4, rng.normal(1e4 + 3, 0.25, (90, 3)), rng.normal(1e4 + 5, 2, (60, 3))])
+    odd = [(900, None), (901, [float("nan"), 1e4, 1e4]), (902, [1e4, None, 1e4])]
+    return x, np.sqrt(((x[:, None] - x) ** 2).sum(2)), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, v array<double>")
+
+
+def test_dbscan_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(learn, "neighbours", None)
+    x, far, rows = _groups(spark, monkeypatch)
+    eps, least = 0.4, 4
+    got = {r.id: (r.is_core, r.cluster) for r in learn.dbscan(rows, "id", "v", eps, least).collect()}
+    core, label = (far <= eps).sum(1) >= least, np.arange(len(x))
+    while ((new := np.array([min(label[j] for j in np.flatnonzero((far[i] <= eps) & core)) if c else i for i, c in enumerate(core)])) != label).any():
+        label = new
+    for i in range(len(x)):
+        beside = label[(far[i] <= eps) & core]
+        assert got[i] == (core[i], label[i] if core[i] else beside.min() if len(beside) else -1)
+    assert all(got[i] == (False, -1) for i in (900, 901, 902)) and sum(c for c, _ in got.values()) > 120
+    assert {r.id: r.degree for r in learn.density_counts(rows, "id", "v", eps, least).where("id < 900").collect()} == dict(enumerate((far <= eps).sum(1).tolist()))
+    blocks, n = near.blocked(rows, "id", "v", block=16)
+    counts = near.degrees(blocks, n, eps).select("key", "at", (F.col("degree") >= least).alias("is_core"))
+    edges = near.links(blocks, n, eps, counts).where("NOT border").count()
+    assert n == len(x) and edges < 4 * n < (far <= eps).sum() / 2
+
+
+def test_nearest_shuffles_no_vectors(spark, monkeypatch):
+    x, far, rows = _groups(spark, monkeypatch)
+    best = near.nearest(rows, "id", "v", 5, block=16)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(id" not in line]
+    np.fill_diagonal(far, np.inf)
+    got = {(r.id, r["rank"]): r.neighbour for r in best.collect()}
+    assert got == {(i, k + 1): int(j) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), far[i]))[:5])}
+
+
 def test_feature_trees_hold_all_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
