@@ -412,6 +412,27 @@ def test_nearest_shuffles_no_vectors(spark, monkeypatch):
     assert got == {(i, k + 1): int(j) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), far[i]))[:5])}
 
 
+def test_outlier_factors_shuffle_no_vectors(spark, monkeypatch, tmp_path):
+    x, far, rows = _groups(spark, monkeypatch)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    plans, nearest = [], near.nearest
+
+    def seen(*args):
+        plans.append((out := nearest(*args))._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(learn, "nearest", seen)
+    # copies have no density; the others' factors are compared
+    x, far, rows = x[90:], far[90:, 90:], rows.where("id >= 90")
+    got = {r.id: r.lof for r in learn.local_outlier_factor(rows, "id", "v", 5).collect()}
+    assert len(plans) == 1 and "CartesianProduct" in plans[0]
+    np.fill_diagonal(far, np.inf)
+    beside = np.argsort(far, axis=1, kind="stable")[:, :5]
+    d = np.take_along_axis(far, beside, 1)
+    density = 5 / np.maximum(d, d[beside, 4]).sum(1)
+    assert np.allclose([got[i + 90] for i in range(len(x))], density[beside].mean(1) / density)
+
+
 def test_feature_trees_hold_all_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
