@@ -402,6 +402,13 @@ def test_dbscan_makes_no_pairs(spark, monkeypatch):
     assert n == len(x) and edges < 4 * n < (far <= eps).sum() / 2
 
 
+def test_degrees_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(learn, "neighbours", None)
+    rows = spark.createDataFrame([(i, [float(i // 30), 0.0]) for i in range(75)] + [(99, None)], "id long, v array<double>")
+    got = {r.id: (r.degree, r.is_core) for r in learn.density_counts(rows, "id", "v", 0.5, 20).collect()}
+    assert got == {i: (30, True) if i < 60 else (15, False) for i in range(75)} | {99: (1, False)}
+
+
 def test_nearest_shuffles_no_vectors(spark, monkeypatch):
     x, far, rows = _groups(spark, monkeypatch)
     best = near.nearest(rows, "id", "v", 5, block=16)
