@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -14,16 +15,18 @@ from pyspark.sql.window import Window
 
 from tessera.session import checkpointed
 
-#: Points of a block at most, and children of a node.
-BLOCK, FAN = 2048, 16
-#: Points of a node from which its children's pivots are drawn, about.
-DRAWN = 4 * FAN
-#: Points placed in one task.
-PLACED = 1 << 14
-#: Points that a task holds of those which ask, about; parts at most into which the points that pass by are dealt, and points in one.
-HELD, PARTS, PASSING = 1 << 13, 8, 1 << 14
-#: Own points compared with a block at once.
-SLICE = 512
+#: Points of a block at most, and children of a node. A node gets a child for each half block, so that blocks come of one level up to some 500,000 points.
+BLOCK, FAN = 2048, 512
+#: Points that are drawn beyond the children's pivots, about, so that there are enough.
+SPARE = 64
+#: Points that pass by a node's pivots in one task.
+PASSING = 1 << 14
+#: Nodes of a level that are broadcast; beyond, they are joined by a shuffle.
+LISTED = 250_000
+#: Points that a task holds of those which ask, at most, about; and tasks for which they hold fewer, down to a block.
+HELD, TASKS = 1 << 13, 64
+#: Own points compared with a block at once, and pairs of points whose distances are summed at once.
+SLICE, PLACED = 512, 1 << 14
 _ROOT = "0"
 
 
@@ -64,13 +67,14 @@ def _within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
 
 def _place(points: pa.Table, drawn: pa.Table) -> pa.Table:
     """Points of a node by the nearest of its children's pivots; the first point of each child carries the pivot."""
-    pivots = np.unique(_vectors(drawn.sort_by([("turn", "ascending")]).slice(0, FAN), "pivot"), axis=0) if drawn.num_rows else np.zeros((0, 1))
+    pivots = np.unique(_vectors(drawn.sort_by([("turn", "ascending")]).slice(0, drawn.column("fan")[0].as_py()), "pivot"), axis=0) if drawn.num_rows else np.zeros((0, 1))
     n = points.num_rows
-    if len(pivots) < 2:
-        child, far = np.full(n, -1), np.zeros(n)
-    else:
-        gaps = apart(_vectors(points, "v"), pivots)
-        child, far = gaps.argmin(1), gaps.min(1)
+    child, far = np.full(n, -1), np.zeros(n)
+    if len(pivots) > 1:
+        x = _vectors(points, "v")
+        for at in range(0, n, SLICE):
+            gaps = apart(x[at : at + SLICE], pivots)
+            child[at : at + SLICE], far[at : at + SLICE] = gaps.argmin(1), gaps.min(1)
     first = np.zeros(n, bool)
     first[np.unique(child, return_index=True)[1]] = True
     nodes = [node if c < 0 else f"{node}.{c}" for node, c in zip(points.column("node").to_pylist(), child.tolist(), strict=True)]
@@ -81,41 +85,42 @@ def _place(points: pa.Table, drawn: pa.Table) -> pa.Table:
 def pivot_tree(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(blocks (node, part, ids, flat, asks), nodes (node, parent, leaf, pivot, radius, n)) of a tree over the rows' vectors.
 
-    A node of more than block points is split among up to FAN pivots, drawn of its own points by their hashes, and so on until
-    leaves are small, whatever the number of points; a node's radius is its farthest point's distance to its pivot. Points that no
-    pivots tell apart stay in one leaf, dealt into parts by hash. No task gets a node whole, and nothing of it reaches the driver.
+    A node of more than block points is split among up to FAN pivots, twice as many as it fills blocks, drawn of its own points by their
+    hashes, and so on until leaves are small, whatever the number of points; a node's radius is its farthest point's distance to its pivot.
+    A level shuffles the vectors of the nodes that it splits once. Points that no pivots tell apart stay in one leaf, dealt into parts by
+    hash. No task gets a node whole, and nothing of it reaches the driver.
     Vectors that are null, or hold null or what isn't finite, are left out.
     """
     finite = F.forall(F.col(column), lambda x: F.coalesce(F.abs(x.cast("double")) < math.inf, F.lit(False)))
     points = rows.where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("v"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks"))
     kind = points.schema["id"].dataType.simpleString()
     now = points.select("*", F.lit(_ROOT).alias("node"), F.lit(0.0).alias("far"), F.lit(None).cast("array<double>").alias("pivot"), F.lit(False).alias("stuck"))
-    leaves, nodes, level = [], [], 0
+    leaves, nodes, ends, level = [], [], [], 0
     while True:
-        known = now.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.first("pivot", ignorenulls=True).alias("pivot"), F.max("stuck").alias("stuck"))
+        known = checkpointed(now.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.first("pivot", ignorenulls=True).alias("pivot"), F.max("stuck").alias("stuck")))
         leaf = (F.col("n") <= block) | F.col("stuck")
         # a stuck node is listed with the level at which it was made
         made = known.where("NOT stuck") if level else known
         nodes.append(made.select("node", F.when(F.lit(level > 0), F.regexp_replace("node", r"\.[^.]*$", "")).alias("parent"), "pivot", "radius", "n"))
-        sized = now.drop("far", "pivot", "stuck").join(known.select("node", "n", "stuck"), "node")
+        ends.append(known.where(leaf).select("node", F.lit(True).alias("leaf")))
+        listed, split = known.agg(F.count("*"), F.count_if(~leaf)).first()
+        sizes = known.select("node", "n", "stuck")
+        sized = now.drop("far", "pivot", "stuck").join(F.broadcast(sizes) if listed <= LISTED else sizes, "node")
         leaves.append(sized.where(leaf).select("node", "id", "v", "asks", F.pmod(F.xxhash64("id", F.lit(11)), F.ceil(F.col("n") / block)).alias("part")))
-        over = sized.where(~leaf)
-        if over.isEmpty():
+        if not split:
             break
-        salts = F.ceil(F.col("n") / PLACED)
-        drawn = over.where(F.pmod(F.xxhash64("id", F.lit(level)), "n") < DRAWN)
-        drawn = drawn.select(F.col("node").alias("of"), F.col("v").alias("pivot"), F.xxhash64(F.lit(level), "id").alias("turn"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("for"))
+        over = sized.where(~leaf)
+        salts, fan = F.ceil(F.col("n") / PASSING), F.least(F.lit(FAN), F.ceil(2 * F.col("n") / block)).cast("int")
+        drawn = over.where(F.pmod(F.xxhash64("id", F.lit(level)), "n") < fan + SPARE)
+        drawn = drawn.select(F.col("node").alias("of"), F.col("v").alias("pivot"), fan.alias("fan"), F.xxhash64(F.lit(level), "id").alias("turn"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("for"))
         dealt = over.select("id", "v", "asks", "node", F.pmod(F.xxhash64("id", F.lit(12)), salts).alias("salt"))
         now = dealt.groupBy("node", "salt").cogroup(drawn.groupBy("of", "for")).applyInArrow(_place, f"id {kind}, v array<double>, asks boolean, node string, far double, pivot array<double>, stuck boolean")
         now = checkpointed(now)
         level += 1
-    all_leaves, all_nodes = leaves[0], nodes[0]
-    for x, y in zip(leaves[1:], nodes[1:], strict=True):
-        all_leaves, all_nodes = all_leaves.unionAll(x), all_nodes.unionAll(y)
+    all_leaves, all_nodes, all_ends = (functools.reduce(DataFrame.unionAll, x) for x in (leaves, nodes, ends))
     blocks = all_leaves.groupBy("node", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v", "asks"))).alias("p"))
     blocks = blocks.select("node", "part", F.col("p.id").alias("ids"), F.flatten("p.v").alias("flat"), F.col("p.asks").alias("asks"))
-    ends = all_leaves.select("node").distinct().withColumn("leaf", F.lit(True))
-    all_nodes = all_nodes.join(ends, "node", "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
+    all_nodes = all_nodes.join(all_ends, "node", "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
     return blocks, all_nodes if level == 0 else checkpointed(all_nodes)
 
 
@@ -125,7 +130,7 @@ def _matrix(flat: bytes, n: int) -> np.ndarray:
 
 def _dealt(blocks: DataFrame, n: int) -> DataFrame:
     """Blocks written to the shared folder in parts of a few."""
-    return checkpointed(blocks.repartition(max(1, math.ceil(n / HELD))))
+    return checkpointed(blocks.repartition(max(1, math.ceil(n / min(HELD, max(BLOCK, n // TASKS))))))
 
 
 def blocked(rows: DataFrame, id_col: str, column: str, asked: Column | None = None, block: int = BLOCK, k: int = 0) -> tuple[DataFrame, int]:
@@ -171,14 +176,14 @@ def blocked(rows: DataFrame, id_col: str, column: str, asked: Column | None = No
     return _dealt(packed, n), n
 
 
-def _met(blocks: DataFrame, n: int, reach: Column | float, own: str = "true", other: str = "true") -> DataFrame:
+def _met(blocks: DataFrame, reach: Column | float, own: str = "true", other: str = "true") -> DataFrame:
     """Blocks (own_key, own_ids, ...) beside each (key, ids, ...) that may hold points within their reach: balls decide.
 
-    Each task holds some blocks that ask while a share of all passes by, read from the shared folder: nothing is shuffled, and what a task
-    finds for its own blocks comes from as few tasks as there are shares, however many blocks there are.
+    Each task holds some blocks that ask while all others pass by, read from the shared folder: nothing is shuffled, and what is found for a
+    block comes from one task, so that a point gets one answer however many points there are.
     """
     asking = blocks.where(own).select(*[F.col(c).alias(f"own_{c}") for c in blocks.columns])
-    passing = blocks.coalesce(max(1, min(PARTS, math.ceil(n / PASSING)))).where(other)
+    passing = blocks.coalesce(1).where(other)
     gap = F.sqrt(F.aggregate(F.zip_with("own_centre", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     bound = (F.col("own_radius") + F.col("radius") + reach) * (1 + 1e-9)
     size = F.aggregate("own_centre", F.lit(0.0), lambda s, x: s + x * x) + F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x)
@@ -206,7 +211,7 @@ def meeting_blocks(rows: DataFrame, id_col: str, column: str, eps: float, block:
                 if len(i):
                     yield pd.DataFrame({"own": [np.asarray(r.own_ids)[i]], "ids": [r.ids]})
 
-    return _met(*blocked(rows, id_col, column, block=block), F.lit(float(eps))).select(*_PAIR).mapInPandas(narrow, f"own array<{kind}>, ids array<{kind}>")
+    return _met(blocked(rows, id_col, column, block=block)[0], F.lit(float(eps))).select(*_PAIR).mapInPandas(narrow, f"own array<{kind}>, ids array<{kind}>")
 
 
 def _slices(r, eps: float, keep: np.ndarray | None = None, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -238,7 +243,7 @@ def neighbours(rows: DataFrame, id_col: str, column: str, eps: float, block: int
                         p, q = rows[i[at : at + PLACED]], j[at : at + PLACED]
                         yield pd.DataFrame({"a": own[p], "b": ids[q], "dist": exactly(x[p], y[q])})
 
-    return _met(*blocked(rows, id_col, column, block=block), F.lit(float(eps))).select(*_PAIR).mapInPandas(compare, f"a {kind}, b {kind}, dist double")
+    return _met(blocked(rows, id_col, column, block=block)[0], F.lit(float(eps))).select(*_PAIR).mapInPandas(compare, f"a {kind}, b {kind}, dist double")
 
 
 def degrees(blocks: DataFrame, n: int, eps: float) -> DataFrame:
@@ -255,7 +260,7 @@ def degrees(blocks: DataFrame, n: int, eps: float) -> DataFrame:
         for key, (ids, counts) in held.items():
             yield pd.DataFrame({"key": key, "at": np.arange(len(ids)), "id": ids, "n": counts})
 
-    found = _met(blocks, n, F.lit(float(eps))).select(*_PAIR).mapInPandas(count, f"key string, at int, id {kind}, n long")
+    found = _met(blocks, F.lit(float(eps))).select(*_PAIR).mapInPandas(count, f"key string, at int, id {kind}, n long")
     return found.groupBy("key", "at", "id").agg(F.sum("n").alias("degree"))
 
 
@@ -314,7 +319,7 @@ def links(blocks: DataFrame, n: int, eps: float, cores: DataFrame) -> DataFrame:
             a, b = _stars(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
             yield pd.DataFrame({"a": a, "b": b, "border": False})
 
-    met = _met(flagged, n, F.lit(float(eps)), other="exists(core, c -> c)")
+    met = _met(flagged, F.lit(float(eps)), other="exists(core, c -> c)")
     return met.select(*_PAIR, "own_core", "core").mapInPandas(link, f"a {kind}, b {kind}, border boolean")
 
 
@@ -343,7 +348,7 @@ def nearest(rows: DataFrame, id_col: str, column: str, k: int, queries: Column |
         for own, _, i, d, names in held.values():
             yield pd.DataFrame({"id": own[i], "neighbour": names, "dist": d})
 
-    met = _met(*blocked(rows, id_col, column, queries, block, k), F.col("own_far"), own="far IS NOT NULL")
+    met = _met(blocked(rows, id_col, column, queries, block, k)[0], F.col("own_far"), own="far IS NOT NULL")
     found = met.select(*_PAIR, "own_reach").mapInPandas(compare, f"id {kind}, neighbour {kind}, dist double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour")))
     return ranked.where(F.col("rank") <= k)

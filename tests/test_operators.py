@@ -440,6 +440,37 @@ def test_outlier_factors_shuffle_no_vectors(spark, monkeypatch, tmp_path):
     assert np.allclose([got[i + 90] for i in range(len(x))], density[beside].mean(1) / density)
 
 
+def _shuffled(spark, act):
+    """Bytes that the stages of act wrote for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    act()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def _apart(spark, n):
+    """Unit vectors that nearly all lie as far from each other, as the tables' do."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+
+
+def test_nearest_shuffles_in_proportion(spark, monkeypatch):
+    """Vectors are shuffled as often, and a point has as many answers, however many points there are."""
+    monkeypatch.setattr(near, "HELD", 512)
+    monkeypatch.setattr(near, "PASSING", 512)
+    small, large = (_shuffled(spark, lambda n=n: near.nearest(_apart(spark, n), "id", "v", 5, block=64).collect()) for n in (500, 3000))
+    assert 500 * 64 * 8 < small and large < small * 6 * 1.1, (small, large)
+
+
 def test_feature_trees_hold_all_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
