@@ -471,6 +471,15 @@ def test_nearest_shuffles_in_proportion(spark, monkeypatch):
     assert 500 * 64 * 8 < small and large < small * 6 * 1.1, (small, large)
 
 
+def test_outlier_factors_shuffle_in_proportion(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(near, "HELD", 512)
+    monkeypatch.setattr(near, "PASSING", 512)
+    monkeypatch.setattr(learn, "nearest", lambda *args: near.nearest(*args, block=64))
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    small, large = (_shuffled(spark, lambda n=n: learn.local_outlier_factor(_apart(spark, n), "id", "v", 5).collect()) for n in (500, 3000))
+    assert 500 * 64 * 8 < small and large < small * 6 * 1.1, (small, large)
+
+
 def test_feature_trees_hold_all_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
