@@ -480,6 +480,14 @@ def test_outlier_factors_shuffle_in_proportion(spark, monkeypatch, tmp_path):
     assert 500 * 64 * 8 < small and large < small * 6 * 1.1, (small, large)
 
 
+def test_degrees_shuffle_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near, "HELD", 512)
+    monkeypatch.setattr(near, "PASSING", 512)
+    monkeypatch.setattr(learn, "blocked", lambda *args: near.blocked(*args, block=64))
+    small, large = (_shuffled(spark, lambda n=n: learn.density_counts(_apart(spark, n), "id", "v", 0.9, 4).collect()) for n in (500, 3000))
+    assert 500 * 64 * 8 < small and large < small * 6 * 1.1, (small, large)
+
+
 def test_feature_trees_hold_all_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (3, 0), (0, 3), (5, 5))])
