@@ -21,7 +21,7 @@ BLOCK, FAN = 2048, 512
 SPARE = 64
 #: Points that pass by a node's pivots in one task.
 PASSING = 1 << 14
-#: Nodes of a level that are broadcast; beyond, they are joined by a shuffle.
+#: Nodes of a level, or leaves, that are broadcast; beyond, they are joined by a shuffle.
 LISTED = 250_000
 #: Points that a task holds of those which ask, at most, about; and tasks for which they hold fewer, down to a block.
 HELD, TASKS = 1 << 13, 64
@@ -144,12 +144,14 @@ def blocked(rows: DataFrame, id_col: str, column: str, asked: Column | None = No
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     blocks, nodes = pivot_tree(rows, id_col, column, asked, block)
     kind = rows.schema[id_col].dataType.simpleString()
+    n, leaves = nodes.where("leaf").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if k:
         # a leaf's ancestors are the beginnings of its name
         above = F.expr("transform(sequence(1, size(split(leaf_node, '[.]'))), i -> array_join(slice(split(leaf_node, '[.]'), 1, i), '.'))")
         lines = nodes.where("leaf").select(F.col("node").alias("leaf_node")).select("leaf_node", F.explode(above).alias("node")).join(nodes.where((F.col("n") > k) & F.col("parent").isNotNull()).select("node", "radius"), "node")
         bounds = lines.groupBy(F.col("leaf_node").alias("node")).agg((2 * F.min("radius")).alias("bound"))
-        blocks = blocks.join(bounds, "node", "left")
+        # a join by shuffle would move the vectors once more
+        blocks = blocks.join(F.broadcast(bounds) if leaves <= LISTED else bounds, "node", "left")
     else:
         blocks = blocks.withColumn("bound", F.lit(None).cast("double"))
 
@@ -172,7 +174,6 @@ def blocked(rows: DataFrame, id_col: str, column: str, asked: Column | None = No
                 yield pd.DataFrame({"key": [f"{r.node}/{r.part}"], "ids": [names], "flat": [x.tobytes()], "asks": [asks], "reach": [reach.tobytes()], "far": [float(reach[asks].max()) if asks.any() else None], "centre": [centre], "radius": [radius]})
 
     packed = blocks.select("node", "part", "ids", "flat", "asks", "bound").mapInPandas(pack, f"key string, ids array<{kind}>, flat binary, asks array<boolean>, reach binary, far double, centre array<double>, radius double")
-    n = nodes.where("leaf").agg(F.sum("n")).first()[0] or 0
     return _dealt(packed, n), n
 
 

@@ -296,9 +296,9 @@ def lof_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lof(spark: SparkSession, d: str) -> DataFrame:
-    """In millionths, as sums run in any order."""
+    """In millionths, as sums run in any order; null for factors that are infinite, beside copies."""
     ensure_checkpoints(spark)
-    return learn.local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", F.round(F.col("lof") * 1e6).cast("long").alias("lof_millionths"))
+    return learn.local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", F.round(F.col("lof") * 1e6).try_cast("long").alias("lof_millionths"))
 
 
 EPS, MIN_POINTS = 0.9, 4

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import python_round
 from tessera.functions.text import number_token, unfence
 from tessera.operators import flux, forms, interior, judge, learn, near, scorecard
+from tessera.plans import queries
 from tessera.sources import documents as docs
 from tessera.sources.xlsx import read_choices, read_survey
 
@@ -440,6 +441,20 @@ def test_outlier_factors_shuffle_no_vectors(spark, monkeypatch, tmp_path):
     assert np.allclose([got[i + 90] for i in range(len(x))], density[beside].mean(1) / density)
 
 
+def test_outlier_factors_of_copies(spark, tmp_path):
+    """Seven equal points, one whose nearest are five of them, and a group of points that are apart."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.zeros((7, 3)), [[1.0, 0, 0]], rng.normal(50, 1, (20, 3))]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: r.lof for r in learn.local_outlier_factor(rows, "vec_id", "embedding", 5).collect()}
+    assert [got[i] for i in range(8)] == [1.0] * 7 + [np.inf]
+    alone = {r.id: r.lof for r in learn.local_outlier_factor(rows.where("vec_id > 7"), "vec_id", "embedding", 5).collect()}
+    assert alone.keys() == set(range(8, 28)) and all(np.isclose(got[i], v) for i, v in alone.items())
+    millionths = {r.id: r.lof_millionths for r in queries.lof(spark, str(tmp_path)).collect()}
+    assert millionths == {i: None if v == np.inf else round(v * 1e6) for i, v in got.items()}
+
+
 def _shuffled(spark, act):
     """Bytes that the stages of act wrote for shuffles."""
     store = spark.sparkContext._jsc.sc().statusStore()
@@ -471,6 +486,18 @@ def test_nearest_shuffles_in_proportion(spark, monkeypatch):
     assert 500 * 64 * 8 < small and large < small * 6 * 1.1, (small, large)
 
 
+def test_reaches_of_blocks_shuffle_no_vectors(spark, monkeypatch):
+    """Whether Spark takes a node's bound to be small or not, blocks with reaches cost as much as blocks without."""
+    monkeypatch.setattr(near, "HELD", 512)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        without, reaches = (_shuffled(spark, lambda k=k: near.blocked(_apart(spark, 1000), "id", "v", block=64, k=k)) for k in (0, 5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 1000 * 64 * 8 < without and reaches < without + 1000 * 64 * 8 / 2, (without, reaches)
+
+
 def test_outlier_factors_shuffle_in_proportion(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(near, "HELD", 512)
     monkeypatch.setattr(near, "PASSING", 512)
